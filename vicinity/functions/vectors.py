@@ -25,9 +25,14 @@ def norm_sq(a) -> Column:
 
 
 def l2_normalize(a) -> Column:
-    """x / ||x||; the zero vector stays zero (as torch normalize with eps)."""
-    n = F.sqrt(norm_sq(a))
-    return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """x / ||x||; the zero vector stays zero (as torch normalize with eps).
+
+    The squared norm is the accumulator of one ``aggregate`` whose finish step
+    scales the array, so the norm is computed once per row, not per element.
+    """
+    v = _c(a).cast("array<double>")
+    return F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x,
+                       lambda acc: F.transform(v, lambda x: F.when(acc > 0, x / F.sqrt(acc)).otherwise(x)))
 
 
 def to_double(a) -> Column:
@@ -38,13 +43,24 @@ def hashed_token_vector(token) -> Column:
     """Hashed token vector: 8 dimensions from md5 bytes 0-7, centred, L2 normalised.
 
     component i = (byte_i - 127.5) / 127.5; the oracle uses the same formula.
+    Prefer :func:`with_hashed_vectors`, which computes the md5 once per row.
     """
-    h = F.md5(_c(token))
+    return hashed_components(F.md5(_c(token)))
+
+
+def hashed_components(md5_hex) -> Column:
+    h = _c(md5_hex)
     raw = F.array(*[(F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("double") - 127.5) / 127.5
                     for i in range(8)])
     return l2_normalize(raw)
 
 
+def with_hashed_vectors(df, token: str = "token", out: str = "vec"):
+    """Add ``out`` = hashed vector of ``token``; md5 staged in its own projection
+    (referenced eight times, so Catalyst keeps it computed once)."""
+    return df.withColumn("_md5", F.md5(F.col(token))).withColumn(out, hashed_components("_md5")).drop("_md5")
+
+
 def hashed_token_vector_sql(token_expr: str) -> str:
     """DuckDB form of :func:`hashed_token_vector` (un-normalised components)."""
     comps = ", ".join(
