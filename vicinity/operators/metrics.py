@@ -71,6 +71,13 @@ def rename_metrics(metrics: DataFrame, prefix: str, step: int = 0) -> DataFrame:
 
 # --------------------------------------------------------------------------- multi-label
 
+def _multilabel_join(preds: DataFrame, truth: DataFrame, ks, group: str = "k") -> DataFrame:
+    p = preds.select(group, "id", "label").distinct().withColumn("p", F.lit(1))
+    tg = (truth.select("id", "label").distinct().withColumn("t", F.lit(1))
+          .withColumn(group, F.explode(F.array(*[F.lit(int(k)) for k in ks]))))
+    return p.join(tg, [group, "id", "label"], "full")
+
+
 def multilabel_confusion(preds: DataFrame, truth: DataFrame, ks, group: str = "k") -> DataFrame:
     """Per-class tp / fp / fn per group from exploded label sets.
 
@@ -80,16 +87,21 @@ def multilabel_confusion(preds: DataFrame, truth: DataFrame, ks, group: str = "k
     replace the reference's batch-wise ``update``.  ``ks`` lists the groups so
     the truth side is replicated by a literal explode, not a join.
     """
-    p = preds.select(group, "id", "label").distinct().withColumn("p", F.lit(1))
-    tg = (truth.select("id", "label").distinct().withColumn("t", F.lit(1))
-          .withColumn(group, F.explode(F.array(*[F.lit(int(k)) for k in ks]))))
-    both = p.join(tg, [group, "id", "label"], "full")
+    both = _multilabel_join(preds, truth, ks, group)
     return (both.groupBy(group, "label").agg(
         F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNull(), 1).otherwise(0)).cast("long").alias("fp"),
         F.sum(F.when(F.col("p").isNull() & F.col("t").isNotNull(), 1).otherwise(0)).cast("long").alias("fn")))
 
 
+def subset_exact(preds: DataFrame, truth: DataFrame, ks, group: str = "k") -> DataFrame:
+    """``(group, n_exact)``: rows whose predicted set equals the true set (M8 numerator)."""
+    both = _multilabel_join(preds, truth, ks, group)
+    err = both.groupBy(group, "id").agg(
+        F.sum(F.when(F.col("p").isNull() | F.col("t").isNull(), 1).otherwise(0)).alias("err"))
+    return err.groupBy(group).agg(F.sum(F.when(F.col("err") == 0, 1).otherwise(0)).cast("long").alias("n_exact"))
+
+
 def multilabel_metrics(confusion: DataFrame, n_examples, n_labels: int, exact: DataFrame,
                        group: str = "k", eps: float = 1e-5) -> DataFrame:
     """Subset accuracy, Hamming loss, P/R/F1 micro and macro with eps.
