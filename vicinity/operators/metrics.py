@@ -184,10 +184,15 @@ def contrastive_loss(scores: DataFrame) -> DataFrame:
 
 
 def distillation_kl(scores: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """``sum exp(t) (t - s) / B`` with t = log-softmax(alpha * teacher), s = log-softmax(score)."""
+    """``sum exp(t) (t - s) / B`` with t = log-softmax(alpha * teacher), s = log-softmax(score).
+
+    Log-softmax per anchor through windows (max shift first, then the log of the
+    shifted exponential sum); B = number of anchors (tuples).
+    """
     w = Window.partitionBy("anchor")
-    t_in = F.lit(float(alpha)) * F.col("teacher")
-    lt = t_in - (F.max(t_in).over(w) + F.log(F.sum(F.exp(t_in - F.max(t_in).over(w))).over(w)))
-    ls = F.col("score") - (F.max("score").over(w) + F.log(F.sum(F.exp(F.col("score") - F.max("score").over(w))).over(w)))
-    per = scores.select("anchor", (F.exp(lt) * (lt - ls)).alias("term"))
+    s = (scores.withColumn("t_in", F.lit(float(alpha)) * F.col("teacher"))
+         .withColumn("tm", F.max("t_in").over(w)).withColumn("sm", F.max("score").over(w)))
+    s = (s.withColumn("lt", F.col("t_in") - (F.col("tm") + F.log(F.sum(F.exp(F.col("t_in") - F.col("tm"))).over(w))))
+         .withColumn("ls", F.col("score") - (F.col("sm") + F.log(F.sum(F.exp(F.col("score") - F.col("sm"))).over(w)))))
+    per = s.select("anchor", (F.exp("lt") * (F.col("lt") - F.col("ls"))).alias("term"))
     return per.agg(F.round(F.sum("term") / F.countDistinct("anchor"), DIGITS).alias("kl"))
