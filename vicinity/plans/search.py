@@ -57,19 +57,20 @@ def match_labels(spark, sf):
 
 # --------------------------------------------------------------------------- C1 / C2
 
-def _vote_sql(ks_sql: str, matches: str = "m", queries: str = "q", labels: str = "c") -> str:
+def _vote_sql(ks_sql: str, matches: str = "m", queries: str = "q", labels: str = "c", sfx: str = "") -> str:
+    """CTEs ks, hits, have, votes, pred (each name + ``sfx``): vote with -1 padding, ties -> smaller label."""
     return f"""
-ks AS (SELECT unnest({ks_sql}) AS k),
-hits AS (SELECT ks.k, {matches}.qid, coalesce({labels}.label, -1) AS label
-         FROM {matches} JOIN ks ON {matches}.rank <= ks.k LEFT JOIN {labels} ON {labels}.pid = {matches}.pid),
-have AS (SELECT k, qid, count(*) AS have FROM hits GROUP BY k, qid),
-votes AS (SELECT k, qid, label, count(*) AS n FROM hits GROUP BY k, qid, label
+ks{sfx} AS (SELECT unnest({ks_sql}) AS k),
+hits{sfx} AS (SELECT ks{sfx}.k, {matches}.qid, coalesce({labels}.label, -1) AS label
+         FROM {matches} JOIN ks{sfx} ON {matches}.rank <= ks{sfx}.k LEFT JOIN {labels} ON {labels}.pid = {matches}.pid),
+have{sfx} AS (SELECT k, qid, count(*) AS have FROM hits{sfx} GROUP BY k, qid),
+votes{sfx} AS (SELECT k, qid, label, count(*) AS n FROM hits{sfx} GROUP BY k, qid, label
           UNION ALL
-          SELECT ks.k, {queries}.qid, -1 AS label, ks.k - coalesce(have.have, 0) AS n
-          FROM {queries} CROSS JOIN ks LEFT JOIN have ON have.k = ks.k AND have.qid = {queries}.qid
-          WHERE ks.k - coalesce(have.have, 0) > 0),
-pred AS (SELECT k, qid, CAST(label AS INTEGER) AS pred FROM (
-           SELECT k, qid, label, sum(n) AS n FROM votes GROUP BY k, qid, label)
+          SELECT ks{sfx}.k, {queries}.qid, -1 AS label, ks{sfx}.k - coalesce(have{sfx}.have, 0) AS n
+          FROM {queries} CROSS JOIN ks{sfx} LEFT JOIN have{sfx} ON have{sfx}.k = ks{sfx}.k AND have{sfx}.qid = {queries}.qid
+          WHERE ks{sfx}.k - coalesce(have{sfx}.have, 0) > 0),
+pred{sfx} AS (SELECT k, qid, CAST(label AS INTEGER) AS pred FROM (
+           SELECT k, qid, label, sum(n) AS n FROM votes{sfx} GROUP BY k, qid, label)
          QUALIFY row_number() OVER (PARTITION BY k, qid ORDER BY n DESC, label) = 1)"""
 
 
