@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.functions.text import encode_sequence, simple_tokens
-from vicinity.functions.vectors import l2_normalize, with_hashed_vectors
+from vicinity.functions.vectors import hashed_components, l2_normalize, with_hashed_vectors
 
 HASHED_DIM = 8
 
@@ -46,6 +46,16 @@ class HashedTokenEncoder:
                         distinct: bool = False) -> DataFrame:
         return self.encode_tokens(token_table(df, id_col, text, distinct=distinct)).select(id_col, "pos", "token", "vec")
 
+    def encode_packed(self, df: DataFrame, id_col: str = "pid", text: str = "text",
+                      distinct: bool = False) -> DataFrame:
+        """``(pid, vecs ARRAY<ARRAY<DOUBLE>>)`` per passage without exploding: md5 per token
+        is staged as an array column, then mapped to normalised vectors in place."""
+        toks = simple_tokens(text)
+        if distinct:
+            toks = F.array_distinct(toks)
+        h = df.select(id_col, F.transform(toks, lambda t: F.md5(t)).alias("_h"))
+        return h.select(id_col, F.transform("_h", lambda x: hashed_components(x)).alias("vecs"))
+
     def encode_queries(self, df: DataFrame, id_col: str = "qid", text: str = "text") -> DataFrame:
         t = token_table(df, id_col, text).withColumnRenamed("pos", "qpos")
         return self.encode_tokens(t).select(id_col, "qpos", "token", "vec")

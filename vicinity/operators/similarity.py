@@ -106,11 +106,72 @@ def _replicated(left: DataFrame, right: DataFrame, n_qb: int, n_cb: int):
     return lq, rc
 
 
+BROADCAST_BYTES_KEY = "vicinity.broadcast.maxBytes"
+BROADCAST_BYTES_DEFAULT = 64 << 20
+SCORE_CELLS = 1 << 24          # score-matrix elements per kernel call (128 MB of doubles)
+
+
+def broadcast_limit(spark) -> int:
+    return int(spark.conf.get(BROADCAST_BYTES_KEY, str(BROADCAST_BYTES_DEFAULT)))
+
+
+def merge_topk(t: pa.Table, k: int, ascending: bool) -> pa.Table:
+    """Per-query top-k of a candidate table (same order rule as :func:`topk_rows`)."""
+    if t.num_rows == 0:
+        return _CAND_SCHEMA.empty_table()
+    qid, pid, score = _np(t.column("qid")), _np(t.column("pid")), _np(t.column("score"))
+    key = -score if ascending else score
+    order = np.lexsort((pid, -key, qid))
+    qid, pid, score = qid[order], pid[order], score[order]
+    starts = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]])
+    rank = np.arange(len(qid)) - np.repeat(starts, np.diff(np.r_[starts, len(qid)]))
+    keep = rank < k
+    return pa.table({"qid": pa.array(qid[keep]), "rank": pa.array((rank[keep] + 1).astype(np.int32)),
+                     "pid": pa.array(pid[keep]), "score": pa.array(score[keep])}, schema=_CAND_SCHEMA)
+
+
+class _TopkAccumulator:
+    """Running per-query top-k inside one task (bounded: queries x k rows)."""
+
+    def __init__(self, k: int, ascending: bool):
+        self.k, self.ascending, self.parts, self.rows = k, ascending, [], 0
+
+    def add(self, t: pa.Table):
+        self.parts.append(t)
+        self.rows += t.num_rows
+        if len(self.parts) >= 32:
+            self.parts = [merge_topk(pa.concat_tables(self.parts), self.k, self.ascending)]
+
+    def result(self) -> pa.Table:
+        if not self.parts:
+            return _CAND_SCHEMA.empty_table()
+        return merge_topk(pa.concat_tables(self.parts), self.k, self.ascending)
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan-side table at least one partition per core (small inputs are one split)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def _knn_scores(Q, C, qids, pids, l2: bool, exclude_self: bool):
+    ip = Q @ C.T
+    if l2:
+        score = np.round((Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * ip, 6)
+        key = -score
+    else:
+        score = np.round(ip, 6)
+        key = score.copy()
+    if exclude_self:
+        key[qids[:, None] == pids[None, :]] = -np.inf
+    return key, score
+
+
 # --------------------------------------------------------------------------- kNN
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner_product",
              exclude_self: bool = False, block_rows: int = 2048,
-             sizes: tuple[int, int] | None = None) -> DataFrame:
+             sizes: tuple[int, int] | None = None, broadcast: bool | None = None) -> DataFrame:
     """Exact top-k join.  ``queries(qid, vec)``, ``corpus(pid, vec)`` -> ``(qid, rank, pid, score)``.
 
     ``inner_product``: score = q.c, best = largest.  ``l2_distance``: score =
@@ -118,6 +179,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     digits (the engine-wide tie rule).  ``exclude_self`` drops ``pid = qid``
     before the cut (J8).  Queries without any candidate produce no rows; use
     :func:`with_empty_matches` to keep them.
+
+    Plan choice: when the query side is at most ``vicinity.broadcast.maxBytes``
+    (checked from its row count and dimension; ``broadcast=None``) it is
+    broadcast to the corpus scan; otherwise both sides go through the bounded
+    block grid.  ``broadcast=True/False`` forces a plan (tests compare them).
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
@@ -125,24 +191,20 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     q = queries.select(F.col("qid").cast("long"), F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
     c = corpus.select(F.col("pid").cast("long"), F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
     n_q, n_c = sizes if sizes else (q.count(), c.count())
+    l2 = metric == "l2_distance"
+    if broadcast is not False:
+        dim = q.select(F.size("vec").alias("d")).first()
+        q_bytes = n_q * (dim["d"] if dim else 0) * 8
+        if broadcast is True or q_bytes <= broadcast_limit(spark):
+            return _knn_broadcast(q, c, k, l2, exclude_self)
     n_qb, n_cb = _block_counts(spark, n_q, n_c, block_rows)
     lq, rc = _replicated(q, c, n_qb, n_cb)
-    l2 = metric == "l2_distance"
 
     def score_block(qt: pa.Table, ct: pa.Table) -> pa.Table:
         if qt.num_rows == 0 or ct.num_rows == 0:
             return _CAND_SCHEMA.empty_table()
         qids, pids = _np(qt.column("qid")), _np(ct.column("pid"))
-        Q, C = _matrix(qt.column("vec")), _matrix(ct.column("vec"))
-        ip = Q @ C.T
-        if l2:
-            score = np.round((Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * ip, 6)
-            key = -score
-        else:
-            score = np.round(ip, 6)
-            key = score.copy()
-        if exclude_self:
-            key[qids[:, None] == pids[None, :]] = -np.inf
+        key, score = _knn_scores(_matrix(qt.column("vec")), _matrix(ct.column("vec")), qids, pids, l2, exclude_self)
         return topk_rows(qids, pids, key, score, k)
 
     cands = lq.groupBy("qb", "cb").cogroup(rc.groupBy("qb", "cb")).applyInArrow(score_block, MATCH_SCHEMA)
@@ -151,6 +213,40 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     return _final_topk(cands, k, ascending=l2)
 
 
+def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: bool) -> DataFrame:
+    """Small query side (size checked by the caller) broadcast to the corpus scan.
+
+    The corpus is never shuffled: each task scores its own rows against all
+    queries in bounded chunks and keeps a running top-k; only ``queries x
+    tasks x k`` candidates reach the final top-k shuffle.
+    """
+    spark = q.sparkSession
+    tbl = q.toArrow() if hasattr(q, "toArrow") else pa.Table.from_pandas(q.toPandas())
+    qids, Q = _np(tbl.column("qid")), _matrix(tbl.column("vec"))
+    bc = spark.sparkContext.broadcast((qids, Q))
+
+    def run(batches):
+        qids_, Q_ = bc.value
+        if len(qids_) == 0:
+            return
+        chunk = int(min(8192, max(64, SCORE_CELLS // max(1, len(qids_)))))
+        acc = _TopkAccumulator(k, l2)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            pids = _np(b.column("pid"))
+            C = _matrix(b.column("vec"))
+            for s0 in range(0, len(pids), chunk):
+                key, score = _knn_scores(Q_, C[s0:s0 + chunk], qids_, pids[s0:s0 + chunk], l2, exclude_self)
+                acc.add(topk_rows(qids_, pids[s0:s0 + chunk], key, score, k))
+        out = acc.result()
+        if out.num_rows:
+            yield from out.to_batches()
+
+    cands = _spread(c, "pid").mapInArrow(run, MATCH_SCHEMA)
+    return _final_topk(cands, k, ascending=l2)
+
+
 def with_empty_matches(queries: DataFrame, matches: DataFrame) -> DataFrame:
     """Packed form ``(qid, matches ARRAY<STRUCT<pid, score>>)``; unmatched queries keep ``[]``."""
     packed = (matches.groupBy("qid")
@@ -178,20 +274,43 @@ def maxsim_scores(Q: np.ndarray, q_starts: np.ndarray, D: np.ndarray, d_starts:
     return np.add.reduceat(best, q_starts, axis=0)
 
 
-def maxsim_join(query_vecs: DataFrame, doc_vecs: DataFrame, k: int, exclude_self: bool = False,
-                block_vectors: int = 4096, sizes: tuple[int, int] | None = None) -> DataFrame:
+def pack_passages(doc_vecs: DataFrame) -> DataFrame:
+    """Long ``(pid, pos, vec)`` -> ``(pid, vecs ARRAY<ARRAY<DOUBLE>>)`` in position order.
+    One group per passage (bounded by the passage length)."""
+    packed = doc_vecs.groupBy("pid").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"),
+                                             F.col("vec").cast("array<double>").alias("vec")))).alias("_p"))
+    return packed.select("pid", F.transform("_p", lambda x: x["vec"]).alias("vecs"))
+
+
+def maxsim_join(query_vecs: DataFrame, doc_vecs: DataFrame | None, k: int, exclude_self: bool = False,
+                block_vectors: int = 4096, sizes: tuple[int, int] | None = None,
+                broadcast: bool | None = None, packed_docs: DataFrame | None = None) -> DataFrame:
     """Exact late-interaction top-k.
 
-    ``query_vecs(qid, qpos, vec)``, ``doc_vecs(pid, pos, vec)`` long tables
-    -> ``(qid, rank, pid, score)``.  Blocks are bounded by vector count, a
-    passage never straddles blocks (blocks are keyed by passage id).
+    ``query_vecs(qid, qpos, vec)`` and either the long ``doc_vecs(pid, pos, vec)``
+    or ``packed_docs(pid, vecs)`` -> ``(qid, rank, pid, score)``.
+
+    Plans: a query side of at most ``vicinity.broadcast.maxBytes`` is broadcast
+    and the packed documents are scored where they are (no document shuffle
+    when they arrive packed); otherwise documents and queries meet in bounded
+    (query block, document block) groups keyed by passage id, so a passage
+    never straddles blocks.
     """
     spark = query_vecs.sparkSession
     q = query_vecs.select(F.col("qid").cast("long"), F.col("qpos").cast("long").alias("pos"),
                           F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
+    n_q = sizes[0] if sizes else q.count()
+    if broadcast is not False:
+        dim = q.select(F.size("vec").alias("d")).first()
+        if broadcast is True or n_q * (dim["d"] if dim else 0) * 8 <= broadcast_limit(spark):
+            docs = packed_docs if packed_docs is not None else pack_passages(doc_vecs)
+            return _maxsim_broadcast(q, docs, k, exclude_self)
+    if doc_vecs is None:
+        doc_vecs = packed_docs.select("pid", F.posexplode("vecs").alias("pos", "vec"))
     d = doc_vecs.select(F.col("pid").cast("long"), F.col("pos").cast("long"),
                         F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
-    n_q, n_c = sizes if sizes else (q.count(), d.count())
+    n_c = sizes[1] if sizes else d.count()
     n_qb, n_cb = _block_counts(spark, n_q, n_c, block_vectors)
     lq, rc = _replicated(q, d, n_qb, n_cb)
 
@@ -214,6 +333,55 @@ def maxsim_join(query_vecs: DataFrame, doc_vecs: DataFrame, k: int, exclude_self
     return _final_topk(cands, k, ascending=False)
 
 
+def _maxsim_broadcast(q: DataFrame, packed_docs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Broadcast query vectors (size checked by the caller); packed passages scored in
+    chunks of bounded vector count with a running top-k per task."""
+    import pyarrow.compute as pc
+    spark = q.sparkSession
+    tbl = q.toArrow()
+    qo, qids, qs = _segments(_np(tbl.column("qid")), _np(tbl.column("pos")))
+    Q = _matrix(tbl.column("vec"))[qo] if tbl.num_rows else np.zeros((0, 0))
+    bc = spark.sparkContext.broadcast((qids, Q, qs))
+
+    def run(batches):
+        qids_, Q_, qs_ = bc.value
+        if len(qids_) == 0:
+            return
+        budget = max(64, SCORE_CELLS // max(1, len(Q_)))
+        acc = _TopkAccumulator(k, False)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            pids = _np(b.column("pid"))
+            vl = b.column("vecs")
+            lens = pc.list_value_length(vl).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            D = _matrix(vl.flatten())
+            cum = np.r_[0, np.cumsum(lens)]
+            i, n = 0, len(pids)
+            while i < n:
+                j, tot = i, 0
+                while j < n and (j == i or tot + lens[j] <= budget):
+                    tot += lens[j]
+                    j += 1
+                ln = lens[i:j]
+                keep = ln > 0
+                if keep.any():
+                    starts = (cum[i:j] - cum[i])[keep]
+                    sc = np.round(maxsim_scores(Q_, qs_, D[cum[i]:cum[j]], starts), 6)
+                    sub = pids[i:j][keep]
+                    key = sc.copy()
+                    if exclude_self:
+                        key[qids_[:, None] == sub[None, :]] = -np.inf
+                    acc.add(topk_rows(qids_, sub, key, sc, k))
+                i = j
+        out = acc.result()
+        if out.num_rows:
+            yield from out.to_batches()
+
+    docs = _spread(packed_docs.select(F.col("pid").cast("long"), F.col("vecs").cast("array<array<double>>")), "pid")
+    return _final_topk(docs.mapInArrow(run, MATCH_SCHEMA), k, ascending=False)
+
+
 def maxsim_pairs(query_vecs: DataFrame, doc_vecs: DataFrame, pairs: DataFrame) -> DataFrame:
     """MaxSim for given candidate pairs ``(qid, pid)`` (J5 stage 4, J9) in long-table form.
 

@@ -154,8 +154,8 @@ def maxsim_hashed(spark, sf):
     Document tokens are de-duplicated inside each row first (the max over a
     set does not change), query tokens keep their multiplicity.
     """
-    dv = doc_token_vectors(spark, sf, distinct=True).select("pid", "pos", "vec")
-    return maxsim_join(_bench_query_vectors(spark, sf), dv, K)
+    docs = encode.HashedTokenEncoder().encode_packed(_docs(spark, sf), distinct=True)
+    return maxsim_join(_bench_query_vectors(spark, sf), None, K, packed_docs=docs)
 
 
 # --------------------------------------------------------------------------- U6 sbert: E5 + J1 + C1, M18, P14
