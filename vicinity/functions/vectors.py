@@ -56,9 +56,15 @@ def hashed_components(md5_hex) -> Column:
 
 
 def with_hashed_vectors(df, token: str = "token", out: str = "vec"):
-    """Add ``out`` = hashed vector of ``token``; md5 staged in its own projection
-    (referenced eight times, so Catalyst keeps it computed once)."""
-    return df.withColumn("_md5", F.md5(F.col(token))).withColumn(out, hashed_components("_md5")).drop("_md5")
+    """Add ``out`` = hashed vector of ``token`` with scalar (code-generated) expressions:
+    md5 once, eight component columns, one norm column, then the array."""
+    comps = [f"_hc{i}" for i in range(8)]
+    d = df.withColumn("_md5", F.md5(F.col(token)))
+    d = d.select("*", *[((F.conv(F.substring("_md5", 2 * i + 1, 2), 16, 10).cast("double") - 127.5) / 127.5)
+                        .alias(c) for i, c in enumerate(comps)])
+    d = d.withColumn("_hn", F.sqrt(sum((F.col(c) * F.col(c) for c in comps[1:]), F.col(comps[0]) * F.col(comps[0]))))
+    vec = F.array(*[F.when(F.col("_hn") > 0, F.col(c) / F.col("_hn")).otherwise(F.col(c)) for c in comps])
+    return d.withColumn(out, vec).drop("_md5", "_hn", *comps)
 
 
 def hashed_token_vector_sql(token_expr: str) -> str:

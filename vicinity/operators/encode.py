@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +49,59 @@ class HashedTokenEncoder:
 
     def encode_packed(self, df: DataFrame, id_col: str = "pid", text: str = "text",
                       distinct: bool = False) -> DataFrame:
-        """``(pid, vecs ARRAY<ARRAY<DOUBLE>>)`` per passage without exploding: md5 per token
-        is staged as an array column, then mapped to normalised vectors in place."""
+        """``(pid, vecs ARRAY<ARRAY<DOUBLE>>)`` per passage, shuffle-free.
+
+        Tokens come from the JVM tokenizer; the vectors are computed in Arrow
+        batches with a per-batch token cache (the same md5 formula as the JVM
+        expression, checked equal in the tests), so nothing is exploded or
+        regrouped.
+        """
         toks = simple_tokens(text)
         if distinct:
             toks = F.array_distinct(toks)
-        h = df.select(id_col, F.transform(toks, lambda t: F.md5(t)).alias("_h"))
-        return h.select(id_col, F.transform("_h", lambda x: hashed_components(x)).alias("vecs"))
+        t = df.select(F.col(id_col).cast("long").alias("pid"), toks.alias("tokens"))
+
+        def run(batches):
+            for b in batches:
+                yield hashed_vectors_batch(b)
+
+        return t.mapInArrow(run, "pid long, vecs array<array<double>>").withColumnRenamed("pid", id_col)
 
     def encode_queries(self, df: DataFrame, id_col: str = "qid", text: str = "text") -> DataFrame:
         t = token_table(df, id_col, text).withColumnRenamed("pos", "qpos")
         return self.encode_tokens(t).select(id_col, "qpos", "token", "vec")
 
 
+def hashed_vector_np(tokens) -> np.ndarray:
+    """numpy twin of :func:`vicinity.functions.vectors.hashed_components` for a list of tokens."""
+    import hashlib
+    if len(tokens) == 0:
+        return np.zeros((0, HASHED_DIM))
+    raw = np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8")).digest()[:HASHED_DIM] for t in tokens),
+                        dtype=np.uint8).reshape(len(tokens), HASHED_DIM).astype(np.float64)
+    v = (raw - 127.5) / 127.5
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.where(n > 0, v / np.where(n > 0, n, 1.0), v)
+
+
+def hashed_vectors_batch(b: pa.RecordBatch) -> pa.RecordBatch:
+    """``(pid, tokens)`` batch -> ``(pid, vecs)``: each distinct token of the batch hashed once."""
+    tok = b.column("tokens")
+    flat = tok.flatten().to_pylist()
+    uniq, inv = np.unique(np.array(flat, dtype=object), return_inverse=True) if flat else (np.array([]), np.array([], int))
+    vecs = hashed_vector_np(list(uniq))[inv] if len(flat) else np.zeros((0, HASHED_DIM))
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) * HASHED_DIM + 1, HASHED_DIM, dtype=np.int32)),
+                                     pa.array(vecs.reshape(-1), pa.float64()))
+    offsets = tok.offsets
+    if tok.offset != 0 or len(offsets) != len(tok) + 1:
+        offsets = pa.array(np.r_[0, np.cumsum(pa.compute.list_value_length(tok).fill_null(0).to_numpy())]
+                           .astype(np.int32))
+    else:
+        offsets = pa.array((offsets.to_numpy() - offsets.to_numpy()[0]).astype(np.int32))
+    outer = pa.ListArray.from_arrays(offsets, inner)
+    return pa.RecordBatch.from_arrays([b.column("pid"), outer], names=["pid", "vecs"])
+
+
 def vocabulary_vectors(tokens: DataFrame, encoder: HashedTokenEncoder | None = None) -> DataFrame:
     """``(token, vec)`` for the distinct tokens (the role of a trained word-vector table)."""
     enc = encoder or HashedTokenEncoder()

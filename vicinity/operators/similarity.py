@@ -341,10 +341,19 @@ def _maxsim_broadcast(q: DataFrame, packed_docs: DataFrame, k: int, exclude_self
     tbl = q.toArrow()
     qo, qids, qs = _segments(_np(tbl.column("qid")), _np(tbl.column("pos")))
     Q = _matrix(tbl.column("vec"))[qo] if tbl.num_rows else np.zeros((0, 0))
-    bc = spark.sparkContext.broadcast((qids, Q, qs))
+    # identical query vectors (repeated tokens) are scored once: score = A @ max-sims,
+    # A[q, u] = how often distinct vector u occurs in query q
+    if len(Q):
+        Qu, inv = np.unique(Q, axis=0, return_inverse=True)
+        owner = np.repeat(np.arange(len(qids)), np.diff(np.r_[qs, len(Q)]))
+        A = np.zeros((len(qids), len(Qu)))
+        np.add.at(A, (owner, inv.reshape(-1)), 1.0)
+    else:
+        Qu, A = Q, np.zeros((0, 0))
+    bc = spark.sparkContext.broadcast((qids, Qu, A))
 
     def run(batches):
-        qids_, Q_, qs_ = bc.value
+        qids_, Q_, A_ = bc.value
         if len(qids_) == 0:
             return
         budget = max(64, SCORE_CELLS // max(1, len(Q_)))
@@ -367,7 +376,8 @@ def _maxsim_broadcast(q: DataFrame, packed_docs: DataFrame, k: int, exclude_self
                 keep = ln > 0
                 if keep.any():
                     starts = (cum[i:j] - cum[i])[keep]
-                    sc = np.round(maxsim_scores(Q_, qs_, D[cum[i]:cum[j]], starts), 6)
+                    best = np.maximum.reduceat(Q_ @ D[cum[i]:cum[j]].T, starts, axis=1)
+                    sc = np.round(A_ @ best, 6)
                     sub = pids[i:j][keep]
                     key = sc.copy()
                     if exclude_self:
