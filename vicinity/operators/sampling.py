@@ -252,7 +252,10 @@ def draw_tuples(weighted: DataFrame, nway: int, seed: int) -> DataFrame:
     neg = (r.filter((F.col("role") == "neg") & (F.col("_r") <= nway - 2))
            .select("anchor", (F.col("_r") + 1).alias("slot"), "pid"))
     own = weighted.select("anchor").distinct().select("anchor", F.lit(0).alias("slot"), F.col("anchor").alias("pid"))
-    return own.unionByName(pos).unionByName(neg).withColumn("slot", F.col("slot").cast("int"))
+    # an anchor alone in its label has no positive: the anchor itself takes the slot
+    lone = (own.join(pos.select("anchor"), "anchor", "left_anti")
+            .select("anchor", F.lit(1).alias("slot"), F.col("anchor").alias("pid")))
+    return own.unionByName(pos).unionByName(lone).unionByName(neg).withColumn("slot", F.col("slot").cast("int"))
 
 
 def materialise_tuples(tuples: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:

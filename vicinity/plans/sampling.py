@@ -205,6 +205,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY weight >
                                     u DESC, pid) AS r FROM dk2),
 tup AS (SELECT DISTINCT anchor, CAST(0 AS INTEGER) AS slot, anchor AS pid FROM wt
         UNION ALL SELECT anchor, CAST(1 AS INTEGER), pid FROM rk WHERE role = 'pos' AND r = 1
+        UNION ALL SELECT DISTINCT anchor, CAST(1 AS INTEGER), anchor FROM wt
+                  WHERE anchor NOT IN (SELECT anchor FROM wt WHERE role = 'pos')
         UNION ALL SELECT anchor, CAST(r + 1 AS INTEGER), pid FROM rk WHERE role = 'neg' AND r <= {NWAY - 2})"""
 
 
