@@ -28,18 +28,27 @@ def knn_vote(matches: DataFrame, pid_labels: DataFrame, queries: DataFrame, ks,
             .withColumn("label", F.coalesce(F.col("label"), F.lit(MISSING_LABEL)))
             .withColumn("k", F.explode(F.filter(_ks_col(ks), lambda k: k >= F.col("rank")))))
     votes = hits.groupBy("k", "qid", "label").agg(F.count(F.lit(1)).alias("n"))
+    real = F.col("label") != MISSING_LABEL
+    # one pass per (k, query): best real label by (count desc, label asc), the -1 votes
+    # and how many neighbours exist - no self join of the match table
+    per = votes.groupBy("k", "qid").agg(
+        F.min(F.when(real, F.struct((-F.col("n")).alias("neg_n"), F.col("label").alias("label")))).alias("best"),
+        F.sum(F.when(~real, F.col("n")).otherwise(0)).alias("n_missing"),
+        F.sum("n").alias("have"))
     if not ignore_missing:
-        have = hits.groupBy("k", "qid").agg(F.count(F.lit(1)).alias("have"))
         grid = queries.select("qid").distinct().withColumn("k", F.explode(_ks_col(ks)))
-        missing = (grid.join(have, ["k", "qid"], "left")
-                   .select("k", "qid", F.lit(MISSING_LABEL).alias("label"),
-                           (F.col("k") - F.coalesce(F.col("have"), F.lit(0))).alias("n"))
-                   .filter(F.col("n") > 0))
-        votes = (votes.unionByName(missing)
-                 .groupBy("k", "qid", "label").agg(F.sum("n").alias("n")))
-    w = Window.partitionBy("k", "qid").orderBy(F.col("n").desc(), F.col("label").asc())
-    return (votes.withColumn("r", F.row_number().over(w)).filter("r = 1")
-            .select(F.col("k").cast("int"), "qid", F.col("label").cast("int").alias("pred")))
+        per = grid.join(per, ["k", "qid"], "left")
+        m1 = F.coalesce(F.col("n_missing"), F.lit(0)) + F.col("k") - F.coalesce(F.col("have"), F.lit(0))
+    else:
+        m1 = F.lit(0)
+    best_n = -F.col("best.neg_n")
+    # -1 is smaller than every class id, so it wins ties
+    pred = (F.when(F.col("best").isNull() | (m1 >= best_n), F.lit(MISSING_LABEL))
+            .otherwise(F.col("best.label")))
+    if ignore_missing:
+        pred = F.col("best.label")
+        per = per.filter(F.col("best").isNotNull())
+    return per.select(F.col("k").cast("int"), "qid", pred.cast("int").alias("pred"))
 
 
 def topk_labels(preds: DataFrame, k: int, col: str = "preds") -> DataFrame:
