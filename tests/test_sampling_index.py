@@ -129,3 +129,22 @@ def test_index_sink_and_reuse(spark, tmp_path):
     assert again.first().fingerprint == m.fingerprint
     with pytest.raises(ValueError):
         ivf.build_flat_index(v, path, metric="cosine")
+
+
+def test_random_tuples_multilabel(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, sorted(set(r.integers(0, 6, size=r.integers(1, 3)).tolist()))) for i in range(80)]
+    rows.append((500, [42]))                      # shares no label: positive is itself
+    p = spark.createDataFrame(rows, "pid long, labels array<int>")
+    lab = {i: set(l) for i, l in rows}
+    t = _tuples(sampling.random_tuples_ml(p, 4, seed=5))
+    assert set(t) == set(lab)
+    for a, slots in t.items():
+        assert slots[0] == a
+        if a == 500:
+            assert slots[1] == 500
+        else:
+            assert slots[1] != a and lab[slots[1]] & lab[a]
+        negs = [v for s_, v in slots.items() if s_ >= 2]
+        assert len(negs) == len(set(negs)) <= 2
+        assert all(not (lab[x] & lab[a]) for x in negs)

@@ -79,17 +79,22 @@ def auto_num_cells(n_vectors: int) -> int:
 
 
 def train_centroids(vectors: DataFrame, num_cells: int | None = None, max_iter: int = 4, seed: int = 12345,
-                    train_fraction: float | None = None) -> DataFrame:
+                    train_fraction: float | None = None, init_mode: str = "random") -> DataFrame:
     """K-means centroids with MLlib (cosine distance), L2-normalised."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
     data = vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     if train_fraction:
         data = data.sample(False, train_fraction, seed)
+    # Lloyd iterations re-read the input: keep the (projected) training vectors cached
+    data = data.persist()
     if num_cells is None:
-        num_cells = auto_num_cells(vectors.count())
-    model = KMeans(k=num_cells, maxIter=max_iter, seed=seed, distanceMeasure="cosine",
+        num_cells = auto_num_cells(data.count())
+    # random initial centroids (sampled vectors), as flat k-means trainers for IVF do;
+    # k-means|| seeding costs more than the 4 Lloyd iterations it would precede
+    model = KMeans(k=num_cells, maxIter=max_iter, seed=seed, distanceMeasure="cosine", initMode=init_mode,
                    featuresCol="features").fit(data)
+    data.unpersist()
     spark = vectors.sparkSession
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cents = spark.createDataFrame(rows, "cell int, centroid array<double>")

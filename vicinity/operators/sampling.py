@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.functions.hashing import uniform
+from vicinity.session import cut_lineage
 
 POOL_TARGET = 1 << 20       # rows per (label, bucket) numbering group
 
@@ -277,45 +278,73 @@ def searched_candidates_ml(matches: DataFrame, passages: DataFrame) -> DataFrame
                     F.when(F.arrays_overlap("labels", "alabels"), F.lit("pos")).otherwise(F.lit("neg")).alias("role")))
 
 
-def random_tuples_ml(passages: DataFrame, nway: int, seed: int, rounds: int = 3, overdraw: int = 4) -> DataFrame:
-    """Multi-label random tuples (N3): positive shares a label (anchor itself when none
-    exists, as the reference warns), negatives share none, drawn without replacement.
+def random_tuples_ml(passages: DataFrame, nway: int, seed: int, rounds: int = 4, overdraw: int = 4) -> DataFrame:
+    """Multi-label random tuples (N3): positive shares a label (the anchor itself when no
+    other passage shares one, as the reference warns), negatives share none, all drawn
+    uniformly and without replacement.
 
-    Rejection rounds: each round draws ``overdraw x need`` distinct uniform
-    positions over all passages, keeps acceptable ones (anti join on shared
-    labels) and carries the remaining need to the next round.
+    Positives: the anchor's label pools are concatenated (size S = sum of pool
+    sizes) and a drawn (pool, passage) is accepted only from the passage's
+    smallest label shared with the anchor - uniform over the union, acceptance
+    at least 1 / (labels of the anchor).  Negatives: uniform positions over all
+    passages, accepted when no label is shared.  Each round draws distinct
+    offsets (Floyd) with a growing over-draw; the last round draws every offset,
+    so the result is exact; rounds are cut from the lineage in the shared
+    checkpoint folder.
     """
-    lab = passages.select("pid", "labels")
-    single = lab.select("pid", F.lit(0).alias("label"))  # one pool: plain 0..N-1 numbering
-    positions, _ = label_pools(single, seed)
+    lab = passages.select("pid", F.array_distinct("labels").alias("labels"))
     n_total = passages.count()
+    # all passages: one range 0..N-1
+    everyone, _ = label_pools(lab.select("pid", F.lit(0).alias("label")), seed)
+    # exploded (label, pid) with contiguous label ranges
+    long = lab.select("pid", F.explode("labels").alias("label"))
+    lpos, pools = label_pools(long, seed)
+    w_cum = Window.partitionBy("anchor").orderBy("label")        # bounded: labels of one anchor
+    seg = (lab.select(F.col("pid").alias("anchor"), F.explode("labels").alias("label")).join(pools, "label")
+           .withColumn("cum", F.coalesce(F.sum("cnt").over(w_cum.rowsBetween(Window.unboundedPreceding, -1)),
+                                         F.lit(0)))
+           .withColumn("S", F.sum("cnt").over(Window.partitionBy("anchor"))))
+    sizes = seg.select("anchor", "S").distinct()
     anchors = lab.select(F.col("pid").alias("anchor"), F.col("labels").alias("alabels"))
+    need_pos = anchors.join(sizes, "anchor").select("anchor", "alabels", "S", F.lit(1).alias("need"))
+    need_neg = anchors.select("anchor", "alabels", F.lit(n_total).alias("S"), F.lit(nway - 2).alias("need"))
     chosen = None
-    need_neg = anchors.select("anchor", "alabels", F.lit(nway - 2).alias("need"))
-    need_pos = anchors.select("anchor", "alabels", F.lit(1).alias("need"))
-    got_pos = None
     for rnd in range(rounds):
-        for role, need in (("pos", need_pos), ("neg", need_neg)):
-            m = F.least(F.col("need") * overdraw + 1, F.lit(n_total))
+        last = rnd == rounds - 1
+        for role in ("pos", "neg"):
+            need = need_pos if role == "pos" else need_neg
+            m = F.col("S") if last else F.least(F.col("need") * (overdraw ** (rnd + 1)) + 1, F.col("S"))
             d = (need.filter(F.col("need") > 0)
-                 .withColumn("sel", floyd(seed, f"{role}{rnd}", "anchor", F.lit(n_total), m))
-                 .select("anchor", "alabels", "need", F.posexplode("sel").alias("k", "gpos")))
-            d = _to_pid(d, positions).join(lab, "pid").filter(F.col("pid") != F.col("anchor"))
-            ok = F.arrays_overlap("labels", "alabels")
-            d = d.filter(ok if role == "pos" else ~ok)
+                 .withColumn("sel", floyd(seed, f"{role}{rnd}", "anchor", F.col("S"), m))
+                 .select("anchor", "alabels", "need", F.posexplode("sel").alias("k", "o")))
+            if role == "pos":
+                d = (d.join(seg.select("anchor", "label", "cnt", "start", "cum"), "anchor")
+                     .filter((F.col("o") >= F.col("cum")) & (F.col("o") < F.col("cum") + F.col("cnt")))
+                     .withColumn("gpos", F.col("start") + F.col("o") - F.col("cum")))
+                d = d.join(lpos.select("gpos", "pid"), "gpos").join(lab, "pid")
+                shared = F.array_intersect("labels", "alabels")
+                d = d.filter((F.col("pid") != F.col("anchor")) & (F.array_min(shared) == F.col("label")))
+            else:
+                d = (d.withColumnRenamed("o", "gpos").join(everyone.select("gpos", "pid"), "gpos").join(lab, "pid")
+                     .filter((F.col("pid") != F.col("anchor")) & ~F.arrays_overlap("labels", "alabels")))
             if chosen is not None:
                 d = d.join(chosen.select("anchor", "pid"), ["anchor", "pid"], "left_anti")
             wr = Window.partitionBy("anchor").orderBy("k")
             d = d.withColumn("i", F.row_number().over(wr)).filter(F.col("i") <= F.col("need"))
-            picked = d.select("anchor", "pid", F.lit(role).alias("role"), (F.lit(rnd * 1_000_000) + F.col("i")).alias("o"))
+            picked = d.select("anchor", "pid", F.lit(role).alias("role"),
+                              (F.lit(rnd * 1_000_000) + F.col("i")).alias("o"))
             chosen = picked if chosen is None else chosen.unionByName(picked)
             left = (need.join(picked.groupBy("anchor").agg(F.count(F.lit(1)).alias("g")), "anchor", "left")
-                    .select("anchor", "alabels", (F.col("need") - F.coalesce("g", F.lit(0))).alias("need")))
+                    .select("anchor", "alabels", "S", (F.col("need") - F.coalesce("g", F.lit(0))).alias("need")))
             if role == "pos":
                 need_pos = left
             else:
                 need_neg = left
-    # anchors without any positive: the anchor itself
+        if not last:
+            # each round depends on all earlier ones: cut the lineage in the shared
+            # checkpoint folder so rounds are computed once and survive executor loss
+            chosen, need_pos, need_neg = cut_lineage(chosen), cut_lineage(need_pos), cut_lineage(need_neg)
+    # anchors without any positive (no other passage shares a label): the anchor itself
     has_pos = chosen.filter(F.col("role") == "pos").select("anchor").distinct()
     self_pos = (anchors.join(has_pos, "anchor", "left_anti")
                 .select("anchor", F.col("anchor").alias("pid"), F.lit("pos").alias("role"), F.lit(0).alias("o")))
