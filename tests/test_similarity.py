@@ -38,7 +38,7 @@ def _rows(df):
 
 
 @pytest.mark.parametrize("metric", ["inner_product", "l2_distance"])
-@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("broadcast", [True, False, "corpus"])
 def test_knn_matches_brute_force(spark, metric, broadcast):
     Q, C = _rand(37, 5, 1), _rand(211, 5, 2)
     qids, pids = np.arange(1000, 1037), np.arange(211) * 3
@@ -52,9 +52,10 @@ def test_knn_self_exclusion_and_ties(spark):
     C = np.repeat(_rand(10, 4, 3), 3, axis=0)
     pids = np.arange(30)
     v = _frame(spark, pids, C, "pid")
-    got = _rows(knn_join(v.withColumnRenamed("pid", "qid"), v, 4, exclude_self=True, block_rows=8,
-                         broadcast=False))
-    assert got == _brute(C, C, pids, pids, 4, exclude_self=True)
+    for plan in (False, True, "corpus"):
+        got = _rows(knn_join(v.withColumnRenamed("pid", "qid"), v, 4, exclude_self=True, block_rows=8,
+                             broadcast=plan))
+        assert got == _brute(C, C, pids, pids, 4, exclude_self=True)
     assert all(q != p for q, _, p, _ in got)
 
 

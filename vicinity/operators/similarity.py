@@ -171,7 +171,7 @@ def _knn_scores(Q, C, qids, pids, l2: bool, exclude_self: bool):
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner_product",
              exclude_self: bool = False, block_rows: int = 2048,
-             sizes: tuple[int, int] | None = None, broadcast: bool | None = None) -> DataFrame:
+             sizes: tuple[int, int] | None = None, broadcast: bool | str | None = None) -> DataFrame:
     """Exact top-k join.  ``queries(qid, vec)``, ``corpus(pid, vec)`` -> ``(qid, rank, pid, score)``.
 
     ``inner_product``: score = q.c, best = largest.  ``l2_distance``: score =
@@ -180,10 +180,12 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     before the cut (J8).  Queries without any candidate produce no rows; use
     :func:`with_empty_matches` to keep them.
 
-    Plan choice: when the query side is at most ``vicinity.broadcast.maxBytes``
-    (checked from its row count and dimension; ``broadcast=None``) it is
-    broadcast to the corpus scan; otherwise both sides go through the bounded
-    block grid.  ``broadcast=True/False`` forces a plan (tests compare them).
+    Plan choice (``broadcast=None``), sizes checked from row count x dimension
+    against ``vicinity.broadcast.maxBytes``: a small corpus is broadcast to the
+    query scan (map-only, e.g. centroid assignment); else a small query side is
+    broadcast to the corpus scan (running top-k per task, one small shuffle);
+    else both sides go through the bounded block grid.  ``"corpus"``, ``True``
+    (queries) and ``False`` (grid) force a plan; the tests compare all three.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
@@ -193,9 +195,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     n_q, n_c = sizes if sizes else (q.count(), c.count())
     l2 = metric == "l2_distance"
     if broadcast is not False:
-        dim = q.select(F.size("vec").alias("d")).first()
-        q_bytes = n_q * (dim["d"] if dim else 0) * 8
-        if broadcast is True or q_bytes <= broadcast_limit(spark):
+        dim = q.select(F.size("vec").alias("d")).first() or c.select(F.size("vec").alias("d")).first()
+        width = (dim["d"] if dim else 0) * 8
+        if broadcast == "corpus" or (broadcast is None and n_c * width <= broadcast_limit(spark)):
+            return _knn_broadcast_corpus(q, c, k, l2, exclude_self)
+        if broadcast is True or n_q * width <= broadcast_limit(spark):
             return _knn_broadcast(q, c, k, l2, exclude_self)
     n_qb, n_cb = _block_counts(spark, n_q, n_c, block_rows)
     lq, rc = _replicated(q, c, n_qb, n_cb)
@@ -247,6 +251,35 @@ def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: b
     return _final_topk(cands, k, ascending=l2)
 
 
+def _knn_broadcast_corpus(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: bool) -> DataFrame:
+    """Small corpus (size checked by the caller: centroid tables, small indexes) broadcast
+    to the query scan: every query is finished inside its own task, so the whole
+    join is one map stage - no shuffle at all."""
+    spark = q.sparkSession
+    tbl = c.toArrow()
+    pids, C = _np(tbl.column("pid")), _matrix(tbl.column("vec"))
+    order = np.argsort(pids, kind="stable")
+    bc = spark.sparkContext.broadcast((pids[order], C[order] if len(C) else C))
+
+    def run(batches):
+        pids_, C_ = bc.value
+        if len(pids_) == 0:
+            return
+        chunk = int(min(8192, max(16, SCORE_CELLS // max(1, len(pids_)))))
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            qids = _np(b.column("qid"))
+            Q = _matrix(b.column("vec"))
+            for s0 in range(0, len(qids), chunk):
+                key, score = _knn_scores(Q[s0:s0 + chunk], C_, qids[s0:s0 + chunk], pids_, l2, exclude_self)
+                out = topk_rows(qids[s0:s0 + chunk], pids_, key, score, k)
+                if out.num_rows:
+                    yield from out.to_batches()
+
+    return _spread(q, "qid").mapInArrow(run, MATCH_SCHEMA)
+
+
 def with_empty_matches(queries: DataFrame, matches: DataFrame) -> DataFrame:
     """Packed form ``(qid, matches ARRAY<STRUCT<pid, score>>)``; unmatched queries keep ``[]``."""
     packed = (matches.groupBy("qid")
