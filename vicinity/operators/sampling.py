@@ -170,10 +170,10 @@ def searched_candidates(matches: DataFrame, passages: DataFrame, n_pos: int, n_n
          .fillna({"npos": 0, "nneg": 0}))
     size_pos = F.col("cnt") - 1
     size_neg = F.lit(n_total) - F.col("cnt")
-    if positive_always_random:
-        want_pos = size_pos  # the whole label pool, uniform weights
-    else:
-        want_pos = F.least(F.lit(n_pos), size_pos)
+    # always-random positives (N8): the reference lists the whole label pool with
+    # uniform weights and draws one; drawing the one positive uniformly from the
+    # pool is the same distribution without materialising the pool
+    want_pos = F.least(F.lit(1 if positive_always_random else n_pos), size_pos)
     dpos = F.greatest(want_pos - F.col("npos"), F.lit(0))
     dneg = F.greatest(F.least(F.lit(n_neg), size_neg) - F.col("nneg"), F.lit(0))
     a = a.withColumn("dpos", dpos).withColumn("dneg", dneg)

@@ -182,3 +182,15 @@ def mlc_metrics_at_k(spark, sf):
     """Multi-label metrics for every cut k and uncut (k = 0)."""
     conf, exact, n, n_labels = _mlc(spark, sf)
     return metrics.multilabel_metrics(conf, n, n_labels, exact)
+
+
+@register("mlc_per_class", _MLC_SQL + f"""
+SELECT label, tp, fp, fn, (SELECT n FROM nte) - tp - fp - fn AS tn,
+       round(tp / (tp + fp + 1e-5), {DIG}) AS precision, round(tp / (tp + fn + 1e-5), {DIG}) AS recall,
+       round(2.0 * (tp / (tp + fp + 1e-5)) * (tp / (tp + fn + 1e-5))
+             / ((tp / (tp + fp + 1e-5)) + (tp / (tp + fn + 1e-5)) + 1e-5), {DIG}) AS f1
+FROM conf WHERE k = 0""")
+def mlc_per_class(spark, sf):
+    """Per-class precision / recall / F1 and tp / fp / tn / fn of the uncut predictions (M10; D15)."""
+    conf, _, n, _ = _mlc(spark, sf)
+    return metrics.per_class_metrics(conf.filter(F.col("k") == 0), n).drop("k")

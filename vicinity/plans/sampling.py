@@ -114,16 +114,21 @@ def sample_classwise(spark, sf):
 
 _ALL = "a AS (SELECT vec_id AS qid, vec_id AS pid, embedding::DOUBLE[] AS vec FROM embeddings)"
 
-_SEARCHED = with_ctes(_EMB, pools_sql("emb"), _ALL, fx.knn_sql(K, src_q="a", src_c="a"), f"""
+def searched_sql(always_random_pos: bool = False) -> str:
+    """CTEs up to ``cand(anchor, role, pid, score, ord)`` for searched sampling."""
+    keep = "WHERE role = 'neg'" if always_random_pos else ""
+    npos = 1 if always_random_pos else N_POS
+    return with_ctes(_EMB, pools_sql("emb"), _ALL, fx.knn_sql(K, src_q="a", src_c="a"), f"""
 sm AS (SELECT m.qid AS anchor, m.rank, m.pid, m.score, CASE WHEN pa.label = pb.label THEN 'pos' ELSE 'neg' END AS role
        FROM m JOIN pp pa ON pa.pid = m.qid JOIN pp pb ON pb.pid = m.pid WHERE m.pid <> m.qid),
-ret AS (SELECT anchor, role, pid, score, CAST(rank AS BIGINT) AS ord FROM sm),
+sm0 AS (SELECT * FROM sm {keep}),
+ret AS (SELECT anchor, role, pid, score, CAST(rank AS BIGINT) AS ord FROM sm0),
 st AS (SELECT anchor, CAST(sum(CASE WHEN role = 'pos' THEN 1 ELSE 0 END) AS BIGINT) AS npos,
               CAST(sum(CASE WHEN role = 'neg' THEN 1 ELSE 0 END) AS BIGINT) AS nneg,
               min(CASE WHEN role = 'pos' THEN score END) AS minpos,
-              min(CASE WHEN role = 'neg' THEN score END) AS minneg FROM sm GROUP BY anchor),
+              min(CASE WHEN role = 'neg' THEN score END) AS minneg FROM sm0 GROUP BY anchor),
 aa AS (SELECT anc.*, coalesce(st.npos, 0) AS npos, coalesce(st.nneg, 0) AS nneg, st.minpos, st.minneg,
-              greatest(least({N_POS}, anc.cnt - 1) - coalesce(st.npos, 0), 0) AS dpos,
+              greatest(least({npos}, anc.cnt - 1) - coalesce(st.npos, 0), 0) AS dpos,
               greatest(least({N_NEG}, anc.n - anc.cnt) - coalesce(st.nneg, 0), 0) AS dneg
        FROM anc LEFT JOIN st USING (anchor)),
 fp AS (SELECT anchor, start + o + CASE WHEN o >= lpos THEN 1 ELSE 0 END AS gpos,
@@ -143,11 +148,17 @@ fsel AS (SELECT anchor, role, pid, score, CAST(1000000 + fi AS BIGINT) AS ord FR
 cand AS (SELECT * FROM ret UNION ALL SELECT * FROM fsel)""")
 
 
-def _weights_sql(kind: str) -> str:
+_SEARCHED = searched_sql()
+
+
+def _weights_sql(kind: str, lower_ranked_positives: bool = False) -> str:
     if kind == "scores":
         x = "score"
     else:
-        x = "CAST(count(*) OVER (PARTITION BY anchor, role) - (row_number() OVER (PARTITION BY anchor, role ORDER BY ord) - 1) AS DOUBLE)"
+        rn = "row_number() OVER (PARTITION BY anchor, role ORDER BY ord)"
+        x = f"CAST(count(*) OVER (PARTITION BY anchor, role) - ({rn} - 1) AS DOUBLE)"
+        if lower_ranked_positives:
+            x = f"CASE WHEN role = 'pos' THEN CAST({rn} AS DOUBLE) ELSE {x} END"
     return f"""
 cx AS (SELECT *, {x} AS x FROM cand),
 wt AS (SELECT anchor, role, pid, score, ord,
@@ -306,3 +317,26 @@ def distill_kl(spark, sf):
     """Distillation KL: sum exp(t)(t - s) / B, t = log-softmax(alpha * teacher), s = log-softmax(score),
     alpha = 1 (M17; D20: explicit argument)."""
     return metrics.distillation_kl(_nway_scores(spark, sf), alpha=1.0)
+
+
+# --------------------------------------------------------------------------- N8 / N9 options
+
+@register("sample_searched_random_pos", searched_sql(True).rstrip() + "," + _weights_sql("scores") + ","
+          + _DRAW_SQL + "SELECT anchor, slot, pid FROM tup")
+def sample_searched_random_pos(spark, sf):
+    """Searched negatives with ``positive_always_random``: the positive is a uniform draw
+    from the whole label pool (weight 1), not a retrieved match (N8; D8)."""
+    p = _passages(spark, sf)
+    m = knn_join(p.select(F.col("pid").alias("qid"), "vec"), p.select("pid", "vec"), K)
+    c = sampling.searched_candidates(m, p.select("pid", "label"), N_POS, N_NEG, SEED, positive_always_random=True)
+    w = sampling.candidate_weights(c, "scores", uniform_positives=True)
+    return sampling.draw_tuples(w, NWAY, SEED)
+
+
+@register("sampling_weights_lower", _SEARCHED.rstrip() + "," + _weights_sql("ranks", lower_ranked_positives=True)
+          + "SELECT anchor, role, pid, round(weight, 9) AS weight FROM wt")
+def sampling_weights_lower(spark, sf):
+    """Rank weights with ``lower_ranked_positives``: positives weighted 1..n."""
+    _, c = _searched(spark, sf)
+    w = sampling.candidate_weights(c, "ranks", lower_ranked_positives=True)
+    return w.select("anchor", "role", "pid", F.round("weight", 9).alias("weight"))

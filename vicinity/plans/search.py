@@ -183,3 +183,26 @@ def knn_filtered(spark, sf):
     bad = harmful_pids(m, q, c, p.select("qid", "pred"))
     kept = c.join(bad, "pid", "left_anti")
     return knn_join(q, kept, K)
+
+
+# --------------------------------------------------------------------------- J7 table search, M6 keys
+
+@register("search_table", with_ctes(fx.VEC_CTES, fx.knn_sql(K)) + """
+SELECT q.qid, coalesce(list(m.pid ORDER BY m.rank) FILTER (WHERE m.pid IS NOT NULL), []::BIGINT[]) AS match_pids,
+       coalesce(list(m.score ORDER BY m.rank) FILTER (WHERE m.pid IS NOT NULL), []::DOUBLE[]) AS match_scores
+FROM q LEFT JOIN m USING (qid) GROUP BY q.qid""")
+def search_table(spark, sf):
+    """Table search: every query row gets ``match_pids`` / ``match_scores`` lists in rank
+    order; rows without any match keep empty lists (J7)."""
+    from vicinity.operators.similarity import with_empty_matches
+    q, c = _split(spark, sf)
+    packed = with_empty_matches(q.select("qid"), knn_join(q, c, K))
+    return packed.select("qid", F.transform("matches", lambda x: x["pid"]).alias("match_pids"),
+                         F.transform("matches", lambda x: x["score"]).alias("match_scores"))
+
+
+@register("metric_keys", MULTICLASS_SQL + """
+SELECT 'eval/' || metric || '/' || CAST(k AS VARCHAR) AS key, 0 AS step, value FROM mc""")
+def metric_keys(spark, sf):
+    """Logged metric keys ``prefix/name/k`` with step 0 (M6)."""
+    return metrics.rename_metrics(_multiclass(spark, sf), "eval", 0)

@@ -214,3 +214,26 @@ def skiplist_maxsim(spark, sf):
     skip = _skiplist(spark, sf)
     dv = doc_token_vectors(spark, sf, distinct=True).join(skip, "token", "left_anti").select("pid", "pos", "vec")
     return maxsim_join(_bench_query_vectors(spark, sf), dv, K)
+
+
+# --------------------------------------------------------------------------- U1 / E3 / E4 model hook
+
+@register("arrow_encoder_vectors", with_ctes("cvs AS (SELECT conv_id * 1000 + turn AS tid, text FROM conversations)",
+                                             hv_ctes("cvs", "tid", "cv"))
+          + f"SELECT pid, pos, {rounded_sql()} AS vec FROM cv")
+def arrow_encoder_vectors(spark, sf):
+    """A user encoder plugged into the Arrow batch hook (U1, E3/E4): texts of the
+    conversation turns in, one vector per token out as ``(pid, pos, vec)``."""
+    from vicinity.functions.text import simple_tokens
+    c = load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), "text")
+
+    def model(texts):
+        import re
+        out = []
+        for t in texts:
+            toks = [w for w in re.findall(r"[^\W\d]+", (t or "").lower()) if 2 <= len(w) <= 15 and not w.startswith("_")]
+            out.append(encode.hashed_vector_np(toks[:512]))
+        return out
+
+    v = encode.ArrowBatchEncoder(model, multi_vector=True).encode(c, "pid", "text")
+    return v.select("pid", "pos", rounded().alias("vec"))
