@@ -99,11 +99,13 @@ def test_ivf_full_probe_equals_exact(spark):
     c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(C)], "pid long, vec array<double>")
     q = spark.createDataFrame([(1000 + i, [float(x) for x in v]) for i, v in enumerate(Q)], "qid long, vec array<double>")
     cents = ivf.train_centroids(c, num_cells=8, max_iter=3)
-    asg = ivf.assign_cells(c, cents)
-    full = {tuple(x) for x in ivf.ivf_search(q, c, asg, cents, 5, ncells=8, block_rows=16).collect()}
+    index = ivf.build_ivf_index(c, cents)
+    asg = {r.pid: r.cell for r in ivf.assign_cells(c, cents).collect()}
+    assert {r.pid: r.cell for r in index.collect()} == asg
+    full = {tuple(x) for x in ivf.ivf_search(q, index, cents, 5, ncells=8, block_rows=16).collect()}
     exact = {tuple(x) for x in knn_join(q, c, 5).collect()}
     assert full == exact
-    one = ivf.ivf_search(q, c, asg, cents, 5, ncells=1).collect()
+    one = ivf.ivf_search(q, index, cents, 5, ncells=1).collect()
     assert {x.pid for x in one} <= set(range(200))
     assert ivf.auto_num_cells(1600) == 512 and ivf.probe_defaults(10) == (1, 0.5, 256)
     assert ivf.probe_defaults(50) == (2, 0.45, 1024) and ivf.probe_defaults(300) == (4, 0.4, 1200)

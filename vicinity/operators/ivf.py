@@ -171,29 +171,71 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, ncells: int, id_col: s
                        (F.col("_k") % _POS_SPAN).cast("int").alias(pos_col), "cell", "cell_score")
 
 
-def ivf_search(queries: DataFrame, corpus: DataFrame, assignments: DataFrame, centroids: DataFrame, k: int,
-               ncells: int, block_rows: int = 2048) -> DataFrame:
-    """Inverted-file top-k: probe ``ncells`` cells, score only the corpus rows of
-    probed cells (equi-join on cell), exact inner product inside each cell block.
+def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str = "pid") -> DataFrame:
+    """The ``ncells`` best centroids of every vector, the vector passed through:
+    ``(id, cell, cell_score, vec)``, one row per (vector, cell).
 
-    With ``ncells`` = number of cells this equals the exact join.
+    Map-only: the centroid table (cells x dim, bounded by the cell count) is
+    broadcast and each task scores its own rows; ties by smaller cell id.
     """
-    probes = probe_cells(queries, centroids, ncells).select("qid", "cell")
-    # per-cell sizes -> block counts; one row per cell (bounded by the number of cells)
-    csize = assignments.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"))
+    spark = vectors.sparkSession
+    ct = centroids.select(F.col("cell").cast("long").alias("cell"),
+                          F.col("centroid").cast("array<double>").alias("c")).toArrow()
+    cells, C = _np(ct.column("cell")), _matrix(ct.column("c"))
+    bc = spark.sparkContext.broadcast((cells, C))
+    schema = pa.schema([(id_col, pa.int64()), ("cell", pa.int32()), ("cell_score", pa.float64()),
+                        ("vec", pa.list_(pa.float64()))])
+
+    def run(batches):
+        cells_, C_ = bc.value
+        for b in batches:
+            if b.num_rows == 0 or len(cells_) == 0:
+                continue
+            ids = _np(b.column(id_col))
+            V = _matrix(b.column("vec"))
+            score = np.round(V @ C_.T, 6)
+            t = topk_rows(np.arange(len(ids)), cells_, score.copy(), score, ncells)
+            rows = _np(t.column("qid"))
+            vec = b.column("vec").take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[rows]), pa.array(_np(t.column("pid")).astype(np.int32)), t.column("score").combine_chunks()
+                 if hasattr(t.column("score"), "combine_chunks") else t.column("score"),
+                 vec.cast(pa.list_(pa.float64()))], schema=schema)
+
+    src = vectors.select(F.col(id_col).cast("long"), F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
+    from vicinity.operators.similarity import _spread
+    return _spread(src, id_col).mapInArrow(run, f"{id_col} long, cell int, cell_score double, vec array<double>")
+
+
+def build_ivf_index(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Inverted-file index table ``(pid, cell, vec)``: each vector stored with its cell
+    (I4 + I6), map-only.  Callers persist it (parquet, optionally partitioned by
+    cell) or cut its lineage; searches then never join vectors back by pid."""
+    return cell_map(vectors, centroids, 1, "pid").select("pid", "cell", "vec")
+
+
+def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, ncells: int,
+               block_rows: int = 2048) -> DataFrame:
+    """Inverted-file top-k (J4): probe ``ncells`` cells per query, score only the index
+    rows of probed cells (equi-join on cell), exact inner product per cell block.
+
+    ``index(pid, cell, vec)`` from :func:`build_ivf_index`.  A cell with many
+    rows or many probing queries is split into (query block, corpus block)
+    groups sized from per-cell counts (one row per cell, broadcast), so a hot
+    cell is spread over many tasks.  Probing every cell equals the exact join.
+    """
+    probes = cell_map(queries.select("qid", "vec"), centroids, ncells, "qid").select("qid", "cell", "vec")
+    csize = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"))
     qsize = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n_q"))
     blocks = (csize.join(qsize, "cell", "full").fillna(0)
               .select("cell", F.greatest(F.ceil(F.col("n_c") / block_rows), F.lit(1)).cast("long").alias("ncb"),
                       F.greatest(F.ceil(F.col("n_q") / block_rows), F.lit(1)).cast("long").alias("nqb")))
     blocks = F.broadcast(blocks)
-    lq = (probes.join(queries.select("qid", F.col("vec").cast("array<double>").alias("vec")), "qid")
-          .join(blocks, "cell")
+    lq = (probes.join(blocks, "cell")
           .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")))
           .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ncb") - 1)))
           .select("cell", "qb", "cb", "qid", "vec"))
-    rc = (assignments.select("pid", "cell")
-          .join(corpus.select("pid", F.col("vec").cast("array<double>").alias("vec")), "pid")
-          .join(blocks, "cell")
+    rc = (index.select("pid", "cell", F.col("vec").cast("array<double>").alias("vec")).join(blocks, "cell")
           .withColumn("cb", F.pmod(F.xxhash64("pid"), F.col("ncb")))
           .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nqb") - 1)))
           .select("cell", "qb", "cb", "pid", "vec"))

@@ -13,7 +13,7 @@ from vicinity.operators import ivf
 from vicinity.operators.similarity import knn_join
 from vicinity.plans import fixtures as fx
 from vicinity.plans import register, with_ctes
-from vicinity.session import checkpoint_dir
+from vicinity.session import checkpoint_dir, cut_lineage
 from vicinity.sources.tables import load
 
 K = 10
@@ -66,8 +66,9 @@ def ivf_list_sizes(spark, sf):
 def _ivf(spark, sf, k, ncells):
     q, c = fx.split_vectors(spark, sf)
     cents = _centroids(spark, sf)
-    asg = ivf.assign_cells(c.select("pid", "vec"), cents)
-    return q, ivf.ivf_search(q.select("qid", "vec"), c.select("pid", "vec"), asg, cents, k, ncells)
+    # the index is a stored table: cut its lineage in the shared checkpoint folder
+    index = cut_lineage(ivf.build_ivf_index(c.select("pid", "vec"), cents))
+    return q, ivf.ivf_search(q.select("qid", "vec"), index, cents, k, ncells)
 
 
 @register("ivf_full_probe", with_ctes(fx.VEC_CTES, fx.knn_sql(K)) + "SELECT qid, rank, pid, score FROM m")
@@ -177,9 +178,9 @@ def kmeans_index_recall(spark, sf):
     the J6 defaults for k = 10; recall@10 against the exact join per query (I2, I3, J4)."""
     q, c = fx.split_vectors(spark, sf)
     cents = ivf.train_centroids(c.select("vec"), max_iter=4)
-    asg = ivf.assign_cells(c.select("pid", "vec"), cents)
+    index = cut_lineage(ivf.build_ivf_index(c.select("pid", "vec"), cents))
     ncells, _, _ = ivf.probe_defaults(K)
-    approx = ivf.ivf_search(q.select("qid", "vec"), c.select("pid", "vec"), asg, cents, K, ncells)
+    approx = ivf.ivf_search(q.select("qid", "vec"), index, cents, K, ncells)
     exact = knn_join(q, c, K)
     hit = exact.join(approx.select("qid", "pid", F.lit(1).alias("hit")), ["qid", "pid"], "left")
     return hit.groupBy("qid").agg((F.sum(F.coalesce("hit", F.lit(0))) / K).alias("recall"))
