@@ -31,10 +31,16 @@ def knn_vote(matches: DataFrame, pid_labels: DataFrame, queries: DataFrame, ks,
     real = F.col("label") != MISSING_LABEL
     # one pass per (k, query): best real label by (count desc, label asc), the -1 votes
     # and how many neighbours exist - no self join of the match table
+    # (count desc, label asc) packed into one long so the pass stays a hash aggregate:
+    # key = n * 2^32 - label, max(key) -> most votes, then smallest label
+    span = F.lit(1 << 32)
     per = votes.groupBy("k", "qid").agg(
-        F.min(F.when(real, F.struct((-F.col("n")).alias("neg_n"), F.col("label").alias("label")))).alias("best"),
+        F.max(F.when(real, F.col("n") * span - F.col("label").cast("long"))).alias("best_key"),
         F.sum(F.when(~real, F.col("n")).otherwise(0)).alias("n_missing"),
         F.sum("n").alias("have"))
+    best_n = F.ceil(F.col("best_key") / span)
+    per = per.withColumn("best", F.when(F.col("best_key").isNotNull(), F.struct(
+        (-best_n).alias("neg_n"), (best_n * span - F.col("best_key")).cast("int").alias("label"))))
     if not ignore_missing:
         grid = queries.select("qid").distinct().withColumn("k", F.explode(_ks_col(ks)))
         per = grid.join(per, ["k", "qid"], "left")

@@ -230,7 +230,10 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
     blocks = (csize.join(qsize, "cell", "full").fillna(0)
               .select("cell", F.greatest(F.ceil(F.col("n_c") / block_rows), F.lit(1)).cast("long").alias("ncb"),
                       F.greatest(F.ceil(F.col("n_q") / block_rows), F.lit(1)).cast("long").alias("nqb")))
-    blocks = F.broadcast(blocks)
+    # one row per cell (bounded by the cell count): materialise it once so both
+    # sides reuse it instead of re-running the probe and the index scan per side
+    spark = queries.sparkSession
+    blocks = F.broadcast(spark.createDataFrame(blocks.collect(), "cell int, ncb long, nqb long"))
     lq = (probes.join(blocks, "cell")
           .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")))
           .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ncb") - 1)))
