@@ -148,6 +148,11 @@ class _TopkAccumulator:
         return merge_topk(pa.concat_tables(self.parts), self.k, self.ascending)
 
 
+def bounded_count(df: DataFrame, cap: int) -> int:
+    """``min(count, cap + 1)``: enough to decide a size check without scanning a big input."""
+    return df.limit(int(cap) + 1).count()
+
+
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """Give a scan-side table at least one partition per core (small inputs are one split)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -192,15 +197,19 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     spark = queries.sparkSession
     q = queries.select(F.col("qid").cast("long"), F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
     c = corpus.select(F.col("pid").cast("long"), F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
-    n_q, n_c = sizes if sizes else (q.count(), c.count())
     l2 = metric == "l2_distance"
-    if broadcast is not False:
+    if broadcast == "corpus":
+        return _knn_broadcast_corpus(q, c, k, l2, exclude_self)
+    if broadcast is True:
+        return _knn_broadcast(q, c, k, l2, exclude_self)
+    if broadcast is None:
         dim = q.select(F.size("vec").alias("d")).first() or c.select(F.size("vec").alias("d")).first()
-        width = (dim["d"] if dim else 0) * 8
-        if broadcast == "corpus" or (broadcast is None and n_c * width <= broadcast_limit(spark)):
+        cap = broadcast_limit(spark) // max(8, (dim["d"] if dim else 1) * 8)
+        if (sizes[1] if sizes else bounded_count(c, cap)) <= cap:
             return _knn_broadcast_corpus(q, c, k, l2, exclude_self)
-        if broadcast is True or n_q * width <= broadcast_limit(spark):
+        if (sizes[0] if sizes else bounded_count(q, cap)) <= cap:
             return _knn_broadcast(q, c, k, l2, exclude_self)
+    n_q, n_c = sizes if sizes else (q.count(), c.count())
     n_qb, n_cb = _block_counts(spark, n_q, n_c, block_rows)
     lq, rc = _replicated(q, c, n_qb, n_cb)
 
@@ -333,12 +342,13 @@ def maxsim_join(query_vecs: DataFrame, doc_vecs: DataFrame | None, k: int, exclu
     spark = query_vecs.sparkSession
     q = query_vecs.select(F.col("qid").cast("long"), F.col("qpos").cast("long").alias("pos"),
                           F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
-    n_q = sizes[0] if sizes else q.count()
     if broadcast is not False:
         dim = q.select(F.size("vec").alias("d")).first()
-        if broadcast is True or n_q * (dim["d"] if dim else 0) * 8 <= broadcast_limit(spark):
+        cap = broadcast_limit(spark) // max(8, (dim["d"] if dim else 1) * 8)
+        if broadcast is True or (sizes[0] if sizes else bounded_count(q, cap)) <= cap:
             docs = packed_docs if packed_docs is not None else pack_passages(doc_vecs)
             return _maxsim_broadcast(q, docs, k, exclude_self)
+    n_q = sizes[0] if sizes else q.count()
     if doc_vecs is None:
         doc_vecs = packed_docs.select("pid", F.posexplode("vecs").alias("pos", "vec"))
     d = doc_vecs.select(F.col("pid").cast("long"), F.col("pos").cast("long"),
