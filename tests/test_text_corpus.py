@@ -31,7 +31,8 @@ def test_tokenizer(spark):
     got = _one(spark, tx.simple_tokens("text"), "Hello World_x 123abc _under a é2é Straße ÉCOLE")
     assert got == ["hello", "world_x", "abc", "straße", "école"]
     long = " ".join(["tok"] * 600)
-    assert len(_one(spark, tx.simple_tokens("text"), long)) == 512
+    assert len(_one(spark, tx.simple_tokens("text"), long)) == 600          # whole text by default
+    assert len(_one(spark, tx.simple_tokens("text", max_tokens=512), long)) == 512
 
 
 def test_sequence_markers(spark):

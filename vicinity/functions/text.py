@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 # ---- fixed values (must equal the reference's behaviour) -------------------------
 # simple tokenizer: maximal runs of word characters that are not decimal digits,
-# lower-cased, length 2..15, not starting with "_", at most 512 tokens
+# lower-cased, length 2..15, not starting with "_"; the reference's optional cut to
+# the first 512 tokens is a parameter (queries here process whole texts)
 TOKEN_PATTERN = r"[\p{L}\p{Nl}\p{No}_]+"
 TOKEN_MIN_LEN = 2
 TOKEN_MAX_LEN = 15
@@ -42,9 +43,10 @@ def _c(x) -> Column:
 
 
 def simple_tokens(text, min_len: int = TOKEN_MIN_LEN, max_len: int = TOKEN_MAX_LEN,
-                  max_tokens: int | None = MAX_TOKENS) -> Column:
+                  max_tokens: int | None = None) -> Column:
     """Lower-cased word tokens without digits, ``min_len..max_len`` characters,
-    not starting with ``_``, first ``max_tokens`` kept (T1)."""
+    not starting with ``_`` (T1); ``max_tokens`` (the reference uses 512) keeps
+    only the first tokens - off by default, whole texts are tokenized."""
     toks = F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN_PATTERN), F.lit(0))
     toks = F.filter(toks, lambda t: (F.length(t) >= min_len) & (F.length(t) <= max_len) & ~t.startswith("_"))
     return F.slice(toks, 1, int(max_tokens)) if max_tokens else toks
@@ -58,10 +60,11 @@ def _lit_replace(col: Column, old: str, new: str) -> Column:
     return F.replace(col, F.lit(old), F.lit(new))
 
 
-def split_sentences(text, max_sentences: int | None = MAX_SENTENCES) -> Column:
+def split_sentences(text, max_sentences: int | None = None) -> Column:
     """Rule-based sentence splitter (T2) as a chain of JVM regex replaces.
 
-    Python's ``\\s`` is Unicode-aware, hence ``(?U)``; a run of n >= 2 dots
+    ``max_sentences`` (the reference uses 16) keeps the first sentences; off
+    by default.  Python's ``\\s`` is Unicode-aware, hence ``(?U)``; a run of n >= 2 dots
     becomes n protected dots plus a break (two replaces, no callback needed).
     """
     s = F.concat(F.lit(" "), _c(text), F.lit("  "))
@@ -93,7 +96,7 @@ def split_sentences(text, max_sentences: int | None = MAX_SENTENCES) -> Column:
     return F.slice(parts, 1, int(max_sentences)) if max_sentences else parts
 
 
-def split_sentences_sql(text_expr: str, max_sentences: int = MAX_SENTENCES) -> str:
+def split_sentences_sql(text_expr: str, max_sentences: int | None = None) -> str:
     """DuckDB (RE2) twin of :func:`split_sentences`; RE2 has no look-around, so the
     dot-run rule protects pairs and then a protected dot followed by a dot."""
     def sub(e, pat, rep):
@@ -131,7 +134,7 @@ def split_sentences_sql(text_expr: str, max_sentences: int = MAX_SENTENCES) -> s
     parts = f"list_transform(string_split({s}, '<stop>'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g'))"
     dropped = (f"(CASE WHEN len({parts}) > 0 AND {parts}[-1] = '' "
                f"THEN {parts}[1:len({parts}) - 1] ELSE {parts} END)")
-    return f"{dropped}[1:{int(max_sentences)}]"
+    return f"{dropped}[1:{int(max_sentences)}]" if max_sentences else dropped
 
 
 def encode_sequence(tokens, marker: str | None = DOC_MARKER, max_length: int = MAX_LENGTH,

@@ -14,10 +14,11 @@ MIN_COUNT = 5
 # DuckDB twin of the tokenizer (RE2 has the same Unicode classes)
 TOKENS_SQL = (f"list_filter(regexp_extract_all(lower(text), '{tx.TOKEN_PATTERN}'), "
               f"lambda t: length(t) BETWEEN {tx.TOKEN_MIN_LEN} AND {tx.TOKEN_MAX_LEN} AND NOT starts_with(t, '_'))")
-TOKENS_CAPPED_SQL = f"{TOKENS_SQL}[1:{tx.MAX_TOKENS}]"
+# whole texts: no token cap (the sequence encoder below applies its own max length)
+TOKENS_CAPPED_SQL = TOKENS_SQL
 
 
-def doc_tokens(spark, sf, cap=True):
+def doc_tokens(spark, sf, cap=False):
     d = load(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("pid"),
                     tx.simple_tokens("text", max_tokens=tx.MAX_TOKENS if cap else None).alias("tokens"))
@@ -97,7 +98,7 @@ WITH s AS (SELECT doc_id AS pid, {tx.split_sentences_sql('text')} AS sents FROM
 SELECT pid, CAST(pos - 1 AS INTEGER) AS sent_pos, sents[pos] AS sentence
 FROM s, range(1, len(s.sents) + 1) r(pos)""")
 def sentences(spark, sf):
-    """Sentence table ``(pid, sent_pos, sentence)``, first 16 sentences."""
+    """Sentence table ``(pid, sent_pos, sentence)`` of whole documents."""
     d = load(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("pid"),
                     F.posexplode(tx.split_sentences("text")).alias("sent_pos", "sentence"))

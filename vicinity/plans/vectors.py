@@ -232,7 +232,7 @@ def arrow_encoder_vectors(spark, sf):
         out = []
         for t in texts:
             toks = [w for w in re.findall(r"[^\W\d]+", (t or "").lower()) if 2 <= len(w) <= 15 and not w.startswith("_")]
-            out.append(encode.hashed_vector_np(toks[:512]))
+            out.append(encode.hashed_vector_np(toks))
         return out
 
     v = encode.ArrowBatchEncoder(model, multi_vector=True).encode(c, "pid", "text")
