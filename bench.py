@@ -23,7 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from vicinity.session import get_spark  # noqa: E402
+from vicinity.session import get_spark, ship_package  # noqa: E402
 
 
 def _replicated_knn(times: int):
@@ -95,6 +95,7 @@ def main():
                       extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
                              "spark.eventLog.compress": "false", "spark.ui.showConsoleProgress": "false",
                              "spark.checkpoint.dir": os.path.join(scratch, "ckpt")})
+    ship_package(spark)
     # untimed warm-up: starts the JVM code paths and the Python workers the Arrow kernels use
     spark.range(64).mapInArrow(lambda it: it, "id long").agg(F.sum("id")).collect()
     timings, errors, rows = {}, {}, {}
