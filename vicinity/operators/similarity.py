@@ -205,10 +205,15 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     if broadcast is None:
         dim = q.select(F.size("vec").alias("d")).first() or c.select(F.size("vec").alias("d")).first()
         cap = broadcast_limit(spark) // max(8, (dim["d"] if dim else 1) * 8)
-        if (sizes[1] if sizes else bounded_count(c, cap)) <= cap:
-            return _knn_broadcast_corpus(q, c, k, l2, exclude_self)
-        if (sizes[0] if sizes else bounded_count(q, cap)) <= cap:
-            return _knn_broadcast(q, c, k, l2, exclude_self)
+        # the bounded fetch is both the size check and, when it passes, the broadcast payload
+        if sizes is None or sizes[1] <= cap:
+            tbl = c.limit(cap + 1).toArrow()
+            if tbl.num_rows <= cap:
+                return _knn_broadcast_corpus(q, c, k, l2, exclude_self, table=tbl)
+        if sizes is None or sizes[0] <= cap:
+            tbl = q.limit(cap + 1).toArrow()
+            if tbl.num_rows <= cap:
+                return _knn_broadcast(q, c, k, l2, exclude_self, table=tbl)
     n_q, n_c = sizes if sizes else (q.count(), c.count())
     n_qb, n_cb = _block_counts(spark, n_q, n_c, block_rows)
     lq, rc = _replicated(q, c, n_qb, n_cb)
@@ -226,7 +231,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     return _final_topk(cands, k, ascending=l2)
 
 
-def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: bool) -> DataFrame:
+def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: bool,
+                   table: pa.Table | None = None) -> DataFrame:
     """Small query side (size checked by the caller) broadcast to the corpus scan.
 
     The corpus is never shuffled: each task scores its own rows against all
@@ -234,7 +240,7 @@ def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: b
     tasks x k`` candidates reach the final top-k shuffle.
     """
     spark = q.sparkSession
-    tbl = q.toArrow() if hasattr(q, "toArrow") else pa.Table.from_pandas(q.toPandas())
+    tbl = table if table is not None else q.toArrow()
     qids, Q = _np(tbl.column("qid")), _matrix(tbl.column("vec"))
     bc = spark.sparkContext.broadcast((qids, Q))
 
@@ -260,12 +266,13 @@ def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: b
     return _final_topk(cands, k, ascending=l2)
 
 
-def _knn_broadcast_corpus(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: bool) -> DataFrame:
+def _knn_broadcast_corpus(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_self: bool,
+                          table: pa.Table | None = None) -> DataFrame:
     """Small corpus (size checked by the caller: centroid tables, small indexes) broadcast
     to the query scan: every query is finished inside its own task, so the whole
     join is one map stage - no shuffle at all."""
     spark = q.sparkSession
-    tbl = c.toArrow()
+    tbl = table if table is not None else c.toArrow()
     pids, C = _np(tbl.column("pid")), _matrix(tbl.column("vec"))
     order = np.argsort(pids, kind="stable")
     bc = spark.sparkContext.broadcast((pids[order], C[order] if len(C) else C))
