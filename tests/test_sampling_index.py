@@ -150,3 +150,22 @@ def test_random_tuples_multilabel(spark):
         negs = [v for s_, v in slots.items() if s_ >= 2]
         assert len(negs) == len(set(negs)) <= 2
         assert all(not (lab[x] & lab[a]) for x in negs)
+
+
+def test_flat_index_resume_refuses_overwrite(spark, tmp_path):
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "pid long, vec array<double>")
+    path = str(tmp_path / "idx2")
+    ivf.build_flat_index(v, path)
+    with pytest.raises(Exception):
+        ivf.build_flat_index(v, path, resume=True)
+
+
+def test_mlknn_model_save_load(spark, tmp_path):
+    from vicinity.operators import mlknn
+    train = spark.createDataFrame([(0, [0]), (1, [1]), (2, [0, 1])], "pid long, labels array<int>")
+    m = spark.createDataFrame([(0, 1, 2), (1, 1, 2), (2, 1, 0)], "qid long, rank int, pid long")
+    model = mlknn.fit(train, m, k=1)
+    model.save(str(tmp_path / "mlknn"))
+    back = mlknn.MLKNNModel.load(spark, str(tmp_path / "mlknn"))
+    assert (back.k, back.num_labels, back.num_examples) == (1, 2, 3)
+    assert sorted(map(tuple, back.posterior.collect())) == sorted(map(tuple, model.posterior.collect()))

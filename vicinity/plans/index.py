@@ -7,6 +7,8 @@ index is checked by invariants and recall instead.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vicinity.operators import ivf
@@ -186,10 +188,12 @@ def kmeans_index_recall(spark, sf):
     return hit.groupBy("qid").agg((F.sum(F.coalesce("hit", F.lit(0))) / K).alias("recall"))
 
 
-@register("index_build")
+@register("index_build", """
+SELECT 'inner_product' AS metric, count(*) AS ntotal, CAST(max(len(embedding)) AS INTEGER) AS dim FROM embeddings""")
 def index_build(spark, sf):
-    """Flat index sink with metadata and fingerprint, then reuse on a second call."""
-    path = f"{checkpoint_dir(spark)}/index-flat-{abs(hash(sf)) % 10_000_000}"
+    """Flat index sink with metadata (metric, ntotal, dim) and a content fingerprint; a second
+    call with unchanged vectors reuses the stored index (I1, S6-S9)."""
+    path = f"{checkpoint_dir(spark)}/index-flat-{uuid.uuid4().hex[:12]}"
     v = fx.vectors(spark, sf).select("pid", "vec")
     _, meta = ivf.load_or_build_index(v, path, "inner_product")
-    return meta
+    return meta.select("metric", "ntotal", "dim")
