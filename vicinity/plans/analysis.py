@@ -262,21 +262,33 @@ def linear_baseline(spark, sf):
     return pred.select("qid", F.col("prediction").cast("int").alias("pred"))
 
 
-@register("remine_round")
+REMINE_ROUND = 1
+REMINE_SEED = 42 * 1000 + REMINE_ROUND     # seed derived from (seed, round)
+
+
+def _remine_sql() -> str:
+    from vicinity.plans import sampling as ps
+    base = ps._SEARCHED.rstrip() + "," + ps._weights_sql("scores") + "," + ps._DRAW_SQL
+    sql = base.replace(f"md5('{ps.SEED}' ||", f"md5('{REMINE_SEED}' ||")
+    sql = sql.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT vec_id FROM sub))")
+    sub = (f"sub AS (SELECT vec_id FROM embeddings QUALIFY row_number() OVER (ORDER BY "
+           f"{uniform_sql(REMINE_SEED, 'vec_id')}, vec_id) <= ceil(CAST(0.5 AS DOUBLE) * count(*) OVER ())),\n")
+    return sql.replace("WITH ", "WITH " + sub, 1) + f"SELECT {REMINE_ROUND} AS round, anchor, slot, pid FROM tup"
+
+
+@register("remine_round", _remine_sql())
 def remine_round(spark, sf):
-    """One re-mining round (N13): fresh seeded subsample of the passages (half), flat
-    index rebuilt on it, searched against itself, searched tuples drawn; rounds 0 and 1."""
+    """One re-mining round (N13) as a batch job parametrised by the round: a fresh seeded
+    half subsample of the passages, the flat index rebuilt on it and searched against
+    itself, searched candidates, score weights and a weighted n-way draw - all seeded
+    by (seed, round)."""
     p = fx.vectors(spark, sf).select("pid", "label", "vec")
-    out = None
-    for rnd in (0, 1):
-        seed = 42 * 1000 + rnd
-        sub = cp.subsample(p, 0.5, seed)
-        m = knn_join(sub.select(F.col("pid").alias("qid"), "vec"), sub.select("pid", "vec"), K)
-        cands = sampling.searched_candidates(m, sub.select("pid", "label"), 1, 2, seed)
-        t = sampling.draw_tuples(sampling.candidate_weights(cands, "scores"), 4, seed)
-        t = t.withColumn("round", F.lit(rnd))
-        out = t if out is None else out.unionByName(t)
-    return out.select("round", "anchor", "slot", "pid")
+    seed = REMINE_SEED
+    sub = cp.subsample(p, 0.5, seed)
+    m = knn_join(sub.select(F.col("pid").alias("qid"), "vec"), sub.select("pid", "vec"), K)
+    cands = sampling.searched_candidates(m, sub.select("pid", "label"), 1, 2, seed)
+    t = sampling.draw_tuples(sampling.candidate_weights(cands, "scores"), 4, seed)
+    return t.select(F.lit(REMINE_ROUND).alias("round"), "anchor", "slot", "pid")
 
 
 # --------------------------------------------------------------------------- S1 / S2 round trips
