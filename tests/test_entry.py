@@ -1,7 +1,5 @@
 """Driver contract: entry runs; every oracle has a query; a sample of queries equals DuckDB on sf0.001."""
 
-import math
-
 import pytest
 
 import __spark_entry__ as E

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from vicinity.operators.similarity import knn_join, maxsim_join, with_empty_matches
 

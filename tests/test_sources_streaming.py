@@ -1,7 +1,6 @@
 """Connectors (JSON lines, label names, split datasets) and the streaming counters."""
 
 import gzip
-import os
 import uuid
 
 from pyspark.sql import functions as F

@@ -15,12 +15,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute  # noqa: F401  (registers pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.functions.text import encode_sequence, simple_tokens
-from vicinity.functions.vectors import hashed_components, l2_normalize, with_hashed_vectors
+from vicinity.functions.vectors import l2_normalize, with_hashed_vectors
 
 HASHED_DIM = 8
 
@@ -129,7 +129,7 @@ def group_mean(df: DataFrame, keys: list[str], dim: int, vec: str = "vec", norma
     return out.withColumn(vec, l2_normalize(vec)) if normalize else out
 
 
-def position_vectors(vecs: DataFrame, which: str = "first", n_special_end: int = 1) -> DataFrame:
+def position_vectors(vecs: DataFrame, which: str = "first") -> DataFrame:
     """First-token (``first``), marker (``second``) vectors per passage."""
     pos = {"first": 0, "second": 1}[which]
     return vecs.filter(F.col("pos") == pos).select("pid", "vec")

@@ -82,7 +82,7 @@ def train_centroids(vectors: DataFrame, num_cells: int | None = None, max_iter:
                     train_fraction: float | None = None, init_mode: str = "random") -> DataFrame:
     """K-means centroids with MLlib (cosine distance), L2-normalised."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     data = vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     if train_fraction:
         data = data.sample(False, train_fraction, seed)
@@ -198,9 +198,8 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
             rows = _np(t.column("qid"))
             vec = b.column("vec").take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.array(_np(t.column("pid")).astype(np.int32)), t.column("score").combine_chunks()
-                 if hasattr(t.column("score"), "combine_chunks") else t.column("score"),
-                 vec.cast(pa.list_(pa.float64()))], schema=schema)
+                [pa.array(ids[rows]), pa.array(_np(t.column("pid")).astype(np.int32)),
+                 pa.array(_np(t.column("score"))), vec.cast(pa.list_(pa.float64()))], schema=schema)
 
     src = vectors.select(F.col(id_col).cast("long"), F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
     from vicinity.operators.similarity import _spread

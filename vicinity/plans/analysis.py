@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vicinity.functions.hashing import uniform, uniform_sql
 from vicinity.functions.text import simple_tokens
 from vicinity.functions.vectors import dot
-from vicinity.operators import classify, corpus as cp, encode, ivf, metrics, sampling
+from vicinity.operators import classify, corpus as cp, encode, metrics, sampling
 from vicinity.operators.similarity import knn_join, maxsim_join
 from vicinity.plans import corpus as pc
 from vicinity.plans import fixtures as fx

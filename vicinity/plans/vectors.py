@@ -224,7 +224,6 @@ def skiplist_maxsim(spark, sf):
 def arrow_encoder_vectors(spark, sf):
     """A user encoder plugged into the Arrow batch hook (U1, E3/E4): texts of the
     conversation turns in, one vector per token out as ``(pid, pos, vec)``."""
-    from vicinity.functions.text import simple_tokens
     c = load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), "text")
 
     def model(texts):
