@@ -169,3 +169,18 @@ def test_mlknn_model_save_load(spark, tmp_path):
     back = mlknn.MLKNNModel.load(spark, str(tmp_path / "mlknn"))
     assert (back.k, back.num_labels, back.num_examples) == (1, 2, 3)
     assert sorted(map(tuple, back.posterior.collect())) == sorted(map(tuple, model.posterior.collect()))
+
+
+def test_cell_map_grid_fallback_equals_broadcast(spark):
+    r = np.random.default_rng(9)
+    V = r.normal(size=(60, 4))
+    v = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(V)], "pid long, vec array<double>")
+    cents = spark.createDataFrame([(j, [float(x) for x in r.normal(size=4)]) for j in range(6)],
+                                  "cell int, centroid array<double>")
+    a = sorted((x.pid, x.cell, x.cell_score) for x in ivf.cell_map(v, cents, 2).collect())
+    spark.conf.set("vicinity.broadcast.maxBytes", "8")          # forces the grid fallback
+    try:
+        b = sorted((x.pid, x.cell, x.cell_score) for x in ivf.cell_map(v, cents, 2).collect())
+    finally:
+        spark.conf.unset("vicinity.broadcast.maxBytes")
+    assert a == b and len(a) == 120

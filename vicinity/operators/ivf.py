@@ -133,7 +133,7 @@ def residual_codes(vectors: DataFrame, assignments: DataFrame, centroids: DataFr
     cuts = F.array(*[F.lit(float(c)) for c in cut_points])
     j = (vectors.select("pid", F.col("vec").cast("array<double>").alias("vec"))
          .join(assignments.select("pid", "cell"), "pid")
-         .join(F.broadcast(centroids.select("cell", "centroid")), "cell"))
+         .join(centroids.select("cell", "centroid"), "cell"))   # Spark broadcasts it by its size estimate
     res = F.zip_with("vec", "centroid", lambda a, b: a - b)
     codes = F.transform(res, lambda r: F.size(F.filter(cuts, lambda c: c < r)))
     return j.select("pid", "cell", codes.alias("codes"))
@@ -175,12 +175,25 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
     """The ``ncells`` best centroids of every vector, the vector passed through:
     ``(id, cell, cell_score, vec)``, one row per (vector, cell).
 
-    Map-only: the centroid table (cells x dim, bounded by the cell count) is
-    broadcast and each task scores its own rows; ties by smaller cell id.
+    Map-only: the centroid table (cells x dim, bounded by the cell count and
+    checked against ``vicinity.broadcast.maxBytes``) is broadcast and each task
+    scores its own rows; ties by smaller cell id.  Beyond the limit the blocked
+    grid join is used instead.
     """
     spark = vectors.sparkSession
-    ct = centroids.select(F.col("cell").cast("long").alias("cell"),
-                          F.col("centroid").cast("array<double>").alias("c")).toArrow()
+    from vicinity.operators.similarity import broadcast_limit
+    cents = centroids.select(F.col("cell").cast("long").alias("cell"),
+                             F.col("centroid").cast("array<double>").alias("c"))
+    dim = cents.select(F.size("c").alias("d")).first()
+    cap = broadcast_limit(spark) // max(8, (dim["d"] if dim else 1) * 8)
+    ct = cents.limit(cap + 1).toArrow()          # size check and broadcast payload at once
+    if ct.num_rows > cap:
+        # more centroid bytes than the broadcast limit: blocked grid join, vectors joined back
+        src = vectors.select(F.col(id_col).cast("long").alias("qid"), F.col("vec").cast("array<double>"))
+        best = knn_join(src, cents.select(F.col("cell").alias("pid"), F.col("c").alias("vec")), ncells,
+                        broadcast=False)
+        return (best.join(src, "qid").select(F.col("qid").alias(id_col), F.col("pid").cast("int").alias("cell"),
+                                             F.col("score").alias("cell_score"), "vec"))
     cells, C = _np(ct.column("cell")), _matrix(ct.column("c"))
     bc = spark.sparkContext.broadcast((cells, C))
     schema = pa.schema([(id_col, pa.int64()), ("cell", pa.int32()), ("cell_score", pa.float64()),
