@@ -219,3 +219,14 @@ def concat_fields(spark, sf):
 @register("non_empty", "SELECT conv_id, turn FROM conversations WHERE length(text) > 0")
 def non_empty(spark, sf):
     return cp.non_empty(load(spark, sf, "conversations")).select("conv_id", "turn")
+
+
+@register("subsample_passages", with_ctes(fx.MV_CTES) + f"""
+SELECT mv.pid, mv.pos FROM mv
+WHERE mv.pid IN (SELECT pid FROM (SELECT DISTINCT pid FROM mv)
+                 QUALIFY row_number() OVER (ORDER BY {_u_sql(SPLIT_SEED)}, pid)
+                         <= ceil(CAST({SUBSAMPLE_FRACTION} AS DOUBLE) * count(*) OVER ()))""")
+def subsample_passages(spark, sf):
+    """Multi-vector subsample: passage ids are sampled, all their vectors kept (semi join)."""
+    mv = fx.multi_vectors(spark, sf).select("pid", "pos")
+    return cp.subsample_passages(mv, SUBSAMPLE_FRACTION, SPLIT_SEED)
