@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.session import cut_lineage
+
 
 @dataclass
 class MLKNNModel:
@@ -92,7 +94,9 @@ def fit(train: DataFrame, train_matches: DataFrame, k: int = 10, s: float = 1.0,
         "label", F.col("j").cast("int").alias("j"),
         ((F.lit(float(s)) + c1) / (denom + tot1)).alias("post1"),
         ((F.lit(float(s)) + c0) / (denom + tot0)).alias("post0"))
-    return MLKNNModel(prior, posterior, k, s, num_labels, n_ex)
+    # the model is an artefact (prior: L rows, posterior: L x (k+1) rows): materialise it
+    # once so predictions never re-run the training search
+    return MLKNNModel(cut_lineage(prior), cut_lineage(posterior), k, s, num_labels, n_ex)
 
 
 def predict_long(model: MLKNNModel, test_ids: DataFrame, test_matches: DataFrame, train: DataFrame,
@@ -105,7 +109,7 @@ def predict_long(model: MLKNNModel, test_ids: DataFrame, test_matches: DataFrame
     """
     long = explode_labels(train, id_col, labels)
     t = model.table()
-    counts = neighbour_counts(test_matches, long, model.k)
+    counts = cut_lineage(neighbour_counts(test_matches, long, model.k))   # decided + anti join
     decided = (counts.join(t, ["label", "j"])
                .select("qid", "label", "y1", "y0"))
     pos_nz = decided.filter(F.col("y1") >= F.col("y0"))

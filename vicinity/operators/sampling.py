@@ -50,7 +50,9 @@ def label_pools(passages: DataFrame, seed: int, target: int = POOL_TARGET):
                  .withColumn("gpos", F.col("off") + F.row_number().over(wr) - 1)
                  .select("pid", "label", "gpos"))
     pools = counts.groupBy("label").agg(F.sum("n").alias("cnt"), F.min("off").alias("start"))
-    return positions, pools
+    # both tables feed several branches (anchors, draws, position lookups): compute
+    # them once, in the shared checkpoint folder
+    return cut_lineage(positions), cut_lineage(pools)
 
 
 # --------------------------------------------------------------------------- distinct draws
@@ -160,6 +162,7 @@ def searched_candidates(matches: DataFrame, passages: DataFrame, n_pos: int, n_n
                  F.when(F.col("label") == F.col("alabel"), F.lit("pos")).otherwise(F.lit("neg")).alias("role")))
     if positive_always_random:
         m = m.filter(F.col("role") == "neg")
+    m = cut_lineage(m)          # labelled matches feed the split, the stats and the fill-ups
     ret = m.select("anchor", "role", "pid", "score", F.col("rank").cast("long").alias("ord"))
     stats = m.groupBy("anchor").agg(
         F.sum(F.when(F.col("role") == "pos", 1).otherwise(0)).alias("npos"),

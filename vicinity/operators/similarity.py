@@ -293,7 +293,10 @@ def _knn_broadcast_corpus(q: DataFrame, c: DataFrame, k: int, l2: bool, exclude_
                 if out.num_rows:
                     yield from out.to_batches()
 
-    return _spread(q, "qid").mapInArrow(run, MATCH_SCHEMA)
+    # hash the (small) match rows by query: consumers that reuse the matches in
+    # several branches share this exchange instead of re-running the kernel, and
+    # per-query aggregations downstream need no further shuffle
+    return _spread(q, "qid").mapInArrow(run, MATCH_SCHEMA).repartition("qid")
 
 
 def with_empty_matches(queries: DataFrame, matches: DataFrame) -> DataFrame:
