@@ -240,13 +240,6 @@ def sample_searched_ml(spark, sf):
     return sampling.searched_candidates_ml(m, ml.select("pid", "labels"))
 
 
-@register("sample_random_ml")
-def sample_random_ml(spark, sf):
-    """Multi-label random tuples by rejection rounds (N3); checked by invariants in tests."""
-    ml = fx.multilabel_vectors(spark, sf).select("pid", "labels")
-    return sampling.random_tuples_ml(ml, NWAY, SEED)
-
-
 # --------------------------------------------------------------------------- N12 on documents
 
 _DLP = with_ctes(fx.DL_CTES, "dlp AS (SELECT pid, label, text FROM dl)", pools_sql("dlp"), random_tuples_sql(3))
@@ -340,3 +333,83 @@ def sampling_weights_lower(spark, sf):
     _, c = _searched(spark, sf)
     w = sampling.candidate_weights(c, "ranks", lower_ranked_positives=True)
     return w.select("anchor", "role", "pid", F.round("weight", 9).alias("weight"))
+
+
+def _pool_ctes(src: str, sfx: str) -> str:
+    return f"""
+pp{sfx} AS (SELECT pid, label FROM {src}),
+lc{sfx} AS (SELECT label, ceil(CAST(count(*) AS DOUBLE) / {float(TARGET)}) AS nb FROM pp{sfx} GROUP BY label),
+pb{sfx} AS (SELECT pp{sfx}.pid, pp{sfx}.label, CAST(floor({U("'b'", 'pid')} * lc{sfx}.nb) AS BIGINT) AS b
+            FROM pp{sfx} JOIN lc{sfx} USING (label)),
+pos{sfx} AS (SELECT pid, label, row_number() OVER (ORDER BY label, b, pid) - 1 AS gpos FROM pb{sfx}),
+pool{sfx} AS (SELECT label, count(*) AS cnt, min(gpos) AS start FROM pos{sfx} GROUP BY label)"""
+
+
+def random_ml_sql(nway: int, rounds: int = 4, overdraw: int = 4) -> str:
+    """SQL twin of :func:`vicinity.operators.sampling.random_tuples_ml`: the same rounds,
+    Floyd draws, acceptance rules and ordering, unrolled into one CTE chain."""
+    ctes = [fx.ML_CTES, """
+lab AS (SELECT pid, list_distinct(labels) AS labels FROM ml),
+ntot AS (SELECT count(*) AS n FROM lab),
+ev0 AS (SELECT pid, 0 AS label FROM lab),
+ex AS (SELECT pid, unnest(labels) AS label FROM lab)""", _pool_ctes("ev0", "_e"), _pool_ctes("ex", "_x"), f"""
+seg AS (SELECT a.anchor, a.label, p.cnt, p.start,
+               coalesce(sum(p.cnt) OVER (PARTITION BY a.anchor ORDER BY a.label
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum,
+               sum(p.cnt) OVER (PARTITION BY a.anchor) AS S
+        FROM (SELECT pid AS anchor, unnest(labels) AS label FROM lab) a JOIN pool_x p USING (label)),
+anchors AS (SELECT pid AS anchor, labels AS alabels FROM lab),
+np_0 AS (SELECT a.anchor, a.alabels, s.S, 1 AS need FROM anchors a JOIN (SELECT DISTINCT anchor, S FROM seg) s USING (anchor)),
+nn_0 AS (SELECT anchor, alabels, (SELECT n FROM ntot) AS S, {nway - 2} AS need FROM anchors),
+ch_0 AS (SELECT CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS pid, CAST(NULL AS VARCHAR) AS role,
+                CAST(NULL AS BIGINT) AS o WHERE false)"""]
+    step = 0
+    for r in range(rounds):
+        last = r == rounds - 1
+        for role in ("pos", "neg"):
+            need = f"np_{r}" if role == "pos" else f"nn_{r}"
+            m = "S" if last else f"least(need * {overdraw ** (r + 1)} + 1, S)"
+            ch_prev, ch_next = f"ch_{step}", f"ch_{step + 1}"
+            sel = floyd_sql(f"{role}{r}", ["anchor"], "S", m)
+            ctes.append(f"""
+d_{role}_{r} AS (SELECT anchor, alabels, need, unnest(sel) AS o, unnest(range(len(sel))) AS k
+                 FROM (SELECT *, {sel} AS sel FROM {need} WHERE need > 0))""")
+            if role == "pos":
+                ctes.append(f"""
+c_{role}_{r} AS (SELECT d.anchor, d.need, d.k, x.pid FROM d_{role}_{r} d
+                 JOIN seg g ON g.anchor = d.anchor AND d.o >= g.cum AND d.o < g.cum + g.cnt
+                 JOIN pos_x x ON x.gpos = g.start + d.o - g.cum JOIN lab l ON l.pid = x.pid
+                 WHERE x.pid <> d.anchor AND list_min(list_intersect(l.labels, d.alabels)) = g.label
+                   AND NOT EXISTS (SELECT 1 FROM {ch_prev} c WHERE c.anchor = d.anchor AND c.pid = x.pid))""")
+            else:
+                ctes.append(f"""
+c_{role}_{r} AS (SELECT d.anchor, d.need, d.k, e.pid FROM d_{role}_{r} d
+                 JOIN pos_e e ON e.gpos = d.o JOIN lab l ON l.pid = e.pid
+                 WHERE e.pid <> d.anchor AND NOT list_has_any(l.labels, d.alabels)
+                   AND NOT EXISTS (SELECT 1 FROM {ch_prev} c WHERE c.anchor = d.anchor AND c.pid = e.pid))""")
+            nxt = f"np_{r + 1}" if role == "pos" else f"nn_{r + 1}"
+            ctes.append(f"""
+p_{role}_{r} AS (SELECT anchor, pid, '{role}' AS role, CAST({r * 1_000_000} + i AS BIGINT) AS o FROM (
+                   SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY k) AS i FROM c_{role}_{r})
+                 WHERE i <= need),
+{ch_next} AS (SELECT * FROM {ch_prev} UNION ALL SELECT * FROM p_{role}_{r}),
+{nxt} AS (SELECT n.anchor, n.alabels, n.S, n.need - coalesce(g.g, 0) AS need FROM {need} n
+          LEFT JOIN (SELECT anchor, count(*) AS g FROM p_{role}_{r} GROUP BY anchor) g USING (anchor))""")
+            step += 1
+    ctes.append(f"""
+has_pos AS (SELECT DISTINCT anchor FROM ch_{step} WHERE role = 'pos'),
+allc AS (SELECT anchor, pid, role, o FROM ch_{step}
+         UNION ALL SELECT anchor, anchor, 'pos', 0 FROM anchors WHERE anchor NOT IN (SELECT anchor FROM has_pos)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY o) AS r FROM allc),
+tup AS (SELECT anchor, CAST(0 AS INTEGER) AS slot, anchor AS pid FROM anchors
+        UNION ALL SELECT anchor, CAST(1 AS INTEGER), pid FROM ranked WHERE role = 'pos' AND r = 1
+        UNION ALL SELECT anchor, CAST(r + 1 AS INTEGER), pid FROM ranked WHERE role = 'neg')""")
+    return with_ctes(*ctes)
+
+
+@register("sample_random_ml", random_ml_sql(NWAY) + "SELECT anchor, slot, pid FROM tup")
+def sample_random_ml(spark, sf):
+    """Multi-label random tuples by rejection rounds (N3): positives share a label, negatives
+    share none, uniform and without replacement."""
+    ml = fx.multilabel_vectors(spark, sf).select("pid", "labels")
+    return sampling.random_tuples_ml(ml, NWAY, SEED)
