@@ -2,15 +2,20 @@
 
 Physical design
 ---------------
-Both sides are cut into hash blocks of bounded size.  Every (query block,
-corpus block) pair becomes one cogroup key: query rows are replicated once per
-corpus block and corpus rows once per query block, so a group holds at most
-``block_rows`` vectors per side and memory per task is bounded whatever the
-table sizes.  Inside a group one numpy product scores the whole block pair and
-a local top-k is cut (ties: ``round(score, 6)`` best first, then smaller pid).
-When the corpus spans several blocks, a final ``row_number`` window keeps the
-global top-k per query; Spark plans it with ``WindowGroupLimit`` so only
-``queries x corpus_blocks x k`` candidate rows are shuffled.
+Three plans, picked by bounded size checks against ``vicinity.broadcast.maxBytes``:
+
+* small corpus (centroid tables, small indexes): the corpus is broadcast and
+  every query is finished inside its own task - a single map stage;
+* small query side: the queries are broadcast, each task scores its own corpus
+  rows in bounded chunks and keeps a running top-k; only ``queries x tasks x k``
+  candidates reach the final cut;
+* both large: both sides are cut into hash blocks of bounded size and every
+  (query block, corpus block) pair is one cogroup key, so a group holds at
+  most ``block_rows`` vectors per side whatever the table sizes.
+
+Kernels score with one numpy product and cut a local top-k (ties:
+``round(score, 6)`` best first, then smaller pid).  The final ``row_number``
+cut is planned by Spark as partial + final ``WindowGroupLimit``.
 
 The exact join is all-pairs by nature; the scalable route for big corpora is
 the inverted-file probe in :mod:`vicinity.operators.ivf`, which reduces the
