@@ -27,6 +27,17 @@ from vicinity.operators.similarity import (MATCH_SCHEMA, _CAND_SCHEMA, _final_to
 INDEX_METRICS = ("inner_product", "l2_distance")
 _POS_SPAN = 1 << 20  # composite (id, position) key for vector-level probing
 
+# ---- fixed values: k-dependent search defaults (J6) ---------------------------------
+# k <= 10: 1 cell, centroid score threshold 0.5, 256 candidate documents
+# k <= 100: 2 cells, threshold 0.45, 1024 documents
+# larger k: 4 cells, threshold 0.4, max(4 * k, 1024) documents
+PROBE_DEFAULTS = ((10, 1, 0.5, 256), (100, 2, 0.45, 1024))
+PROBE_DEFAULT_LARGE = (4, 0.4, 1024)
+# automatic cell count: largest power of two <= 16 * sqrt(number of vectors); 4 k-means iterations
+AUTO_CELLS_FACTOR = 16
+KMEANS_ITERATIONS = 4
+# -------------------------------------------------------------------------------------
+
 
 # --------------------------------------------------------------------------- I1 / S6-S9
 
@@ -74,11 +85,12 @@ def load_or_build_index(vectors: DataFrame, path: str, metric: str = "inner_prod
 
 def auto_num_cells(n_vectors: int) -> int:
     """Largest power of two <= 16 * sqrt(n) (count proportional to sqrt of embeddings)."""
-    target = max(1, int(16 * math.sqrt(max(n_vectors, 1))))
+    target = max(1, int(AUTO_CELLS_FACTOR * math.sqrt(max(n_vectors, 1))))
     return 1 << (target.bit_length() - 1)
 
 
-def train_centroids(vectors: DataFrame, num_cells: int | None = None, max_iter: int = 4, seed: int = 12345,
+def train_centroids(vectors: DataFrame, num_cells: int | None = None, max_iter: int = KMEANS_ITERATIONS,
+                    seed: int = 12345,
                     train_fraction: float | None = None, init_mode: str = "random") -> DataFrame:
     """K-means centroids with MLlib (cosine distance), L2-normalised."""
     from pyspark.ml.clustering import KMeans
@@ -150,11 +162,11 @@ def global_cut_points(residuals: DataFrame, nbits: int = 2, rel_err: float = 1e-
 
 def probe_defaults(k: int) -> tuple[int, float, int]:
     """(ncells, centroid_score_threshold, ndocs) by k."""
-    if k <= 10:
-        return 1, 0.5, 256
-    if k <= 100:
-        return 2, 0.45, 1024
-    return 4, 0.4, max(4 * k, 1024)
+    for max_k, ncells, threshold, ndocs in PROBE_DEFAULTS:
+        if k <= max_k:
+            return ncells, threshold, ndocs
+    ncells, threshold, min_docs = PROBE_DEFAULT_LARGE
+    return ncells, threshold, max(4 * k, min_docs)
 
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, ncells: int, id_col: str = "qid",

@@ -29,6 +29,10 @@ from vicinity.sources.tables import load
 K = 10
 COMPRESS_DIM = 16
 W_SEED = 99
+# ---- fixed values: word-vector training (E1) -----------------------------------------
+# vector size 128, window 5, minimum count 5, 10 epochs
+W2V_SIZE, W2V_WINDOW, W2V_MIN_COUNT, W2V_EPOCHS = 128, 5, 5, 10
+# -------------------------------------------------------------------------------------
 
 
 # --------------------------------------------------------------------------- J11
@@ -226,7 +230,7 @@ def word2vec_knn(spark, sf):
     dl = fx.labelled_docs(spark, sf).withColumn("split", pc._doc_test_split())
     toks = dl.select("pid", "split", "label", simple_tokens("text").alias("tokens"))
     train = toks.filter(F.col("split") == "train")
-    w2v = Word2Vec(vectorSize=128, windowSize=5, minCount=5, maxIter=10, seed=12345,
+    w2v = Word2Vec(vectorSize=W2V_SIZE, windowSize=W2V_WINDOW, minCount=W2V_MIN_COUNT, maxIter=W2V_EPOCHS, seed=12345,
                    inputCol="tokens", outputCol="w2v").fit(train)
     vocab = w2v.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
     long = toks.select("pid", "split", F.posexplode("tokens").alias("pos", "token"))
