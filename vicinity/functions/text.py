@@ -137,9 +137,10 @@ def split_sentences_sql(text_expr: str, max_sentences: int | None = None) -> str
     return f"{dropped}[1:{int(max_sentences)}]" if max_sentences else dropped
 
 
-def encode_sequence(tokens, marker: str | None = DOC_MARKER, max_length: int = MAX_LENGTH,
+def encode_sequence(tokens, marker: str | None = DOC_MARKER, max_length: int | None = MAX_LENGTH,
                     special: bool = True) -> Column:
-    """``[CLS] marker tokens... [SEP]`` cut to ``max_length`` keeping the end token (T4).
+    """``[CLS] marker tokens... [SEP]`` cut to ``max_length`` keeping the end token (T4);
+    ``max_length=None`` keeps the whole text.
 
     An empty / ``None`` marker means no marker (the reference's empty string option).
     """
@@ -147,8 +148,8 @@ def encode_sequence(tokens, marker: str | None = DOC_MARKER, max_length: int = M
     if marker:
         content = F.concat(F.array(F.lit(marker)), content)
     if not special:
-        return F.slice(content, 1, max_length)
-    body = F.slice(content, 1, max_length - 2)
+        return F.slice(content, 1, max_length) if max_length else content
+    body = F.slice(content, 1, max_length - 2) if max_length else content
     return F.concat(F.array(F.lit(CLS_TOKEN)), body, F.array(F.lit(SEP_TOKEN)))
 
 

@@ -154,9 +154,12 @@ def pack_vectors(vecs: DataFrame) -> DataFrame:
     return packed.select("pid", F.transform("_p", lambda x: x["vec"]).alias("vecs"))
 
 
-def sequence_tokens(df: DataFrame, marker: str, id_col: str = "pid", text: str = "text") -> DataFrame:
-    """Encoder input sequence ``[CLS] marker tokens [SEP]`` as a long table (T4 + posexplode)."""
-    return df.select(id_col, F.posexplode(encode_sequence(simple_tokens(text), marker)).alias("pos", "token"))
+def sequence_tokens(df: DataFrame, marker: str, id_col: str = "pid", text: str = "text",
+                    max_length: int | None = None) -> DataFrame:
+    """Encoder input sequence ``[CLS] marker tokens [SEP]`` as a long table (T4 + posexplode);
+    whole texts unless a ``max_length`` is given."""
+    seq = encode_sequence(simple_tokens(text), marker, max_length=max_length)
+    return df.select(id_col, F.posexplode(seq).alias("pos", "token"))
 
 
 class ArrowBatchEncoder:

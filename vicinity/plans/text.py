@@ -80,15 +80,20 @@ _SEQ_SQL = (f"['{tx.CLS_TOKEN}'] || (['{tx.DOC_MARKER}'] || {TOKENS_CAPPED_SQL})
 
 @register("marker_truncate", f"SELECT doc_id AS pid, {_SEQ_SQL} AS seq FROM documents")
 def marker_truncate(spark, sf):
+    """Role marker + cut to the encoder's maximum length (T4): truncation is this operator's job."""
     t = doc_tokens(spark, sf)
     return t.select("pid", tx.encode_sequence("tokens", tx.DOC_MARKER).alias("seq"))
 
 
+_SEQ_WHOLE_SQL = f"['{tx.CLS_TOKEN}'] || ['{tx.DOC_MARKER}'] || {TOKENS_CAPPED_SQL} || ['{tx.SEP_TOKEN}']"
+
+
 @register("inner_tokens", f"""
-WITH s AS (SELECT doc_id AS pid, {_SEQ_SQL} AS seq FROM documents)
+WITH s AS (SELECT doc_id AS pid, {_SEQ_WHOLE_SQL} AS seq FROM documents)
 SELECT pid, seq[3:len(seq) - 1] AS inner_seq, len(seq) - 3 AS n_inner FROM s""")
 def inner_tokens(spark, sf):
-    s = doc_tokens(spark, sf).select("pid", tx.encode_sequence("tokens", tx.DOC_MARKER).alias("seq"))
+    """Special positions ([CLS], marker, [SEP]) stripped from whole-text sequences (T5)."""
+    s = doc_tokens(spark, sf).select("pid", tx.encode_sequence("tokens", tx.DOC_MARKER, max_length=None).alias("seq"))
     inner = tx.inner_tokens("seq", has_marker=True)
     return s.select("pid", inner.alias("inner_seq"), F.size(inner).cast("bigint").alias("n_inner"))
 

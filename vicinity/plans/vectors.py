@@ -236,3 +236,26 @@ def arrow_encoder_vectors(spark, sf):
 
     v = encode.ArrowBatchEncoder(model, multi_vector=True).encode(c, "pid", "text")
     return v.select("pid", "pos", rounded().alias("vec"))
+
+
+# --------------------------------------------------------------------------- E10 inner-token vectors
+
+_INNER_SQL = f"""
+sq AS (SELECT doc_id AS pid, ['{tx.CLS_TOKEN}'] || (['{tx.DOC_MARKER}'] || {TOKENS_CAPPED_SQL})
+              || ['{tx.SEP_TOKEN}'] AS seq FROM documents),
+sqt AS (SELECT pid, unnest(seq) AS token, CAST(unnest(range(len(seq))) AS INTEGER) AS pos, len(seq) AS n FROM sq),
+inn AS (SELECT pid, pos, token FROM sqt WHERE pos >= 2 AND pos < n - 1),
+inn_r AS (SELECT pid, {hashed_token_vector_sql('token')} AS raw FROM inn),
+inn_v AS (SELECT pid, {_norm_sql('raw')} AS vec FROM inn_r),
+inn_m AS (SELECT pid, {_mean_sql()} AS m FROM inn_v GROUP BY pid),
+inn_n AS (SELECT pid, {_norm_sql('m')} AS vec FROM inn_m)"""
+
+
+@register("inner_token_mean", with_ctes(_INNER_SQL) + f"SELECT pid, {rounded_sql()} AS vec FROM inn_n")
+def inner_token_mean(spark, sf):
+    """Whole-text encoder sequences ``[CLS] [D] tokens [SEP]`` as vector rows; the inner-token
+    vectors (special positions stripped) mean-pooled and normalised per passage (E10, T5, E5)."""
+    seq = encode.sequence_tokens(_docs(spark, sf), tx.DOC_MARKER)
+    inner = encode.inner_vectors(seq.select("pid", "pos", "token"), start=2, end_trim=1)
+    vecs = encode.HashedTokenEncoder().encode_tokens(inner)
+    return encode.group_mean(vecs, ["pid"], DIM).select("pid", rounded().alias("vec"))
