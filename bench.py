@@ -7,7 +7,8 @@ vectors of the documents, k-means probed search with recall, ML-kNN fit +
 predict + multi-label metrics, searched tuple sampling, and the flagship
 vote metrics.  Every query is executed fully (a checksum over all columns); seconds, rows,
 shuffle bytes and task counts per query come from Spark's event log written
-to a private scratch folder.
+to a private scratch folder.  One untimed warm-up job starts the Python
+workers first, as on a long-running cluster.
 """
 
 from __future__ import annotations
