@@ -1,6 +1,6 @@
 """Print a condensed physical plan (operator tree + scan details) for registered queries.
 
-usage: python tools/show_plans.py [--sf DIR] name [name ...]
+usage: python tools/show_plans.py [--sf DIR] [--conf key=value] name [name ...]
 """
 
 from __future__ import annotations
@@ -28,11 +28,15 @@ def condensed(df) -> str:
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--conf", action="append", default=[], help="extra Spark conf key=value")
     ap.add_argument("names", nargs="+")
     a = ap.parse_args()
     from vicinity.plans import QUERIES
     from vicinity.session import get_spark
     spark = get_spark("local[8]", shuffle_partitions=8)
+    for kv in a.conf:
+        k, v = kv.split("=", 1)
+        spark.conf.set(k, v)
     for n in a.names:
         print(f"### {n}\n```")
         print(condensed(QUERIES[n](spark, a.sf)))
