@@ -2,7 +2,6 @@
 duplicate tokens around a skip list, passages without any negative."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from vicinity.functions.vectors import l2_normalize
 from vicinity.operators import sampling
