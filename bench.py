@@ -99,7 +99,7 @@ def main():
     ship_package(spark)
     # untimed warm-up: starts the JVM code paths and the Python workers the Arrow kernels use
     spark.range(64).mapInArrow(lambda it: it, "id long").agg(F.sum("id")).collect()
-    timings, errors, rows = {}, {}, {}
+    timings, errors, rows, quality = {}, {}, {}, {}
     for name, fn in bench_queries().items():
         if only and name not in only:
             continue
@@ -108,9 +108,14 @@ def main():
         try:
             df = fn(spark, sf)
             # every column feeds the checksum, so nothing is pruned away; one tiny row returns
-            res = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("h")).first()
+            aggs = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("h")]
+            if "recall" in df.columns:
+                aggs.append(F.avg("recall").alias("recall"))
+            res = df.agg(*aggs).first()
             timings[name] = round(time.time() - t0, 3)
             rows[name] = int(res["n"])
+            if "recall" in df.columns:
+                quality[f"{name}_mean_recall"] = round(float(res["recall"]), 4)
         except Exception as e:  # noqa: BLE001
             errors[name] = str(e)[:300]
     spark.stop()
@@ -125,6 +130,7 @@ def main():
         "shuffle_bytes": {k: ev.get(k, {}).get("shuffle_bytes") for k in timings},
         "tasks": {k: ev.get(k, {}).get("tasks") for k in timings},
         "cpus": int(cpus),
+        "quality": quality,
     }
     if errors:
         out["errors"] = errors
