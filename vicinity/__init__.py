@@ -14,6 +14,6 @@ plans       the query catalogue: one function per registered query plus its orac
 streaming   incremental metric counters over a file stream
 """
 
-from vicinity.session import get_spark, checkpoint_dir  # noqa: F401
+from vicinity.session import checkpoint_dir, cut_lineage, get_spark, ship_package  # noqa: F401
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark", "checkpoint_dir", "cut_lineage", "ship_package"]
