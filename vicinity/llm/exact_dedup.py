@@ -6,23 +6,21 @@ document that has no copy:
 1. every row's normalised text is hashed (md5, 128 bits) and hashes are counted
    (partial counts per task, so a group of copies of any size is one row per
    task in the shuffle);
-2. the hashes counted twice or more set bits of a bitmap of fixed size, which
-   is broadcast; a row whose bit is clear has no copy and is answered in place;
+2. hashes counted twice or more make a filter of fixed size; a row that it
+   excludes has no copy and is answered in place;
 3. the other rows are grouped by ``(hash, normalised text)``, so Spark's own
    key equality compares the bytes and two texts that share a hash stay apart,
    and each row takes its group's answer by an equality join on the same pair.
-
-The bitmap only saves work: with more copied groups than bits, more rows take
-step 3 and the answers stay the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinity.llm.fixed_filter import FILTER_MB, with_maybe
+
 SEPARATORS = " \t\n\x0b\x0c\r"
-_SLICE = 32768  # bits of one bitmap built by bitmap_construct_agg
 
 
 def normalised(text: Column) -> Column:
@@ -30,63 +28,59 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SEPARATORS, "")
 
 
-def copied_bits(hashes: DataFrame, slices: int) -> DataFrame:
-    """``(_slice, _bits)``: at most ``slices`` bitmaps of 4 KB with a bit for each hash that occurs twice or more."""
-    bit = F.pmod(F.xxhash64("_h"), F.lit(slices * _SLICE))
-    return (hashes.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-            .select(bit.alias("_bit"))
-            .groupBy(F.expr(f"_bit div {_SLICE}").alias("_slice"))
-            .agg(F.bitmap_construct_agg(F.col("_bit") % _SLICE).alias("_bits")))
+def _alone_and_grouped(docs: DataFrame, id_col: str, text_col: str, filter_mb: int) -> tuple[DataFrame, DataFrame]:
+    """Rows without a copy, and the others with ``_keep``, ``_size`` and ``_best``; each input row is in ``_row``."""
+    rows = docs.select(F.struct("*").alias("_row")).select(
+        "_row", F.col(f"_row.`{id_col}`").alias("_id"),
+        F.char_length(F.coalesce(f"_row.`{text_col}`", F.lit(""))).alias("_chars"),
+        normalised(F.col(f"_row.`{text_col}`")).alias("_norm")).withColumn("_h", F.unhex(F.md5("_norm")))
+    twice = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    marked = with_maybe(rows, "_h", twice, filter_mb)
+
+    copies = marked.filter("_maybe")
+    # bitwise_not turns "smallest id" into "largest" without overflow; a null is the smallest value in a struct
+    groups = copies.groupBy("_h", "_norm").agg(
+        F.count(F.lit(1)).alias("_size"), F.max(F.struct("_chars", F.bitwise_not("_id").alias("_inv"))).alias("_top"))
+    keep = F.bitwise_not("_top._inv")
+    grouped = copies.join(groups, ["_h", "_norm"]).select(
+        "_row", "_id", "_h", "_norm", "_size", keep.alias("_keep"),
+        (F.col("_id").eqNullSafe(keep) & (F.col("_chars") == F.col("_top._chars"))).alias("_best"))
+    return marked.filter(~F.col("_maybe")), grouped
+
+
+def _first_of_repeated() -> Column:
+    """Among rows that repeat the best row (same id, same text), one is chosen; any other grouping key is as good."""
+    return F.row_number().over(Window.partitionBy("_id", "_h", "_best").orderBy(F.lit(0))) == 1
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_mb: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 filter_mb: int = FILTER_MB) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Rows are copies when their texts are equal after deleting white space
     (``[\\x20\\x09-\\x0D]``).  Of the copies, the row with the most code points
     in its original text stays, then the smallest id.
 
-    * null text: the empty text, copies of each other and of all-blank texts;
-    * null id: loses every tie against a row with an id; a group whose rows all have null ids keeps all of them;
-    * repeated rows (same id and text): one group, each of them marked as kept, since nothing tells them apart;
+    * null text: the empty text, a copy of other nulls and of all-blank texts;
+    * null id: loses every tie against a row with an id;
+    * repeated rows (same id, same text): one of them is marked as kept, and they are interchangeable;
     * empty table: no rows; other columns of the input, whatever their names, are not read.
 
-    ``filter_mb`` is the size of the broadcast bitmap (16 MB: 1.3e8 bits).
+    ``filter_mb`` is the size of the broadcast filter (16 MB: 1.3e8 bits); it bears on speed only.
     """
-    slices = filter_mb * 256
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw")).select(
-        "_id", F.char_length(F.coalesce("_raw", F.lit(""))).alias("_chars"), normalised(F.col("_raw")).alias("_norm"),
-    ).withColumn("_h", F.unhex(F.md5("_norm")))
-    bits = copied_bits(rows.select("_h"), slices)
-
-    bit = F.pmod(F.xxhash64("_h"), F.lit(slices * _SLICE))
-    marked = (rows.withColumn("_bit", bit).withColumn("_slice", F.expr(f"_bit div {_SLICE}"))
-              .join(F.broadcast(bits), "_slice", "left"))
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_bit % {_SLICE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    has_copy = F.coalesce(F.expr("_bits is not null") & (F.shiftright(byte, 0).bitwiseAND(
-        F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0), F.lit(False))
+    alone, grouped = _alone_and_grouped(docs.select(id_col, text_col), id_col, text_col, filter_mb)
     sha = F.sha2("_norm", 256)
-
-    alone = marked.filter(~has_copy).select(
-        F.col("_id").alias("doc_id"), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), sha.alias("text_sha256"))
-
-    copies = marked.filter(has_copy).select("_id", "_chars", "_h", "_norm")
-    # bitwise_not turns "smallest id" into "largest" without overflow; a null id is the smallest in a struct
-    groups = copies.groupBy("_h", "_norm").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct("_chars", F.bitwise_not("_id").alias("inv"))).alias("_best"))
-    keep = F.bitwise_not("_best.inv")
-    grouped = copies.select("_id", "_h", "_norm").join(groups, ["_h", "_norm"]).select(
-        F.col("_id").alias("doc_id"), keep.alias("keep_id"), "group_size",
-        F.col("_id").eqNullSafe(keep).alias("kept"), sha.alias("text_sha256"))
+    alone = alone.select(F.col("_id").alias("doc_id"), F.col("_id").alias("keep_id"),
+                         F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
+    grouped = grouped.select("_id", "_h", "_best", "_keep", "_size", sha.alias("_sha")).select(
+        F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
+        (F.col("_best") & _first_of_repeated()).alias("kept"), F.col("_sha").alias("text_sha256"))
     return alone.unionByName(grouped)
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: rows whose id :func:`exact_groups` drops go.
-
-    Only the ids of dropped rows are joined (anti join on the id).  A null id never matches, so such a row stays.
-    """
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                filter_mb: int = FILTER_MB) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns; only rows with copies are shuffled."""
+    alone, grouped = _alone_and_grouped(docs, id_col, text_col, filter_mb)
+    best = grouped.filter("_best").select("_row", _first_of_repeated().alias("_one")).filter("_one")
+    return alone.select("_row.*").unionByName(best.select("_row.*"))

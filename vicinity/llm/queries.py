@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import chat_format, exact_dedup
+from vicinity.llm import chat_format, exact_dedup, pieces, quality_rules, simhash
+from vicinity.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+TOKENIZERS = os.environ.get("VICINITY_TOKENIZERS", "/opt/tokenizers")  # folder of the public vocabulary files
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -63,3 +68,23 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars, CAST(NULL AS BIGINT) AS rewrites_at
 FROM e GROUP BY conv_id"""
+
+
+@query
+def op7_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of every document: 4-word shingles, at most 4 bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, max_bits=4, seed=42)
+
+
+@query
+def op9_sentencepiece(spark, sf_dir):
+    """Every document encoded with the piece model and an end id, and decoded again; digests of both."""
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces.read_model(spark, PIECE_MODEL))
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    """Counts, posterior and verdict of every document."""
+    counts = cut_lineage(quality_rules.quality_counts(table(spark, sf_dir, "documents")))
+    return quality_rules.judge(counts).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
