@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import chat_format, exact_dedup, pieces, quality_rules, simhash
+from vicinity.llm import chat_format, exact_dedup, importance, mixing, pieces, quality_rules, simhash
 from vicinity.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,15 @@ def op10_quality_rules(spark, sf_dir):
     counts = cut_lineage(quality_rules.quality_counts(table(spark, sf_dir, "documents")))
     return quality_rules.judge(counts).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@query
+def op4_mixing(spark, sf_dir):
+    """Domain posteriors, fitted rate and number of copies of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_quality_classifier(spark, sf_dir):
+    """Log importance weight, Gumbel key and verdict of every document."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
