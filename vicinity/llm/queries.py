@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import chat_format, exact_dedup, importance, mixing, pieces, quality_rules, simhash
+from vicinity.llm import chat_format, exact_dedup, importance, langid, mixing, pieces, quality_rules, simhash
+from vicinity.llm import token_counts
 from vicinity.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZERS = os.environ.get("VICINITY_TOKENIZERS", "/opt/tokenizers")  # folder of the public vocabulary files
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
 def query(fn):
@@ -100,3 +102,18 @@ def op4_mixing(spark, sf_dir):
 def op6_quality_classifier(spark, sf_dir):
     """Log importance weight, Gumbel key and verdict of every document."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_token_counts(spark, sf_dir):
+    """Totals, quantile and truncated total for every occurring length as context limit."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.read_ranks(spark, RANKS))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    """Predicted language of every document; learned from the rows outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.fold("doc_id", 5)
+    model = langid.train(docs.filter(fold != 0))
+    return langid.identify(docs, model).withColumn("held_out", fold == 0)
