@@ -127,9 +127,11 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``values[bounds[i]:bounds[i + 1]]`` for every i, empty ones included."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    out = np.zeros(len(bounds) - 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, bounds[some], dtype=out.dtype)
+    return out
 
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

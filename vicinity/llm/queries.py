@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.llm import chat_format, exact_dedup, importance, langid, mixing, pieces, quality_rules, simhash
-from vicinity.llm import token_counts
+from vicinity.llm import token_counts, word_lm
 from vicinity.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,12 @@ def op5_language_id(spark, sf_dir):
     fold = langid.fold("doc_id", 5)
     model = langid.train(docs.filter(fold != 0))
     return langid.identify(docs, model).withColumn("held_out", fold == 0)
+
+
+@query
+def op8_lm_scoring(spark, sf_dir):
+    """Base and model log10 probability of every document; learned from the rows outside fold 2 of 7."""
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.fold("doc_id", 7)
+    model = word_lm.train(docs.filter(fold != 2))
+    return word_lm.score(docs, model).withColumn("held_out", fold == 2)
