@@ -2,11 +2,12 @@
 
 Two bag-of-hashed-n-grams generative models are counted in Spark: one of the
 target (labelled good texts) and one of the raw text (every document).  A
-document's weight is the likelihood ratio of the two, and a sample without
-replacement proportional to the weights is drawn by Gumbel top-k: add Gumbel
-noise to each log weight and keep the k largest keys.  k is the number of
-documents whose log weight passes a threshold set on the labelled rows, so the
-verdict follows the ratio and the noise moves only documents near it.
+document's log weight is the log likelihood ratio of the two; as a sum it would
+rank by length first, so the sampling weight is its mean per word.  A sample
+without replacement proportional to the weights (tempered) is drawn by Gumbel
+top-k: add Gumbel noise to each log ratio and keep the k largest keys.  k is the
+number of documents whose log ratio passes a threshold set on the labelled rows,
+so the verdict follows the ratio and the noise moves only documents near it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from vicinity.llm import ngrams
 from vicinity.llm.fixed_filter import without_ids
 from vicinity.session import cut_lineage
 
+TEMPERATURE = 0.1      # of the sampling weights: scale of the Gumbel noise, in log ratio per word
 MAX_LABELLED = 20_000  # bound on the labelled rows that the target model and the threshold are fitted on
 
 
@@ -38,7 +40,10 @@ def with_labels(docs: DataFrame, sample: DataFrame, id_col: str) -> DataFrame:
 
 
 def log_weights(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, log_weight`` of every whole text; map only.  A text without words has weight 1 (log 0)."""
+    """``doc_id, n_words, log_weight, log_ratio`` (per word) of every whole text; map only.
+
+    A text without words has weight 1 (log 0).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -46,11 +51,11 @@ def log_weights(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text
             for part in bt.slices(batch, "text"):
                 sums, words = ngrams.score_texts(part.column("text"), shared.value[None])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(words, pa.int64()), pa.array(sums[:, 0])],
-                    ["doc_id", "n_words", "log_weight"])
+                    [part.column("doc_id"), pa.array(words, pa.int64()), pa.array(sums[:, 0]),
+                     pa.array(sums[:, 0] / np.maximum(words, 1))], ["doc_id", "n_words", "log_weight", "log_ratio"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_words long, log_weight double")
+    return src.mapInArrow(run, "doc_id long, n_words long, log_weight double, log_ratio double")
 
 
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
@@ -107,12 +112,12 @@ def kth_largest(keyed: DataFrame, k: int, small: int = 10_000, bins: int = 4096)
     return lo, kth_largest(inside.select((-F.col("doc_id").cast("double")).alias("key"), "doc_id"), rank, small, bins)[1]
 
 
-def gumbel_top_k(scored: DataFrame, k: int, seed: int = 42, temperature: float = 1.0) -> DataFrame:
-    """``scored`` (``doc_id``, ``log_weight``; read several times, so stored) with ``key`` and ``kept``: exactly k rows.
+def gumbel_top_k(scored: DataFrame, k: int, seed: int = 42, temperature: float = TEMPERATURE) -> DataFrame:
+    """``scored`` (``doc_id``, ``log_ratio``; read several times, so stored) with ``key`` and ``kept``: exactly k rows.
 
-    Rows that repeat an id and a weight at the cut share its fate, since nothing tells them apart.
+    Rows that repeat an id and a ratio at the cut share its fate, since nothing tells them apart.
     """
-    keyed = scored.withColumn("key", F.col("log_weight") + F.lit(float(temperature)) * gumbel("doc_id", seed))
+    keyed = scored.withColumn("key", F.col("log_ratio") + F.lit(float(temperature)) * gumbel("doc_id", seed))
     if k <= 0:
         return keyed.withColumn("kept", F.lit(False))
     if k >= keyed.count():
@@ -122,15 +127,15 @@ def gumbel_top_k(scored: DataFrame, k: int, seed: int = 42, temperature: float =
     return keyed.withColumn("kept", (F.col("key") > key) | ((F.col("key") == key) & tie))
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, temperature: float = 1.0,
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, temperature: float = TEMPERATURE,
              max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text",
              quality_col: str = "quality") -> DataFrame:
-    """One row per document: ``doc_id, n_words, log_weight, key, kept``.
+    """One row per document: ``doc_id, n_words, log_weight, log_ratio, key, kept``.
 
     The target model counts the texts labelled 1 in a hash sample of at most about ``max_labelled`` labels; the raw
     model counts all texts.  Without labels of both kinds there is no threshold and every document stays.
 
-    * null, empty or blank text: log weight 0, judged like any other; null id: scored, never labelled;
+    * null, empty or blank text: log ratio 0, judged like any other; null id: scored, never labelled;
     * repeated rows: each is scored; labels repeated for an id: the smallest counts, nulls don't;
     * empty tables: no rows, or no labels as above; further columns are not read.
     """
@@ -141,14 +146,13 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, temperature: fl
     target = ngrams.bucket_counts(labelled, 1)
     if not target.any():
         return docs.select("doc_id", F.lit(None).cast("long").alias("n_words"), F.lit(0.0).alias("log_weight"),
-                           gumbel("doc_id", seed).alias("key"), F.lit(True).alias("kept"))
+                           F.lit(0.0).alias("log_ratio"), gumbel("doc_id", seed).alias("key"), F.lit(True).alias("kept"))
     raw = ngrams.bucket_counts(docs.withColumn("cls", F.lit(0)), 1)
-    shares = ngrams.log_shares(np.concatenate((target, raw)))
-    scored = cut_lineage(log_weights(docs, shares[0] - shares[1]))
+    scored = cut_lineage(log_weights(docs, ngrams.log_ratio(target[0], raw[0])))
     known = (scored.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"))
-             .select("log_weight", "_label").toPandas())  # bounded by the sample
-    cut = best_threshold(known.log_weight[known._label >= 1].to_numpy(), known.log_weight[known._label < 1].to_numpy())
-    return gumbel_top_k(scored, scored.filter(F.col("log_weight") >= cut).count(), seed, temperature)
+             .select("log_ratio", "_label").toPandas())  # bounded by the sample
+    cut = best_threshold(known.log_ratio[known._label >= 1].to_numpy(), known.log_ratio[known._label < 1].to_numpy())
+    return gumbel_top_k(scored, scored.filter(F.col("log_ratio") >= cut).count(), seed, temperature)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

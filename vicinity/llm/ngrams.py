@@ -91,10 +91,14 @@ def bucket_counts(docs: DataFrame, classes: int, text_col: str = "text", class_c
     return out
 
 
-def log_shares(counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
-    """Log share of each bucket in each class."""
-    c = counts + smooth
-    return np.log(c) - np.log(c.sum(1, keepdims=True))
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 20.0) -> np.ndarray:
+    """Log of the target model's share of each bucket over the raw model's.
+
+    The target's count is set against the count expected of it if it were raw text, both with ``prior`` pseudo-counts:
+    a bucket too rare to tell gives a ratio near 1, so a text isn't marked down for n-grams of its own.
+    """
+    expected = raw * (target.sum() / max(raw.sum(), 1))
+    return np.log((target + prior) / (expected + prior))
 
 
 def score_texts(col: pa.Array, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
