@@ -48,7 +48,10 @@ def test_multilabel_metrics_hand_table(spark):
     preds = spark.createDataFrame([(0, 1, 0), (0, 1, 1), (0, 2, 2)], "k int, id long, label int")
     truth = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 3)], "id long, label int")
     conf = metrics.multilabel_confusion(preds, truth, [0])
-    exact = metrics.subset_exact(preds, truth, [0])
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    exact = metrics.subset_exact(preds, truth, [0], ids)
+    more = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")  # 4 has no label on either side
+    assert metrics.subset_exact(preds, truth, [0, 5], more).filter("k = 0").first().n_exact == 2
     got = {r.metric: r.value for r in metrics.multilabel_metrics(conf, 3, 4, exact).collect()}
     tp, fp, fn, N, L, e = 2, 1, 2, 3, 4, 1e-5
     assert got["confusion/tp"] == tp and got["confusion/fp"] == fp and got["confusion/fn"] == fn

@@ -118,14 +118,30 @@ def lookup_token_vectors(tokens: DataFrame, vocab: DataFrame, normalize: bool =
     return out.withColumn("vec", l2_normalize("_v") if normalize else F.col("_v").cast("array<double>")).drop("_v")
 
 
-def group_mean(df: DataFrame, keys: list[str], dim: int, vec: str = "vec", normalize: bool = True) -> DataFrame:
+def checked_length(vec: str, dim: int):
+    """The vector, or an error if it hasn't ``dim`` components."""
+    return F.when(F.col(vec).isNull() | (F.size(vec) == dim), F.col(vec)).otherwise(
+        F.raise_error(F.concat(F.lit(f"a vector has not {dim} components but "), F.size(vec).cast("string"))))
+
+
+def vector_length(df: DataFrame, vec: str = "vec") -> int:
+    """Number of components of the first vector (0 without rows); the others are checked where they are used."""
+    row = df.filter(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
+    return int(row["d"]) if row else 0
+
+
+def group_mean(df: DataFrame, keys: list[str], dim: int | None = None, vec: str = "vec", normalize: bool = True) -> DataFrame:
     """Component-wise mean of the vectors of each group, optionally L2-normalised.
 
     One ``avg`` per component: partial aggregation before the shuffle, no
-    collection of group members, so large groups cost nothing extra.
+    collection of group members, so large groups cost nothing extra.  Every
+    vector must have ``dim`` components (those of the first row, if not given);
+    a ragged input is an error.
     """
-    mean = F.array(*[F.avg(F.col(vec)[i]) for i in range(dim)])
-    out = df.groupBy(*keys).agg(mean.alias(vec))
+    dim = vector_length(df, vec) if dim is None else dim
+    src = df.withColumn(vec, checked_length(vec, dim))
+    mean = F.array(*[F.avg(F.col(vec)[i]) for i in range(dim)]).cast("array<double>")
+    out = src.groupBy(*keys).agg(mean.alias(vec))
     return out.withColumn(vec, l2_normalize(vec)) if normalize else out
 
 
@@ -166,36 +182,49 @@ class ArrowBatchEncoder:
     """User model hook (E3 / E4 / E5): ``fn(list[str]) -> list[np.ndarray]`` per Arrow batch.
 
     ``fn`` returns, per text, a (length, dim) array (multi-vector) or a (dim,)
-    array (single vector).  Runs in ``mapInArrow``: batches of
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, no driver round trip.
+    array (single vector).  Runs in ``mapInArrow`` with no driver round trip:
+    ``fn`` gets at most ``texts_per_call`` texts, and an output batch holds
+    about ``MAX_VECTORS`` vectors (or those of one text, if it has more).  The
+    id column keeps its type.
     """
 
-    def __init__(self, fn: Callable[[list[str]], list[np.ndarray]], multi_vector: bool = True):
+    MAX_VECTORS = 16_384
+
+    def __init__(self, fn: Callable[[list[str]], list[np.ndarray]], multi_vector: bool = True,
+                 texts_per_call: int = 512):
         self.fn = fn
         self.multi_vector = multi_vector
+        self.texts_per_call = texts_per_call
 
     def encode(self, df: DataFrame, id_col: str = "pid", text: str = "text") -> DataFrame:
-        fn, multi = self.fn, self.multi_vector
-        schema = (f"{id_col} long, pos int, vec array<double>" if multi else f"{id_col} long, vec array<double>")
+        fn, multi, step, most = self.fn, self.multi_vector, self.texts_per_call, self.MAX_VECTORS
+        id_type = df.schema[id_col].dataType.simpleString()
+        schema = f"{id_col} {id_type}, " + ("pos int, vec array<double>" if multi else "vec array<double>")
+
+        def lists(vectors: np.ndarray) -> pa.Array:
+            n, dim = vectors.shape
+            return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(dim)),
+                                            pa.array(vectors.reshape(-1)))
 
         def run(batches):
             for b in batches:
-                ids = b.column(id_col).to_pylist()
-                texts = b.column(text).to_pylist()
-                outs = fn(texts)
-                if multi:
-                    rid, rpos, rvec = [], [], []
-                    for i, m in zip(ids, outs):
-                        m = np.asarray(m, dtype=np.float64).reshape(len(m), -1)
-                        rid.extend([i] * len(m))
-                        rpos.extend(range(len(m)))
-                        rvec.extend(m.tolist())
-                    yield pa.RecordBatch.from_pydict({id_col: pa.array(rid, pa.int64()),
-                                                      "pos": pa.array(rpos, pa.int32()),
-                                                      "vec": pa.array(rvec, pa.list_(pa.float64()))})
-                else:
-                    vec = [np.asarray(m, dtype=np.float64).tolist() for m in outs]
-                    yield pa.RecordBatch.from_pydict({id_col: pa.array(ids, pa.int64()),
-                                                      "vec": pa.array(vec, pa.list_(pa.float64()))})
-
-        return df.select(F.col(id_col).cast("long"), text).mapInArrow(run, schema)
+                for at in range(0, b.num_rows, step):
+                    ids, part = b.column(id_col).slice(at, step), b.column(text).slice(at, step)
+                    outs = [np.asarray(m, dtype=np.float64) for m in fn(part.to_pylist())]
+                    if not multi:
+                        yield pa.RecordBatch.from_arrays([ids, lists(np.stack(outs))], [id_col, "vec"])
+                        continue
+                    sizes = np.array([len(m) for m in outs])
+                    ends = np.cumsum(sizes)
+                    lo = 0
+                    while lo < len(outs):
+                        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+                        n = sizes[lo:hi]
+                        if n.sum():
+                            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                            yield pa.RecordBatch.from_arrays(
+                                [ids.take(pa.array(np.repeat(np.arange(lo, hi), n))), pa.array(pos.astype(np.int32)),
+                                 lists(np.concatenate([m for m in outs[lo:hi] if len(m)]))], [id_col, "pos", "vec"])
+                        lo = hi
+
+        return df.select(id_col, text).mapInArrow(run, schema)

@@ -94,12 +94,19 @@ def multilabel_confusion(preds: DataFrame, truth: DataFrame, ks, group: str = "k
         F.sum(F.when(F.col("p").isNull() & F.col("t").isNotNull(), 1).otherwise(0)).cast("long").alias("fn")))
 
 
-def subset_exact(preds: DataFrame, truth: DataFrame, ks, group: str = "k") -> DataFrame:
-    """``(group, n_exact)``: rows whose predicted set equals the true set (M8 numerator)."""
+def subset_exact(preds: DataFrame, truth: DataFrame, ks, ids: DataFrame, group: str = "k") -> DataFrame:
+    """``(group, n_exact)``: rows whose predicted set equals the true set (M8 numerator).
+
+    ``ids(id)`` are all rows under test: one without true and without predicted labels is exact too, though it is on
+    neither exploded side.  Counted as all rows less those with a differing label.
+    """
     both = _multilabel_join(preds, truth, ks, group)
-    err = both.groupBy(group, "id").agg(
-        F.sum(F.when(F.col("p").isNull() | F.col("t").isNull(), 1).otherwise(0)).alias("err"))
-    return err.groupBy(group).agg(F.sum(F.when(F.col("err") == 0, 1).otherwise(0)).cast("long").alias("n_exact"))
+    wrong = (both.filter(F.col("p").isNull() | F.col("t").isNull()).groupBy(group)
+             .agg(F.countDistinct("id").alias("n_wrong")))
+    every = (ids.agg(F.countDistinct("id").alias("n"))
+             .select("n", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias(group)))
+    return (every.join(wrong, group, "left")
+            .select(group, (F.col("n") - F.coalesce("n_wrong", F.lit(0))).cast("long").alias("n_exact")))
 
 
 def multilabel_metrics(confusion: DataFrame, n_examples, n_labels: int, exact: DataFrame,

@@ -7,6 +7,8 @@ write-then-read round trips of data derived from the fixtures.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
@@ -208,14 +210,14 @@ def compression_matrix(spark, dim: int, out: int) -> np.ndarray:
 pr AS (SELECT e.vec_id AS pid, wm.j, sum(e.embedding[wm.i + 1]::DOUBLE * wm.w) AS y
        FROM embeddings e JOIN wm ON true GROUP BY e.vec_id, wm.j),
 pv AS (SELECT pid, list(y ORDER BY j) AS v FROM pr GROUP BY pid)""") + """
-SELECT pid, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS vec FROM pv""")
+SELECT pid, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6) + 0.0) AS vec FROM pv""")
 def linear_compress_query(spark, sf):
     """Vectors compressed to 16 dimensions by a weight matrix without bias, then L2 normalised."""
     dim = pidx._dim(spark, sf)
     W = compression_matrix(spark, dim, COMPRESS_DIM)
     v = fx.vectors(spark, sf).select("pid", "vec")
     out = linear_compress(v, W)
-    return out.select("pid", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return out.select("pid", F.transform("vec", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vec"))
 
 
 # --------------------------------------------------------------------------- rows-only MLlib forms
@@ -297,8 +299,9 @@ def remine_round(spark, sf):
 
 # --------------------------------------------------------------------------- S1 / S2 round trips
 
-def _scratch(spark, name, sf):
-    return f"{checkpoint_dir(spark)}/{name}-{abs(hash(sf)) % 10_000_000}"
+def _scratch(spark, name):
+    """A path of its own for every call: an earlier result may still be read."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @register("jsonl_corpus", """
@@ -312,18 +315,28 @@ def jsonl_corpus(spark, sf):
     lab = load(spark, sf, "labels")
     labels = F.when(F.col("quality").isNull(), F.array().cast("array<int>")).otherwise(
         F.array(F.col("quality"), F.lit(2) + F.col("toxic")))
-    src = d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("pid"), F.col("source").alias("title"),
+    src = d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("uid"), F.col("source").alias("title"),
                                                 "text", labels.alias("labels"))
-    path = _scratch(spark, "jsonl-corpus", sf)
+    path = _scratch(spark, "jsonl-corpus")
     jsonl.write_jsonl_corpus(src, path)
     back = jsonl.read_jsonl_corpus(spark, path)
-    return back.select("pid", cp.concat_fields("title", "text").alias("text"), "labels")
+    return back.select(F.col("uid").cast("long").alias("pid"), cp.concat_fields("title", "text").alias("text"), "labels")
+
+
+@register("jsonl_no_uid", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pid, source AS title, text FROM documents")
+def jsonl_no_uid(spark, sf):
+    """A corpus whose lines have no id: the line number is the id."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("_order"), F.col("source").alias("title"), "text",
+                                             F.array().cast("array<int>").alias("labels"))
+    path = _scratch(spark, "jsonl-no-uid")
+    jsonl.write_jsonl_corpus(d.repartitionByRange(4, "_order").sortWithinPartitions("_order").drop("_order"), path)
+    return jsonl.read_jsonl_corpus(spark, path).select("pid", "title", "text")
 
 
 @register("label_names", pc._PRUNE_SQL + "SELECT label_id, name FROM dict")
 def label_names(spark, sf):
     """Label dictionary written one name per line and read back, id = line number."""
     _, d = pc._prune(spark, sf)
-    path = _scratch(spark, "label-names", sf)
+    path = _scratch(spark, "label-names")
     jsonl.write_label_names(d, path)
     return jsonl.read_label_names(spark, path)

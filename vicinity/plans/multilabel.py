@@ -121,8 +121,8 @@ conf AS (SELECT k, label, CAST(sum(CASE WHEN p AND t THEN 1 ELSE 0 END) AS BIGIN
          FROM bj GROUP BY k, label),
 nte AS (SELECT count(*) AS n FROM te),
 nlab AS (SELECT greatest((SELECT max(label) FROM trl), (SELECT max(label) FROM (SELECT unnest(labels) AS label FROM te))) + 1 AS L),
-ex AS (SELECT k, sum(CASE WHEN err = 0 THEN 1 ELSE 0 END) AS n_exact
-       FROM (SELECT k, qid, sum(CASE WHEN p AND t THEN 0 ELSE 1 END) AS err FROM bj GROUP BY k, qid) GROUP BY k),
+ex AS (SELECT ks.k, (SELECT n FROM nte) - count(DISTINCT CASE WHEN NOT (p AND t) THEN qid END) AS n_exact
+       FROM ks LEFT JOIN bj ON bj.k = ks.k GROUP BY ks.k),
 per AS (SELECT k, tp, fp, fn, tp / (tp + fp + 1e-5) AS p, tp / (tp + fn + 1e-5) AS r FROM conf),
 tot AS (SELECT k, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn,
                sum(p) / (SELECT L FROM nlab) AS pm, sum(r) / (SELECT L FROM nlab) AS rm,
@@ -156,7 +156,7 @@ def _mlc(spark, sf):
              .select("k", F.col("qid").alias("id"), "label"))
     truth = test.select(F.col("qid").alias("id"), F.explode("labels").alias("label"))
     conf = metrics.multilabel_confusion(preds, truth, MLC_KS)
-    exact = metrics.subset_exact(preds, truth, MLC_KS)
+    exact = metrics.subset_exact(preds, truth, MLC_KS, test.select(F.col("qid").alias("id")))
     stats = test.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("labels")).alias("mx")).first()
     n_labels = max(model.num_labels, int(stats["mx"]) + 1)
     return conf, exact, int(stats["n"]), n_labels
@@ -194,3 +194,26 @@ def mlc_per_class(spark, sf):
     """Per-class precision / recall / F1 and tp / fp / tn / fn of the uncut predictions (M10; D15)."""
     conf, _, n, _ = _mlc(spark, sf)
     return metrics.per_class_metrics(conf.filter(F.col("k") == 0), n).drop("k")
+
+
+# labels of the rows, none on every third; predicted are the labels from 10 on, so some rows are exact with no label
+_EMPTY_SQL = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN [] ELSE [label, CAST(10 + vec_id % 5 AS INTEGER)] END AS t,
+                  CASE WHEN vec_id % 3 = 0 AND vec_id % 2 = 0 THEN [] WHEN vec_id % 3 = 0 THEN [10]
+                       WHEN vec_id % 2 = 0 THEN [label, CAST(10 + vec_id % 5 AS INTEGER)] ELSE [label] END AS p
+           FROM embeddings)
+SELECT 0 AS k, count(*) AS n, count(*) FILTER (list_sort(list_distinct(t)) = list_sort(list_distinct(p))) AS n_exact
+FROM r"""
+
+
+@register("mlc_empty_rows", _EMPTY_SQL)
+def mlc_empty_rows(spark, sf):
+    """Subset accuracy counts rows without true and predicted labels as exact (M8)."""
+    v = fx.vectors(spark, sf).select(F.col("pid").alias("id"), "label")
+    own, none = F.array("label", (10 + F.col("id") % 5).cast("int")), F.array().cast("array<int>")
+    third, even = F.col("id") % 3 == 0, F.col("id") % 2 == 0
+    truth = v.select("id", F.explode(F.when(third, none).otherwise(own)).alias("label"))
+    preds = v.select(F.lit(0).alias("k"), "id", F.explode(
+        F.when(third & even, none).when(third, F.array(F.lit(10))).when(even, own).otherwise(F.array("label"))).alias("label"))
+    exact = metrics.subset_exact(preds, truth, [0], v.select("id"))
+    return exact.join(v.agg(F.lit(0).alias("k"), F.count(F.lit(1)).alias("n")), "k").select("k", "n", "n_exact")

@@ -274,7 +274,7 @@ def _nway_scores(spark, sf):
     pairs = t.select(F.col("anchor").alias("qid"), "pid")
     qv = mv.select(F.col("pid").alias("qid"), F.col("pos").alias("qpos"), "vec")
     student = maxsim_pairs(qv, mv.select("pid", "pos", "vec"), pairs)
-    pooled = group_mean(mv, ["pid"], 64, normalize=False)   # sbert path: not normalised
+    pooled = group_mean(mv, ["pid"], normalize=False)   # sbert path: not normalised
     teacher = (pairs.join(pooled.select(F.col("pid").alias("qid"), F.col("vec").alias("qv")), "qid")
                .join(pooled.select("pid", F.col("vec").alias("pv")), "pid")
                .select("qid", "pid", dot("qv", "pv").alias("teacher")))

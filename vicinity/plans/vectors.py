@@ -25,11 +25,12 @@ DIM = encode.HASHED_DIM
 
 
 def rounded(col="vec"):
-    return F.transform(col, lambda x: F.round(x, 6))
+    """Six digits; adding zero turns -0.0, whose sign depends on summation order, into 0.0."""
+    return F.transform(col, lambda x: F.round(x, 6) + F.lit(0.0))
 
 
 def rounded_sql(col="vec"):
-    return f"list_transform({col}, lambda x: round(x, 6))"
+    return f"list_transform({col}, lambda x: round(x, 6) + 0.0)"
 
 
 def _norm_sql(raw: str) -> str:
@@ -119,12 +120,12 @@ def token_labels(spark, sf):
 
 
 @register("packed_vectors", with_ctes(fx.MV_CTES) + f"""
-SELECT pid, list(list_transform(vec, lambda x: round(x, 6)) ORDER BY pos) AS vecs FROM mv GROUP BY pid""")
+SELECT pid, list({rounded_sql()} ORDER BY pos) AS vecs FROM mv GROUP BY pid""")
 def packed_vectors(spark, sf):
     """Per-passage packed vectors ordered by position."""
     mv = fx.multi_vectors(spark, sf).select("pid", "pos", F.col("vec").cast("array<double>").alias("vec"))
     p = encode.pack_vectors(mv)
-    return p.select("pid", F.transform("vecs", lambda v: F.transform(v, lambda x: F.round(x, 6))).alias("vecs"))
+    return p.select("pid", F.transform("vecs", rounded).alias("vecs"))
 
 
 # --------------------------------------------------------------------------- J3 MaxSim
@@ -218,13 +219,13 @@ def skiplist_maxsim(spark, sf):
 
 # --------------------------------------------------------------------------- U1 / E3 / E4 model hook
 
-@register("arrow_encoder_vectors", with_ctes("cvs AS (SELECT conv_id * 1000 + turn AS tid, text FROM conversations)",
+@register("arrow_encoder_vectors", with_ctes("cvs AS (SELECT conv_id::VARCHAR || ':' || turn AS tid, text FROM conversations)",
                                              hv_ctes("cvs", "tid", "cv"))
           + f"SELECT pid, pos, {rounded_sql()} AS vec FROM cv")
 def arrow_encoder_vectors(spark, sf):
     """A user encoder plugged into the Arrow batch hook (U1, E3/E4): texts of the
     conversation turns in, one vector per token out as ``(pid, pos, vec)``."""
-    c = load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), "text")
+    c = load(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("pid"), "text")
 
     def model(texts):
         import re
