@@ -81,9 +81,10 @@ def test_searched_candidates_fill_up_and_draw(spark):
         assert all((lab[x.pid] == lab[a]) == (x.role == "pos") for x in cs)
         negs = [x for x in cs if x.role == "neg"]
         assert len(negs) == 3 and len({x.pid for x in negs}) == 3
-        retrieved = [x.score for x in cs if x.ord < 1_000_000 and x.role == "neg"]
+        retrieved = [x.score for x in cs if not x.is_fill and x.role == "neg"]
         for x in negs:
-            if x.ord > 1_000_000:
+            if x.is_fill:
+                assert x.ord > 3
                 assert x.score == (min(retrieved) if retrieved else 1.0)
     w = sampling.candidate_weights(c, "scores")
     for x in w.collect():
@@ -152,12 +153,47 @@ def test_random_tuples_multilabel(spark):
         assert all(not (lab[x] & lab[a]) for x in negs)
 
 
-def test_flat_index_resume_refuses_overwrite(spark, tmp_path):
+def test_flat_index_resume_and_rebuild_from_itself(spark, tmp_path):
     v = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "pid long, vec array<double>")
     path = str(tmp_path / "idx2")
-    ivf.build_flat_index(v, path)
-    with pytest.raises(Exception):
-        ivf.build_flat_index(v, path, resume=True)
+    first = ivf.build_flat_index(v, path, resume=True)[1].first()
+    assert ivf.build_flat_index(v, path, resume=True)[1].first() == first
+    stored, _ = ivf.load_or_build_index(v, path)
+    more, meta = ivf.build_flat_index(stored.union(spark.createDataFrame([(9, [9.0])], stored.schema)), path)
+    assert meta.first().ntotal == 4 == more.count() and stored.count() == 3
+    for part in (tmp_path / "idx2" / "metadata").glob("part-*.parquet"):
+        part.write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # an unreadable index is not taken for a missing one
+        ivf.load_or_build_index(v, path)
+
+
+def test_size_check_needs_no_exchange_of_a_big_input(spark):
+    from vicinity.operators.similarity import fetch_if_small
+    big = spark.range(0, 2_000_000, 1, 40)
+    spark.sparkContext.setJobGroup("size check", "")
+    assert fetch_if_small(big, 1000) is None
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("size check")]
+    stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+    spark.sparkContext.setJobGroup("", "")
+    assert sum(s.numTasks for s in stages) < 10 and len(stages) == len(jobs)
+    small = fetch_if_small(spark.range(100), 100)
+    assert small.num_rows == 100 and fetch_if_small(spark.range(101), 100) is None
+
+
+def test_wide_ids_and_positions(spark):
+    v = spark.createDataFrame([(2 ** 50, 2 ** 21, [1.0, 0.0]), (-2 ** 62, 1, [0.0, 1.0])], "pid long, pos long, vec array<double>")
+    cents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cell int, centroid array<double>")
+    got = {tuple(r) for r in ivf.probe_cells(v.withColumnRenamed("pid", "qid"), cents, 1, "qid", "pos").collect()}
+    assert got == {(2 ** 50, 2 ** 21, 0, 1.0), (-2 ** 62, 1, 1, 1.0)}
+
+
+def test_group_mean_takes_the_length_of_its_input(spark):
+    v = spark.createDataFrame([(1, [float(i) for i in range(128)]), (1, [0.0] * 128)], "pid long, vec array<double>")
+    assert encode.group_mean(v, ["pid"], normalize=False).first().vec == [i / 2 for i in range(128)]
+    ragged = v.union(spark.createDataFrame([(1, [0.0] * 64)], v.schema))
+    with pytest.raises(Exception, match="components"):
+        encode.group_mean(ragged, ["pid"]).collect()
 
 
 def test_mlknn_model_save_load(spark, tmp_path):
@@ -184,3 +220,23 @@ def test_cell_map_grid_fallback_equals_broadcast(spark):
     finally:
         spark.conf.unset("vicinity.broadcast.maxBytes")
     assert a == b and len(a) == 120
+
+
+def test_one_label_multilabel_rows_end_quickly(spark):
+    p = spark.createDataFrame([(i, [7]) for i in range(2000)], "pid long, labels array<int>")
+    t = _tuples(sampling.random_tuples_ml(p, 4, seed=2))
+    assert len(t) == 2000 and all(sorted(s) == [0, 1] and s[1] != a for a, s in t.items())
+
+
+def test_pool_order_does_not_depend_on_bucket_size(spark):
+    p = spark.createDataFrame([(i, i % 3) for i in range(300)], "pid long, label int")
+    a, _ = sampling.label_pools(p, 5)
+    b, _ = sampling.label_pools(p, 5, target=10)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_uniform_has_52_bits(spark, duck):
+    from vicinity.functions.hashing import uniform, uniform_sql
+    got = [r[0] for r in spark.range(200).select(uniform(3, "id")).collect()]
+    assert got == [r[0] for r in duck.sql(f"SELECT {uniform_sql(3, 'id')} FROM range(200) t(id) ORDER BY id").fetchall()]
+    assert any((x * 2 ** 32) % 1 for x in got) and all(0 <= x < 1 for x in got)

@@ -4,8 +4,8 @@ Every random choice in the engine (splits, subsamples, candidate draws,
 weighted tuple draws) is a pure function of ``(seed, ids)``: results do not
 depend on partitioning, executor loss or re-execution.
 
-The uniform is ``first 8 hex digits of md5("seed:id1:id2...") / 2^32``, which
-DuckDB reproduces as ``('0x' || substr(md5(...), 1, 8))::BIGINT / 4294967296``.
+The uniform is ``first 13 hex digits of md5("seed:id1:id2...") / 2^52`` (52 bits, so every position of a pool of up to 4e15 rows
+can be drawn), which DuckDB reproduces as ``('0x' || substr(md5(...), 1, 13))::BIGINT / 4503599627370496``.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ def _key(seed, *cols) -> Column:
 
 def uniform(seed, *cols) -> Column:
     """Uniform double in [0, 1) from md5 of ``seed:col1:col2...``."""
-    return F.conv(F.substring(F.md5(_key(seed, *cols)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(_key(seed, *cols)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def uniform_sql(seed, *exprs: str) -> str:
     """The same uniform as a DuckDB SQL expression (for oracle strings)."""
     inner = " || ':' || ".join([f"'{seed}'"] + [f"CAST({e} AS VARCHAR)" for e in exprs])
-    return f"(('0x' || substr(md5({inner}), 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5({inner}), 1, 13))::BIGINT / {float(1 << 52)!r})"
 
 
 def hash_order(seed, *cols) -> Column:

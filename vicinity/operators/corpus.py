@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.hashing import uniform
 
-CUT_BUCKETS = 4096
+CUT_ROWS = 1 << 16      # rows of a hash bucket of a seeded selection, whatever the table size
 
 
 # --------------------------------------------------------------------------- P1 / P2 / P3
@@ -114,18 +114,21 @@ def fine_label(name) -> F.Column:
 # --------------------------------------------------------------------------- P10-P13 seeded selections
 
 def exact_cut(df: DataFrame, quota: DataFrame | int, seed: int, id_col: str = "pid",
-              keys: list[str] | None = None, flag: str = "selected") -> DataFrame:
+              keys: list[str] | None = None, flag: str = "selected", n_rows: int | None = None) -> DataFrame:
     """Flag exactly ``quota`` rows per key group: the smallest ``(u, id)`` with
     ``u = uniform(seed, id)``.
 
-    Rows are hashed into ``CUT_BUCKETS`` buckets of ``u``; a tiny histogram per
+    Rows are put into buckets of ``u``, as many as keep a bucket at about
+    ``CUT_ROWS`` rows (``n_rows`` is counted unless given); a histogram per
     (group, bucket) finds the boundary bucket, whole buckets are taken or left,
     and only rows of the boundary bucket are ranked - a bounded window, never a
-    sort of a whole (possibly dominant) group in one task.
+    sort of a whole (possibly dominant) group in one task.  The selection
+    does not depend on the number of buckets.
     """
+    buckets = max(64, math.ceil((df.count() if n_rows is None else n_rows) / CUT_ROWS))
     keys = list(keys or [])
     u = uniform(seed, id_col)
-    d = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * CUT_BUCKETS).cast("int"))
+    d = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets).cast("long"))
     hist = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_cum", F.sum("_cnt").over(w))
@@ -155,7 +158,7 @@ def random_split(df: DataFrame, size: int | float, seed: int, id_col: str = "pid
                  names: tuple[str, str] = ("train", "validation")) -> DataFrame:
     """Seeded split; ``size`` rows (int) or ``ceil(size * n)`` (fraction) go to ``names[1]`` (P10)."""
     n = df.count()
-    cut = exact_cut(df, _target(n, size), seed, id_col, flag="_sel")
+    cut = exact_cut(df, _target(n, size), seed, id_col, flag="_sel", n_rows=n)
     return cut.withColumn("split", F.when(F.col("_sel"), F.lit(names[1])).otherwise(F.lit(names[0]))).drop("_sel")
 
 
@@ -193,7 +196,8 @@ def subsample(df: DataFrame, size: int | float | None, seed: int, stratify: bool
     if stratify:
         cut = exact_cut(df, stratified_quota(df, size, label), seed, id_col, keys=[label], flag="_sel")
     else:
-        cut = exact_cut(df, _target(df.count(), size), seed, id_col, flag="_sel")
+        n = df.count()
+        cut = exact_cut(df, _target(n, size), seed, id_col, flag="_sel", n_rows=n)
     return cut.filter("_sel").drop("_sel")
 
 

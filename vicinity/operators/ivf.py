@@ -14,18 +14,21 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinity.functions.vectors import l2_normalize
-from vicinity.operators.similarity import (MATCH_SCHEMA, _CAND_SCHEMA, _final_topk, _matrix, _np, _segments,
-                                           knn_join, maxsim_scores, topk_rows)
+from vicinity.functions.vectors import dot, l2_normalize
+from vicinity.operators.encode import checked_length, vector_length
+from vicinity.operators.similarity import (MATCH_SCHEMA, SCORE_CELLS, _CAND_SCHEMA, _final_topk, _matrix, _np, _segments,
+                                           _spread, broadcast_limit, fetch_if_small, knn_join, maxsim_scores, topk_rows)
+from vicinity.session import cut_lineage
 
 INDEX_METRICS = ("inner_product", "l2_distance")
-_POS_SPAN = 1 << 20  # composite (id, position) key for vector-level probing
 
 # ---- fixed values: k-dependent search defaults (J6) ---------------------------------
 # k <= 10: 1 cell, centroid score threshold 0.5, 256 candidate documents
@@ -47,37 +50,53 @@ def fingerprint(vectors: DataFrame) -> DataFrame:
                        F.bit_xor(F.xxhash64("pid", "vec")).alias("fingerprint"))
 
 
+def _stored(spark, path: str):
+    """``(vectors, metadata)`` of a complete index, None if there is none; any other failure is raised."""
+    try:
+        meta = spark.read.parquet(f"{path}/metadata")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    row = meta.first()
+    return (spark.read.parquet(f"{path}/{row['folder']}"), meta) if row else None
+
+
+def _same(meta_row, source_row, metric: str) -> bool:
+    return (meta_row["metric"] == metric and meta_row["ntotal"] == source_row["ntotal"]
+            and meta_row["fingerprint"] == source_row["fingerprint"])
+
+
 def build_flat_index(vectors: DataFrame, path: str, metric: str = "inner_product", resume: bool = False):
-    """Flat exact index: vectors parquet + one metadata row.
+    """Flat exact index: vectors parquet + one metadata row (I1, S6, S7); -> ``(vectors, metadata)``.
 
-    ``resume=False`` overwrites old artefacts; ``resume=True`` refuses to
-    overwrite an existing index (``errorifexists``).
+    The vectors go into a new folder that the metadata row names, and that row is written last: readers of an older
+    index (the source itself, perhaps) are not disturbed, and a build that was cut off leaves the old one valid.
+    ``resume=True`` keeps a complete index of the same vectors and metric; ``False`` always builds.
     """
     if metric not in INDEX_METRICS:
         raise ValueError(f"unknown metric {metric!r}; expected one of {INDEX_METRICS}")
-    mode = "errorifexists" if resume else "overwrite"
+    if resume:
+        return load_or_build_index(vectors, path, metric)
     v = vectors.select(F.col("pid").cast("long"), F.col("vec").cast("array<double>"))
-    v.write.mode(mode).parquet(f"{path}/vectors")
-    stored = v.sparkSession.read.parquet(f"{path}/vectors")
-    dim = stored.agg(F.max(F.size("vec")).alias("dim"))
-    meta = fingerprint(stored).withColumn("one", F.lit(1)).join(dim.withColumn("one", F.lit(1)), "one")
-    meta = meta.select(F.lit(metric).alias("metric"), "ntotal", "dim", "fingerprint")
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
-    return stored, v.sparkSession.read.parquet(f"{path}/metadata")
+    spark = v.sparkSession
+    folder = f"vectors-{uuid.uuid4().hex}"
+    v.write.parquet(f"{path}/{folder}")
+    stored = spark.read.parquet(f"{path}/{folder}")
+    meta = stored.agg(F.lit(metric).alias("metric"), F.count(F.lit(1)).alias("ntotal"),
+                      F.max(F.size("vec")).alias("dim"), F.bit_xor(F.xxhash64("pid", "vec")).alias("fingerprint"),
+                      F.lit(folder).alias("folder"))
+    meta.write.mode("overwrite").parquet(f"{path}/metadata")
+    return stored, spark.read.parquet(f"{path}/metadata")
 
 
 def load_or_build_index(vectors: DataFrame, path: str, metric: str = "inner_product", reuse: bool = True):
     """Reuse the stored index when its fingerprint equals the source's, else rebuild (S9; D11)."""
-    spark = vectors.sparkSession
-    if reuse:
-        try:
-            meta = spark.read.parquet(f"{path}/metadata").first()
-            src = fingerprint(vectors.select(F.col("pid").cast("long"), F.col("vec").cast("array<double>"))).first()
-            if meta and src and meta["fingerprint"] == src["fingerprint"] and meta["ntotal"] == src["ntotal"] \
-                    and meta["metric"] == metric:
-                return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/metadata")
-        except Exception:  # noqa: BLE001 - missing or unreadable index: rebuild
-            pass
+    stored = _stored(vectors.sparkSession, path) if reuse else None
+    if stored is not None:
+        source = fingerprint(vectors.select(F.col("pid").cast("long"), F.col("vec").cast("array<double>"))).first()
+        if _same(stored[1].first(), source, metric):
+            return stored
     return build_flat_index(vectors, path, metric)
 
 
@@ -116,16 +135,13 @@ def train_centroids(vectors: DataFrame, num_cells: int | None = None, max_iter:
 def centroids_from_labels(vectors: DataFrame, dim: int, label: str = "label") -> DataFrame:
     """Per-label mean vectors as centroids (the fixed centroids of the oracle checks)."""
     mean = F.array(*[F.avg(F.col("vec")[i]) for i in range(dim)])
-    return vectors.groupBy(F.col(label).cast("int").alias("cell")).agg(mean.alias("centroid"))
+    return vectors.withColumn("vec", checked_length("vec", dim)).groupBy(F.col(label).cast("int").alias("cell")).agg(mean.alias("centroid"))
 
 
-def assign_cells(vectors: DataFrame, centroids: DataFrame, id_col: str = "pid") -> DataFrame:
-    """Arg-max inner product centroid per vector (I4): a k=1 blocked join against the centroids."""
-    q = vectors.select(F.col(id_col).alias("qid"), "vec")
-    c = centroids.select(F.col("cell").cast("long").alias("pid"), F.col("centroid").alias("vec"))
-    best = knn_join(q, c, 1)
-    return best.select(F.col("qid").alias(id_col), F.col("pid").cast("int").alias("cell"),
-                       F.col("score").alias("cell_score"))
+def assign_cells(vectors: DataFrame, centroids: DataFrame, id_col: str | list[str] = "pid") -> DataFrame:
+    """Arg-max inner product centroid per vector (I4); ``id_col`` may name several key columns."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    return cell_map(vectors, centroids, 1, ids).select(*ids, "cell", "cell_score")
 
 
 def inverted_lists(assignments: DataFrame, id_col: str = "pid") -> DataFrame:
@@ -172,63 +188,59 @@ def probe_defaults(k: int) -> tuple[int, float, int]:
 def probe_cells(queries: DataFrame, centroids: DataFrame, ncells: int, id_col: str = "qid",
                 pos_col: str | None = None) -> DataFrame:
     """Per query (vector) the ``ncells`` best centroids by inner product."""
-    key = F.col(id_col) if pos_col is None else F.col(id_col) * _POS_SPAN + F.col(pos_col)
-    q = queries.select(key.alias("qid"), "vec")
-    c = centroids.select(F.col("cell").cast("long").alias("pid"), F.col("centroid").alias("vec"))
-    best = knn_join(q, c, ncells).select(F.col("qid").alias("_k"), F.col("pid").cast("int").alias("cell"),
-                                          F.col("score").alias("cell_score"))
-    if pos_col is None:
-        return best.withColumnRenamed("_k", id_col)
-    return best.select(F.floor(F.col("_k") / _POS_SPAN).cast("long").alias(id_col),
-                       (F.col("_k") % _POS_SPAN).cast("int").alias(pos_col), "cell", "cell_score")
-
-
-def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str = "pid") -> DataFrame:
+    ids = [id_col] if pos_col is None else [id_col, pos_col]
+    return cell_map(queries, centroids, ncells, ids).select(*ids, "cell", "cell_score")
+
+
+def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str | list[str] = "pid") -> DataFrame:
     """The ``ncells`` best centroids of every vector, the vector passed through:
-    ``(id, cell, cell_score, vec)``, one row per (vector, cell).
+    ``(ids ..., cell, cell_score, vec)``, one row per (vector, cell).
 
     Map-only: the centroid table (cells x dim, bounded by the cell count and
     checked against ``vicinity.broadcast.maxBytes``) is broadcast and each task
-    scores its own rows; ties by smaller cell id.  Beyond the limit the blocked
-    grid join is used instead.
+    scores its own rows in chunks of at most ``SCORE_CELLS`` scores; ties by
+    smaller cell id.  Beyond the limit the vectors, keyed by a hash of their
+    ids, go through the blocked grid join.
     """
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     spark = vectors.sparkSession
-    from vicinity.operators.similarity import broadcast_limit
     cents = centroids.select(F.col("cell").cast("long").alias("cell"),
                              F.col("centroid").cast("array<double>").alias("c"))
-    dim = cents.select(F.size("c").alias("d")).first()
-    cap = broadcast_limit(spark) // max(8, (dim["d"] if dim else 1) * 8)
-    ct = cents.limit(cap + 1).toArrow()          # size check and broadcast payload at once
-    if ct.num_rows > cap:
-        # more centroid bytes than the broadcast limit: blocked grid join, vectors joined back
-        src = vectors.select(F.col(id_col).cast("long").alias("qid"), F.col("vec").cast("array<double>"))
-        best = knn_join(src, cents.select(F.col("cell").alias("pid"), F.col("c").alias("vec")), ncells,
-                        broadcast=False)
-        return (best.join(src, "qid").select(F.col("qid").alias(id_col), F.col("pid").cast("int").alias("cell"),
-                                             F.col("score").alias("cell_score"), "vec"))
+    dim = vector_length(cents, "c")
+    src = vectors.select(*ids, F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
+    ct = fetch_if_small(cents, broadcast_limit(spark) // max(8, dim * 8))
+    if ct is None:
+        return _cell_grid(src, cents, ncells, ids)
     cells, C = _np(ct.column("cell")), _matrix(ct.column("c"))
     bc = spark.sparkContext.broadcast((cells, C))
-    schema = pa.schema([(id_col, pa.int64()), ("cell", pa.int32()), ("cell_score", pa.float64()),
-                        ("vec", pa.list_(pa.float64()))])
+    types = ", ".join(f"{i} {src.schema[i].dataType.simpleString()}" for i in ids)
 
     def run(batches):
         cells_, C_ = bc.value
-        for b in batches:
-            if b.num_rows == 0 or len(cells_) == 0:
-                continue
-            ids = _np(b.column(id_col))
-            V = _matrix(b.column("vec"))
-            score = np.round(V @ C_.T, 6)
-            t = topk_rows(np.arange(len(ids)), cells_, score.copy(), score, ncells)
-            rows = _np(t.column("qid"))
-            vec = b.column("vec").take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.array(_np(t.column("pid")).astype(np.int32)),
-                 pa.array(_np(t.column("score"))), vec.cast(pa.list_(pa.float64()))], schema=schema)
-
-    src = vectors.select(F.col(id_col).cast("long"), F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
-    from vicinity.operators.similarity import _spread
-    return _spread(src, id_col).mapInArrow(run, f"{id_col} long, cell int, cell_score double, vec array<double>")
+        step = max(1, SCORE_CELLS // max(1, len(cells_)))
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(cells_) else 0, step):
+                b = whole.slice(at, step)
+                score = np.round(_matrix(b.column("vec")) @ C_.T, 6)
+                t = topk_rows(np.arange(b.num_rows), cells_, score, score, ncells)
+                rows = pa.array(_np(t.column("qid")))
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(i).take(rows) for i in ids), pa.array(_np(t.column("pid")).astype(np.int32)),
+                     pa.array(_np(t.column("score"))), b.column("vec").take(rows).cast(pa.list_(pa.float64()))],
+                    [*ids, "cell", "cell_score", "vec"])
+
+    return _spread(src, *ids).mapInArrow(run, f"{types}, cell int, cell_score double, vec array<double>")
+
+
+def _cell_grid(src: DataFrame, cents: DataFrame, ncells: int, ids: list[str]) -> DataFrame:
+    """More centroid bytes than the broadcast limit: both sides meet in bounded blocks, vectors joined back by id."""
+    one = len(ids) == 1 and src.schema[ids[0]].dataType.simpleString() == "bigint"
+    keyed = src.withColumn("_key", F.col(ids[0])) if one else cut_lineage(
+        src.withColumn("_key", F.monotonically_increasing_id()))
+    best = knn_join(keyed.select(F.col("_key").alias("qid"), "vec"),
+                    cents.select(F.col("cell").alias("pid"), F.col("c").alias("vec")), ncells, broadcast=False)
+    best = best.select(F.col("qid").alias("_key"), F.col("pid").cast("int").alias("cell"), F.col("score").alias("cell_score"))
+    return best.join(keyed, "_key").select(*ids, "cell", "cell_score", "vec")
 
 
 def build_ivf_index(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -303,13 +315,12 @@ def plaid_search(query_vecs: DataFrame, doc_vecs: DataFrame, doc_cells: DataFram
     plist = doc_cells.select("cell", "pid").distinct()
     cands = probes.select("qid", "cell").distinct().join(plist, "cell").select("qid", "pid").distinct()
 
-    # centroid score of every query vector against every centroid: queries x cells (cells are few)
-    # centroid score of every query vector against every centroid (Q x C, C = the
-    # number of cells): the blocked kernel with k = C returns them all
-    n_cells = centroids.count()
-    qc = (probe_cells(query_vecs, centroids, n_cells, "qid", "qpos")
-          .select("qid", "qpos", "cell", F.col("cell_score").alias("cs")))
     dcell = doc_cells.select("pid", "cell").distinct()
+    # centroid scores of a query's vectors, for the cells of its candidates only
+    qc = (cands.join(dcell, "pid").select("qid", "cell").distinct()
+          .join(query_vecs.select("qid", "qpos", F.col("vec").cast("array<double>").alias("vec")), "qid")
+          .join(centroids.select("cell", "centroid"), "cell")
+          .select("qid", "qpos", "cell", F.round(dot("vec", "centroid"), 6).alias("cs")))
 
     def centroid_maxsim(pairs, thr):
         # candidate pairs x the candidate's cells x query vectors: centroid MaxSim

@@ -4,8 +4,9 @@ The reference lists, per anchor, every same-label and every other-label
 passage: O(N^2).  Here no candidate pool is ever materialised:
 
 * passages are numbered so that each label is a contiguous position range
-  ``[start, start + cnt)`` (N1); numbering is done per (label, hash bucket)
-  with prefix offsets, buckets sized so that no label is ranked in one task;
+  ``[start, start + cnt)`` (N1) in hash order; numbering is done per (label,
+  range of the hash) with prefix offsets, ranges sized so that no label is
+  ranked in one task, and the order does not depend on their number;
 * a uniform draw is an offset into that range (positives: skipping the anchor;
   negatives: an offset into ``[0, N - cnt)`` shifted past the anchor's range)
   followed by one equi-join on the position;
@@ -35,17 +36,18 @@ def label_pools(passages: DataFrame, seed: int, target: int = POOL_TARGET):
     """Position numbering with contiguous label ranges.
 
     ``passages(pid, label)`` -> ``positions(pid, label, gpos)`` and
-    ``pools(label, cnt, start)``.  Order: label, hash bucket, pid.
+    ``pools(label, cnt, start)``.  Order: label, uniform hash of the pid, pid.
     """
     lc = passages.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
     lc = lc.withColumn("nb", F.ceil(F.col("cnt") / F.lit(float(target))))
     pb = (passages.join(lc.select("label", "nb"), "label")
-          .withColumn("b", F.floor(uniform(seed, F.lit("b"), "pid") * F.col("nb")).cast("long")))
+          .withColumn("u", uniform(seed, F.lit("b"), "pid"))
+          .withColumn("b", F.floor(F.col("u") * F.col("nb")).cast("long")))
     counts = pb.groupBy("label", "b").agg(F.count(F.lit(1)).alias("n"))
     # prefix offsets over the small (label, bucket) table
     w = Window.orderBy("label", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("off", F.sum("n").over(w) - F.col("n"))
-    wr = Window.partitionBy("label", "b").orderBy("pid")
+    wr = Window.partitionBy("label", "b").orderBy("u", "pid")
     positions = (pb.join(counts.select("label", "b", "off"), ["label", "b"])
                  .withColumn("gpos", F.col("off") + F.row_number().over(wr) - 1)
                  .select("pid", "label", "gpos"))
@@ -149,8 +151,8 @@ def searched_candidates(matches: DataFrame, passages: DataFrame, n_pos: int, n_n
     (self removed, order and scores kept) and fill deficits with random
     non-retrieved passages scored at the minimum retrieved score, or 1 (N5, N7, N8).
 
-    -> ``(anchor, role, pid, score, ord)``; ``ord`` is the candidate order
-    (retrieved by rank, then fill-ups), used by rank weights.
+    -> ``(anchor, role, pid, score, ord, is_fill)``; ``ord`` is the candidate order
+    (retrieved by rank, then fill-ups, numbered on from the anchor's last rank), used by rank weights.
     """
     positions, pools = label_pools(passages, seed)
     n_total = passages.count()
@@ -163,14 +165,16 @@ def searched_candidates(matches: DataFrame, passages: DataFrame, n_pos: int, n_n
     if positive_always_random:
         m = m.filter(F.col("role") == "neg")
     m = cut_lineage(m)          # labelled matches feed the split, the stats and the fill-ups
-    ret = m.select("anchor", "role", "pid", "score", F.col("rank").cast("long").alias("ord"))
+    ret = m.select("anchor", "role", "pid", "score", F.col("rank").cast("long").alias("ord"),
+                   F.lit(False).alias("is_fill"))
     stats = m.groupBy("anchor").agg(
+        F.max("rank").cast("long").alias("lastrank"),
         F.sum(F.when(F.col("role") == "pos", 1).otherwise(0)).alias("npos"),
         F.sum(F.when(F.col("role") == "neg", 1).otherwise(0)).alias("nneg"),
         F.min(F.when(F.col("role") == "pos", F.col("score"))).alias("minpos"),
         F.min(F.when(F.col("role") == "neg", F.col("score"))).alias("minneg"))
     a = (_anchors(positions, pools).join(stats, "anchor", "left")
-         .fillna({"npos": 0, "nneg": 0}))
+         .fillna({"npos": 0, "nneg": 0, "lastrank": 0}))
     size_pos = F.col("cnt") - 1
     size_neg = F.lit(n_total) - F.col("cnt")
     # always-random positives (N8): the reference lists the whole label pool with
@@ -184,27 +188,28 @@ def searched_candidates(matches: DataFrame, passages: DataFrame, n_pos: int, n_n
     # positives: Floyd over the pool minus self, enough draws to survive removing retrieved ones
     fp = (a.filter(F.col("dpos") > 0)
           .withColumn("sel", floyd(seed, "fp", "anchor", size_pos, F.least(size_pos, F.col("dpos") + F.col("npos"))))
-          .select("anchor", "start", "lpos", "dpos", "minpos", F.explode("sel").alias("o"))
+          .select("anchor", "start", "lpos", "dpos", "minpos", "lastrank", F.explode("sel").alias("o"))
           .withColumn("gpos", F.col("start") + F.col("o") + F.when(F.col("o") >= F.col("lpos"), 1).otherwise(0))
-          .select("anchor", "gpos", "dpos", F.coalesce("minpos", F.lit(1.0)).alias("score"),
+          .select("anchor", "gpos", "lastrank", F.coalesce("minpos", F.lit(1.0)).alias("score"),
                   F.lit("pos").alias("role"), F.col("dpos").alias("need")))
     fn = (a.filter(F.col("dneg") > 0)
           .withColumn("sel", floyd(seed, "fn", "anchor", size_neg, F.least(size_neg, F.col("dneg") + F.col("nneg"))))
-          .select("anchor", "start", "cnt", "dneg", "minneg", F.explode("sel").alias("o"))
+          .select("anchor", "start", "cnt", "dneg", "minneg", "lastrank", F.explode("sel").alias("o"))
           .withColumn("gpos", _negative_gpos(F.col("o")))
-          .select("anchor", "gpos", F.col("dneg").alias("dpos"), F.coalesce("minneg", F.lit(1.0)).alias("score"),
+          .select("anchor", "gpos", "lastrank", F.coalesce("minneg", F.lit(1.0)).alias("score"),
                   F.lit("neg").alias("role"), F.col("dneg").alias("need")))
     fills = _to_pid(fp.unionByName(fn), positions)
     fills = fills.join(ret.select("anchor", "pid"), ["anchor", "pid"], "left_anti")
     wf = Window.partitionBy("anchor", "role").orderBy(uniform(seed, "anchor", "pid", F.lit("f")), "pid")
     fills = (fills.withColumn("fi", F.row_number().over(wf)).filter(F.col("fi") <= F.col("need"))
-             .select("anchor", "role", "pid", "score", (F.lit(1_000_000) + F.col("fi")).cast("long").alias("ord")))
+             .select("anchor", "role", "pid", "score", (F.col("lastrank") + F.col("fi")).cast("long").alias("ord"),
+                     F.lit(True).alias("is_fill")))
     return ret.unionByName(fills)
 
 
 def missing_report(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """Average number of fill-up (non-retrieved) positives / negatives per anchor."""
-    filled = candidates.filter(F.col("ord") > 1_000_000).groupBy("anchor").agg(
+    filled = candidates.filter("is_fill").groupBy("anchor").agg(
         F.sum(F.when(F.col("role") == "pos", 1).otherwise(0)).alias("mp"),
         F.sum(F.when(F.col("role") == "neg", 1).otherwise(0)).alias("mn"))
     return (anchors.select("anchor").join(filled, "anchor", "left")
@@ -290,10 +295,11 @@ def random_tuples_ml(passages: DataFrame, nway: int, seed: int, rounds: int = 4,
     sizes) and a drawn (pool, passage) is accepted only from the passage's
     smallest label shared with the anchor - uniform over the union, acceptance
     at least 1 / (labels of the anchor).  Negatives: uniform positions over all
-    passages, accepted when no label is shared.  Each round draws distinct
-    offsets (Floyd) with a growing over-draw; the last round draws every offset,
-    so the result is exact; rounds are cut from the lineage in the shared
-    checkpoint folder.
+    passages, accepted when no label is shared; an anchor with a label that all
+    passages have has none and draws none.  Each round draws distinct offsets
+    (Floyd) with a growing over-draw; the last round takes every offset in hash
+    order, for the few anchors that are still short, so the result is exact;
+    rounds are cut from the lineage in the shared checkpoint folder.
     """
     lab = passages.select("pid", F.array_distinct("labels").alias("labels"))
     n_total = passages.count()
@@ -310,16 +316,23 @@ def random_tuples_ml(passages: DataFrame, nway: int, seed: int, rounds: int = 4,
     sizes = seg.select("anchor", "S").distinct()
     anchors = lab.select(F.col("pid").alias("anchor"), F.col("labels").alias("alabels"))
     need_pos = anchors.join(sizes, "anchor").select("anchor", "alabels", "S", F.lit(1).alias("need"))
-    need_neg = anchors.select("anchor", "alabels", F.lit(n_total).alias("S"), F.lit(nway - 2).alias("need"))
+    everywhere = seg.groupBy("anchor").agg(F.max("cnt").alias("most"))
+    need_neg = anchors.join(everywhere, "anchor", "left").select(
+        "anchor", "alabels", F.lit(n_total).alias("S"),
+        F.when(F.col("most") >= n_total, 0).otherwise(nway - 2).alias("need"))
     chosen = None
     for rnd in range(rounds):
         last = rnd == rounds - 1
         for role in ("pos", "neg"):
             need = need_pos if role == "pos" else need_neg
-            m = F.col("S") if last else F.least(F.col("need") * (overdraw ** (rnd + 1)) + 1, F.col("S"))
-            d = (need.filter(F.col("need") > 0)
-                 .withColumn("sel", floyd(seed, f"{role}{rnd}", "anchor", F.col("S"), m))
-                 .select("anchor", "alabels", "need", F.posexplode("sel").alias("k", "o")))
+            short = need.filter(F.col("need") > 0)
+            if last:
+                d = (short.select("anchor", "alabels", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("S") - 1)).alias("o"))
+                     .withColumn("k", uniform(seed, "anchor", F.lit(f"{role}{rnd}"), "o")))
+            else:
+                m = F.least(F.col("need") * (overdraw ** (rnd + 1)) + 1, F.col("S"))
+                d = (short.withColumn("sel", floyd(seed, f"{role}{rnd}", "anchor", F.col("S"), m))
+                     .select("anchor", "alabels", "need", F.posexplode("sel").alias("k", "o")))
             if role == "pos":
                 d = (d.join(seg.select("anchor", "label", "cnt", "start", "cum"), "anchor")
                      .filter((F.col("o") >= F.col("cum")) & (F.col("o") < F.col("cum") + F.col("cnt")))
@@ -332,10 +345,9 @@ def random_tuples_ml(passages: DataFrame, nway: int, seed: int, rounds: int = 4,
                      .filter((F.col("pid") != F.col("anchor")) & ~F.arrays_overlap("labels", "alabels")))
             if chosen is not None:
                 d = d.join(chosen.select("anchor", "pid"), ["anchor", "pid"], "left_anti")
-            wr = Window.partitionBy("anchor").orderBy("k")
+            wr = Window.partitionBy("anchor").orderBy("k", "pid")
             d = d.withColumn("i", F.row_number().over(wr)).filter(F.col("i") <= F.col("need"))
-            picked = d.select("anchor", "pid", F.lit(role).alias("role"),
-                              (F.lit(rnd * 1_000_000) + F.col("i")).alias("o"))
+            picked = d.select("anchor", "pid", F.lit(role).alias("role"), F.lit(rnd).alias("rnd"), F.col("i").alias("o"))
             chosen = picked if chosen is None else chosen.unionByName(picked)
             left = (need.join(picked.groupBy("anchor").agg(F.count(F.lit(1)).alias("g")), "anchor", "left")
                     .select("anchor", "alabels", "S", (F.col("need") - F.coalesce("g", F.lit(0))).alias("need")))
@@ -350,9 +362,9 @@ def random_tuples_ml(passages: DataFrame, nway: int, seed: int, rounds: int = 4,
     # anchors without any positive (no other passage shares a label): the anchor itself
     has_pos = chosen.filter(F.col("role") == "pos").select("anchor").distinct()
     self_pos = (anchors.join(has_pos, "anchor", "left_anti")
-                .select("anchor", F.col("anchor").alias("pid"), F.lit("pos").alias("role"), F.lit(0).alias("o")))
+                .select("anchor", F.col("anchor").alias("pid"), F.lit("pos").alias("role"), F.lit(0).alias("rnd"), F.lit(0).alias("o")))
     allc = chosen.unionByName(self_pos)
-    w = Window.partitionBy("anchor", "role").orderBy("o")
+    w = Window.partitionBy("anchor", "role").orderBy("rnd", "o")
     ranked = allc.withColumn("r", F.row_number().over(w))
     pos = ranked.filter((F.col("role") == "pos") & (F.col("r") == 1)).select("anchor", F.lit(1).alias("slot"), "pid")
     neg = ranked.filter(F.col("role") == "neg").select("anchor", (F.col("r") + 1).alias("slot"), "pid")

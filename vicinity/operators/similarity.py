@@ -153,15 +153,24 @@ class _TopkAccumulator:
         return merge_topk(pa.concat_tables(self.parts), self.k, self.ascending)
 
 
-def bounded_count(df: DataFrame, cap: int) -> int:
-    """``min(count, cap + 1)``: enough to decide a size check without scanning a big input."""
-    return df.limit(int(cap) + 1).count()
+def fetch_if_small(df: DataFrame, cap: int) -> pa.Table | None:
+    """The rows of ``df`` if it has at most ``cap`` of them, else None.
+
+    ``take`` of a constant column runs on a few partitions at a time and stops at ``cap + 1`` rows, without an
+    exchange, so a big input is not read to find out that it is big.  What it computed is kept while the rows are
+    fetched, so a small input is computed once.
+    """
+    kept = df.persist()
+    try:
+        return kept.toArrow() if len(kept.select(F.lit(1)).take(int(cap) + 1)) <= cap else None
+    finally:
+        kept.unpersist()
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
+def _spread(df: DataFrame, *key: str) -> DataFrame:
     """Give a scan-side table at least one partition per core (small inputs are one split)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _knn_scores(Q, C, qids, pids, l2: bool, exclude_self: bool):
@@ -210,14 +219,13 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner
     if broadcast is None:
         dim = q.select(F.size("vec").alias("d")).first() or c.select(F.size("vec").alias("d")).first()
         cap = broadcast_limit(spark) // max(8, (dim["d"] if dim else 1) * 8)
-        # the bounded fetch is both the size check and, when it passes, the broadcast payload
         if sizes is None or sizes[1] <= cap:
-            tbl = c.limit(cap + 1).toArrow()
-            if tbl.num_rows <= cap:
+            tbl = fetch_if_small(c, cap)
+            if tbl is not None:
                 return _knn_broadcast_corpus(q, c, k, l2, exclude_self, table=tbl)
         if sizes is None or sizes[0] <= cap:
-            tbl = q.limit(cap + 1).toArrow()
-            if tbl.num_rows <= cap:
+            tbl = fetch_if_small(q, cap)
+            if tbl is not None:
                 return _knn_broadcast(q, c, k, l2, exclude_self, table=tbl)
     n_q, n_c = sizes if sizes else (q.count(), c.count())
     n_qb, n_cb = _block_counts(spark, n_q, n_c, block_rows)
@@ -360,9 +368,10 @@ def maxsim_join(query_vecs: DataFrame, doc_vecs: DataFrame | None, k: int, exclu
     if broadcast is not False:
         dim = q.select(F.size("vec").alias("d")).first()
         cap = broadcast_limit(spark) // max(8, (dim["d"] if dim else 1) * 8)
-        if broadcast is True or (sizes[0] if sizes else bounded_count(q, cap)) <= cap:
+        tbl = q.toArrow() if broadcast is True else fetch_if_small(q, cap) if not sizes or sizes[0] <= cap else None
+        if tbl is not None:
             docs = packed_docs if packed_docs is not None else pack_passages(doc_vecs)
-            return _maxsim_broadcast(q, docs, k, exclude_self)
+            return _maxsim_broadcast(tbl, docs, k, exclude_self)
     n_q = sizes[0] if sizes else q.count()
     if doc_vecs is None:
         doc_vecs = packed_docs.select("pid", F.posexplode("vecs").alias("pos", "vec"))
@@ -391,30 +400,25 @@ def maxsim_join(query_vecs: DataFrame, doc_vecs: DataFrame | None, k: int, exclu
     return _final_topk(cands, k, ascending=False)
 
 
-def _maxsim_broadcast(q: DataFrame, packed_docs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+def _maxsim_broadcast(tbl: pa.Table, packed_docs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """Broadcast query vectors (size checked by the caller); packed passages scored in
     chunks of bounded vector count with a running top-k per task."""
     import pyarrow.compute as pc
-    spark = q.sparkSession
-    tbl = q.toArrow()
+    spark = packed_docs.sparkSession
     qo, qids, qs = _segments(_np(tbl.column("qid")), _np(tbl.column("pos")))
     Q = _matrix(tbl.column("vec"))[qo] if tbl.num_rows else np.zeros((0, 0))
-    # identical query vectors (repeated tokens) are scored once: score = A @ max-sims,
-    # A[q, u] = how often distinct vector u occurs in query q
-    if len(Q):
-        Qu, inv = np.unique(Q, axis=0, return_inverse=True)
-        owner = np.repeat(np.arange(len(qids)), np.diff(np.r_[qs, len(Q)]))
-        A = np.zeros((len(qids), len(Qu)))
-        np.add.at(A, (owner, inv.reshape(-1)), 1.0)
-    else:
-        Qu, A = Q, np.zeros((0, 0))
-    bc = spark.sparkContext.broadcast((qids, Qu, A))
+    # identical query vectors (repeated tokens) are scored once; ``inv`` says which one each query vector is, so the
+    # broadcast is the checked query side and one integer per query vector
+    Qu, inv = np.unique(Q, axis=0, return_inverse=True) if len(Q) else (Q, np.zeros(0, np.int64))
+    bc = spark.sparkContext.broadcast((qids, Qu, inv.reshape(-1).astype(np.int32), qs))
 
     def run(batches):
-        qids_, Q_, A_ = bc.value
+        qids_, Q_, inv_, qs_ = bc.value
         if len(qids_) == 0:
             return
         budget = max(64, SCORE_CELLS // max(1, len(Q_)))
+        # documents per step of the sum over query vectors
+        step = max(1, SCORE_CELLS // max(1, len(inv_)))
         acc = _TopkAccumulator(k, False)
         for b in batches:
             if b.num_rows == 0:
@@ -435,7 +439,9 @@ def _maxsim_broadcast(q: DataFrame, packed_docs: DataFrame, k: int, exclude_self
                 if keep.any():
                     starts = (cum[i:j] - cum[i])[keep]
                     best = np.maximum.reduceat(Q_ @ D[cum[i]:cum[j]].T, starts, axis=1)
-                    sc = np.round(A_ @ best, 6)
+                    sc = np.concatenate([np.add.reduceat(best[:, at:at + step][inv_], qs_, axis=0)
+                                         for at in range(0, best.shape[1], step)], axis=1)
+                    sc = np.round(sc, 6)
                     sub = pids[i:j][keep]
                     key = sc.copy()
                     if exclude_self:

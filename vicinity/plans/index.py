@@ -165,10 +165,7 @@ def plaid_stages(spark, sf):
     cents = _centroids(spark, sf)
     qv = mv.filter("is_query").select(F.col("pid").alias("qid"), F.col("pos").alias("qpos"), "vec")
     dv = mv.filter("NOT is_query").select("pid", "pos", "vec")
-    key = (F.col("pid") * ivf._POS_SPAN + F.col("pos")).alias("pid")
-    dcell = ivf.assign_cells(dv.select(key, "vec"), cents)
-    dcell = dcell.select(F.floor(F.col("pid") / ivf._POS_SPAN).cast("long").alias("pid"),
-                         (F.col("pid") % ivf._POS_SPAN).cast("int").alias("pos"), "cell")
+    dcell = ivf.assign_cells(dv, cents, ["pid", "pos"]).select("pid", "pos", "cell")
     return ivf.plaid_search(qv, dv, dcell, cents, K, **PLAID)
 
 
@@ -197,3 +194,24 @@ def index_build(spark, sf):
     v = fx.vectors(spark, sf).select("pid", "vec")
     _, meta = ivf.load_or_build_index(v, path, "inner_product")
     return meta.select("metric", "ntotal", "dim")
+
+
+@register("index_reuse", """
+SELECT 'same vectors' AS source, true AS reused, count(*) AS ntotal, true AS same_fingerprint FROM embeddings
+UNION ALL SELECT 'one vector less', false, count(*) - 1, false FROM embeddings
+UNION ALL SELECT 'resumed', true, count(*) - 1, false FROM embeddings""")
+def index_reuse(spark, sf):
+    """A stored index is reused for the same vectors (S8, S9), rebuilt when they change, and kept by a resumed build."""
+    path = f"{checkpoint_dir(spark)}/index-reuse-{uuid.uuid4().hex}"
+    v = fx.vectors(spark, sf).select("pid", "vec")
+    first_id = v.agg(F.min("pid").alias("low"))
+    less = v.join(F.broadcast(first_id), F.col("pid") > F.col("low")).select("pid", "vec")
+    row = ivf.build_flat_index(v, path)[1].first()
+    out, before = [], row
+    for source, build in (("same vectors", lambda: ivf.load_or_build_index(v, path)),
+                          ("one vector less", lambda: ivf.load_or_build_index(less, path)),
+                          ("resumed", lambda: ivf.build_flat_index(less, path, resume=True))):
+        now = build()[1].first()
+        out.append((source, now["folder"] == before["folder"], now["ntotal"], now["fingerprint"] == row["fingerprint"]))
+        before = now
+    return spark.createDataFrame(out, "source string, reused boolean, ntotal long, same_fingerprint boolean")

@@ -23,7 +23,6 @@ NWAY = 4
 K = 10
 N_POS = 1
 N_NEG = NWAY - 2
-TARGET = sampling.POOL_TARGET
 
 
 def U(*exprs: str) -> str:
@@ -40,9 +39,7 @@ def pools_sql(src: str) -> str:
     """CTEs pos(pid, label, gpos), pool(label, cnt, start), ntot(n), anc(anchor, label, cnt, start, lpos, n)."""
     return f"""
 pp AS (SELECT pid, label FROM {src}),
-lc AS (SELECT label, ceil(CAST(count(*) AS DOUBLE) / {float(TARGET)}) AS nb FROM pp GROUP BY label),
-pb AS (SELECT pp.pid, pp.label, CAST(floor({U("'b'", 'pid')} * lc.nb) AS BIGINT) AS b FROM pp JOIN lc USING (label)),
-pos AS (SELECT pid, label, row_number() OVER (ORDER BY label, b, pid) - 1 AS gpos FROM pb),
+pos AS (SELECT pid, label, row_number() OVER (ORDER BY label, {U("'b'", 'pid')}, pid) - 1 AS gpos FROM pp),
 pool AS (SELECT label, count(*) AS cnt, min(gpos) AS start FROM pos GROUP BY label),
 ntot AS (SELECT count(*) AS n FROM pp),
 anc AS (SELECT pos.pid AS anchor, pos.label, pool.cnt, pool.start, pos.gpos - pool.start AS lpos, ntot.n
@@ -123,26 +120,26 @@ sm AS (SELECT m.qid AS anchor, m.rank, m.pid, m.score, CASE WHEN pa.label = pb.l
        FROM m JOIN pp pa ON pa.pid = m.qid JOIN pp pb ON pb.pid = m.pid WHERE m.pid <> m.qid),
 sm0 AS (SELECT * FROM sm {keep}),
 ret AS (SELECT anchor, role, pid, score, CAST(rank AS BIGINT) AS ord FROM sm0),
-st AS (SELECT anchor, CAST(sum(CASE WHEN role = 'pos' THEN 1 ELSE 0 END) AS BIGINT) AS npos,
+st AS (SELECT anchor, max(rank) AS lastrank, CAST(sum(CASE WHEN role = 'pos' THEN 1 ELSE 0 END) AS BIGINT) AS npos,
               CAST(sum(CASE WHEN role = 'neg' THEN 1 ELSE 0 END) AS BIGINT) AS nneg,
               min(CASE WHEN role = 'pos' THEN score END) AS minpos,
               min(CASE WHEN role = 'neg' THEN score END) AS minneg FROM sm0 GROUP BY anchor),
-aa AS (SELECT anc.*, coalesce(st.npos, 0) AS npos, coalesce(st.nneg, 0) AS nneg, st.minpos, st.minneg,
+aa AS (SELECT anc.*, coalesce(st.npos, 0) AS npos, coalesce(st.nneg, 0) AS nneg, coalesce(st.lastrank, 0) AS lastrank, st.minpos, st.minneg,
               greatest(least({npos}, anc.cnt - 1) - coalesce(st.npos, 0), 0) AS dpos,
               greatest(least({N_NEG}, anc.n - anc.cnt) - coalesce(st.nneg, 0), 0) AS dneg
        FROM anc LEFT JOIN st USING (anchor)),
 fp AS (SELECT anchor, start + o + CASE WHEN o >= lpos THEN 1 ELSE 0 END AS gpos,
-              coalesce(minpos, 1.0::DOUBLE) AS score, 'pos' AS role, dpos AS need
+              coalesce(minpos, 1.0::DOUBLE) AS score, 'pos' AS role, dpos AS need, lastrank
        FROM (SELECT *, unnest({floyd_sql('fp', ['anchor'], 'cnt - 1', 'least(cnt - 1, dpos + npos)')}) AS o
              FROM aa WHERE dpos > 0)),
 fn AS (SELECT anchor, CASE WHEN o < start THEN o ELSE o + cnt END AS gpos,
-              coalesce(minneg, 1.0::DOUBLE) AS score, 'neg' AS role, dneg AS need
+              coalesce(minneg, 1.0::DOUBLE) AS score, 'neg' AS role, dneg AS need, lastrank
        FROM (SELECT *, unnest({floyd_sql('fn', ['anchor'], 'n - cnt', 'least(n - cnt, dneg + nneg)')}) AS o
              FROM aa WHERE dneg > 0)),
-fills AS (SELECT f.anchor, f.role, pos.pid, f.score, f.need
+fills AS (SELECT f.anchor, f.role, pos.pid, f.score, f.need, f.lastrank
           FROM (SELECT * FROM fp UNION ALL SELECT * FROM fn) f JOIN pos USING (gpos)
           WHERE NOT EXISTS (SELECT 1 FROM ret WHERE ret.anchor = f.anchor AND ret.pid = pos.pid)),
-fsel AS (SELECT anchor, role, pid, score, CAST(1000000 + fi AS BIGINT) AS ord FROM (
+fsel AS (SELECT anchor, role, pid, score, CAST(lastrank + fi AS BIGINT) AS ord FROM (
            SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY {U('anchor', 'pid', "'f'")}, pid) AS fi
            FROM fills) WHERE fi <= need),
 cand AS (SELECT * FROM ret UNION ALL SELECT * FROM fsel)""")
@@ -338,10 +335,7 @@ def sampling_weights_lower(spark, sf):
 def _pool_ctes(src: str, sfx: str) -> str:
     return f"""
 pp{sfx} AS (SELECT pid, label FROM {src}),
-lc{sfx} AS (SELECT label, ceil(CAST(count(*) AS DOUBLE) / {float(TARGET)}) AS nb FROM pp{sfx} GROUP BY label),
-pb{sfx} AS (SELECT pp{sfx}.pid, pp{sfx}.label, CAST(floor({U("'b'", 'pid')} * lc{sfx}.nb) AS BIGINT) AS b
-            FROM pp{sfx} JOIN lc{sfx} USING (label)),
-pos{sfx} AS (SELECT pid, label, row_number() OVER (ORDER BY label, b, pid) - 1 AS gpos FROM pb{sfx}),
+pos{sfx} AS (SELECT pid, label, row_number() OVER (ORDER BY label, {U("'b'", 'pid')}, pid) - 1 AS gpos FROM pp{sfx}),
 pool{sfx} AS (SELECT label, count(*) AS cnt, min(gpos) AS start FROM pos{sfx} GROUP BY label)"""
 
 
@@ -360,18 +354,22 @@ seg AS (SELECT a.anchor, a.label, p.cnt, p.start,
         FROM (SELECT pid AS anchor, unnest(labels) AS label FROM lab) a JOIN pool_x p USING (label)),
 anchors AS (SELECT pid AS anchor, labels AS alabels FROM lab),
 np_0 AS (SELECT a.anchor, a.alabels, s.S, 1 AS need FROM anchors a JOIN (SELECT DISTINCT anchor, S FROM seg) s USING (anchor)),
-nn_0 AS (SELECT anchor, alabels, (SELECT n FROM ntot) AS S, {nway - 2} AS need FROM anchors),
+nn_0 AS (SELECT a.anchor, a.alabels, (SELECT n FROM ntot) AS S,
+                CASE WHEN e.most >= (SELECT n FROM ntot) THEN 0 ELSE {nway - 2} END AS need
+         FROM anchors a LEFT JOIN (SELECT anchor, max(cnt) AS most FROM seg GROUP BY anchor) e USING (anchor)),
 ch_0 AS (SELECT CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS pid, CAST(NULL AS VARCHAR) AS role,
-                CAST(NULL AS BIGINT) AS o WHERE false)"""]
+                CAST(NULL AS BIGINT) AS rnd, CAST(NULL AS BIGINT) AS o WHERE false)"""]
     step = 0
     for r in range(rounds):
         last = r == rounds - 1
         for role in ("pos", "neg"):
             need = f"np_{r}" if role == "pos" else f"nn_{r}"
-            m = "S" if last else f"least(need * {overdraw ** (r + 1)} + 1, S)"
+            m = f"least(need * {overdraw ** (r + 1)} + 1, S)"
             ch_prev, ch_next = f"ch_{step}", f"ch_{step + 1}"
             sel = floyd_sql(f"{role}{r}", ["anchor"], "S", m)
             ctes.append(f"""
+d_{role}_{r} AS (SELECT anchor, alabels, need, o, {U('anchor', repr(f'{role}{r}'), 'o')} AS k
+                 FROM (SELECT *, unnest(range(CAST(S AS BIGINT))) AS o FROM {need} WHERE need > 0))""" if last else f"""
 d_{role}_{r} AS (SELECT anchor, alabels, need, unnest(sel) AS o, unnest(range(len(sel))) AS k
                  FROM (SELECT *, {sel} AS sel FROM {need} WHERE need > 0))""")
             if role == "pos":
@@ -389,8 +387,8 @@ c_{role}_{r} AS (SELECT d.anchor, d.need, d.k, e.pid FROM d_{role}_{r} d
                    AND NOT EXISTS (SELECT 1 FROM {ch_prev} c WHERE c.anchor = d.anchor AND c.pid = e.pid))""")
             nxt = f"np_{r + 1}" if role == "pos" else f"nn_{r + 1}"
             ctes.append(f"""
-p_{role}_{r} AS (SELECT anchor, pid, '{role}' AS role, CAST({r * 1_000_000} + i AS BIGINT) AS o FROM (
-                   SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY k) AS i FROM c_{role}_{r})
+p_{role}_{r} AS (SELECT anchor, pid, '{role}' AS role, {r} AS rnd, CAST(i AS BIGINT) AS o FROM (
+                   SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY k, pid) AS i FROM c_{role}_{r})
                  WHERE i <= need),
 {ch_next} AS (SELECT * FROM {ch_prev} UNION ALL SELECT * FROM p_{role}_{r}),
 {nxt} AS (SELECT n.anchor, n.alabels, n.S, n.need - coalesce(g.g, 0) AS need FROM {need} n
@@ -398,9 +396,9 @@ p_{role}_{r} AS (SELECT anchor, pid, '{role}' AS role, CAST({r * 1_000_000} + i
             step += 1
     ctes.append(f"""
 has_pos AS (SELECT DISTINCT anchor FROM ch_{step} WHERE role = 'pos'),
-allc AS (SELECT anchor, pid, role, o FROM ch_{step}
-         UNION ALL SELECT anchor, anchor, 'pos', 0 FROM anchors WHERE anchor NOT IN (SELECT anchor FROM has_pos)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY o) AS r FROM allc),
+allc AS (SELECT anchor, pid, role, rnd, o FROM ch_{step}
+         UNION ALL SELECT anchor, anchor, 'pos', 0, 0 FROM anchors WHERE anchor NOT IN (SELECT anchor FROM has_pos)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY rnd, o) AS r FROM allc),
 tup AS (SELECT anchor, CAST(0 AS INTEGER) AS slot, anchor AS pid FROM anchors
         UNION ALL SELECT anchor, CAST(1 AS INTEGER), pid FROM ranked WHERE role = 'pos' AND r = 1
         UNION ALL SELECT anchor, CAST(r + 1 AS INTEGER), pid FROM ranked WHERE role = 'neg')""")
