@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.vectors import dot, l2_normalize
 from vicinity.operators.encode import checked_length, vector_length
-from vicinity.operators.similarity import (MATCH_SCHEMA, SCORE_CELLS, _CAND_SCHEMA, _final_topk, _matrix, _np, _segments,
+from vicinity.operators.similarity import (MATCH_SCHEMA, SCORE_CELLS, _CAND_SCHEMA, _final_topk, _knn_scores, _matrix, _np, _segments,
                                            _spread, broadcast_limit, fetch_if_small, knn_join, maxsim_scores, topk_rows)
 from vicinity.session import cut_lineage
 
@@ -102,34 +103,49 @@ def load_or_build_index(vectors: DataFrame, path: str, metric: str = "inner_prod
 
 # --------------------------------------------------------------------------- I2 / I3 / I4
 
-def auto_num_cells(n_vectors: int) -> int:
-    """Largest power of two <= 16 * sqrt(n) (count proportional to sqrt of embeddings)."""
-    target = max(1, int(AUTO_CELLS_FACTOR * math.sqrt(max(n_vectors, 1))))
+def auto_num_cells(n_vectors: int, factor: int = AUTO_CELLS_FACTOR) -> int:
+    """Largest power of two <= ``factor`` * sqrt(n): 16 for token vectors, 1 for passage vectors."""
+    target = max(1, int(factor * math.sqrt(max(n_vectors, 1))))
     return 1 << (target.bit_length() - 1)
 
 
+def parse_layout(layout: str) -> int | None:
+    """Number of cells of ``IVF<n>,Flat`` (0: automatic, for ``IVF,Flat``); None for ``Flat``."""
+    if layout == "Flat":
+        return None
+    found = re.fullmatch(r"IVF(\d*),Flat", layout)
+    if not found:
+        raise ValueError(f"unknown index layout {layout!r}; expected Flat or IVF<n>,Flat")
+    return int(found[1] or 0)
+
+
 def train_centroids(vectors: DataFrame, num_cells: int | None = None, max_iter: int = KMEANS_ITERATIONS,
-                    seed: int = 12345,
-                    train_fraction: float | None = None, init_mode: str = "random") -> DataFrame:
-    """K-means centroids with MLlib (cosine distance), L2-normalised."""
+                    seed: int = 12345, train_size: int | None = None, init_mode: str = "random",
+                    metric: str = "inner_product", factor: int = AUTO_CELLS_FACTOR) -> DataFrame:
+    """K-means centroids with MLlib (I2, I3): cosine and L2-normalised for inner product, Euclidean for L2.
+
+    ``train_size``: about so many vectors are drawn for the training.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     data = vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    if train_fraction:
-        data = data.sample(False, train_fraction, seed)
+    if train_size or not num_cells:
+        n = data.count()
+        num_cells = num_cells or auto_num_cells(n, factor)
+        if train_size and train_size < n:
+            data = data.sample(False, train_size / n, seed)
     # Lloyd iterations re-read the input: keep the (projected) training vectors cached
     data = data.persist()
-    if num_cells is None:
-        num_cells = auto_num_cells(data.count())
     # random initial centroids (sampled vectors), as flat k-means trainers for IVF do;
     # k-means|| seeding costs more than the 4 Lloyd iterations it would precede
-    model = KMeans(k=num_cells, maxIter=max_iter, seed=seed, distanceMeasure="cosine", initMode=init_mode,
-                   featuresCol="features").fit(data)
+    l2 = metric == "l2_distance"
+    model = KMeans(k=num_cells, maxIter=max_iter, seed=seed, distanceMeasure="euclidean" if l2 else "cosine",
+                   initMode=init_mode, featuresCol="features").fit(data)
     data.unpersist()
     spark = vectors.sparkSession
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cents = spark.createDataFrame(rows, "cell int, centroid array<double>")
-    return cents.select("cell", l2_normalize("centroid").alias("centroid"))
+    return cents if l2 else cents.select("cell", l2_normalize("centroid").alias("centroid"))
 
 
 def centroids_from_labels(vectors: DataFrame, dim: int, label: str = "label") -> DataFrame:
@@ -192,9 +208,11 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, ncells: int, id_col: s
     return cell_map(queries, centroids, ncells, ids).select(*ids, "cell", "cell_score")
 
 
-def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str | list[str] = "pid") -> DataFrame:
+def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str | list[str] = "pid",
+             metric: str = "inner_product") -> DataFrame:
     """The ``ncells`` best centroids of every vector, the vector passed through:
-    ``(ids ..., cell, cell_score, vec)``, one row per (vector, cell).
+    ``(ids ..., cell, cell_score, vec)``, one row per (vector, cell).  Best is the largest inner product or, for
+    ``l2_distance``, the smallest squared distance.
 
     Map-only: the centroid table (cells x dim, bounded by the cell count and
     checked against ``vicinity.broadcast.maxBytes``) is broadcast and each task
@@ -210,7 +228,7 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
     src = vectors.select(*ids, F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
     ct = fetch_if_small(cents, broadcast_limit(spark) // max(8, dim * 8))
     if ct is None:
-        return _cell_grid(src, cents, ncells, ids)
+        return _cell_grid(src, cents, ncells, ids, metric)
     cells, C = _np(ct.column("cell")), _matrix(ct.column("c"))
     bc = spark.sparkContext.broadcast((cells, C))
     types = ", ".join(f"{i} {src.schema[i].dataType.simpleString()}" for i in ids)
@@ -221,8 +239,8 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
         for whole in batches:
             for at in range(0, whole.num_rows if len(cells_) else 0, step):
                 b = whole.slice(at, step)
-                score = np.round(_matrix(b.column("vec")) @ C_.T, 6)
-                t = topk_rows(np.arange(b.num_rows), cells_, score, score, ncells)
+                key, score = _knn_scores(_matrix(b.column("vec")), C_, None, None, metric == "l2_distance", False)
+                t = topk_rows(np.arange(b.num_rows), cells_, key, score, ncells)
                 rows = pa.array(_np(t.column("qid")))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(i).take(rows) for i in ids), pa.array(_np(t.column("pid")).astype(np.int32)),
@@ -232,35 +250,64 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
     return _spread(src, *ids).mapInArrow(run, f"{types}, cell int, cell_score double, vec array<double>")
 
 
-def _cell_grid(src: DataFrame, cents: DataFrame, ncells: int, ids: list[str]) -> DataFrame:
+def _cell_grid(src: DataFrame, cents: DataFrame, ncells: int, ids: list[str], metric: str) -> DataFrame:
     """More centroid bytes than the broadcast limit: both sides meet in bounded blocks, vectors joined back by id."""
     one = len(ids) == 1 and src.schema[ids[0]].dataType.simpleString() == "bigint"
     keyed = src.withColumn("_key", F.col(ids[0])) if one else cut_lineage(
         src.withColumn("_key", F.monotonically_increasing_id()))
     best = knn_join(keyed.select(F.col("_key").alias("qid"), "vec"),
-                    cents.select(F.col("cell").alias("pid"), F.col("c").alias("vec")), ncells, broadcast=False)
+                    cents.select(F.col("cell").alias("pid"), F.col("c").alias("vec")), ncells, metric, broadcast=False)
     best = best.select(F.col("qid").alias("_key"), F.col("pid").cast("int").alias("cell"), F.col("score").alias("cell_score"))
     return best.join(keyed, "_key").select(*ids, "cell", "cell_score", "vec")
 
 
-def build_ivf_index(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+def build_ivf_index(vectors: DataFrame, centroids: DataFrame, metric: str = "inner_product") -> DataFrame:
     """Inverted-file index table ``(pid, cell, vec)``: each vector stored with its cell
     (I4 + I6), map-only.  Callers persist it (parquet, optionally partitioned by
     cell) or cut its lineage; searches then never join vectors back by pid."""
-    return cell_map(vectors, centroids, 1, "pid").select("pid", "cell", "vec")
+    return cell_map(vectors, centroids, 1, "pid", metric).select("pid", "cell", "vec")
+
+
+def complete_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, ncells: int,
+                    metric: str = "inner_product", block_rows: int = 2048) -> DataFrame:
+    """:func:`ivf_search` that gives every query ``k`` matches (or all rows, if there are fewer).
+
+    Queries whose probed cells hold fewer than ``k`` rows are searched again with four times the cells, and so on to
+    all cells; the others' matches stand.
+    """
+    total = centroids.count()
+    want = min(k, index.count())
+    left, parts = queries.select("qid", "vec"), []
+    while True:
+        found = cut_lineage(ivf_search(left, index, centroids, k, ncells, block_rows, metric))
+        enough = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= want).select("qid")
+        if ncells >= total:
+            parts.append(found)
+            break
+        parts.append(found.join(enough, "qid", "left_semi"))
+        left = cut_lineage(left.join(enough, "qid", "left_anti"))
+        if left.isEmpty():
+            break
+        ncells = min(ncells * 4, total)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, ncells: int,
-               block_rows: int = 2048) -> DataFrame:
+               block_rows: int = 2048, metric: str = "inner_product") -> DataFrame:
     """Inverted-file top-k (J4): probe ``ncells`` cells per query, score only the index
-    rows of probed cells (equi-join on cell), exact inner product per cell block.
+    rows of probed cells (equi-join on cell), exact score per cell block.
 
     ``index(pid, cell, vec)`` from :func:`build_ivf_index`.  A cell with many
     rows or many probing queries is split into (query block, corpus block)
     groups sized from per-cell counts (one row per cell, broadcast), so a hot
     cell is spread over many tasks.  Probing every cell equals the exact join.
     """
-    probes = cell_map(queries.select("qid", "vec"), centroids, ncells, "qid").select("qid", "cell", "vec")
+    probes = cut_lineage(cell_map(queries.select("qid", "vec"), centroids, ncells, "qid", metric)
+                         .select("qid", "cell", "vec"))  # counted and joined
+    l2 = metric == "l2_distance"
     csize = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"))
     qsize = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n_q"))
     blocks = (csize.join(qsize, "cell", "full").fillna(0)
@@ -283,12 +330,12 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
         if qt.num_rows == 0 or ct.num_rows == 0:
             return _CAND_SCHEMA.empty_table()
         qids, pids = _np(qt.column("qid")), _np(ct.column("pid"))
-        score = np.round(_matrix(qt.column("vec")) @ _matrix(ct.column("vec")).T, 6)
-        return topk_rows(qids, pids, score.copy(), score, k)
+        key, score = _knn_scores(_matrix(qt.column("vec")), _matrix(ct.column("vec")), qids, pids, l2, False)
+        return topk_rows(qids, pids, key, score, k)
 
     cands = (lq.groupBy("cell", "qb", "cb").cogroup(rc.groupBy("cell", "qb", "cb"))
              .applyInArrow(score_block, MATCH_SCHEMA))
-    return _final_topk(cands, k, ascending=False)
+    return _final_topk(cands, k, ascending=l2)
 
 
 # --------------------------------------------------------------------------- J5 multi-stage (multi-vector)

@@ -25,7 +25,11 @@ from vicinity.plans import index as pidx
 from vicinity.plans import register, with_ctes
 from vicinity.plans.search import _vote_sql
 from vicinity.session import checkpoint_dir
-from vicinity.sources import jsonl
+from vicinity.functions import text as tx
+from vicinity.functions.vectors import hashed_token_vector_sql
+from vicinity.plans.text import TOKENS_CAPPED_SQL
+from vicinity.plans.vectors import hv_ctes
+from vicinity.sources import jsonl, tables
 from vicinity.sources.tables import load
 
 K = 10
@@ -232,7 +236,9 @@ def word2vec_knn(spark, sf):
     dl = fx.labelled_docs(spark, sf).withColumn("split", pc._doc_test_split())
     toks = dl.select("pid", "split", "label", simple_tokens("text").alias("tokens"))
     train = toks.filter(F.col("split") == "train")
-    w2v = Word2Vec(vectorSize=W2V_SIZE, windowSize=W2V_WINDOW, minCount=W2V_MIN_COUNT, maxIter=W2V_EPOCHS, seed=12345,
+    # as many training partitions as the scan has splits: one task never sees the whole corpus
+    parts = max(dl.rdd.getNumPartitions(), 1)
+    w2v = Word2Vec(numPartitions=parts, vectorSize=W2V_SIZE, windowSize=W2V_WINDOW, minCount=W2V_MIN_COUNT, maxIter=W2V_EPOCHS, seed=12345,
                    inputCol="tokens", outputCol="w2v").fit(train)
     vocab = w2v.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
     long = toks.select("pid", "split", F.posexplode("tokens").alias("pos", "token"))
@@ -244,15 +250,51 @@ def word2vec_knn(spark, sf):
     return classify.knn_vote(m, toks.select("pid", "label"), q, [K]).select("qid", "pred")
 
 
+def passage_pca(pairs, query_vecs, doc_vecs):
+    """Two principal components of each query passage, applied to its own and its match's vectors.
+
+    ``pairs(qid, pid)``, ``query_vecs(qid, qpos, vec)``, ``doc_vecs(pid, pos, vec)`` ->
+    ``(qid, side, pos, x, y)``.  One group per pair (as long as two passages); a component's sign makes its entry of
+    largest size positive.
+    """
+    left = pairs.join(query_vecs, "qid").select("qid", "pid", F.lit("query").alias("side"), F.col("qpos").cast("int").alias("pos"), "vec")
+    right = pairs.join(doc_vecs, "pid").select("qid", "pid", F.lit("match").alias("side"), F.col("pos").cast("int").alias("pos"), "vec")
+
+    def project(t: pa.Table) -> pa.Table:
+        side = np.array(t.column("side").to_pylist())
+        X = np.array(t.column("vec").to_pylist(), dtype=np.float64)
+        centre = X[side == "query"].mean(0)
+        _, _, V = np.linalg.svd(X[side == "query"] - centre, full_matrices=False)
+        V = np.concatenate([V[:2], np.zeros((max(0, 2 - len(V)), X.shape[1]))])
+        V *= np.where(V[np.arange(2), np.abs(V).argmax(1)] < 0, -1, 1)[:, None]
+        Y = (X - centre) @ V.T
+        return pa.table({"qid": t.column("qid"), "side": t.column("side"), "pos": t.column("pos"), "x": Y[:, 0], "y": Y[:, 1]})
+
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    return (left.unionByName(right).select("qid", "pid", "side", "pos", vec).groupBy("qid", "pid")
+            .applyInArrow(project, "qid long, side string, pos int, x double, y double"))
+
+
 @register("pca_2d")
 def pca_2d(spark, sf):
-    """Two-component PCA of the multi-vector passages' vectors."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    mv = fx.multi_vectors(spark, sf).select("pid", "pos", array_to_vector(F.col("vec").cast("array<double>")).alias("f"))
-    model = PCA(k=2, inputCol="f", outputCol="p").fit(mv)
-    p = model.transform(mv).select("pid", "pos", vector_to_array("p").alias("xy"))
-    return p.select("pid", "pos", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+    """Each query passage's vectors and those of its best match in the passage's own two principal components."""
+    _, qv, dv = _mv_split(spark, sf)
+    return passage_pca(maxsim_join(qv, dv, 1).select("qid", "pid"), qv, dv)
+
+
+# the squared lengths and distances in the plane, on two dimensions of the vectors, where the projection is a rotation
+@register("pca_distances", with_ctes(fx.MV_CTES, fx.maxsim_sql(1), """
+p AS (SELECT ms.qid, 'query' AS side, qv.qpos AS pos, qv.vec[1:2] AS v FROM ms JOIN qv USING (qid)
+      UNION ALL SELECT ms.qid, 'match', dv.pos, dv.vec[1:2] FROM ms JOIN dv USING (pid)),
+c AS (SELECT qid, avg(v[1]) AS a, avg(v[2]) AS b FROM p WHERE side = 'query' GROUP BY qid)""") + """
+SELECT qid, side, pos, round((v[1] - a) ^ 2 + (v[2] - b) ^ 2, 6) + 0.0 AS sq FROM p JOIN c USING (qid)""")
+def pca_distances(spark, sf):
+    """Squared distance from the passage's centre in its principal plane, for two-dimensional vectors."""
+    _, qv, dv = _mv_split(spark, sf)
+    pairs = maxsim_join(qv, dv, 1).select("qid", "pid")
+    cut = F.slice(F.col("vec").cast("array<double>"), 1, 2).alias("vec")
+    p = passage_pca(pairs, qv.select("qid", "qpos", cut), dv.select("pid", "pos", cut))
+    return p.select("qid", "side", "pos", (F.round(F.col("x") ** 2 + F.col("y") ** 2, 6) + F.lit(0.0)).alias("sq"))
 
 
 @register("linear_baseline")
@@ -340,3 +382,51 @@ def label_names(spark, sf):
     path = _scratch(spark, "label-names")
     jsonl.write_label_names(d, path)
     return jsonl.read_label_names(spark, path)
+
+
+# --------------------------------------------------------------------------- S3 / S4 / S5 / S10 / W5
+
+@register("saved_split", f"""
+SELECT doc_id AS pid, source, 'test' AS split FROM documents WHERE {fx.query_flag_sql('doc_id')}""")
+def saved_split(spark, sf):
+    """Documents saved by split and one split loaded again (S3, S4): the reader prunes to that split's files."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "source",
+                                             F.when(fx.query_flag("doc_id"), "test").otherwise("train").alias("split"))
+    path = _scratch(spark, "splits")
+    tables.save_splits(d, path)
+    return tables.load_split(spark, path, "test")
+
+
+@register("head_rows", "SELECT doc_id AS pid, source FROM documents ORDER BY doc_id LIMIT 5")
+def head_rows(spark, sf):
+    """The first rows of a table in id order, for a look at it (W5: a top-k report)."""
+    return (load(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "source").orderBy("pid").limit(5))
+
+
+INLINE = ("of the and that", "der die das und", "les que de la")
+
+
+@register("inline_query_search", with_ctes(
+    "iq AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(INLINE)) + ") t(item_id, text))",
+    hv_ctes("iq", "item_id", "bq"), "qv AS (SELECT pid AS qid, pos AS qpos, vec FROM bq)", hv_ctes(distinct=True),
+    fx.maxsim_sql(K, "qv", "dt")) + "SELECT qid, rank, pid, score FROM ms")
+def inline_query_search(spark, sf):
+    """Query texts given inline by the caller (S10), searched in all documents by MaxSim."""
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "text")
+    enc = encode.HashedTokenEncoder()
+    q = enc.encode_queries(tables.inline_texts(spark, INLINE).withColumnRenamed("pid", "qid"), "qid")
+    return maxsim_join(q.select("qid", "qpos", "vec"), None, K, packed_docs=enc.encode_packed(docs, distinct=True))
+
+
+@register("marker_vector", with_ctes(f"""
+sq AS (SELECT doc_id AS pid, ['{tx.CLS_TOKEN}'] || (['{tx.DOC_MARKER}'] || {TOKENS_CAPPED_SQL})
+              || ['{tx.SEP_TOKEN}'] AS seq FROM documents),
+mk AS (SELECT pid, {hashed_token_vector_sql('seq[2]')} AS raw FROM sq)""") + """
+SELECT pid, list_transform(raw, lambda x: round(x / sqrt(list_inner_product(raw, raw)), 6) + 0.0) AS vec FROM mk""")
+def marker_vector(spark, sf):
+    """Vector at the marker position of every encoder sequence (E10 ``second``)."""
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "text")
+    seq = encode.sequence_tokens(docs, tx.DOC_MARKER).filter(F.col("pos") == 1)
+    tv = encode.HashedTokenEncoder().encode_tokens(seq.select("pid", "pos", "token"))
+    v = encode.position_vectors(tv, "second")
+    return v.select("pid", F.transform("vec", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vec"))

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vicinity.operators import ivf
+from vicinity.pipeline import IndexConfig, SearchConfig, build_index, search
 from vicinity.operators.similarity import knn_join
 from vicinity.plans import fixtures as fx
 from vicinity.plans import register, with_ctes
@@ -171,15 +172,53 @@ def plaid_stages(spark, sf):
 
 # --------------------------------------------------------------------------- rows-only: MLlib k-means index, sink
 
+_L2_PROBE = """
+qcs AS (SELECT q.qid, cent.cell, round(list_inner_product(q.vec, q.vec) + list_inner_product(cent.centroid, cent.centroid)
+               - 2 * list_inner_product(q.vec, cent.centroid), 6) AS cs FROM q, cent),
+probe AS (SELECT qid, cell FROM qcs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cs, cell) <= 3),
+casg AS (SELECT pid, cell FROM (
+           SELECT c.pid, cent.cell, round(list_inner_product(c.vec, c.vec) + list_inner_product(cent.centroid, cent.centroid)
+                  - 2 * list_inner_product(c.vec, cent.centroid), 6) AS s FROM c, cent)
+         QUALIFY row_number() OVER (PARTITION BY pid ORDER BY s, cell) = 1),
+pm AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, pid) AS INTEGER) AS rank, pid, score
+       FROM (SELECT probe.qid, c.pid, round(list_inner_product(q.vec, q.vec) + list_inner_product(c.vec, c.vec)
+                    - 2 * list_inner_product(q.vec, c.vec), 6) AS score
+             FROM probe JOIN casg USING (cell) JOIN q USING (qid) JOIN c ON c.pid = casg.pid) QUALIFY rank <= 10)"""
+
+
+@register("ivf_l2", with_ctes(fx.VEC_CTES, _cent_sql(), _L2_PROBE) + "SELECT qid, rank, pid, score FROM pm")
+def ivf_l2(spark, sf):
+    """Inverted-file search by L2 distance, three cells probed, centroids given."""
+    q, c = fx.split_vectors(spark, sf)
+    cents = _centroids(spark, sf)
+    index = cut_lineage(ivf.build_ivf_index(c.select("pid", "vec"), cents, "l2_distance"))
+    return ivf.ivf_search(q.select("qid", "vec"), index, cents, K, 3, metric="l2_distance")
+
+
+@register("probe_defaults", """
+SELECT k, CASE WHEN k <= 10 THEN 1 WHEN k <= 100 THEN 2 ELSE 4 END AS ncells,
+       CASE WHEN k <= 10 THEN 0.5 WHEN k <= 100 THEN 0.45 ELSE 0.4 END::DOUBLE AS threshold,
+       CASE WHEN k <= 10 THEN 256 WHEN k <= 100 THEN 1024 ELSE greatest(4 * k, 1024) END AS ndocs
+FROM (SELECT DISTINCT CAST(1 + vec_id % 700 AS BIGINT) AS k FROM embeddings)""")
+def probe_defaults(spark, sf):
+    """Search defaults by k (J6) for the ks of a table."""
+    ks = load(spark, sf, "embeddings").select((1 + F.col("vec_id") % 700).cast("long").alias("k")).distinct()
+    ncells, threshold, ndocs = (F.lit(x) for x in ivf.PROBE_DEFAULT_LARGE)
+    ndocs = F.greatest(4 * F.col("k"), ndocs.cast("long"))
+    for most, cells, low, docs in reversed(ivf.PROBE_DEFAULTS):
+        small = F.col("k") <= most
+        ncells, threshold = F.when(small, cells).otherwise(ncells), F.when(small, low).otherwise(threshold)
+        ndocs = F.when(small, docs).otherwise(ndocs)
+    return ks.select("k", ncells.alias("ncells"), threshold.alias("threshold"), ndocs.alias("ndocs"))
+
+
 @register("kmeans_index_recall")
 def kmeans_index_recall(spark, sf):
-    """MLlib k-means inverted file (automatic cell count, 4 iterations, cosine) probed with
-    the J6 defaults for k = 10; recall@10 against the exact join per query (I2, I3, J4)."""
+    """k-means inverted file over passage vectors (about sqrt(n) cells, 4 iterations, cosine), a third of the cells
+    probed and more until k matches; recall@10 against the exact join per query (I2, I3, J4)."""
     q, c = fx.split_vectors(spark, sf)
-    cents = ivf.train_centroids(c.select("vec"), max_iter=4)
-    index = cut_lineage(ivf.build_ivf_index(c.select("pid", "vec"), cents))
-    ncells, _, _ = ivf.probe_defaults(K)
-    approx = ivf.ivf_search(q.select("qid", "vec"), index, cents, K, ncells)
+    index = build_index(c.select("pid", "vec"), IndexConfig(layout="IVF,Flat"))
+    approx = search(index, q.select("qid", "vec"), SearchConfig(k=K))
     exact = knn_join(q, c, K)
     hit = exact.join(approx.select("qid", "pid", F.lit(1).alias("hit")), ["qid", "pid"], "left")
     return hit.groupBy("qid").agg((F.sum(F.coalesce("hit", F.lit(0))) / K).alias("recall"))

@@ -7,12 +7,15 @@ train table is searched against itself for the ML-kNN fit (self included, D6).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vicinity.operators import metrics, mlknn
 from vicinity.operators.similarity import knn_join
 from vicinity.plans import fixtures as fx
 from vicinity.plans import register, with_ctes
+from vicinity.session import checkpoint_dir
 
 K = 10
 S = 1.0
@@ -217,3 +220,13 @@ def mlc_empty_rows(spark, sf):
         F.when(third & even, none).when(third, F.array(F.lit(10))).when(even, own).otherwise(F.array("label"))).alias("label"))
     exact = metrics.subset_exact(preds, truth, [0], v.select("id"))
     return exact.join(v.agg(F.lit(0).alias("k"), F.count(F.lit(1)).alias("n")), "k").select("k", "n", "n_exact")
+
+
+@register("mlknn_saved", _BASE + f"SELECT label, j, round(post1, {DIG}) AS post1, round(post0, {DIG}) AS post0 FROM post")
+def mlknn_saved(spark, sf):
+    """The fitted model written to the shared folder and loaded again."""
+    _, _, model = _model(spark, sf)
+    path = f"{checkpoint_dir(spark)}/mlknn-{uuid.uuid4().hex}"
+    model.save(path)
+    back = mlknn.MLKNNModel.load(spark, path)
+    return back.posterior.select("label", "j", F.round("post1", DIG).alias("post1"), F.round("post0", DIG).alias("post0"))

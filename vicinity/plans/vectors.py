@@ -16,6 +16,7 @@ from vicinity.operators.similarity import knn_join, maxsim_join
 from vicinity.plans import corpus as pc
 from vicinity.plans import fixtures as fx
 from vicinity.plans import register, with_ctes
+from vicinity.pipeline import ClassificationPipeline, SearchConfig
 from vicinity.plans.search import _vote_sql
 from vicinity.plans.text import TOKENS_CAPPED_SQL
 from vicinity.sources.tables import load
@@ -260,3 +261,37 @@ def inner_token_mean(spark, sf):
     inner = encode.inner_vectors(seq.select("pid", "pos", "token"), start=2, end_trim=1)
     vecs = encode.HashedTokenEncoder().encode_tokens(inner)
     return encode.group_mean(vecs, ["pid"], DIM).select("pid", rounded().alias("vec"))
+
+
+# --------------------------------------------------------------------------- U6: scolbert, explanations
+
+_SCOLBERT_SQL = with_ctes(fx.DL_CTES, _SENT_SQL, f"""
+dls AS (SELECT pid, label, {pc._doc_test_split_sql()} AS split FROM dl),
+q AS (SELECT pid AS qid, label FROM dls WHERE split = 'test'),
+c AS (SELECT pid, label FROM dls WHERE split = 'train'),
+qv AS (SELECT s.pid AS qid, s.sent_pos AS qpos, s.vec FROM svec s JOIN q ON q.qid = s.pid),
+dv AS (SELECT s.pid, s.sent_pos AS pos, s.vec FROM svec s JOIN c ON c.pid = s.pid)""", fx.maxsim_sql(K))
+
+
+def _scolbert(spark, sf):
+    dl = fx.labelled_docs(spark, sf).withColumn("split", pc._doc_test_split())
+    test = dl.filter(F.col("split") == "test").select("pid", "text")
+    pipeline = ClassificationPipeline("scolbert", search=SearchConfig(k=K))
+    return pipeline.train_index(dl.filter(F.col("split") == "train").select("pid", "text", "label")), test
+
+
+@register("scolbert_vote", _SCOLBERT_SQL.rstrip() + ",\n" + _vote_sql(f"[{K}]", matches="ms") + "\nSELECT qid, pred FROM pred")
+def scolbert_vote(spark, sf):
+    """Sentence-vector pipeline: sentences, mean vectors, MaxSim, vote (U6 'scolbert')."""
+    pipeline, test = _scolbert(spark, sf)
+    return pipeline.predict(test).select("qid", "pred")
+
+
+@register("explain_prediction", _SCOLBERT_SQL.rstrip() + """,
+al AS (SELECT ms.qid, ms.pid, qv.qpos, dv.pos, round(list_inner_product(qv.vec, dv.vec), 6) AS sim
+       FROM ms JOIN qv USING (qid) JOIN dv ON dv.pid = ms.pid WHERE ms.rank = 1)
+SELECT qid, pid, qpos, pos, sim + 0.0 AS sim FROM al QUALIFY rank() OVER (PARTITION BY qid, pid, qpos ORDER BY sim DESC) = 1""")
+def explain_prediction(spark, sf):
+    """The sentence(s) of the best match that answer each sentence of a predicted text."""
+    pipeline, test = _scolbert(spark, sf)
+    return pipeline.explain_prediction(test).withColumn("sim", F.col("sim") + F.lit(0.0))

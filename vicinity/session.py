@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -28,6 +29,7 @@ def get_spark(master: str | None = None, app: str = "vicinity",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": os.environ.get("VICINITY_DRIVER_MEMORY", "16g"),
     }
@@ -44,8 +46,9 @@ def get_spark(master: str | None = None, app: str = "vicinity",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage.
 
-    Read from ``spark.checkpoint.dir``; only when the cluster names none (local
-    tests) a private folder is created and registered.
+    Read from ``spark.checkpoint.dir``.  In local mode, where all tasks run in
+    this process, a private folder stands in when none is named; on a cluster
+    a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -53,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="vicinity-ckpt-", dir="/tmp")
         spark.conf.set(_CHECKPOINT_KEY, configured)
     sc.setCheckpointDir(configured)
