@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from vicinity.functions.vectors import dot, l2_normalize
 from vicinity.operators.encode import checked_length, vector_length
 from vicinity.operators.similarity import (MATCH_SCHEMA, SCORE_CELLS, _CAND_SCHEMA, _final_topk, _knn_scores, _matrix, _np, _segments,
-                                           _spread, broadcast_limit, fetch_if_small, knn_join, maxsim_scores, topk_rows)
+                                           _spread, broadcast_limit, fetch_if_small, knn_join, maxsim_scores, small_side, topk_rows)
 from vicinity.session import cut_lineage
 
 INDEX_METRICS = ("inner_product", "l2_distance")
@@ -167,29 +167,62 @@ def inverted_lists(assignments: DataFrame, id_col: str = "pid") -> DataFrame:
 
 # --------------------------------------------------------------------------- I5
 
+def residuals(vectors: DataFrame, assignments: DataFrame, centroids: DataFrame, ids: list[str]) -> DataFrame:
+    """``(ids ..., cell, residual)``: ``vec - centroid`` of the assigned cell; the cell table is broadcast if it is small."""
+    j = (vectors.select(*ids, F.col("vec").cast("array<double>").alias("vec"))
+         .join(assignments.select(*ids, "cell"), ids)
+         .join(small_side(centroids.select("cell", "centroid")), "cell"))
+    return j.select(*ids, "cell", F.zip_with("vec", "centroid", lambda a, b: a - b).alias("residual"))
+
+
+def _code(cut_points: list[float]):
+    cuts = F.array(*[F.lit(float(c)) for c in cut_points])
+    return lambda r: F.size(F.filter(cuts, lambda c: c < r))
+
+
 def residual_codes(vectors: DataFrame, assignments: DataFrame, centroids: DataFrame,
-                   cut_points: list[float]) -> DataFrame:
+                   cut_points: list[float], id_col: str | list[str] = "pid") -> DataFrame:
     """Residual ``vec - centroid`` coded per dimension by ``len(cut_points)+1`` buckets.
 
     With ``nbits`` per dimension there are ``2^nbits - 1`` cut points; code =
     number of cut points strictly below the component.
     """
-    cuts = F.array(*[F.lit(float(c)) for c in cut_points])
-    j = (vectors.select("pid", F.col("vec").cast("array<double>").alias("vec"))
-         .join(assignments.select("pid", "cell"), "pid")
-         .join(centroids.select("cell", "centroid"), "cell"))   # Spark broadcasts it by its size estimate
-    res = F.zip_with("vec", "centroid", lambda a, b: a - b)
-    codes = F.transform(res, lambda r: F.size(F.filter(cuts, lambda c: c < r)))
-    return j.select("pid", "cell", codes.alias("codes"))
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    return residuals(vectors, assignments, centroids, ids).select(
+        *ids, "cell", F.transform("residual", _code(cut_points)).alias("codes"))
 
 
-def global_cut_points(residuals: DataFrame, nbits: int = 2, rel_err: float = 1e-3) -> list[float]:
+def global_cut_points(residual: DataFrame, nbits: int = 2, rel_err: float = 1e-3) -> list[float]:
     """``2^nbits - 1`` global quantile cut points of all residual components (approximate)."""
-    comps = residuals.select(F.explode("residual").alias("x"))
+    comps = residual.select(F.explode("residual").alias("x"))
     probs = [(i + 1) / (2 ** nbits) for i in range(2 ** nbits - 1)]
     return comps.approxQuantile("x", probs, rel_err)
 
 
+def bucket_means(residual: DataFrame, cut_points: list[float]) -> list[float]:
+    """Mean residual component of each bucket (0 for an empty one): what a code stands for when decoded."""
+    x = residual.select(F.explode("residual").alias("x")).select(_code(cut_points)(F.col("x")).alias("code"), "x")
+    means = {r[0]: r[1] for r in x.groupBy("code").agg(F.avg("x")).collect()}  # a row per bucket
+    return [float(means.get(i, 0.0)) for i in range(len(cut_points) + 1)]
+
+
+def train_codec(vectors: DataFrame, assignments: DataFrame, centroids: DataFrame, nbits: int = 2,
+                id_col: str | list[str] = "pid", rel_err: float = 1e-3) -> tuple[list[float], list[float]]:
+    """``(cut_points, means)`` of a residual code with ``2^nbits`` buckets of about equal size."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    r = cut_lineage(residuals(vectors, assignments, centroids, ids))
+    cuts = global_cut_points(r, nbits, rel_err)
+    return cuts, bucket_means(r, cuts)
+
+
+def residual_decode(codes: DataFrame, centroids: DataFrame, means: list[float], id_col: str | list[str] = "pid") -> DataFrame:
+    """``(ids ..., vec)``: centroid plus the bucket means of the codes, L2-normalised."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    table = F.array(*[F.lit(float(m)) for m in means])
+    j = codes.join(small_side(centroids.select("cell", "centroid")), "cell")
+    return j.select(*ids, l2_normalize(F.zip_with("centroid", "codes", lambda c, k: c + F.element_at(table, k + 1))).alias("vec"))
+
+
 # --------------------------------------------------------------------------- J4 / J6 single-vector probing
 
 def probe_defaults(k: int) -> tuple[int, float, int]:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.functions.hashing import uniform
+from vicinity.operators.similarity import small_side
 from vicinity.session import cut_lineage
 
 POOL_TARGET = 1 << 20       # rows per (label, bucket) numbering group
@@ -40,7 +41,7 @@ def label_pools(passages: DataFrame, seed: int, target: int = POOL_TARGET):
     """
     lc = passages.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
     lc = lc.withColumn("nb", F.ceil(F.col("cnt") / F.lit(float(target))))
-    pb = (passages.join(lc.select("label", "nb"), "label")
+    pb = (passages.join(small_side(lc.select("label", "nb")), "label")
           .withColumn("u", uniform(seed, F.lit("b"), "pid"))
           .withColumn("b", F.floor(F.col("u") * F.col("nb")).cast("long")))
     counts = pb.groupBy("label", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -48,7 +49,8 @@ def label_pools(passages: DataFrame, seed: int, target: int = POOL_TARGET):
     w = Window.orderBy("label", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("off", F.sum("n").over(w) - F.col("n"))
     wr = Window.partitionBy("label", "b").orderBy("u", "pid")
-    positions = (pb.join(counts.select("label", "b", "off"), ["label", "b"])
+    counts = cut_lineage(counts)
+    positions = (pb.join(small_side(counts.select("label", "b", "off")), ["label", "b"])
                  .withColumn("gpos", F.col("off") + F.row_number().over(wr) - 1)
                  .select("pid", "label", "gpos"))
     pools = counts.groupBy("label").agg(F.sum("n").alias("cnt"), F.min("off").alias("start"))
@@ -77,7 +79,7 @@ def floyd(seed, tag: str, keys, size: Column, m: Column) -> Column:
 
 
 def _anchors(positions: DataFrame, pools: DataFrame) -> DataFrame:
-    return (positions.join(pools, "label")
+    return (positions.join(small_side(pools), "label")
             .select(F.col("pid").alias("anchor"), "label", "cnt", "start",
                     (F.col("gpos") - F.col("start")).alias("lpos")))
 
@@ -131,7 +133,7 @@ def classwise_tuples(passages: DataFrame, nway: int, seed: int) -> DataFrame:
     pos = a.select("anchor", F.lit(1).alias("slot"), _positive_gpos(seed).alias("gpos"))
     other = (a.select("anchor", F.col("label").alias("own"),
                       F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
-             .filter(F.col("label") != F.col("own")).join(pools, "label"))
+             .filter(F.col("label") != F.col("own")).join(small_side(pools), "label"))
     ci = F.dense_rank().over(Window.partitionBy("anchor").orderBy("label")) - 1  # bounded: L-1 rows per anchor
     neg = (other.withColumn("ci", ci)
            .withColumn("sel", floyd(seed, "cw", ["anchor", "label"], F.col("cnt"), F.least(F.lit(per), F.col("cnt"))))
@@ -286,6 +288,37 @@ def searched_candidates_ml(matches: DataFrame, passages: DataFrame) -> DataFrame
                     F.when(F.arrays_overlap("labels", "alabels"), F.lit("pos")).otherwise(F.lit("neg")).alias("role")))
 
 
+def searched_filled_ml(matches: DataFrame, passages: DataFrame, k: int, n_pos: int, n_neg: int, seed: int) -> DataFrame:
+    """Multi-label searched candidates with fill-ups (N6, N7): ``(anchor, role, pid, score, ord, is_fill)``.
+
+    ``matches`` hold at most ``k`` rows per anchor.  An anchor short of negatives gets random non-retrieved ones that
+    share no label, one without positives a random one that shares a label, at the lowest retrieved score of the role
+    or 1.  The draws are those of :func:`random_tuples_ml` with ``k`` spare ones, so enough remain when the retrieved
+    are taken out.  ``n_pos`` is 0 or 1.
+    """
+    if n_pos not in (0, 1):
+        raise ValueError("n_pos must be 0 or 1")
+    m = cut_lineage(searched_candidates_ml(matches, passages))
+    ret = m.select("anchor", "role", "pid", "score", F.col("rank").cast("long").alias("ord"), F.lit(False).alias("is_fill"))
+    stats = m.groupBy("anchor").agg(
+        F.max("rank").cast("long").alias("lastrank"),
+        *(f(F.when(F.col("role") == r, x)).alias(f"{n}{r}") for r in ("pos", "neg")
+          for f, x, n in ((F.count, F.lit(1), "n"), (F.min, F.col("score"), "min"))))
+    draws = random_tuples_ml(passages, n_neg + k + 2, seed).filter((F.col("slot") > 0) & (F.col("pid") != F.col("anchor")))
+    role = F.when(F.col("slot") == 1, "pos").otherwise("neg")
+    fresh = (draws.select("anchor", role.alias("role"), "pid", "slot")
+             .join(ret.select("anchor", "pid"), ["anchor", "pid"], "left_anti")
+             .join(stats, "anchor", "left").fillna({"lastrank": 0, "npos": 0, "nneg": 0}))
+    positive = F.col("role") == "pos"
+    need = F.when(positive, F.lit(n_pos) - F.col("npos")).otherwise(F.lit(n_neg) - F.col("nneg"))
+    score = F.coalesce(F.when(positive, F.col("minpos")).otherwise(F.col("minneg")), F.lit(1.0))
+    w = Window.partitionBy("anchor", "role").orderBy("slot")
+    fills = (fresh.withColumn("fi", F.row_number().over(w)).filter(F.col("fi") <= need)
+             .select("anchor", "role", "pid", score.alias("score"), (F.col("lastrank") + F.col("fi")).cast("long").alias("ord"),
+                     F.lit(True).alias("is_fill")))
+    return ret.unionByName(fills)
+
+
 def random_tuples_ml(passages: DataFrame, nway: int, seed: int, rounds: int = 4, overdraw: int = 4) -> DataFrame:
     """Multi-label random tuples (N3): positive shares a label (the anchor itself when no
     other passage shares one, as the reference warns), negatives share none, all drawn

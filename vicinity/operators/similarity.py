@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.functions.hashing import bucket
+from vicinity.session import cut_lineage
 
 METRICS = ("inner_product", "l2_distance")
 
@@ -167,6 +168,20 @@ def fetch_if_small(df: DataFrame, cap: int) -> pa.Table | None:
         kept.unpersist()
 
 
+SMALL_SIDE_ROWS = 1 << 20
+
+
+def small_side(df: DataFrame, rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
+
+    For per-label and per-cell tables: Spark's own estimate of an aggregate's size grows with its input, so a table of
+    ten labels would be joined by shuffling the large side on a hot key.  The table is stored first, so checking it
+    and joining it don't compute it twice.
+    """
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if len(stored.select(F.lit(1)).take(rows + 1)) <= rows else stored
+
+
 def _spread(df: DataFrame, *key: str) -> DataFrame:
     """Give a scan-side table at least one partition per core (small inputs are one split)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

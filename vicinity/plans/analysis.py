@@ -24,7 +24,8 @@ from vicinity.plans import fixtures as fx
 from vicinity.plans import index as pidx
 from vicinity.plans import register, with_ctes
 from vicinity.plans.search import _vote_sql
-from vicinity.session import checkpoint_dir
+from vicinity.pipeline import SearchConfig, build_index, search
+from vicinity.session import checkpoint_dir, cut_lineage
 from vicinity.functions import text as tx
 from vicinity.functions.vectors import hashed_token_vector_sql
 from vicinity.plans.text import TOKENS_CAPPED_SQL
@@ -311,32 +312,62 @@ def linear_baseline(spark, sf):
 
 
 REMINE_ROUND = 1
-REMINE_SEED = 42 * 1000 + REMINE_ROUND     # seed derived from (seed, round)
+REMINE_ROUNDS = (1, 2, 3)
 
 
-def _remine_sql() -> str:
+def remine_seed(number: int) -> int:
+    """Seed of a round, from (seed, round)."""
+    return 42 * 1000 + number
+
+
+def _remine_sql(number: int) -> str:
     from vicinity.plans import sampling as ps
+    seed = remine_seed(number)
     base = ps._SEARCHED.rstrip() + "," + ps._weights_sql("scores") + "," + ps._DRAW_SQL
-    sql = base.replace(f"md5('{ps.SEED}' ||", f"md5('{REMINE_SEED}' ||")
+    sql = base.replace(f"md5('{ps.SEED}' ||", f"md5('{seed}' ||")
     sql = sql.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT vec_id FROM sub))")
     sub = (f"sub AS (SELECT vec_id FROM embeddings QUALIFY row_number() OVER (ORDER BY "
-           f"{uniform_sql(REMINE_SEED, 'vec_id')}, vec_id) <= ceil(CAST(0.5 AS DOUBLE) * count(*) OVER ())),\n")
-    return sql.replace("WITH ", "WITH " + sub, 1) + f"SELECT {REMINE_ROUND} AS round, anchor, slot, pid FROM tup"
+           f"{uniform_sql(seed, 'vec_id')}, vec_id) <= ceil(CAST(0.5 AS DOUBLE) * count(*) OVER ())),\n")
+    return sql.replace("WITH ", "WITH " + sub, 1) + f"SELECT {number} AS round, anchor, slot, pid FROM tup"
+
+
+def remine(passages, number: int, find, k: int = K, n_pos: int = 1, n_neg: int = 2, nway: int = 4, share: float = 0.5):
+    """Tuples of one re-mining round ``(round, anchor, slot, pid)``.
+
+    ``passages(pid, label, vec)``; a fresh seeded ``share`` of them is indexed and searched against itself by
+    ``find(sub, k)`` -> matches, which any index can serve; candidates, weights and the draw follow, all seeded by
+    (seed, round).
+    """
+    seed = remine_seed(number)
+    sub = cut_lineage(cp.subsample(passages, share, seed))
+    cands = sampling.searched_candidates(find(sub, k), sub.select("pid", "label"), n_pos, n_neg, seed)
+    t = sampling.draw_tuples(sampling.candidate_weights(cands, "scores"), nway, seed)
+    return t.select(F.lit(number).alias("round"), "anchor", "slot", "pid")
+
+
+def _flat_matches(sub, k):
+    index = build_index(sub.select("pid", "vec"))
+    return search(index, sub.select(F.col("pid").alias("qid"), "vec"), SearchConfig(k=k))
+
+
+@register("remine_rounds", " UNION ALL ".join(f"SELECT * FROM ({_remine_sql(r)})" for r in REMINE_ROUNDS))
+def remine_rounds(spark, sf):
+    """Several re-mining rounds, each written by its number before the next begins."""
+    p = fx.vectors(spark, sf).select("pid", "label", "vec")
+    path = _scratch(spark, "remine")
+    for number in REMINE_ROUNDS:
+        remine(p, number, _flat_matches).drop("round").write.parquet(f"{path}/round={number}")
+    return spark.read.parquet(path).select(F.col("round").cast("int").alias("round"), "anchor", "slot", "pid")
 
 
-@register("remine_round", _remine_sql())
+@register("remine_round", _remine_sql(REMINE_ROUND))
 def remine_round(spark, sf):
     """One re-mining round (N13) as a batch job parametrised by the round: a fresh seeded
     half subsample of the passages, the flat index rebuilt on it and searched against
     itself, searched candidates, score weights and a weighted n-way draw - all seeded
     by (seed, round)."""
     p = fx.vectors(spark, sf).select("pid", "label", "vec")
-    seed = REMINE_SEED
-    sub = cp.subsample(p, 0.5, seed)
-    m = knn_join(sub.select(F.col("pid").alias("qid"), "vec"), sub.select("pid", "vec"), K)
-    cands = sampling.searched_candidates(m, sub.select("pid", "label"), 1, 2, seed)
-    t = sampling.draw_tuples(sampling.candidate_weights(cands, "scores"), 4, seed)
-    return t.select(F.lit(REMINE_ROUND).alias("round"), "anchor", "slot", "pid")
+    return remine(p, REMINE_ROUND, _flat_matches)
 
 
 # --------------------------------------------------------------------------- S1 / S2 round trips
@@ -407,7 +438,7 @@ INLINE = ("of the and that", "der die das und", "les que de la")
 
 
 @register("inline_query_search", with_ctes(
-    "iq AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(INLINE)) + ") t(item_id, text))",
+    "iq AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(INLINE)) + ") t(item_id, text))",
     hv_ctes("iq", "item_id", "bq"), "qv AS (SELECT pid AS qid, pos AS qpos, vec FROM bq)", hv_ctes(distinct=True),
     fx.maxsim_sql(K, "qv", "dt")) + "SELECT qid, rank, pid, score FROM ms")
 def inline_query_search(spark, sf):

@@ -254,3 +254,47 @@ def index_reuse(spark, sf):
         out.append((source, now["folder"] == before["folder"], now["ntotal"], now["fingerprint"] == row["fingerprint"]))
         before = now
     return spark.createDataFrame(out, "source string, reused boolean, ntotal long, same_fingerprint boolean")
+
+
+_CODE_SQL = f"""
+rsd AS (SELECT {{ids}}, cent.cell, list_transform(list_zip(v.vec, cent.centroid), lambda p: p[1] - p[2]) AS r
+        FROM {{src}} v JOIN {{asg}} a USING ({{keys}}) JOIN cent ON cent.cell = a.cell),
+cmp AS (SELECT len(list_filter({_CUTS_SQL}::DOUBLE[], lambda c: c < x)) AS code, x FROM (SELECT unnest(r) AS x FROM rsd)),
+mns AS (SELECT [coalesce((SELECT avg(x) FROM cmp WHERE code = i), 0.0) FOR i IN [0, 1, 2, 3]] AS means),
+dec0 AS (SELECT {{keys}}, list_transform(list_zip(cent.centroid, rsd.r), lambda p: p[1] + mns.means[
+                1 + len(list_filter({_CUTS_SQL}::DOUBLE[], lambda c: c < p[2]))]) AS u
+         FROM rsd JOIN cent USING (cell) CROSS JOIN mns),
+decd AS (SELECT {{keys}}, list_transform(u, lambda x: x / sqrt(list_inner_product(u, u))) AS vec FROM dec0)"""
+_CODE_SQL = _CODE_SQL.replace("[coalesce((SELECT avg(x) FROM cmp WHERE code = i), 0.0) FOR i IN [0, 1, 2, 3]]",
+                              "[" + ", ".join(f"coalesce((SELECT avg(x) FROM cmp WHERE code = {i}), 0.0)" for i in range(4)) + "]")
+
+
+@register("residual_decode", with_ctes(
+    _cent_sql(), _ASSIGN_SQL, "ev AS (SELECT vec_id AS pid, embedding::DOUBLE[] AS vec FROM embeddings)",
+    _CODE_SQL.format(ids="v.pid", keys="pid", src="ev", asg="asg")) + """
+SELECT pid, list_transform(vec, lambda x: round(x, 6) + 0.0) AS vec FROM decd""")
+def residual_decode(spark, sf):
+    """Vectors decoded from their cell and two bits per dimension: centroid plus bucket means."""
+    v = fx.vectors(spark, sf).select("pid", "vec")
+    cents = cut_lineage(_centroids(spark, sf))
+    asg = cut_lineage(ivf.assign_cells(v, cents))
+    means = ivf.bucket_means(ivf.residuals(v, asg, cents, ["pid"]), CUT_POINTS)
+    out = ivf.residual_decode(ivf.residual_codes(v, asg, cents, CUT_POINTS), cents, means)
+    return out.select("pid", F.transform("vec", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vec"))
+
+
+@register("plaid_decoded", with_ctes(fx.MV_CTES, _cent_sql(), _PLAID_SQL[:_PLAID_SQL.index("ex AS (")].rstrip().rstrip(","),
+          _CODE_SQL.format(ids="v.pid, v.pos", keys="pid, pos", src="dv", asg="dcell"),
+          _PLAID_SQL[_PLAID_SQL.index("ex AS ("):].replace("JOIN dv ON dv.pid = s3.pid", "JOIN decd dv ON dv.pid = s3.pid"))
+          + "SELECT qid, rank, pid, score FROM pl")
+def plaid_decoded(spark, sf):
+    """Multi-stage search whose last stage scores vectors decoded from residual codes."""
+    mv = fx.multi_vectors(spark, sf)
+    cents = cut_lineage(_centroids(spark, sf))
+    qv = mv.filter("is_query").select(F.col("pid").alias("qid"), F.col("pos").alias("qpos"), "vec")
+    dv = mv.filter("NOT is_query").select("pid", "pos", "vec")
+    ids = ["pid", "pos"]
+    dcell = cut_lineage(ivf.assign_cells(dv, cents, ids).select(*ids, "cell"))
+    means = ivf.bucket_means(ivf.residuals(dv, dcell, cents, ids), CUT_POINTS)
+    decoded = cut_lineage(ivf.residual_decode(ivf.residual_codes(dv, dcell, cents, CUT_POINTS, ids), cents, means, ids))
+    return ivf.plaid_search(qv, decoded, dcell, cents, K, **PLAID)

@@ -411,3 +411,39 @@ def sample_random_ml(spark, sf):
     share none, uniform and without replacement."""
     ml = fx.multilabel_vectors(spark, sf).select("pid", "labels")
     return sampling.random_tuples_ml(ml, NWAY, SEED)
+
+
+_ML_FILL = random_ml_sql(2 + N_NEG + K).rstrip()
+_ML_FILL = _ML_FILL.replace("\ntup AS (", "\nrtup AS (") + "," + _ALL.strip() + "," + fx.knn_sql(K, src_q="a", src_c="a") + f""",
+sm AS (SELECT m.qid AS anchor, m.rank, m.pid, m.score,
+              CASE WHEN list_has_any(pa.labels, pb.labels) THEN 'pos' ELSE 'neg' END AS role
+       FROM m JOIN ml pa ON pa.pid = m.qid JOIN ml pb ON pb.pid = m.pid WHERE m.pid <> m.qid),
+st AS (SELECT anchor, max(rank) AS lastrank, count(*) FILTER (role = 'pos') AS npos, count(*) FILTER (role = 'neg') AS nneg,
+              min(score) FILTER (role = 'pos') AS minpos, min(score) FILTER (role = 'neg') AS minneg FROM sm GROUP BY anchor),
+fresh AS (SELECT t.anchor, CASE WHEN t.slot = 1 THEN 'pos' ELSE 'neg' END AS role, t.pid, t.slot, coalesce(st.lastrank, 0) AS lastrank,
+                 coalesce(st.npos, 0) AS npos, coalesce(st.nneg, 0) AS nneg, st.minpos, st.minneg
+          FROM rtup t LEFT JOIN st USING (anchor) WHERE t.slot > 0 AND t.pid <> t.anchor
+            AND NOT EXISTS (SELECT 1 FROM sm WHERE sm.anchor = t.anchor AND sm.pid = t.pid)),
+fsel AS (SELECT anchor, role, pid, coalesce(CASE WHEN role = 'pos' THEN minpos ELSE minneg END, 1.0::DOUBLE) AS score,
+                CAST(lastrank + fi AS BIGINT) AS ord
+         FROM (SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY slot) AS fi FROM fresh)
+         WHERE fi <= CASE WHEN role = 'pos' THEN {N_POS} - npos ELSE {N_NEG} - nneg END),
+cand AS (SELECT anchor, role, pid, score, CAST(rank AS BIGINT) AS ord FROM sm UNION ALL SELECT * FROM fsel)"""
+
+
+def _filled_ml(spark, sf):
+    ml = fx.multilabel_vectors(spark, sf)
+    m = knn_join(ml.select(F.col("pid").alias("qid"), "vec"), ml.select("pid", "vec"), K)
+    return sampling.searched_filled_ml(m, ml.select("pid", "labels"), K, N_POS, N_NEG, SEED)
+
+
+@register("sample_filled_ml", _ML_FILL + "SELECT anchor, role, pid, round(score, 6) AS score, ord FROM cand")
+def sample_filled_ml(spark, sf):
+    """Multi-label searched candidates, deficits filled at the lowest retrieved score."""
+    return _filled_ml(spark, sf).select("anchor", "role", "pid", F.round("score", 6).alias("score"), "ord")
+
+
+@register("nway_tuples_ml", _ML_FILL + "," + _weights_sql("scores") + "," + _DRAW_SQL + "SELECT anchor, slot, pid FROM tup")
+def nway_tuples_ml(spark, sf):
+    """Weighted n-way tuples from the filled multi-label candidates."""
+    return sampling.draw_tuples(sampling.candidate_weights(_filled_ml(spark, sf), "scores"), NWAY, SEED)
