@@ -37,3 +37,14 @@ def test_vote_is_hash_aggregated(spark):
     p = _plan(E.queries()["knn_vote_ks"](spark, SF_MID))
     assert "SortAggregate" not in p
     assert "BroadcastHashJoin" in p                       # labels attached by a broadcast join
+
+
+def test_label_tables_are_broadcast_whatever_the_estimates(spark):
+    from pyspark.sql import functions as F
+
+    from vicinity.operators import corpus
+    big = spark.range(10 ** 12).select(F.col("id").alias("pid"), (F.col("id") % 10).cast("int").alias("label"))
+    names = (spark.range(10 ** 4).select((F.col("id") % 10).cast("int").alias("label_id")).groupBy("label_id")
+             .agg(F.count(F.lit(1)).cast("string").alias("name")))
+    plan = corpus.decode_labels(big, names)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(label" not in plan

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.functions.hashing import uniform
+from vicinity.operators.similarity import small_side
 
 CUT_ROWS = 1 << 16      # rows of a hash bucket of a seeded selection, whatever the table size
 
@@ -77,6 +78,7 @@ def prune_and_reindex(df: DataFrame, min_count: int, labels: str = "topics", id_
     long = explode_labels(df, labels, id_col)
     keep = label_counts_train(long).filter(F.col("n") >= min_count)
     dictionary = label_dictionary(long, keep, id_col=id_col)
+    dictionary = small_side(dictionary)
     ids = (long.join(dictionary, long["label"] == dictionary["name"])
            .groupBy(id_col, "split").agg(F.array_sort(F.collect_set("label_id")).alias("labels")))
     return ids.filter(F.size("labels") > 0), dictionary
@@ -89,7 +91,7 @@ def single_label_reduction(ml: DataFrame, min_count: int = 2, id_col: str = "pid
     one = ml.filter(F.size("labels") == 1).select(id_col, "split", F.element_at("labels", 1).alias("label"))
     long = one.withColumn("pos", F.lit(0))
     keep = label_counts_train(long).filter(F.col("n") >= min_count)
-    dictionary = label_dictionary(long, keep, id_col=id_col)
+    dictionary = small_side(label_dictionary(long, keep, id_col=id_col))
     rows = one.join(dictionary, one["label"] == dictionary["name"]).select(
         id_col, "split", F.col("label_id").alias("label"))
     return rows, dictionary
@@ -97,7 +99,7 @@ def single_label_reduction(ml: DataFrame, min_count: int = 2, id_col: str = "pid
 
 def decode_labels(df: DataFrame, dictionary: DataFrame, label: str = "label", unknown: str = "?") -> DataFrame:
     """id -> name by a dictionary join; missing names become ``'?'``."""
-    d = dictionary.select(F.col("label_id").alias("_lid"), F.col("name").alias("_name"))
+    d = small_side(dictionary.select(F.col("label_id").alias("_lid"), F.col("name").alias("_name")))
     return (df.join(d, df[label] == d["_lid"], "left")
             .withColumn("name", F.coalesce(F.col("_name").cast("string"), F.lit(unknown))).drop("_lid", "_name"))
 

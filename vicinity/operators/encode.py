@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.text import encode_sequence, simple_tokens
 from vicinity.functions.vectors import l2_normalize, with_hashed_vectors
+from vicinity.operators.similarity import broadcast_limit, small_side
 
 HASHED_DIM = 8
 
@@ -60,12 +61,16 @@ class HashedTokenEncoder:
         if distinct:
             toks = F.array_distinct(toks)
         t = df.select(F.col(id_col).cast("long").alias("pid"), toks.alias("tokens"))
+        return self.encode_token_lists(t).withColumnRenamed("pid", id_col)
 
+    def encode_token_lists(self, df: DataFrame) -> DataFrame:
+        """``(pid, tokens)`` -> ``(pid, vecs)``, a vector per token; each distinct token of a slice is hashed once."""
         def run(batches):
             for b in batches:
-                yield hashed_vectors_batch(b)
+                for at in range(0, b.num_rows, 512):
+                    yield hashed_vectors_batch(b.slice(at, 512))
 
-        return t.mapInArrow(run, "pid long, vecs array<array<double>>").withColumnRenamed("pid", id_col)
+        return df.select("pid", "tokens").mapInArrow(run, "pid long, vecs array<array<double>>")
 
     def encode_queries(self, df: DataFrame, id_col: str = "qid", text: str = "text") -> DataFrame:
         t = token_table(df, id_col, text).withColumnRenamed("pos", "qpos")
@@ -114,6 +119,9 @@ def lookup_token_vectors(tokens: DataFrame, vocab: DataFrame, normalize: bool =
     Tokens missing from the vocabulary are dropped (no sub-word fallback, D16).
     """
     v = vocab.select("token", F.col("vec").alias("_v"))
+    dim = vector_length(v, "_v")
+    # a vocabulary within the broadcast limit is broadcast; beyond it the engine splits the partitions of hot tokens
+    v = small_side(v, broadcast_limit(v.sparkSession) // max(64, 16 * dim))
     out = tokens.join(v, "token")
     return out.withColumn("vec", l2_normalize("_v") if normalize else F.col("_v").cast("array<double>")).drop("_v")
 

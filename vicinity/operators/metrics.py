@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinity.session import cut_lineage
+
 DIGITS = 9
 
 MULTICLASS = ("accuracy", "precision/micro", "precision/macro", "recall/micro", "recall/macro",
@@ -78,7 +80,13 @@ def _multilabel_join(preds: DataFrame, truth: DataFrame, ks, group: str = "k") -
     return p.join(tg, [group, "id", "label"], "full")
 
 
-def multilabel_confusion(preds: DataFrame, truth: DataFrame, ks, group: str = "k") -> DataFrame:
+def multilabel_join(preds: DataFrame, truth: DataFrame, ks, group: str = "k") -> DataFrame:
+    """Predicted and true labels of every row side by side, stored: hand it to :func:`multilabel_confusion` and
+    :func:`subset_exact` as ``both`` to join once."""
+    return cut_lineage(_multilabel_join(preds, truth, ks, group))
+
+
+def multilabel_confusion(preds: DataFrame, truth: DataFrame, ks, group: str = "k", both: DataFrame | None = None) -> DataFrame:
     """Per-class tp / fp / fn per group from exploded label sets.
 
     ``preds(group, id, label)`` and ``truth(id, label)`` exploded; -> ``(group,
@@ -87,20 +95,21 @@ def multilabel_confusion(preds: DataFrame, truth: DataFrame, ks, group: str = "k
     replace the reference's batch-wise ``update``.  ``ks`` lists the groups so
     the truth side is replicated by a literal explode, not a join.
     """
-    both = _multilabel_join(preds, truth, ks, group)
+    both = _multilabel_join(preds, truth, ks, group) if both is None else both
     return (both.groupBy(group, "label").agg(
         F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNull(), 1).otherwise(0)).cast("long").alias("fp"),
         F.sum(F.when(F.col("p").isNull() & F.col("t").isNotNull(), 1).otherwise(0)).cast("long").alias("fn")))
 
 
-def subset_exact(preds: DataFrame, truth: DataFrame, ks, ids: DataFrame, group: str = "k") -> DataFrame:
+def subset_exact(preds: DataFrame, truth: DataFrame, ks, ids: DataFrame, group: str = "k",
+                 both: DataFrame | None = None) -> DataFrame:
     """``(group, n_exact)``: rows whose predicted set equals the true set (M8 numerator).
 
     ``ids(id)`` are all rows under test: one without true and without predicted labels is exact too, though it is on
     neither exploded side.  Counted as all rows less those with a differing label.
     """
-    both = _multilabel_join(preds, truth, ks, group)
+    both = _multilabel_join(preds, truth, ks, group) if both is None else both
     wrong = (both.filter(F.col("p").isNull() | F.col("t").isNull()).groupBy(group)
              .agg(F.countDistinct("id").alias("n_wrong")))
     every = (ids.agg(F.countDistinct("id").alias("n"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.operators.similarity import small_side
 from vicinity.session import cut_lineage
 
 
@@ -110,7 +111,7 @@ def predict_long(model: MLKNNModel, test_ids: DataFrame, test_matches: DataFrame
     long = explode_labels(train, id_col, labels)
     t = model.table()
     counts = cut_lineage(neighbour_counts(test_matches, long, model.k))   # decided + anti join
-    decided = (counts.join(t, ["label", "j"])
+    decided = (counts.join(small_side(t), ["label", "j"])
                .select("qid", "label", "y1", "y0"))
     pos_nz = decided.filter(F.col("y1") >= F.col("y0"))
     # default-on labels: one model-side row holding at most num_labels entries

@@ -158,8 +158,9 @@ def _mlc(spark, sf):
                                                  lambda k: (k == 0) | (F.col("pos") < k))))
              .select("k", F.col("qid").alias("id"), "label"))
     truth = test.select(F.col("qid").alias("id"), F.explode("labels").alias("label"))
-    conf = metrics.multilabel_confusion(preds, truth, MLC_KS)
-    exact = metrics.subset_exact(preds, truth, MLC_KS, test.select(F.col("qid").alias("id")))
+    both = metrics.multilabel_join(preds, truth, MLC_KS)
+    conf = metrics.multilabel_confusion(preds, truth, MLC_KS, both=both)
+    exact = metrics.subset_exact(preds, truth, MLC_KS, test.select(F.col("qid").alias("id")), both=both)
     stats = test.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("labels")).alias("mx")).first()
     n_labels = max(model.num_labels, int(stats["mx"]) + 1)
     return conf, exact, int(stats["n"]), n_labels

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vicinity.functions import text as tx
 from vicinity.functions.vectors import hashed_token_vector_sql
 from vicinity.operators import classify, encode
-from vicinity.operators.similarity import knn_join, maxsim_join
+from vicinity.operators.similarity import knn_join, maxsim_join, small_side
 from vicinity.plans import corpus as pc
 from vicinity.plans import fixtures as fx
 from vicinity.plans import register, with_ctes
@@ -214,8 +214,10 @@ def mine_skiplist(spark, sf):
 def skiplist_maxsim(spark, sf):
     """MaxSim with skip-list tokens removed from the documents by an anti join (P14; D1 fixed)."""
     skip = _skiplist(spark, sf)
-    dv = doc_token_vectors(spark, sf, distinct=True).join(skip, "token", "left_anti").select("pid", "pos", "vec")
-    return maxsim_join(_bench_query_vectors(spark, sf), dv, K)
+    # tokens are dropped before any vector is made; what is left is encoded packed
+    kept = (encode.token_table(_docs(spark, sf)).join(small_side(skip), "token", "left_anti")
+            .groupBy("pid").agg(F.collect_set("token").alias("tokens")))
+    return maxsim_join(_bench_query_vectors(spark, sf), None, K, packed_docs=encode.HashedTokenEncoder().encode_token_lists(kept))
 
 
 # --------------------------------------------------------------------------- U1 / E3 / E4 model hook
