@@ -328,6 +328,25 @@ def complete_search(queries: DataFrame, index: DataFrame, centroids: DataFrame,
     return out
 
 
+def cells_for_recall(index: DataFrame, centroids: DataFrame, k: int, recall: float, metric: str = "inner_product",
+                     sample: int = 256, seed: int = 12345) -> int:
+    """Number of cells to probe so that about ``recall`` of the true ``k`` neighbours lie in them.
+
+    Measured on ``sample`` index vectors (by a hash of their ids) against the exact join: each true neighbour's cell has
+    a place in its query's order of cells, and the answer is a quantile of those places, a little above ``recall``.
+    """
+    n, total = index.count(), centroids.count()
+    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("pid")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(n, 1))) + 1
+    q = cut_lineage(index.filter(pick).select(F.col("pid").alias("qid"), "vec"))
+    exact = knn_join(q, index.select("pid", "vec"), k, metric, exclude_self=True).join(index.select("pid", "cell"), "pid")
+    order = F.col("cell_score").asc() if metric == "l2_distance" else F.col("cell_score").desc()
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(order, "cell"))
+    places = cell_map(q, centroids, total, "qid", metric).select("qid", "cell", place.alias("place"))
+    found = (exact.join(places, ["qid", "cell"])
+             .agg(F.percentile_approx("place", min(1.0, recall + 0.3 * (1 - recall)), 10_000)).first()[0])
+    return int(found or 1)
+
+
 def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, ncells: int,
                block_rows: int = 2048, metric: str = "inner_product") -> DataFrame:
     """Inverted-file top-k (J4): probe ``ncells`` cells per query, score only the index
