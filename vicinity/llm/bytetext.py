@@ -25,7 +25,7 @@ _WINDOW = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of ``batch`` with at most ``limit`` bytes of text, or a single longer row."""
     ends = text_offsets(batch.column(text))[1:]
     at = done = 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vicinity.llm.bytetext import slices
 
 MARK = "▁"
-TABLE_ROWS = 400_000
+TABLE_ROWS = 200_000
 _CHUNK = re.compile(" +[^ ]*")
 
 

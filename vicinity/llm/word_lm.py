@@ -34,6 +34,7 @@ from vicinity.session import checkpoint_dir, cut_lineage
 
 _U = np.uint64
 END = _U(1)           # hash of the end mark
+SLICE = 4 << 20       # bytes of text that are looked up together: more share more words and pairs
 HELD_ROWS = 3_000_000  # counts that a task gathers before it sends them
 _LOW = _U(0xFFFFFFFF)
 
@@ -232,7 +233,7 @@ def _count_words(texts: DataFrame, bits: int) -> DataFrame:
                                words, counts)
 
         for batch in batches:
-            for part in bt.slices(batch, "text"):
+            for part in bt.slices(batch, "text", SLICE):
                 held.add(*np.unique(tokens(part.column("text"))[0], return_counts=True))
                 if held.n > HELD_ROWS:
                     yield from send()
@@ -254,7 +255,7 @@ def _count_pairs(texts: DataFrame, model: WordModel) -> DataFrame:
             yield from _packed(model.pair_shards(pairs, totals), pairs, counts)
 
         for batch in batches:
-            for part in bt.slices(batch, "text"):
+            for part in bt.slices(batch, "text", SLICE):
                 hashes, first = tokens(part.column("text"))
                 words, place = np.unique(hashes, return_inverse=True)
                 ids = model.ids(words)[place]
@@ -353,7 +354,7 @@ def score(docs: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]):
         m = shared.value
         for batch in batches:
-            for part in bt.slices(batch, "text"):
+            for part in bt.slices(batch, "text", SLICE):
                 hashes, first = tokens(part.column("text"))
                 known, base, own = m.score(hashes, first)
                 yield pa.RecordBatch.from_arrays(
