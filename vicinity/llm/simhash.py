@@ -78,7 +78,7 @@ def fingerprint_table(docs: DataFrame, size: int = 4, seed: int = 42, id_col: st
     """``doc_id, fp`` (the fingerprint's 64 bits as a long) of every whole text; map only."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in bt.slices(batch, "text", 2 << 20):
+            for part in bt.slices(batch, "text"):
                 fp = fingerprints(part.column("text"), size, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
@@ -248,7 +248,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, max_bits: int = 4, seed: int
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct, max_bits, block)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    # stored, so that the join has an exchange on both sides and the engine can split the partitions of a large component
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    classes = rooted.join(least, "root")
     return prints.join(classes.select("fp", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
