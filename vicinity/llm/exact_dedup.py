@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.llm.fixed_filter import FILTER_MB, with_maybe
+from vicinity.session import cut_lineage
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 
@@ -28,19 +29,22 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SEPARATORS, "")
 
 
-def _alone_and_grouped(docs: DataFrame, id_col: str, text_col: str, filter_mb: int) -> tuple[DataFrame, DataFrame]:
-    """Rows without a copy, and the others with ``_keep``, ``_size`` and ``_best``; each input row is in ``_row``."""
-    rows = docs.select(F.struct("*").alias("_row")).select(
-        "_row", F.col(f"_row.`{id_col}`").alias("_id"),
-        F.char_length(F.coalesce(f"_row.`{text_col}`", F.lit(""))).alias("_chars"),
-        normalised(F.col(f"_row.`{text_col}`")).alias("_norm")).withColumn("_h", F.unhex(F.md5("_norm")))
+def _alone_and_grouped(docs: DataFrame, id_col: str, text_col: str, carry: list[str],
+                       filter_mb: int) -> tuple[DataFrame, DataFrame]:
+    """Rows without a copy, and the others with ``_keep``, ``_size`` and ``_best``; columns ``carry`` are in ``_row``."""
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"), F.col(f"`{id_col}`").alias("_id"),
+        F.char_length(F.coalesce(f"`{text_col}`", F.lit(""))).alias("_chars"),
+        normalised(F.col(f"`{text_col}`")).alias("_norm")).withColumn("_h", F.unhex(F.md5("_norm")))
     twice = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     marked = with_maybe(rows, "_h", twice, filter_mb)
 
-    copies = marked.filter("_maybe")
+    # both are stored: the copies are read twice, and with a stored side of their groups (one text each) the join below
+    # has an exchange on both sides, so the engine can split the partition of a text that many rows repeat
+    copies = cut_lineage(marked.filter("_maybe").drop("_maybe"))
     # bitwise_not turns "smallest id" into "largest" without overflow; a null is the smallest value in a struct
-    groups = copies.groupBy("_h", "_norm").agg(
-        F.count(F.lit(1)).alias("_size"), F.max(F.struct("_chars", F.bitwise_not("_id").alias("_inv"))).alias("_top"))
+    groups = cut_lineage(copies.groupBy("_h", "_norm").agg(
+        F.count(F.lit(1)).alias("_size"), F.max(F.struct("_chars", F.bitwise_not("_id").alias("_inv"))).alias("_top")))
     keep = F.bitwise_not("_top._inv")
     grouped = copies.join(groups, ["_h", "_norm"]).select(
         "_row", "_id", "_h", "_norm", "_size", keep.alias("_keep"),
@@ -68,7 +72,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``filter_mb`` is the size of the broadcast filter (16 MB: 1.3e8 bits); it bears on speed only.
     """
-    alone, grouped = _alone_and_grouped(docs.select(id_col, text_col), id_col, text_col, filter_mb)
+    alone, grouped = _alone_and_grouped(docs, id_col, text_col, [id_col], filter_mb)
     sha = F.sha2("_norm", 256)
     alone = alone.select(F.col("_id").alias("doc_id"), F.col("_id").alias("keep_id"),
                          F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
@@ -81,6 +85,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 filter_mb: int = FILTER_MB) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns; only rows with copies are shuffled."""
-    alone, grouped = _alone_and_grouped(docs, id_col, text_col, filter_mb)
+    alone, grouped = _alone_and_grouped(docs, id_col, text_col, docs.columns, filter_mb)
     best = grouped.filter("_best").select("_row", _first_of_repeated().alias("_one")).filter("_one")
     return alone.select("_row.*").unionByName(best.select("_row.*"))

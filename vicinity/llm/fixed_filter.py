@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinity.session import cut_lineage
+
 FILTER_MB = 16
 _SLICE = 32768  # bits of one bitmap of bitmap_construct_agg
 
@@ -22,9 +24,10 @@ def _bit(key: str, mb: int) -> Column:
 
 def with_maybe(rows: DataFrame, key: str, members: DataFrame, mb: int = FILTER_MB) -> DataFrame:
     """``rows`` with a boolean ``_maybe``: false where ``key`` is surely not in column ``key`` of ``members``."""
-    bits = (members.select(_bit(key, mb).alias("_bit"))
-            .groupBy(F.expr(f"_bit div {_SLICE}").alias("_slice"))
-            .agg(F.bitmap_construct_agg(F.col("_bit") % _SLICE).alias("_bits")))  # at most 256 rows of 4 KB for each MB
+    # at most 256 rows of 4 KB for each MB; stored, since the callers read the result in two branches
+    bits = cut_lineage(members.select(_bit(key, mb).alias("_bit"))
+                       .groupBy(F.expr(f"_bit div {_SLICE}").alias("_slice"))
+                       .agg(F.bitmap_construct_agg(F.col("_bit") % _SLICE).alias("_bits")))
     byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_bit % {_SLICE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
     is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
     return (rows.withColumn("_bit", _bit(key, mb)).withColumn("_slice", F.expr(f"_bit div {_SLICE}"))
@@ -37,6 +40,7 @@ def without_ids(rows: DataFrame, id_col: str, gone: DataFrame, mb: int = FILTER_
 
     Null ids stay.  Column names of ``rows`` that begin with an underscore may clash and are carried in a struct.
     """
+    gone = cut_lineage(gone)
     packed = rows.select(F.struct("*").alias("_row"), F.col(id_col).alias("_gone"))
     marked = with_maybe(packed, "_gone", gone, mb)
     stay = marked.filter(~F.col("_maybe")).select("_row")
