@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
