@@ -196,6 +196,43 @@ def test_mixing_meets_the_weights(spark):
     assert (clean.copies >= 1).mean() > 0.97
 
 
+@pytest.mark.parametrize("share", [0.01, 0.0002])
+def test_mixing_raises_a_rare_domain_to_its_target(spark, share):
+    rng = np.random.default_rng(2)
+    n = 20_000
+    t, domain = rng.integers(1, 500, n), rng.choice(3, n, p=[0.95 - share, share, 0.05])
+    p = np.stack([rng.dirichlet(np.where(np.arange(3) == d, 8.0, 0.05)) for d in domain])
+    table = spark.createDataFrame([(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(t, p))],
+                                  "doc_id long, n_tokens long, p array<double>").repartition(3)
+    model = mixing.DomainClassifier(["clean", "low", "toxic"], np.zeros(0, np.uint64), np.zeros((0, 3)))
+    mixer = mixing.fit_rates(table, model, mixing.WEIGHTS)
+    rates = mixer.rates(p)
+    assert rates.min() >= 0 and rates.max() > 4
+    assert np.abs((rates * t) @ p / mixer.targets - 1).max() < 1.01e-3 and max(map(abs, mixer.miss.values())) < 1e-3
+
+
+def test_mixing_names_the_miss_of_targets_out_of_reach(spark):
+    p = np.array([[0.7, 0.3], [0.6, 0.4], [0.9, 0.1]])
+    t = np.array([10, 20, 30])
+    table = spark.createDataFrame([(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(t, p))],
+                                  "doc_id long, n_tokens long, p array<double>")
+    model = mixing.DomainClassifier(["a", "b"], np.zeros(0, np.uint64), np.zeros((0, 2)))
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixer = mixing.fit_rates(table, model, {"a": 0.2, "b": 0.8}, fill=1.0)
+    r = mixer.rates(p)
+    total = (r * t) @ p
+    assert np.allclose(total / mixer.targets - 1, [mixer.miss["a"], mixer.miss["b"]])
+    assert mixer.miss["b"] < -0.1 and mixing._objective(total, mixer.targets) < mixing._objective(t @ p, mixer.targets)
+
+
+def test_repeated_rows_come_in_bounded_batches():
+    n = np.array([0, 3, 1000, 1])
+    got = list(mixing.repeats(n, mixing.BATCH_BYTES // 10))
+    assert np.bincount(np.concatenate(got), minlength=4).tolist() == n.tolist()
+    assert max(np.bincount(g).max() for g in got) <= 10
+    assert sum(map(len, mixing.repeats(np.array([2, 1]), 10 * mixing.BATCH_BYTES))) == 3
+
+
 def test_mixing_odd_input(spark, docs_of):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     docs = docs_of([(1, "good words"), (2, "## ##"), (3, "bad words"), (4, None), (4, None), (None, "x"), (6, "")])

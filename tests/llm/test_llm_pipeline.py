@@ -2,9 +2,11 @@
 
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from vicinity.llm import queries
-from tests.conftest import SF_SMALL
+from vicinity.llm import mixing, queries
+from tests.conftest import SF_MID, SF_SMALL
 
 
 def test_stages(spark, tmp_path):
@@ -25,6 +27,19 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_mixing_stage_reaches_its_targets(spark, tmp_path):
+    docs = queries.table(spark, SF_MID, "documents")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, SF_MID).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    d = mixing.mix(docs, queries.table(spark, SF_MID, "labels")).toPandas()
+    totals = np.array([(d.rate * d.n_tokens * d[f"p_{x}"]).sum() for x in mixing.WEIGHTS])
+    want = np.array([w if d[f"p_{x}"].any() else 0 for x, w in mixing.WEIGHTS.items()])
+    targets = want / want[0] * mixing.FILL * (d.n_tokens * d.p_clean).sum()
+    assert (np.abs(totals - targets) <= 1.01e-3 * targets).all()
+    assert corpus_pipeline.mixture(spark, docs, SF_MID).count() == d.copies.sum()
+
+
 def test_pipeline_on_empty_and_odd_documents(spark, docs_of, tmp_path):
     for i, rows in enumerate(([], [(1, None), (1, None), (None, "a b"), (2, ""), (3, "w " * 5000)])):
         docs = docs_of(rows).select("doc_id", "text", "lang", "source", "n_chars")

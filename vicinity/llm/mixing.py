@@ -11,7 +11,12 @@
    gradient is taken in the metric of the token counts, so a step moves r_i by
    ``-eta * sum_d p_id g_d`` and every rate follows from the document's
    posterior and the few numbers ``g`` of each step.  A step is one pass over
-   the stored posteriors; the driver holds domain totals only.
+   the stored posteriors; the driver holds domain totals only.  Where a target
+   is still missed after ``rounds`` steps, long steps follow: one whose ``g`` is
+   the exact minimiser of the objective with a faint pull towards the rates
+   before, found by Newton's method in as many unknowns as there are domains.
+   Rates have no upper bound.  Where no nonnegative rates come notably nearer to
+   the targets, the rates stay and a warning names the miss of each domain.
 3. A document is taken floor(r) times and once more with the probability of the
    rest, by a hash of its id.
 """
@@ -19,6 +24,7 @@
 from __future__ import annotations
 
 import dataclasses
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +43,9 @@ MIN_Z = 4.5            # standard deviations of a word's document frequency
 # the mixture of the query and of the pipeline: domain -> share of tokens
 WEIGHTS = {"clean": 0.85, "low": 0.1, "toxic": 0.05}
 FILL = 1.1             # tokens of the first domain, as a multiple of what there is
-MAX_RATE = 4.0
+BATCH_BYTES = 16 << 20  # of repeated rows that are handed on at a time
+PULL = 1e-6            # weight of a long step's pull towards the rates before it
+WORTH = 0.8            # share of the objective that a long step may leave
 
 
 def domain_label() -> Column:
@@ -181,14 +189,20 @@ class Mixer:
     classifier: DomainClassifier
     targets: np.ndarray
     steps: np.ndarray  # [steps, domains]: what a step takes off a rate, per unit of posterior
-    max_rate: float = MAX_RATE
+    max_rate: float = np.inf
+    miss: dict[str, float] = dataclasses.field(default_factory=dict)  # domain -> (expected tokens - target) / target
 
-    def rates(self, p: np.ndarray) -> np.ndarray:
+    def unclipped(self, p: np.ndarray) -> np.ndarray:
+        """Rates before the last step is projected."""
         r = np.ones(len(p))
         for g in self.steps:
-            r = np.clip(r - p @ g, 0, self.max_rate)
+            r = np.clip(r, 0, self.max_rate) - p @ g
         return r
 
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        r = self.unclipped(p)
+        return np.clip(r, 0, self.max_rate) if len(self.steps) else r
+
 
 def _posterior_table(docs: DataFrame, model: DomainClassifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
@@ -207,47 +221,116 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return t, batch.column("p").flatten().to_numpy().reshape(len(t), -1)
 
 
-def domain_totals(table: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
-    """``(totals [d], curvature [d, d])`` of the rates so far: sums of r t p and of t p p^T, one partial row per task."""
+def domain_totals(table: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray, float]:
+    """``(totals [d], curvature [d, d], potential)`` of the rates so far, one partial row per task.
+
+    The sums of r t p, of t p p^T over the rates that the last step did not clip, and of t (r u - r^2 / 2) where u is
+    the rate before it is clipped: as a function of the last step, the totals are minus the potential's gradient and
+    the curvature its second derivative.
+    """
     d = len(mixer.targets)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        out = np.zeros(d + d * d)
+        out = np.zeros(d + d * d + 1)
         for batch in batches:
             t, p = _arrays(batch)
-            out[:d] += (mixer.rates(p) * t) @ p
-            out[d:] += ((p * t[:, None]).T @ p).ravel()
+            u = mixer.unclipped(p)
+            r = np.clip(u, 0, mixer.max_rate) if len(mixer.steps) else u
+            out[:d] += (r * t) @ p
+            out[d:-1] += ((p * (t * (r == u))[:, None]).T @ p).ravel()
+            out[-1] += t @ (r * u - r * r / 2)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], ["i", "x"])
 
     sums = dict(map(tuple, table.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect()))
-    flat = np.array([sums.get(i, 0.0) for i in range(d + d * d)])
-    return flat[:d], flat[d:].reshape(d, d)
+    flat = np.array([sums.get(i, 0.0) for i in range(d + d * d + 1)])
+    return flat[:d], flat[d:-1].reshape(d, d), float(flat[-1])
+
+
+def _objective(totals: np.ndarray, targets: np.ndarray) -> float:
+    return float(((totals - targets) ** 2 / targets).sum() / 2)
+
+
+def _long_step(table: DataFrame, mixer: Mixer, tolerance: float, newton: int = 100) -> np.ndarray | None:
+    """Adds to ``mixer`` the step that minimises the objective with ``PULL`` towards the rates before; the new totals.
+
+    The dual of that problem is smooth and strictly convex in the step's d numbers; Newton's method with step halving
+    solves it, one pass over the posteriors a trial.  It ends early where all targets are met.  None, and no step, if
+    the objective does not come down to ``WORTH`` of what it was; the dual's value proves that after a few trials.
+    """
+    before, targets = mixer.steps, mixer.targets
+    scale = 1 / np.sqrt(targets)
+
+    def at(g):
+        mixer.steps = np.concatenate((before, g[None]))
+        totals, curve, potential = domain_totals(table, mixer)
+        return totals, curve, PULL / 2 * (targets * g) @ g + targets @ g + potential
+
+    g = np.zeros(len(targets))
+    totals, curve, value = at(g)
+    enough, start = WORTH * _objective(totals, targets), value
+    for _ in range(newton):
+        slope = PULL * targets * g + targets - totals
+        hess = PULL * np.eye(len(g)) + curve * np.outer(scale, scale)
+        move = -scale * np.linalg.solve(hess, scale * slope)
+        gain = -slope @ move
+        if (np.abs(totals / targets - 1).max() < tolerance or gain <= 1e-12 * targets.sum()
+                or PULL * (start - value) > enough):  # no less is left of the objective with the pull
+            break
+        width = 1.0
+        while width > 1e-9:
+            found = at(g + width * move)
+            if found[2] <= value - 1e-4 * width * gain:
+                break
+            width /= 2
+        else:
+            break
+        g = g + width * move
+        totals, curve, value = found
+    if _objective(totals, targets) > enough:
+        mixer.steps = before
+        return None
+    mixer.steps = np.concatenate((before, g[None]))
+    return totals
 
 
 def fit_rates(table: DataFrame, model: DomainClassifier, weights: dict[str, float], fill: float = FILL,
-              max_rate: float = MAX_RATE, rounds: int = 40, tolerance: float = 1e-3) -> Mixer:
+              max_rate: float = np.inf, rounds: int = 40, tolerance: float = 1e-3) -> Mixer:
     """Rates for the stored posterior ``table``.  Domains without labelled rows are left out and the others' weights scaled.
 
-    The tokens to reach are set by the first domain of ``weights`` that occurs: ``fill`` times what it has.
+    The tokens to reach are set by the first domain of ``weights`` that occurs: ``fill`` times what it has.  After
+    ``rounds`` gradient steps, long steps go on until every total is within ``tolerance`` of its target or none is worth
+    it (:func:`_long_step`); then a warning names the miss of each domain, as ``Mixer.miss`` does.
     """
     share = np.array([max(weights.get(d, 0.0), 0.0) for d in model.domains])
     if not share.sum():
         raise ValueError("no domain of the labelled rows has a weight")
     share /= share.sum()
     mixer = Mixer(model, share, np.zeros((0, len(share))), max_rate)
-    have, curve = domain_totals(table, mixer)
+    have, curve, _ = domain_totals(table, mixer)
     lead = next(model.domains.index(d) for d in weights if d in model.domains and weights[d] > 0)
     mixer.targets = np.maximum(share * fill * have[lead] / share[lead], 1e-6 * max(have.sum(), 1.0))
     scale = 1 / mixer.targets
+
+    def worst(total):
+        return np.abs((total - mixer.targets) * scale).max()
+
     # steps of 1 / (largest eigenvalue of the scaled curvature)
     eta = 1 / max(np.linalg.eigvalsh(curve * np.sqrt(np.outer(scale, scale))).max(), 1e-12)
     total = have
-    for _ in range(rounds):
-        miss = (total - mixer.targets) * scale
-        if np.abs(miss).max() < tolerance:
+    for _ in range(rounds if have.sum() else 0):
+        if worst(total) < tolerance:
+            break
+        mixer.steps = np.concatenate((mixer.steps, eta * ((total - mixer.targets) * scale)[None]))
+        total = domain_totals(table, mixer)[0]
+    while have.sum() and worst(total) >= tolerance:
+        nearer = _long_step(table, mixer, tolerance)
+        if nearer is None:
             break
-        mixer.steps = np.concatenate((mixer.steps, eta * miss[None]))
-        total, _ = domain_totals(table, mixer)
+        total = nearer
+    mixer.miss = dict(zip(model.domains, ((total - mixer.targets) * scale).tolist()))
+    if have.sum() and worst(total) >= tolerance:
+        warnings.warn("mixing: targets out of reach; expected tokens over target - 1: "
+                      + ", ".join(f"{d} {m:+.4f}" for d, m in mixer.miss.items()), stacklevel=2)
     return mixer
 
 
@@ -260,6 +343,17 @@ def copies_of(rates: np.ndarray, ids: pa.Array, seed: int) -> np.ndarray:
     return np.floor(rates + uniform(ids.fill_null(-1).to_numpy(zero_copy_only=False), seed)).astype(np.int64)
 
 
+def repeats(n: np.ndarray, nbytes: int) -> Iterator[np.ndarray]:
+    """Row numbers, row i ``n[i]`` times, in runs of about ``BATCH_BYTES`` where all rows together have ``nbytes``."""
+    rows = np.flatnonzero(n)
+    small = max(int(BATCH_BYTES // max(nbytes, 1)), 1)  # copies of all rows that a batch may hold
+    done = 0
+    while len(rows):
+        yield np.repeat(rows, np.minimum(n[rows] - done, small))
+        done += small
+        rows = rows[n[rows] > done]
+
+
 def _fitted(docs, labels, weights, domain, seed, options) -> tuple[Mixer | None, DataFrame]:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit_classifier(src, labels, domain_label() if domain is None else domain, seed=seed)
@@ -318,8 +412,8 @@ def mixed_rows(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = W
             for part in bt.slices(batch, f"c{text_at}"):
                 x, _ = mixer.classifier.features(part.column(text_at))
                 n = copies_of(mixer.rates(mixer.classifier.posteriors(x)), part.column(id_at), seed)
-                taken = part.take(pa.array(np.repeat(np.arange(len(n)), n)))
-                yield taken.rename_columns(docs_columns)
+                for rows in repeats(n, part.nbytes):
+                    yield part.take(pa.array(rows)).rename_columns(docs_columns)
 
     docs_columns = docs.columns
     return docs.mapInArrow(run, docs.schema)
