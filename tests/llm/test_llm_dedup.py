@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -93,6 +94,16 @@ def test_simhash_matches_brute_force(docs_of, small_texts):
     assert {r["doc_id"] for r in kept.collect()} == set(least.values())
 
 
+def test_near_dedup_judges_rows_not_ids(docs_of):
+    long = " ".join(f"w{i}" for i in range(300))
+    near = long + " end"
+    assert bin(int(np.bitwise_xor(*simhash.fingerprints(pa.array([long, near]), 4, 42)))).count("1") <= 4
+    rows = [(1, long), (7, near), (7, "a text of its own, unlike all others"), (None, near), (None, "once more new words"),
+            (None, "once more new words"), (9, "the same row twice"), (9, "the same row twice")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs_of(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([rows[0], rows[2], rows[4], rows[6]], key=repr)
+
+
 @pytest.mark.parametrize("bits,block", [(4, 40), (4, 8192), (3, 20), (2, 8192), (6, 100), (1, 30)])
 def test_links_connect_what_all_pairs_connect(spark, bits, block):
     rng = np.random.default_rng(bits)

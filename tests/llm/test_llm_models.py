@@ -165,6 +165,18 @@ def test_quality_classifier_odd_input(spark, docs_of):
     assert all(r["kept"] for r in importance.resample(docs, labels.limit(0)).collect())
 
 
+def test_quality_classifier_judges_rows_not_ids(spark, docs_of):
+    good, bad = "plain words of a good text " * 40, "@@ ## $$ !! " * 80
+    rows = [(i, good) for i in range(40)] + [(100 + i, bad) for i in range(40)]
+    rows += [(None, bad), (None, good), (1000, bad), (1000, good)]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    docs = docs_of(rows)
+    kept = importance.drop_rejected(docs, labels, temperature=0.0)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted([r for r in rows if r[1] == good], key=repr)
+
+
 def _brute_rates(t, p, targets, steps, max_rate):
     r = np.ones(len(t))
     curve = (p * t[:, None]).T @ p

@@ -35,14 +35,22 @@ def with_maybe(rows: DataFrame, key: str, members: DataFrame, mb: int = FILTER_M
             .withColumn("_maybe", F.coalesce(is_set, F.lit(False))).drop("_slice", "_bit", "_bits"))
 
 
-def without_ids(rows: DataFrame, id_col: str, gone: DataFrame, mb: int = FILTER_MB) -> DataFrame:
-    """``rows`` whose id isn't among column ``_gone`` of ``gone``; only rows that may be among them are shuffled.
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 hash bits of a row's id and text, null or not: what tells rows apart that share an id or have none."""
+    parts = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col).cast("string")]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *parts).alias("k2"))
 
-    Null ids stay.  Column names of ``rows`` that begin with an underscore may clash and are carried in a struct.
+
+def without_rows(rows: DataFrame, key: Column, listed: DataFrame, mb: int = FILTER_MB) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``listed`` (``_key``, ``_one``), or one of them where ``_one`` is true.
+
+    Only rows that may be listed are shuffled.  Column names of ``rows`` that begin with an underscore may clash and
+    are carried in a struct.
     """
-    gone = cut_lineage(gone)
-    packed = rows.select(F.struct("*").alias("_row"), F.col(id_col).alias("_gone"))
-    marked = with_maybe(packed, "_gone", gone, mb)
+    listed = cut_lineage(listed)
+    marked = with_maybe(rows.select(F.struct("*").alias("_row"), key.alias("_key")), "_key", listed, mb)
     stay = marked.filter(~F.col("_maybe")).select("_row")
-    rest = marked.filter("_maybe").join(gone, "_gone", "left_anti").select("_row")
-    return stay.unionByName(rest).select("_row.*")
+    rest = marked.filter("_maybe").join(listed, "_key", "left")
+    unlisted = rest.filter("_one is null").select("_row")
+    one = rest.filter("_one").dropDuplicates(["_key"]).select("_row")
+    return stay.unionByName(unlisted).unionByName(one).select("_row.*")

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vicinity.llm import bytetext as bt
 from vicinity.llm import ngrams
-from vicinity.llm.fixed_filter import without_ids
 from vicinity.session import cut_lineage
 
 TEMPERATURE = 0.1      # of the sampling weights: scale of the Gumbel noise, in log ratio per word
@@ -117,14 +117,21 @@ def gumbel_top_k(scored: DataFrame, k: int, seed: int = 42, temperature: float =
 
     Rows that repeat an id and a ratio at the cut share its fate, since nothing tells them apart.
     """
-    keyed = scored.withColumn("key", F.col("log_ratio") + F.lit(float(temperature)) * gumbel("doc_id", seed))
-    if k <= 0:
-        return keyed.withColumn("kept", F.lit(False))
-    if k >= keyed.count():
-        return keyed.withColumn("kept", F.lit(True))
+    keyed = scored.withColumn("key", noisy_key(seed, temperature))
+    return keyed.withColumn("kept", _verdict(keyed, k))
+
+
+def noisy_key(seed: int, temperature: float) -> Column:
+    return F.col("log_ratio") + F.lit(float(temperature)) * gumbel("doc_id", seed)
+
+
+def _verdict(keyed: DataFrame, k: int) -> Column:
+    """Whether a row with ``key`` and ``doc_id`` is among the k largest of ``keyed``."""
+    if k <= 0 or k >= keyed.count():
+        return F.lit(k > 0)
     key, last = kth_largest(keyed, k)
     tie = F.lit(True) if last is None else F.coalesce(F.col("doc_id") <= F.lit(last), F.lit(False))
-    return keyed.withColumn("kept", (F.col("key") > key) | ((F.col("key") == key) & tie))
+    return (F.col("key") > key) | ((F.col("key") == key) & tie)
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, temperature: float = TEMPERATURE,
@@ -139,23 +146,58 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, temperature: fl
     * repeated rows: each is scored; labels repeated for an id: the smallest counts, nulls don't;
     * empty tables: no rows, or no labels as above; further columns are not read.
     """
+    fitted = _fitted(docs, labels, seed, temperature, max_labelled, id_col, text_col, quality_col)
+    if fitted is None:
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"),
+                           F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("log_ratio"),
+                           gumbel(id_col, seed).alias("key"), F.lit(True).alias("kept"))
+    _, keyed, verdict = fitted
+    return keyed.withColumn("kept", verdict)
+
+
+def _fitted(docs, labels, seed, temperature, max_labelled, id_col, text_col,
+            quality_col) -> tuple[np.ndarray, DataFrame, Column] | None:
+    """Log ratios of the buckets, the scored documents with ``key``, and the verdict on a row; None without a target."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = cut_lineage(ngrams.labelled_sample(
         one_label(labels, F.col(quality_col), id_col), max_labelled, seed, "_label_id"))
     labelled = with_labels(docs, sample, "doc_id").withColumn("cls", F.when(F.col("_label") >= 1, 0))
     target = ngrams.bucket_counts(labelled, 1)
     if not target.any():
-        return docs.select("doc_id", F.lit(None).cast("long").alias("n_words"), F.lit(0.0).alias("log_weight"),
-                           F.lit(0.0).alias("log_ratio"), gumbel("doc_id", seed).alias("key"), F.lit(True).alias("kept"))
+        return None
     raw = ngrams.bucket_counts(docs.withColumn("cls", F.lit(0)), 1)
-    scored = cut_lineage(log_weights(docs, ngrams.log_ratio(target[0], raw[0])))
+    ratios = ngrams.log_ratio(target[0], raw[0])
+    scored = cut_lineage(log_weights(docs, ratios))
     known = (scored.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"))
              .select("log_ratio", "_label").toPandas())  # bounded by the sample
     cut = best_threshold(known.log_ratio[known._label >= 1].to_numpy(), known.log_ratio[known._label < 1].to_numpy())
-    return gumbel_top_k(scored, scored.filter(F.col("log_ratio") >= cut).count(), seed, temperature)
+    keyed = scored.withColumn("key", noisy_key(seed, temperature))
+    return ratios, keyed, _verdict(keyed, scored.filter(F.col("log_ratio") >= cut).count())
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, seed: int = 42, temperature: float = TEMPERATURE,
+                  max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text",
+                  quality_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that :func:`resample` keeps, all columns.
 
+    The log ratios are worked out again from the texts in one map over the rows, so each row has its own verdict,
+    whatever rows share its id or have none, and nothing is shuffled.
+    """
+    fitted = _fitted(docs, labels, seed, temperature, max_labelled, id_col, text_col, quality_col)
+    if fitted is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(fitted[0])
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`resample` keeps, all columns; only rows that may be rejected are shuffled."""
-    found = resample(docs, labels, id_col=id_col, **options)
-    return without_ids(docs, id_col, found.filter("not kept").select(F.col("doc_id").alias("_gone")))
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in bt.slices(batch, "text"):
+                sums, words = ngrams.score_texts(part.column("text"), shared.value[None])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_row"), part.column("doc_id"), pa.array(sums[:, 0] / np.maximum(words, 1))],
+                    ["_row", "doc_id", "log_ratio"])
+
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("doc_id"),
+                       F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType().add("_row", docs.schema).add("doc_id", "long").add("log_ratio", "double")
+    return (rows.mapInArrow(run, schema).withColumn("key", noisy_key(seed, temperature)).filter(fitted[2])
+            .select("_row.*"))

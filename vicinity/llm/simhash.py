@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.llm import bytetext as bt
-from vicinity.llm.fixed_filter import without_ids
+from vicinity.llm.fixed_filter import row_key, without_rows
 from vicinity.session import cut_lineage
 
 BLOCK = 8192
@@ -74,16 +74,21 @@ def fingerprints(col: pa.Array, size: int, seed: int) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's 64 bits as a long) of every whole text; map only."""
+                      text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's 64 bits as a long) of every whole text, and ``k1, k2`` of its row; map only."""
+    keys = ["k1", "k2"] if keyed else []
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in bt.slices(batch, "text"):
                 fp = fingerprints(part.column("text"), size, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), *map(part.column, keys)],
+                                                 ["doc_id", "fp", *keys])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    key = row_key(id_col, text_col)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      *(key[k].alias(k) for k in keys))
+    return src.mapInArrow(run, "doc_id long, fp long" + "".join(f", {k} long" for k in keys))
 
 
 # ---- links
@@ -245,18 +250,33 @@ def near_duplicates(docs: DataFrame, size: int = 4, max_bits: int = 4, seed: int
     * repeated rows: repeated in the result; empty table: no rows; other columns are not read.
     """
     prints = cut_lineage(fingerprint_table(docs, size, seed, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return with_least(prints, F.col("doc_id"), max_bits, block).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def with_least(prints: DataFrame, value: Column, max_bits: int, block: int) -> DataFrame:
+    """``prints`` (``fp``; stored) with the smallest ``value`` of each row's component as ``least``."""
+    distinct = prints.groupBy("fp").agg(F.min(value).alias("first"))
     roots = components(links(distinct, max_bits, block)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # stored, so that the join has an exchange on both sides and the engine can split the partitions of a large component
-    least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("least")))
     classes = rooted.join(least, "root")
-    return prints.join(classes.select("fp", "component_id"), "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes.select("fp", "least"), "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component (and rows with a null id), all columns kept."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return without_ids(docs, id_col, gone)
+def drop_near_duplicates(docs: DataFrame, size: int = 4, max_bits: int = 4, seed: int = 42, id_col: str = "doc_id",
+                         text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row of each component, all columns kept: the one with the smallest id, then the smallest hash of id and text.
+
+    Rows are told apart by id and text, so each is judged by its own text, whatever other rows have its id; rows
+    without an id come last, and rows that are the same in both are interchangeable.
+    """
+    prints = cut_lineage(fingerprint_table(docs, size, seed, id_col, text_col, keyed=True))
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k1", "k2")
+    key = F.struct("k1", "k2")
+    judged = with_least(prints, rank, max_bits, block).select(
+        key.alias("_key"), ((F.col("least.k1") == F.col("k1")) & (F.col("least.k2") == F.col("k2"))).alias("_one"))
+    gone = judged.filter(~F.col("_one")).distinct()
+    twice = judged.filter("_one").groupBy("_key", "_one").count().filter("count > 1").drop("count")
+    return without_rows(docs, row_key(id_col, text_col), gone.unionByName(twice))
