@@ -169,7 +169,10 @@ class WordModel:
                 keys = map_array(self.base, f"pairs-{s}", "u8")
                 if len(keys):
                     where = np.minimum(np.searchsorted(keys, pairs[at]), len(keys) - 1)
-                    out[at] = np.where(keys[where] == pairs[at], map_array(self.base, f"pair_counts-{s}", "u4")[where], 0)
+                    counts = map_array(self.base, f"pair_counts-{s}", "u4")
+                    if len(counts) > len(keys):
+                        counts = map_array(self.base, f"pair_counts-{s}", "u8")
+                    out[at] = np.where(keys[where] == pairs[at], counts[where], 0)
         return out
 
     # ---- probabilities
@@ -223,6 +226,11 @@ def _by_count(discount: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0.0], discount))[np.minimum(counts, 3)]
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts as 32 bits where the largest fits, else 64; twice the length of the keys in 32-bit words tells a reader."""
+    return counts.astype(np.uint32 if counts.max(initial=0) <= 0xFFFFFFFF else np.uint64)
+
+
 def _count_words(texts: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         held = _Held()
@@ -302,7 +310,7 @@ def train(texts: DataFrame, shards: int | None = None) -> WordModel:
     def store_pairs(table: pa.Table) -> pa.Table:
         shard, pairs, counts = _merged(table)
         write_array(base, f"pairs-{shard}", pairs)
-        write_array(base, f"pair_counts-{shard}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        write_array(base, f"pair_counts-{shard}", narrow(counts))
         context, word = pairs >> _U(32), pairs & _LOW
         sizes = np.bincount(np.minimum(counts, 5), minlength=6)
         own = context < _U(model.vocabulary)
