@@ -93,6 +93,17 @@ def test_arrays_outside_a_mounted_folder(tmp_path, monkeypatch):
     assert len(arraystore.map_array(f"file://{tmp_path}/m", "x-1", "u8")) == 0
 
 
+def test_pair_counts_beyond_32_bits(tmp_path):
+    for top, bits in ((2 ** 32 - 1, 32), (2 ** 32, 64), (5 * 10 ** 9, 64)):
+        base = f"file://{tmp_path}/{top}"
+        counts = np.array([3, top, 1])
+        arraystore.write_array(base, "pairs-0", np.array([2, 5, 9], np.uint64))
+        arraystore.write_array(base, "pair_counts-0", word_lm.narrow(counts))
+        assert word_lm.narrow(counts).itemsize * 8 == bits
+        model = word_lm.WordModel(base, 0, np.array([0, 10]), 10, 1)
+        assert model.pair_counts(np.array([2, 4, 5, 9], np.uint64), np.ones(4, np.int64)).tolist() == [3, 0, top, 1]
+
+
 def test_char_model_probabilities_sum_to_one():
     texts = ["abra kadabra", "abba", "cab a"]
     codes, first = langid.symbols(texts)
@@ -127,6 +138,18 @@ def test_language_of_odd_texts(docs_of):
     assert langid.identify(docs_of([]), model).count() == 0
 
 
+def test_languages_with_few_texts(spark, docs_of):
+    pick = F.pmod(F.xxhash64(F.lit(43), F.col("id")), F.lit(5)) == 0
+    fifth = [r[0] for r in spark.range(1000, 1100).filter(pick).limit(2).collect()]  # ids that would calibrate
+    rows = [(i, "the cat and the dog walk to the house " * 3, "en") for i in range(60)]
+    rows += [(i, "der hund und die katze gehen in das haus " * 3, "de") for i in fifth]
+    got = langid.identify(docs_of([(1, "die katze und der hund"), (2, "the dog")]), langid.train(docs_of(rows))).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "de", 2: "en"}
+    one = langid.train(docs_of([(fifth[0], "der hund", "de")]))
+    assert langid.identify(docs_of([(1, "das haus")]), one).first()["lang_pred"] == "de"
+    assert langid.train(docs_of([(1, "12 !", "en"), (2, "", "de")])) is None
+
+
 def test_quality_classifier_follows_the_labels(spark):
     d = queries.QUERIES["op6_quality_classifier"](spark, SF_MID)
     j = d.join(spark.read.parquet(f"{SF_MID}/labels.parquet"), "doc_id").toPandas()

@@ -28,6 +28,7 @@ from vicinity.session import cut_lineage
 
 ORDER = 4
 MAX_DOCS = 4_000     # bound on the training texts of a language
+MIN_COUNTED = 20  # texts that a language must have left to count when a fifth calibrates
 REJECT_SHARE = 0.005  # share of true texts that the rejection limits may lose
 LENGTHS = (20, 100)  # symbols; rejection limits are set apart for shorter and longer texts
 UNKNOWN = "und"
@@ -227,7 +228,8 @@ def _calibrate(model: CharModels, held: DataFrame) -> None:
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 42) -> CharModels | None:
     """Models of the languages in ``docs`` (``doc_id``, ``text``, ``lang``, all of them training rows); None without any.
 
-    A language's texts are sampled by a hash of the id to about ``max_docs``; a fifth of them calibrates.
+    A language's texts are sampled by a hash of the id to about ``max_docs``; a fifth of them calibrates where at least
+    ``MIN_COUNTED`` others are left to count, else all are counted.  None too if no text has a letter.
     """
     docs = docs.filter("text is not null and lang is not null")
     sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}  # a row per language
@@ -238,8 +240,12 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 42) -> CharMode
     for lang, n in sizes.items():
         limit = F.when(F.col("lang") == lang, int(1_000_003 * min(1.0, max_docs / n)) + (n <= max_docs)).otherwise(limit)
     sample = cut_lineage(docs.filter(pick < limit).select("doc_id", "text", "lang"))
-    held = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(5)) == 0
+    fifth = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(5)) == 0
+    left = {r[0]: r[1] for r in sample.filter(~fifth).groupBy("lang").count().collect()}  # a row per language
+    held = fifth & F.col("lang").isin([x for x in sizes if left.get(x, 0) >= MIN_COUNTED])
     model = _counted(sample.filter(~held), sorted(sizes))
+    if not len(model.grams[1][0]):
+        return None
     _calibrate(model, sample.filter(held))
     return model
 
