@@ -49,6 +49,28 @@ def test_span_hashes_tell_words_apart():
     assert len(set(words)) == len(set(h.tolist())) and h[0] == h[1] == h[9]
 
 
+def _thue_morse():
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_polynomial_twins_differ():
+    a, b = _thue_morse()  # equal under every polynomial in the bytes modulo 2^64
+    f = quality_rules.count_features(pa.array([f"{a}\n{b}", f"{a} x y {b} x y", f"{a}\n{a}", f"{a} x y {a} x y"]))
+    assert f["n_dup_lines"].tolist() == [0, 0, 1, 0] and f["n_repeat_words"].tolist() == [0, 0, 0, 6]
+    data, offsets = bt.flat(pa.array([f"{a} {b} {a}"]))
+    h = bt.span_hashes(data, *bt.word_spans(data, offsets)[:2])
+    assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_equal_hashes_of_different_spans(small_texts, monkeypatch):
+    monkeypatch.setattr(bt, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(bt, "join_hashes", lambda *parts: parts[0].astype(np.uint64) % np.uint64(5))
+    texts = [t for _, t in small_texts if len(t or "") < 300][-20:]
+    f = quality_rules.count_features(pa.array(texts))
+    assert list(zip(*(f[c].tolist() for c in quality_rules.COUNTS[:5]))) == [_counts(t) for t in texts]
+
+
 def test_plain_words():
     f = quality_rules.count_features(pa.array(["Der gute, Mann. ganz! GROSS a1 x,, , été #"]))
     assert f["n_plain"].tolist() == [5]
@@ -126,3 +148,16 @@ def test_token_counts(spark, docs_of, small_texts):
     assert all((n <= v).mean() >= s for s, v in q.items()) and q[1.0] == n.max()
     empty = token_counts.token_counts(docs_of([]), ranks)
     assert empty.count() == 0 and token_counts.at_limits(empty, [5]) == {5: 0}
+
+
+def test_long_white_space(docs_of):
+    ranks = token_counts.read_ranks(None, RANKS)
+    encoding, whole = (tiktoken.Encoding("v", pat_str=p, mergeable_ranks=ranks, special_tokens={})
+                       for p in (token_counts.PATTERN, r"(?s).+"))
+    runs = [" " * 1000, " " * 5000, "\n" * 3001, "\t \n" * 700, "\u3000" * 1500, "\x85\xa0" * 900 + " ", " " * 999, "\x1c" * 2000]
+    for run in runs:
+        for text in (run, "a" + run, run + "b", f"it{run}'s{run}ü{run}12{run}", f"!{run}?\n{run}\n "):
+            assert token_counts.length_of(text, encoding, whole, token_counts.LONG_RUN) == len(encoding.encode_ordinary(text))
+    rows = [(1, " " * 2_000_000), (2, "\n" * 2_000_000 + "end"), (3, "x" * 2_000_000), (4, None)]
+    got = {r["n_tokens"]: r["n_docs"] for r in token_counts.token_counts(docs_of(rows), ranks).collect()}
+    assert got == {2_000_000: 1, 1_000_002: 1, len(encoding.encode_ordinary("x" * 2_000_000)): 1, 0: 1}

@@ -8,21 +8,21 @@ those bytes inside a character.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SEPARATOR = np.isin(np.arange(256), SEPARATORS)
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_WINDOW = 1 << 20
-_powers: dict[int, np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15  # odd, so that multiplying by it loses nothing modulo 2^64
+_SHORT = 64  # longest span, in bytes, that is hashed and compared by blocks
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)  # the first n bytes of a block
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -52,12 +52,12 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(start, end, first)``: byte spans of all words, and for each text the index of its first word (one more at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    gap = IS_SEPARATOR[data]
+    gap = separates[data]
     edge = np.empty(n, bool)
     edge[0], edge[1:] = True, gap[:-1]
     edge[offsets[offsets < n]] = True
@@ -96,33 +96,47 @@ def join_hashes(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _table(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
-        out = np.full(max(n, _WINDOW + 4096), base, _U)
-        out[0] = 1
-        _powers[base] = np.cumprod(out, dtype=_U)
-    return _powers[base]
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number (zeros beyond the end)."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; spans are sorted and don't overlap.
+    """64-bit hash of the bytes of each span: its blocks of 8 bytes mixed in turn, or XXH64 beyond 64 bytes.
 
-    A polynomial in the bytes modulo 2^64, from prefix sums over windows of about a megabyte, then mixed.
+    A place of a block is a step over all spans that reach it, so the steps don't grow with the spans.
     """
-    out = np.empty(len(start), _U)
-    at = 0
-    while at < len(start):
-        lo = int(start[at])
-        to = max(at + 1, int(np.searchsorted(end, lo + _WINDOW, side="right")))
-        hi = int(end[to - 1])
-        sums = np.zeros(hi - lo + 1, _U)
-        np.cumsum((data[lo:hi].astype(_U) + _U(1)) * _table(_BASE, hi - lo)[:hi - lo], out=sums[1:])
-        s, e = start[at:to] - lo, end[at:to] - lo
-        out[at:to] = (sums[e] - sums[s]) * _table(_INVERSE, hi - lo + 1)[s]
-        at = to
-    for table in [b for b, t in _powers.items() if len(t) > 8 * _WINDOW]:  # after a word of many megabytes
-        del _powers[table]
-    return mix(out)
+    length = end - start
+    out = mix(length.astype(_U) * _U(_BASE) + _U(_BASE))
+    blocks = _blocks(data)
+    some = np.flatnonzero((length > 0) & (length <= _SHORT))
+    for at in range(0, _SHORT, 8):
+        some = some[length[some] > at]
+        if not len(some):
+            break
+        block = blocks[start[some] + at] & _KEEP[np.minimum(length[some] - at, 8)]
+        out[some] = mix((out[some] ^ block) * _U(_BASE) + _U(at + 1))
+    for i in np.flatnonzero(length > _SHORT):
+        out[i] = xxhash.xxh64_intdigest(data[start[i]:end[i]].tobytes(), 0x5EED)
+    return out
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bytes of span ``i[k]`` equal those of span ``j[k]``, for every k; compared block by block."""
+    length = end[i] - start[i]
+    same = length == end[j] - start[j]
+    blocks = _blocks(data)
+    some = np.flatnonzero(same & (length <= _SHORT))
+    for at in range(0, _SHORT, 8):
+        some = some[length[some] > at]
+        if not len(some):
+            break
+        differ = blocks[start[i[some]] + at] ^ blocks[start[j[some]] + at]
+        same[some[differ & _KEEP[np.minimum(length[some] - at, 8)] != 0]] = False
+    for k in np.flatnonzero(same & (length > _SHORT)):
+        same[k] = np.array_equal(data[start[i[k]]:end[i[k]]], data[start[j[k]]:end[j[k]]])
+    return same
 
 
 def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -134,13 +148,24 @@ def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(seen_before, found_twice)`` for each position: an equal key stands earlier; an equal key stands anywhere else."""
+def first_equal(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each position the first one that equals it.
+
+    ``keys`` are hashes: equal things have equal keys, and ``same(i, j)`` says which of the pairs ``i[k], j[k]`` are
+    equal indeed.  Different things with one key are told apart one by one.
+    """
     order = np.argsort(keys, kind="stable")
-    same = np.zeros(len(keys) + 1, bool)
     ranked = keys[order]
-    same[1:-1] = ranked[1:] == ranked[:-1]
-    before, twice = np.empty(len(keys), bool), np.empty(len(keys), bool)
-    before[order] = same[:-1]
-    twice[order] = same[:-1] | same[1:]
-    return before, twice
+    heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    first = np.empty(len(keys), np.int64)
+    first[order] = np.repeat(order[heads], np.diff(np.append(heads, len(keys))))
+    moved = np.flatnonzero(first != np.arange(len(keys)))
+    wrong = moved[~same(moved, first[moved])]
+    for key in np.unique(keys[wrong]):
+        leaders: list[int] = []
+        for i in np.flatnonzero(keys == key):
+            equal = [j for j in leaders if same(np.array([i]), np.array([j]))[0]]
+            first[i] = equal[0] if equal else i
+            if not equal:
+                leaders.append(i)
+    return first

@@ -56,16 +56,20 @@ def count_features(col: pa.Array) -> dict[str, np.ndarray]:
     with_word = np.searchsorted(start, hi) > np.searchsorted(start, lo)
     lo, hi = lo[with_word], hi[with_word]
     line_doc = np.searchsorted(offsets[1:], lo, side="right")
-    seen, _ = bt.repeated(bt.join_hashes(bt.span_hashes(data, lo, hi), line_doc))
+    first_line = bt.first_equal(bt.join_hashes(bt.span_hashes(data, lo, hi), line_doc), lambda i, j: (
+        (line_doc[i] == line_doc[j]) & bt.same_bytes(data, lo, hi, i, j)))
+    seen = first_line != np.arange(len(lo))
     out["n_lines"] = np.bincount(line_doc, minlength=len(col))
     out["n_dup_lines"] = np.bincount(line_doc[seen], minlength=len(col))
 
-    h = bt.span_hashes(data, start, end)
-    covered = np.zeros(len(h), bool)
-    if len(h) > 2:
+    word = bt.first_equal(bt.span_hashes(data, start, end), lambda i, j: bt.same_bytes(data, start, end, i, j))
+    covered = np.zeros(len(word), bool)
+    if len(word) > 2:
         at = np.flatnonzero(doc[2:] == doc[:-2])
-        _, twice = bt.repeated(bt.join_hashes(h[at], h[at + 1], h[at + 2], doc[at]))
-        at = at[twice]
+        first_window = bt.first_equal(bt.join_hashes(word[at], word[at + 1], word[at + 2], doc[at]), lambda i, j: (
+            (doc[at[i]] == doc[at[j]]) & (word[at[i]] == word[at[j]]) & (word[at[i] + 1] == word[at[j] + 1])
+            & (word[at[i] + 2] == word[at[j] + 2])))
+        at = at[np.bincount(first_window, minlength=len(at))[first_window] > 1]
         covered[at] = covered[at + 1] = covered[at + 2] = True
     out["n_repeat_words"] = bt.sums_between(covered, first)
     return out

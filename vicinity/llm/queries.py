@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.llm import chat_format, exact_dedup, importance, langid, mixing, pieces, quality_rules, simhash
-from vicinity.llm import token_counts, word_lm
+from vicinity.llm import license_scan, target_sampling, token_counts, whitening, word_lm
 from vicinity.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,23 @@ def op8_lm_scoring(spark, sf_dir):
     fold = langid.fold("doc_id", 7)
     model = word_lm.train(docs.filter(fold != 2))
     return word_lm.score(docs, model).withColumn("held_out", fold == 2)
+
+
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    """Whitened coordinates of every usable vector on up to 16 components; fitted on the distinct grid vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+@query
+def op12_target_resampling(spark, sf_dir):
+    """Weight, score and rank of every document in a draw towards the texts of ``benchmark``."""
+    drawn = target_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_license_scan(spark, sf_dir):
+    """Licence phrases, labels and covered share of every document."""
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))

@@ -13,16 +13,36 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinity.llm import bytetext as bt
+from vicinity.session import cut_lineage
 
 BLOCK = 1024  # lengths per block of the two-level sums
 # fixed value: the pattern that splits text before the merges of the rank files
+# (its \s is Unicode's White_Space; a run of it before a text's end or other characters is one piece but for its last one)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+LONG_RUN = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}+")
+
+
+def length_of(text: str, encoding: tiktoken.Encoding, whole: tiktoken.Encoding, runs: regex.Pattern | None) -> int:
+    """Number of tokens of a text.
+
+    The library's pattern engine tracks back over a run of white space and overflows its stack on a long one, so
+    matches of ``runs`` are cut out first, as ``PATTERN`` would cut them, and merged by ``whole``, which has no pattern
+    to split by.
+    """
+    n = done = 0
+    for found in runs.finditer(text) if runs else ():
+        end = found.end() if found.end() == len(text) else found.end() - 1
+        n += len(encoding.encode_ordinary(text[done:found.start()])) + len(whole.encode_ordinary(text[found.start():end]))
+        done = end
+    return n + len(encoding.encode_ordinary(text[done:]))
+
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     """Vocabulary of a rank file (one "base64 rank" a line; its size does not depend on the data)."""
@@ -39,12 +59,14 @@ def encoded_lengths(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PAT
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
+        encoding, whole = (tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=shared.value, special_tokens={})
+                           for p in (pattern, r"(?s).+"))
+        runs = LONG_RUN if pattern == PATTERN else None  # another pattern has other pieces
         total: dict[int, int] = {}
         for batch in batches:
             for part in bt.slices(batch, "text"):
                 for t in part.column("text").to_pylist():
-                    n = len(encoding.encode_ordinary(t)) if t else 0
+                    n = length_of(t, encoding, whole, runs) if t else 0
                     total[n] = total.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
                                          ["n_tokens", "n_docs"])
@@ -84,8 +106,8 @@ def limit_table(histogram: DataFrame) -> DataFrame:
 
 def token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, text_col: str = "text") -> DataFrame:
     """:func:`limit_table` of all texts.  Null and empty texts have length 0; an empty table gives no rows;
-    repeated rows count each time; other columns are not read."""
-    return limit_table(encoded_lengths(docs, ranks, pattern, text_col))
+    repeated rows count each time; other columns are not read.  The histogram is stored, so a text is encoded once."""
+    return limit_table(cut_lineage(encoded_lengths(docs, ranks, pattern, text_col)))
 
 
 def at_limits(table: DataFrame, limits: list[int]) -> dict[int, int]:
