@@ -394,8 +394,8 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
 
 def plaid_search(query_vecs: DataFrame, doc_vecs: DataFrame, doc_cells: DataFrame, centroids: DataFrame, k: int,
                  ncells: int | None = None, threshold: float | None = None, ndocs: int | None = None,
-                 skip_stage3: bool = False) -> DataFrame:
-    """Pruned late-interaction search (J4 + J5, defaults J6).
+                 skip_stage3: bool = False, exclude_self: bool = False) -> DataFrame:
+    """Pruned late-interaction search (J4 + J5, defaults J6) on tables of vectors.
 
     1. probe: per query vector the ``ncells`` best centroids; candidates =
        passages with a token in a probed cell (equi-join on cell, distinct);
@@ -404,38 +404,46 @@ def plaid_search(query_vecs: DataFrame, doc_vecs: DataFrame, doc_cells: DataFram
     3. full centroid MaxSim -> keep ``ndocs / 4`` (skippable);
     4. exact MaxSim on the candidates' vectors -> top k.
     ``query_vecs(qid, qpos, vec)``, ``doc_vecs(pid, pos, vec)``, ``doc_cells(pid, pos, cell)``.
+
+    Stages 2 and 3 run in the kernel of :mod:`vicinity.operators.token_index` on one row per (query, passage) with the
+    passage's cells as a list.  Centroids beyond the broadcast limit are joined, per (query, passage, cell), instead.
     """
+    from vicinity.operators import token_index
     d_nc, d_th, d_nd = probe_defaults(k)
     ncells = d_nc if ncells is None else ncells
     threshold = d_th if threshold is None else threshold
     ndocs = d_nd if ndocs is None else ndocs
-
-    probes = probe_cells(query_vecs, centroids, ncells, "qid", "qpos")
-    plist = doc_cells.select("cell", "pid").distinct()
-    cands = probes.select("qid", "cell").distinct().join(plist, "cell").select("qid", "pid").distinct()
-
-    dcell = doc_cells.select("pid", "cell").distinct()
-    # centroid scores of a query's vectors, for the cells of its candidates only
+    lists = cut_lineage(doc_cells.select("cell", "pid").distinct())  # read by the candidates and by the passages' cells
+    pairs = token_index.candidate_pairs(query_vecs, lists, centroids, ncells, exclude_self)
+    fetched = token_index._fetch_centroids(centroids)
+    if fetched is None:
+        kept = _joined_stages(query_vecs, cut_lineage(pairs), lists, centroids, threshold, ndocs, skip_stage3)
+    else:
+        packed = lists.groupBy("pid").agg(F.collect_list("cell").alias("cells"))  # bounded by a passage's length
+        kept = token_index.pruned_pairs(query_vecs, packed.join(small_side(pairs), "pid").select("qid", "pid", "cells"),
+                                        fetched, threshold, ndocs, skip_stage3)
+    return exact_maxsim_pairs(query_vecs, doc_vecs, cut_lineage(kept), k)
+
+
+def _joined_stages(query_vecs: DataFrame, cands: DataFrame, dcell: DataFrame, centroids: DataFrame, threshold: float,
+                   ndocs: int, skip_stage3: bool) -> DataFrame:
+    """Stages 2 and 3 of :func:`plaid_search` as joins of long tables, whatever the number of centroids."""
+    # centroid scores of a query's vectors, for the cells of its candidates only; both approximations from one join
     qc = (cands.join(dcell, "pid").select("qid", "cell").distinct()
           .join(query_vecs.select("qid", "qpos", F.col("vec").cast("array<double>").alias("vec")), "qid")
           .join(centroids.select("cell", "centroid"), "cell")
           .select("qid", "qpos", "cell", F.round(dot("vec", "centroid"), 6).alias("cs")))
+    high = F.when(F.col("cs") >= threshold, F.col("cs")).otherwise(F.lit(0.0))
+    per = (cands.join(dcell, "pid").join(qc, ["qid", "cell"]).groupBy("qid", "pid", "qpos")
+           .agg(F.max(high).alias("high"), F.max("cs").alias("full")))
+    scored = per.groupBy("qid", "pid").agg(F.sum("high").alias("high"), F.sum("full").alias("full"))
+
+    def keep_top(df, score, n):
+        w = Window.partitionBy("qid").orderBy(F.round(score, 6).desc(), F.col("pid"))
+        return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
-    def centroid_maxsim(pairs, thr):
-        # candidate pairs x the candidate's cells x query vectors: centroid MaxSim
-        x = pairs.join(dcell, "pid").join(qc, ["qid", "cell"])
-        if thr is not None:
-            x = x.withColumn("cs", F.when(F.col("cs") >= thr, F.col("cs")).otherwise(F.lit(0.0)))
-        per = x.groupBy("qid", "pid", "qpos").agg(F.max("cs").alias("m"))
-        return per.groupBy("qid", "pid").agg(F.sum("m").alias("approx"))
-
-    def keep_top(scored, n):
-        w = Window.partitionBy("qid").orderBy(F.round("approx", 6).desc(), F.col("pid"))
-        return scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select("qid", "pid")
-
-    stage2 = keep_top(centroid_maxsim(cands, threshold), ndocs)
-    stage3 = stage2 if skip_stage3 else keep_top(centroid_maxsim(stage2, None), max(1, ndocs // 4))
-    return exact_maxsim_pairs(query_vecs, doc_vecs, stage3, k)
+    kept = keep_top(scored, "high", ndocs)
+    return (kept if skip_stage3 else keep_top(kept, "full", max(1, ndocs // 4))).select("qid", "pid")
 
 
 def exact_maxsim_pairs(query_vecs: DataFrame, doc_vecs: DataFrame, pairs: DataFrame, k: int,
