@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,4 +283,90 @@ def test_mixing_odd_input(spark, docs_of):
 
 def test_labelled_sample_is_bounded(spark):
     labels = spark.range(5000).select(F.col("id").alias("doc_id"))
-    assert 400 < ngrams.labelled_sample(labels, 500).count() < 600 and ngrams.labelled_sample(labels, 5000).count() == 5000
+    assert ngrams.labelled_sample(labels, 500).count() == 500 and ngrams.labelled_sample(labels, 5000).count() == 5000
+
+
+@pytest.mark.parametrize("ids", ["1L", "cast(null as long)", "1152921504606846976L + id", "if(id % 3 = 0, null, -9223372036854775807L + id % 7)",
+                                 "if(id % 2 = 0, -9223372036854775808L, 9223372036854775807L - id)"])
+def test_cut_among_tied_keys(spark, ids):
+    rows = spark.range(20_000).selectExpr(f"{ids} as doc_id", "if(id < 5, 2.0D, if(id < 19990, 1.0D, 0.5D)) as key").repartition(4)
+    stored = rows.persist()
+    ranked = sorted(((r["key"], r["doc_id"]) for r in stored.collect()), key=lambda r: (-r[0], r[1] is None, r[1] or 0))
+    for k in (1, 5, 6, 10_000, 19_990, 19_991, 20_000):
+        assert importance.kth_largest(stored, k) == ranked[k - 1]
+        assert importance.kth_largest(stored, k, small=3, bins=16) == ranked[k - 1]
+    stored.unpersist()
+
+
+def test_cut_among_neighbouring_doubles(spark):
+    keys = [1.0]
+    for _ in range(300):
+        keys.append(float(np.nextafter(keys[-1], 2)))
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(keys * 3)], "key double, doc_id long").persist()
+    ranked = sorted(((r["key"], r["doc_id"]) for r in rows.collect()), key=lambda r: (-r[0], r[1]))
+    for k in (1, 2, 450, 903):
+        assert importance.kth_largest(rows, k, small=2, bins=8) == ranked[k - 1]
+
+
+def test_gumbel_top_k_with_a_hot_id(spark):
+    scored = spark.range(30_000).selectExpr("if(id < 12000, 7L, if(id < 24000, null, id)) as doc_id", "0.0D as log_ratio").persist()
+    kept = importance.gumbel_top_k(scored, 15_000).filter("kept").count()
+    assert kept >= 15_000 and kept in {c + n for c in (0, 12_000, 24_000) for n in range(6001)}
+
+
+def _collected(monkeypatch):
+    """Sizes of what reaches the driver as rows or as a pandas table."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    sizes = []
+    for name in ("collect", "toPandas"):
+        def counted(self, _inner=getattr(DataFrame, name)):
+            out = _inner(self)
+            sizes.append((len(out), "text" in self.columns or "log_ratio" in self.columns or "x" in self.columns or "bits" in self.columns))
+            return out
+        monkeypatch.setattr(DataFrame, name, counted)
+    return sizes
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_labelled_rows_on_the_driver_are_bounded(spark, docs_of, monkeypatch, hot):
+    """One id (or none) that a third of the rows share: no more rows of documents than labelled ids reach the driver."""
+    rng = np.random.default_rng(0)
+    words = ["alpha", "beta", "gamma", "delta", "eta"]
+    rows = [(i, " ".join(rng.choice(words, 30)), "en" if i % 2 else "de") for i in range(1000)]
+    rows += [(hot, f"same {i % 40} text " * 5, "en") for i in range(500)]
+    docs = docs_of(rows).repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    sizes = _collected(monkeypatch)
+    importance.resample(docs, labels, max_labelled=50)
+    monkeypatch.setattr(mixing, "MAX_LABELLED", 50)
+    mixing.fit_classifier(docs, labels, mixing.domain_label(), max_labelled=50)
+    assert max(n for n, of_docs in sizes if of_docs) <= 50
+    sizes.clear()
+    assert langid.train(docs, max_docs=60).langs == ["de", "en"]
+    assert max(n for n, of_docs in sizes if of_docs) <= 2 * 60
+
+
+def test_bucket_counts_and_ratios_by_definition(spark, docs_of, small_texts):
+    """The log ratios of the classifier from n-gram counts taken word by word."""
+    docs = [(i, t) for i, t in small_texts if i is not None]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i, _ in docs[::2]], "doc_id long, quality int, toxic int")
+
+    def buckets(text):
+        _, found = ngrams.streams(pa.array([text or ""]))
+        return np.concatenate(found) if len(found[0]) else np.zeros(0, np.int64)
+
+    first = {}
+    for i, t in docs:
+        if t is not None:
+            first[i] = min(first.get(i, t), t)
+    label = {r["doc_id"]: r["quality"] for r in labels.groupBy("doc_id").agg({"quality": "min"}).withColumnRenamed("min(quality)", "quality").collect()}
+    target, raw = np.zeros(ngrams.BUCKETS), np.zeros(ngrams.BUCKETS)
+    for i, t in small_texts:
+        np.add.at(raw, buckets(t), 1)
+    for i, q in label.items():
+        if q:
+            np.add.at(target, buckets(first.get(i)), 1)
+    expected = raw * (target.sum() / raw.sum())
+    ratio = np.log((target + 20) / (expected + 20))
+    got = {(r["doc_id"], round(r["log_weight"], 6)) for r in importance.resample(docs_of(small_texts), labels).collect()}
+    assert got == {(i, round(float(ratio[buckets(t)].sum()), 6)) for i, t in small_texts}

@@ -34,9 +34,13 @@ def one_label(labels: DataFrame, value: Column, id_col: str = "doc_id") -> DataF
             .filter("_label_id is not null and _label is not null").groupBy("_label_id").agg(F.min("_label").alias("_label")))
 
 
-def with_labels(docs: DataFrame, sample: DataFrame, id_col: str) -> DataFrame:
-    """The documents of a (bounded) labelled sample, with ``_label``."""
-    return docs.join(F.broadcast(sample), docs[id_col] == sample["_label_id"]).drop("_label_id")
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``doc_id, text, _label``: one row for each id of a (bounded) labelled sample that ``docs`` has.
+
+    However many rows share an id, it weighs once: the smallest of its texts stands for it, found in the tasks first.
+    """
+    return (docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"))
+            .groupBy("doc_id", "_label").agg(F.min("text").alias("text")).select("doc_id", "text", "_label"))
 
 
 def log_weights(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,42 +84,59 @@ def gumbel(id_col: str, seed: int) -> Column:
 
 
 def kth_largest(keyed: DataFrame, k: int, small: int = 10_000, bins: int = 4096) -> tuple[float, int | None]:
-    """``(key, id)`` of the k-th row by key (descending), then id; ``keyed`` has ``key`` and ``doc_id`` and is stored.
+    """``(key, id)`` of the k-th row by key (descending), then id (nulls last); ``keyed`` has ``key`` and ``doc_id`` and is stored.
 
-    Histograms narrow the range that holds the row until it has at most ``small`` rows; ``bins`` counts a round and
-    those few rows reach the driver.  The counts are of all rows, so the cut is exact.
+    Histograms narrow the range that holds the row until it has at most ``small`` rows or one key; at most ``bins``
+    counts a round and those few rows reach the driver.  Equal keys are narrowed by id, in whole numbers.  The counts
+    are of all rows, so the cut is exact.
     """
-    lo, hi = keyed.agg(F.min("key"), F.max("key")).first()
-    above = 0
-    inside = keyed
+    inside, rank = keyed.select("key", "doc_id"), k
     while True:
+        n, lo, hi = inside.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+        if n <= small:
+            rows = sorted(((r["key"], r["doc_id"]) for r in inside.collect()), key=lambda r: (-r[0], r[1] is None, r[1] or 0))
+            return rows[rank - 1]
+        if lo == hi:
+            return lo, kth_id(inside, rank, small, bins)
         width = (hi - lo) / bins
-        n = inside.count()
-        if n <= small or width <= 0 or lo + width == lo:
-            break
-        bin_of = F.least(F.floor((F.col("key") - lo) / width), F.lit(bins - 1))
-        counts = {r[0]: r[1] for r in inside.groupBy(bin_of.alias("b")).count().collect()}
-        run = above
-        for b in sorted(counts, reverse=True):
-            if run + counts[b] >= k:
-                break
-            run += counts[b]
-        above = run
-        inside = inside.filter(bin_of == b)
-        lo, hi = inside.agg(F.min("key"), F.max("key")).first()
-    rank = k - above
-    if n <= small:
-        rows = sorted(((r["key"], r["doc_id"]) for r in inside.select("key", "doc_id").collect()),
-                      key=lambda r: (-r[0], r[1] is None, r[1] or 0))
-        return rows[rank - 1]
-    # more equal keys than are collected: only the ids order them
-    return lo, kth_largest(inside.select((-F.col("doc_id").cast("double")).alias("key"), "doc_id"), rank, small, bins)[1]
+        # a range too narrow to be divided has a few thousand neighbouring doubles at most: each is a bin
+        narrow = width <= 0 or lo + width == lo
+        bin_of = F.col("key") if narrow else F.least(F.floor((F.col("key") - lo) / width), F.lit(bins - 1))
+        at, rank = _bin_with(inside, bin_of, rank, descending=True)
+        inside = inside.filter(bin_of == F.lit(at))
+
+
+def kth_id(rows: DataFrame, k: int, small: int = 10_000, bins: int = 4096) -> int | None:
+    """The k-th ``doc_id`` in ascending order, nulls last."""
+    inside, rank = rows.select("doc_id").filter("doc_id is not null"), k
+    while True:
+        n, lo, hi = inside.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+        if rank > n:
+            return None
+        if n <= small:
+            return sorted(r[0] for r in inside.collect())[rank - 1]
+        if lo == hi:
+            return lo
+        offset = F.col("doc_id").cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")
+        bin_of = F.floor(offset / F.lit((hi - lo) // bins + 1).cast("decimal(38,0)")).cast("long")
+        at, rank = _bin_with(inside, bin_of, rank, descending=False)
+        inside = inside.filter(bin_of == F.lit(at))
+
+
+def _bin_with(rows: DataFrame, bin_of: Column, rank: int, descending: bool):
+    """``(bin, rank in it)`` of the ``rank``-th row in the order of the bins."""
+    counts = {r[0]: r[1] for r in rows.groupBy(bin_of.alias("b")).count().collect()}  # a row per bin
+    for b in sorted(counts, reverse=descending):
+        if rank <= counts[b]:
+            return b, rank
+        rank -= counts[b]
+    raise ValueError("rank beyond the rows")
 
 
 def gumbel_top_k(scored: DataFrame, k: int, seed: int = 42, temperature: float = TEMPERATURE) -> DataFrame:
     """``scored`` (``doc_id``, ``log_ratio``; read several times, so stored) with ``key`` and ``kept``: exactly k rows.
 
-    Rows that repeat an id and a ratio at the cut share its fate, since nothing tells them apart.
+    Rows that repeat an id (or have none) and a ratio at the cut share its fate, since nothing tells them apart.
     """
     keyed = scored.withColumn("key", noisy_key(seed, temperature))
     return keyed.withColumn("kept", _verdict(keyed, k))
@@ -139,12 +160,14 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, temperature: fl
              quality_col: str = "quality") -> DataFrame:
     """One row per document: ``doc_id, n_words, log_weight, log_ratio, key, kept``.
 
-    The target model counts the texts labelled 1 in a hash sample of at most about ``max_labelled`` labels; the raw
+    The target model counts the texts labelled 1 in a hash sample of at most ``max_labelled`` labelled ids; the raw
     model counts all texts.  Without labels of both kinds there is no threshold and every document stays.
 
     * null, empty or blank text: log ratio 0, judged like any other; null id: scored, never labelled;
-    * repeated rows: each is scored; labels repeated for an id: the smallest counts, nulls don't;
-    * empty tables: no rows, or no labels as above; further columns are not read.
+    * repeated rows: each is scored; an id that several rows share is labelled once, by the smallest of its texts;
+      labels repeated for an id: the smallest counts, nulls don't;
+    * ties at the cut: by id, null ids last; rows that share key and id share their fate;
+    * empty tables: no rows, or no labels as above (then ``n_words`` is null); further columns are not read.
     """
     fitted = _fitted(docs, labels, seed, temperature, max_labelled, id_col, text_col, quality_col)
     if fitted is None:
@@ -161,15 +184,15 @@ def _fitted(docs, labels, seed, temperature, max_labelled, id_col, text_col,
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = cut_lineage(ngrams.labelled_sample(
         one_label(labels, F.col(quality_col), id_col), max_labelled, seed, "_label_id"))
-    labelled = with_labels(docs, sample, "doc_id").withColumn("cls", F.when(F.col("_label") >= 1, 0))
+    labelled = cut_lineage(labelled_texts(docs, sample).withColumn("cls", F.when(F.col("_label") >= 1, 0)))
     target = ngrams.bucket_counts(labelled, 1)
     if not target.any():
         return None
     raw = ngrams.bucket_counts(docs.withColumn("cls", F.lit(0)), 1)
     ratios = ngrams.log_ratio(target[0], raw[0])
     scored = cut_lineage(log_weights(docs, ratios))
-    known = (scored.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"))
-             .select("log_ratio", "_label").toPandas())  # bounded by the sample
+    known = (log_weights(labelled, ratios).join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"))
+             .select("log_ratio", "_label").toPandas())  # a row per id of the sample
     cut = best_threshold(known.log_ratio[known._label >= 1].to_numpy(), known.log_ratio[known._label < 1].to_numpy())
     keyed = scored.withColumn("key", noisy_key(seed, temperature))
     return ratios, keyed, _verdict(keyed, scored.filter(F.col("log_ratio") >= cut).count())

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.llm import bytetext as bt
@@ -228,19 +228,22 @@ def _calibrate(model: CharModels, held: DataFrame) -> None:
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 42) -> CharModels | None:
     """Models of the languages in ``docs`` (``doc_id``, ``text``, ``lang``, all of them training rows); None without any.
 
-    A language's texts are sampled by a hash of the id to about ``max_docs``; a fifth of them calibrates where at least
+    A language's distinct texts by id are sampled by a hash to at most ``max_docs``; a fifth of them calibrates where at least
     ``MIN_COUNTED`` others are left to count, else all are counted.  None too if no text has a letter.
     """
-    docs = docs.filter("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}  # a row per language
+    docs = docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    # a row per language; repeated rows of an id, and those without one, count once each text
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.approx_count_distinct(key, 0.02).alias("n")).collect()}
     if not sizes:
         return None
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003))
     limit = F.lit(0)
     for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, int(1_000_003 * min(1.0, max_docs / n)) + (n <= max_docs)).otherwise(limit)
-    sample = cut_lineage(docs.filter(pick < limit).select("doc_id", "text", "lang"))
-    fifth = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(5)) == 0
+        limit = F.when(F.col("lang") == lang, int(1_000_003 * min(1.0, 1.1 * max_docs / n)) + 1).otherwise(limit)
+    picked = docs.filter(F.pmod(key, F.lit(1_000_003)) < limit).dropDuplicates(["doc_id", "text", "lang"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))  # of about max_docs rows
+    sample = cut_lineage(picked.withColumn("_place", place).filter(F.col("_place") <= max_docs).drop("_place"))
+    fifth = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(5)) == 0
     left = {r[0]: r[1] for r in sample.filter(~fifth).groupBy("lang").count().collect()}  # a row per language
     held = fifth & F.col("lang").isin([x for x in sizes if left.get(x, 0) >= MIN_COUNTED])
     model = _counted(sample.filter(~held), sorted(sizes))
@@ -255,7 +258,8 @@ def identify(docs: DataFrame, model: CharModels | None, id_col: str = "doc_id",
 
     ``score`` is the calibrated probability of the prediction, ``bits`` its cross-entropy per symbol; ``rejected``
     says that this is above what true texts of that language have.  A text that is null or has no letter is ``und``
-    with score 0 and not rejected; without a model every text is ``und``.  Rows repeat as they come.
+    with score 0 and not rejected; without a model every text is ``und``.  Rows repeat as they come, an empty table has
+    none, other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -34,11 +34,10 @@ from pyspark.sql import functions as F
 
 from vicinity.llm import bytetext as bt
 from vicinity.llm import ngrams
-from vicinity.llm.importance import one_label, with_labels
+from vicinity.llm.importance import labelled_texts, one_label
 from vicinity.session import cut_lineage
 
 MAX_LABELLED = 20_000  # bound on the labelled rows that the classifier is fitted on
-MAX_WORDS = 50_000     # bound on the words of its table
 MIN_Z = 4.5            # standard deviations of a word's document frequency
 # the mixture of the query and of the pipeline: domain -> share of tokens
 WEIGHTS = {"clean": 0.85, "low": 0.1, "toxic": 0.05}
@@ -123,8 +122,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, max_label
                    seed: int = 42) -> DomainClassifier:
     """Classifier of ``docs`` (``doc_id``, ``text``) into the domains that occur among the labelled rows."""
     sample = cut_lineage(ngrams.labelled_sample(one_label(labels, domain), max_labelled, seed, "_label_id"))
-    labelled = with_labels(docs, sample, "doc_id").withColumn(
-        "_fit", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(2)) == 0)
+    labelled = cut_lineage(labelled_texts(docs, sample).withColumn(
+        "_fit", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(2)) == 0))
     totals = {r[0]: r[1] for r in labelled.groupBy("_label").count().collect()}  # a row per domain
     domains = sorted(totals)
     if not domains:
@@ -156,7 +155,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, max_label
     total = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0))
     expected = [total * (size.get(d, 0) / n_fit) for d in domains]
     z = F.greatest(*(F.abs(F.col(f"n{i}") - e) / F.sqrt(e + 1) for i, e in enumerate(expected)), F.lit(0.0))
-    table = (df.withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_WORDS).toPandas())
+    table = df.withColumn("z", z).filter(F.col("z") >= MIN_Z).toPandas()  # words that several rows of the sample have
     keys = table["h"].to_numpy(np.int64).view(np.uint64)
     counts = table[[f"n{i}" for i in range(len(domains))]].to_numpy(float)
     shares = np.array([size.get(d, 0) for d in domains]) / n_fit
@@ -173,7 +172,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, max_label
                     [part.column("_label"), pa.array(list(x), pa.list_(pa.float64()))], ["_label", "x"])
 
     held = labelled.filter(~F.col("_fit")).select("text", "_label").mapInArrow(features, "_label string, x array<double>")
-    rows = held.collect()  # bounded by the sample
+    rows = held.collect()  # a row per id of the sample
     if rows:
         x = np.array([r["x"] for r in rows])
         model.layer = fit_softmax(x, np.array([index[r["_label"]] for r in rows]), len(domains))
@@ -370,7 +369,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     Tokens are words.  Columns for domains of ``weights`` that no labelled row has are 0.
 
     * null, empty or blank text: no tokens; its posterior is the layer's for a text without words;
-    * null id: scored, never labelled; repeated rows: each has a row; labels repeated for an id: the smallest counts;
+    * null id: scored, never labelled; repeated rows: each has a row; an id that several rows share is labelled once, by
+      the smallest of its texts; labels repeated for an id: the smallest counts;
     * no labelled rows: all posteriors 0 and every rate 1; empty table: no rows; further columns are not read.
     """
     mixer, table = _fitted(docs, labels, weights, domain, seed, options)

@@ -109,8 +109,5 @@ def score_texts(col: pa.Array, tables: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def labelled_sample(labels: DataFrame, limit: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """About ``limit`` rows of ``labels`` (all, if there are fewer), chosen by a hash of the id: small enough to broadcast."""
-    n = labels.count()
-    if n <= limit:
-        return labels
-    return labels.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_003)) < int(1_000_003 * limit / n))
+    """At most ``limit`` rows of ``labels`` (all, if there are no more), by a hash of the id: small enough to broadcast."""
+    return labels.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(limit)

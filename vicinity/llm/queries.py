@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +15,8 @@ from vicinity.session import cut_lineage
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TOKENIZERS = os.environ.get("VICINITY_TOKENIZERS", "/opt/tokenizers")  # folder of the public vocabulary files
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(fn):
