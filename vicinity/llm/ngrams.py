@@ -14,6 +14,7 @@ from vicinity.llm import bytetext as bt
 WORD_BUCKETS = 1 << 15
 SHAPE_BUCKETS = 1 << 12
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
+_PIECE = 64  # buckets that a task sends in one row
 
 _KIND = np.full(256, 4, np.int8)  # 0 capital, 1 small, 2 digit, 3 beyond ASCII, 4 other, 5 .,;: 6 !?
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 0, 1, 2, 3
@@ -64,8 +65,8 @@ def streams(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 def bucket_counts(docs: DataFrame, classes: int, text_col: str = "text", class_col: str = "cls") -> np.ndarray:
     """``[classes, BUCKETS]`` n-gram counts of the rows of each class (``cls`` in 0..classes-1; others count nowhere).
 
-    A task sends one row per bucket with a count, so the shuffle depends on the number of tasks, and the driver gets
-    ``BUCKETS`` rows.
+    A task sends its counts in pieces of 64 buckets, which Spark sums, so the shuffle depends on the number of tasks and
+    the driver gets ``classes * BUCKETS / 64`` rows.
     """
     def run(batches: Iterator[pa.RecordBatch]):
         total = np.zeros((classes, BUCKETS), np.int64)
@@ -77,18 +78,18 @@ def bucket_counts(docs: DataFrame, classes: int, text_col: str = "text", class_c
                 for c in np.unique(cls[(cls >= 0) & (cls < classes)]):
                     for f in found:
                         total[c] += np.bincount(f[per_word == c], minlength=BUCKETS)
-        used = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(t[used]) for t in total)],
-                                         ["bucket", *names])
+        pieces = total.reshape(-1, _PIECE)
+        used = np.flatnonzero(pieces.any(1))
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * np.int32(_PIECE)), pa.array(pieces[used].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), values], ["piece", "counts"])
 
-    names = [f"n{i}" for i in range(classes)]
     src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(class_col).cast("int").alias("cls"))
-    rows = (src.mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names))
-            .groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).collect())
-    out = np.zeros((classes, BUCKETS), np.int64)
+    rows = (src.mapInArrow(run, "piece int, counts array<long>").groupBy("piece")
+            .agg(F.array(*(F.sum(F.col("counts")[k]) for k in range(_PIECE))).alias("counts")).collect())
+    out = np.zeros((classes * BUCKETS // _PIECE, _PIECE), np.int64)
     for r in rows:
-        out[:, r["bucket"]] = r[1:]
-    return out
+        out[r["piece"]] = r["counts"]
+    return out.reshape(classes, BUCKETS)
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 20.0) -> np.ndarray:
