@@ -21,6 +21,9 @@ give the same tuples.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,27 @@ POOL_TARGET = 1 << 20       # rows per (label, bucket) numbering group
 
 # --------------------------------------------------------------------------- N1 pools
 
-def label_pools(passages: DataFrame, seed: int, target: int = POOL_TARGET):
+def running_total(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows before, in the order of ``order`` (a key of ``rows``).
+
+    Ranges of the order are summed in tasks of their own and the sums of the ranges before are added (a number per range
+    reaches the driver), so no task sees the whole table.
+    """
+    ranged = cut_lineage(rows.withColumn("_value", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = sorted(ranged.groupBy("_range").agg(F.sum("_value")).collect())
+    before = [(r[0], sum(x[1] for x in sums[:i])) for i, r in enumerate(sums)]
+    offsets = rows.sparkSession.createDataFrame(before, "_range int, _before long")
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.join(F.broadcast(offsets), "_range")
+            .withColumn(name, F.col("_before") + F.coalesce(F.sum("_value").over(w), F.lit(0))).drop("_range", "_before", "_value"))
+
+
+def label_pools(passages: DataFrame, seed: int, target: int = POOL_TARGET, many: bool = False):
     """Position numbering with contiguous label ranges.
 
     ``passages(pid, label)`` -> ``positions(pid, label, gpos)`` and
     ``pools(label, cnt, start)``.  Order: label, uniform hash of the pid, pid.
+    ``many``: there may be nearly as many labels as passages, so they are numbered by ranges.
     """
     lc = passages.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
     lc = lc.withColumn("nb", F.ceil(F.col("cnt") / F.lit(float(target))))
@@ -45,9 +64,11 @@ def label_pools(passages: DataFrame, seed: int, target: int = POOL_TARGET):
           .withColumn("u", uniform(seed, F.lit("b"), "pid"))
           .withColumn("b", F.floor(F.col("u") * F.col("nb")).cast("long")))
     counts = pb.groupBy("label", "b").agg(F.count(F.lit(1)).alias("n"))
-    # prefix offsets over the small (label, bucket) table
-    w = Window.orderBy("label", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("off", F.sum("n").over(w) - F.col("n"))
+    if many:
+        counts = running_total(counts, ["label", "b"], F.col("n"), "off")
+    else:  # prefix offsets over the small (label, bucket) table
+        w = Window.orderBy("label", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumn("off", F.sum("n").over(w) - F.col("n"))
     wr = Window.partitionBy("label", "b").orderBy("u", "pid")
     counts = cut_lineage(counts)
     positions = (pb.join(small_side(counts.select("label", "b", "off")), ["label", "b"])
@@ -291,115 +312,132 @@ def searched_candidates_ml(matches: DataFrame, passages: DataFrame) -> DataFrame
 def searched_filled_ml(matches: DataFrame, passages: DataFrame, k: int, n_pos: int, n_neg: int, seed: int) -> DataFrame:
     """Multi-label searched candidates with fill-ups (N6, N7): ``(anchor, role, pid, score, ord, is_fill)``.
 
-    ``matches`` hold at most ``k`` rows per anchor.  An anchor short of negatives gets random non-retrieved ones that
-    share no label, one without positives a random one that shares a label, at the lowest retrieved score of the role
-    or 1.  The draws are those of :func:`random_tuples_ml` with ``k`` spare ones, so enough remain when the retrieved
-    are taken out.  ``n_pos`` is 0 or 1.
+    ``matches`` hold at most ``k`` rows per anchor.  An anchor short of positives or negatives gets random non-retrieved
+    ones that share a label or none, at the lowest retrieved score of the role or 1.  The draws are those of
+    :func:`random_candidates_ml` with ``k`` spare ones, so enough remain when the retrieved are taken out.
     """
-    if n_pos not in (0, 1):
-        raise ValueError("n_pos must be 0 or 1")
     m = cut_lineage(searched_candidates_ml(matches, passages))
     ret = m.select("anchor", "role", "pid", "score", F.col("rank").cast("long").alias("ord"), F.lit(False).alias("is_fill"))
     stats = m.groupBy("anchor").agg(
         F.max("rank").cast("long").alias("lastrank"),
         *(f(F.when(F.col("role") == r, x)).alias(f"{n}{r}") for r in ("pos", "neg")
           for f, x, n in ((F.count, F.lit(1), "n"), (F.min, F.col("score"), "min"))))
-    draws = random_tuples_ml(passages, n_neg + k + 2, seed).filter((F.col("slot") > 0) & (F.col("pid") != F.col("anchor")))
-    role = F.when(F.col("slot") == 1, "pos").otherwise("neg")
-    fresh = (draws.select("anchor", role.alias("role"), "pid", "slot")
-             .join(ret.select("anchor", "pid"), ["anchor", "pid"], "left_anti")
+    draws = random_candidates_ml(passages, n_pos + k if n_pos else 0, n_neg + k if n_neg else 0, seed)
+    fresh = (draws.join(ret.select("anchor", "pid"), ["anchor", "pid"], "left_anti")
              .join(stats, "anchor", "left").fillna({"lastrank": 0, "npos": 0, "nneg": 0}))
     positive = F.col("role") == "pos"
     need = F.when(positive, F.lit(n_pos) - F.col("npos")).otherwise(F.lit(n_neg) - F.col("nneg"))
     score = F.coalesce(F.when(positive, F.col("minpos")).otherwise(F.col("minneg")), F.lit(1.0))
-    w = Window.partitionBy("anchor", "role").orderBy("slot")
+    w = Window.partitionBy("anchor", "role").orderBy("i")
     fills = (fresh.withColumn("fi", F.row_number().over(w)).filter(F.col("fi") <= need)
              .select("anchor", "role", "pid", score.alias("score"), (F.col("lastrank") + F.col("fi")).cast("long").alias("ord"),
                      F.lit(True).alias("is_fill")))
     return ret.unionByName(fills)
 
 
-def random_tuples_ml(passages: DataFrame, nway: int, seed: int, rounds: int = 4, overdraw: int = 4) -> DataFrame:
-    """Multi-label random tuples (N3): positive shares a label (the anchor itself when no
-    other passage shares one, as the reference warns), negatives share none, all drawn
-    uniformly and without replacement.
-
-    Positives: the anchor's label pools are concatenated (size S = sum of pool
-    sizes) and a drawn (pool, passage) is accepted only from the passage's
-    smallest label shared with the anchor - uniform over the union, acceptance
-    at least 1 / (labels of the anchor).  Negatives: uniform positions over all
-    passages, accepted when no label is shared; an anchor with a label that all
-    passages have has none and draws none.  Each round draws distinct offsets
-    (Floyd) with a growing over-draw; the last round takes every offset in hash
-    order, for the few anchors that are still short, so the result is exact;
-    rounds are cut from the lineage in the shared checkpoint folder.
+def signature_pools(passages: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Numbering of multi-label passages by their label sets: ``positions(pid, sig, gpos)`` and ``related(sig, starts, ends)``.
+
+    Labels are ranked by frequency and passages ordered by their ascending list of ranks, so passages with one label set
+    (a signature) are neighbours, and those with a frequent label form a few ranges: the commonest one range, the next at
+    most two, and a rare label has few signatures.  ``related``: the disjoint ranges of positions, ascending, whose
+    passages share a label with the signature; all others share none.
     """
-    lab = passages.select("pid", F.array_distinct("labels").alias("labels"))
-    n_total = passages.count()
-    # all passages: one range 0..N-1
-    everyone, _ = label_pools(lab.select("pid", F.lit(0).alias("label")), seed)
-    # exploded (label, pid) with contiguous label ranges
-    long = lab.select("pid", F.explode("labels").alias("label"))
-    lpos, pools = label_pools(long, seed)
-    w_cum = Window.partitionBy("anchor").orderBy("label")        # bounded: labels of one anchor
-    seg = (lab.select(F.col("pid").alias("anchor"), F.explode("labels").alias("label")).join(pools, "label")
-           .withColumn("cum", F.coalesce(F.sum("cnt").over(w_cum.rowsBetween(Window.unboundedPreceding, -1)),
-                                         F.lit(0)))
-           .withColumn("S", F.sum("cnt").over(Window.partitionBy("anchor"))))
-    sizes = seg.select("anchor", "S").distinct()
-    anchors = lab.select(F.col("pid").alias("anchor"), F.col("labels").alias("alabels"))
-    need_pos = anchors.join(sizes, "anchor").select("anchor", "alabels", "S", F.lit(1).alias("need"))
-    everywhere = seg.groupBy("anchor").agg(F.max("cnt").alias("most"))
-    need_neg = anchors.join(everywhere, "anchor", "left").select(
-        "anchor", "alabels", F.lit(n_total).alias("S"),
-        F.when(F.col("most") >= n_total, 0).otherwise(nway - 2).alias("need"))
-    chosen = None
-    for rnd in range(rounds):
-        last = rnd == rounds - 1
-        for role in ("pos", "neg"):
-            need = need_pos if role == "pos" else need_neg
-            short = need.filter(F.col("need") > 0)
-            if last:
-                d = (short.select("anchor", "alabels", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("S") - 1)).alias("o"))
-                     .withColumn("k", uniform(seed, "anchor", F.lit(f"{role}{rnd}"), "o")))
-            else:
-                m = F.least(F.col("need") * (overdraw ** (rnd + 1)) + 1, F.col("S"))
-                d = (short.withColumn("sel", floyd(seed, f"{role}{rnd}", "anchor", F.col("S"), m))
-                     .select("anchor", "alabels", "need", F.posexplode("sel").alias("k", "o")))
-            if role == "pos":
-                d = (d.join(seg.select("anchor", "label", "cnt", "start", "cum"), "anchor")
-                     .filter((F.col("o") >= F.col("cum")) & (F.col("o") < F.col("cum") + F.col("cnt")))
-                     .withColumn("gpos", F.col("start") + F.col("o") - F.col("cum")))
-                d = d.join(lpos.select("gpos", "pid"), "gpos").join(lab, "pid")
-                shared = F.array_intersect("labels", "alabels")
-                d = d.filter((F.col("pid") != F.col("anchor")) & (F.array_min(shared) == F.col("label")))
-            else:
-                d = (d.withColumnRenamed("o", "gpos").join(everyone.select("gpos", "pid"), "gpos").join(lab, "pid")
-                     .filter((F.col("pid") != F.col("anchor")) & ~F.arrays_overlap("labels", "alabels")))
-            if chosen is not None:
-                d = d.join(chosen.select("anchor", "pid"), ["anchor", "pid"], "left_anti")
-            wr = Window.partitionBy("anchor").orderBy("k", "pid")
-            d = d.withColumn("i", F.row_number().over(wr)).filter(F.col("i") <= F.col("need"))
-            picked = d.select("anchor", "pid", F.lit(role).alias("role"), F.lit(rnd).alias("rnd"), F.col("i").alias("o"))
-            chosen = picked if chosen is None else chosen.unionByName(picked)
-            left = (need.join(picked.groupBy("anchor").agg(F.count(F.lit(1)).alias("g")), "anchor", "left")
-                    .select("anchor", "alabels", "S", (F.col("need") - F.coalesce("g", F.lit(0))).alias("need")))
-            if role == "pos":
-                need_pos = left
-            else:
-                need_neg = left
-        if not last:
-            # each round depends on all earlier ones: cut the lineage in the shared
-            # checkpoint folder so rounds are computed once and survive executor loss
-            chosen, need_pos, need_neg = cut_lineage(chosen), cut_lineage(need_pos), cut_lineage(need_neg)
-    # anchors without any positive (no other passage shares a label): the anchor itself
-    has_pos = chosen.filter(F.col("role") == "pos").select("anchor").distinct()
-    self_pos = (anchors.join(has_pos, "anchor", "left_anti")
-                .select("anchor", F.col("anchor").alias("pid"), F.lit("pos").alias("role"), F.lit(0).alias("rnd"), F.lit(0).alias("o")))
-    allc = chosen.unionByName(self_pos)
-    w = Window.partitionBy("anchor", "role").orderBy("rnd", "o")
-    ranked = allc.withColumn("r", F.row_number().over(w))
-    pos = ranked.filter((F.col("role") == "pos") & (F.col("r") == 1)).select("anchor", F.lit(1).alias("slot"), "pid")
-    neg = ranked.filter(F.col("role") == "neg").select("anchor", (F.col("r") + 1).alias("slot"), "pid")
-    own = anchors.select("anchor", F.lit(0).alias("slot"), F.col("anchor").alias("pid"))
-    return own.unionByName(pos).unionByName(neg).withColumn("slot", F.col("slot").cast("int"))
+    lab = passages.select("pid", F.array_distinct(F.coalesce("labels", F.array().cast(passages.schema["labels"].dataType))).alias("labels"))
+    sets = cut_lineage(lab.select("pid", F.array_sort("labels").alias("labels")))
+    counts = sets.groupBy("labels").agg(F.count(F.lit(1)).alias("cnt"))
+    exploded = cut_lineage(counts.select("labels", "cnt", F.explode("labels").alias("label")))
+    frequency = exploded.groupBy("label").agg(F.sum("cnt").alias("n")).withColumn("_less", -F.col("n"))
+    ranks = cut_lineage(running_total(frequency, ["_less", "label"], F.lit(1), "lr").select("label", "lr"))
+    keys = (exploded.join(small_side(ranks), "label").groupBy("labels").agg(F.array_sort(F.collect_list("lr")).alias("key")))
+    keyed = counts.join(keys, "labels", "left").withColumn("key", F.coalesce("key", F.array().cast("array<bigint>")))
+    signatures = cut_lineage(running_total(keyed, ["key"], F.lit(1), "sig"))
+    positions, pools = label_pools(sets.join(small_side(signatures.select("labels", "sig")), "labels")
+                                   .select("pid", F.col("sig").alias("label")), seed, many=True)
+    # ranges of neighbouring signatures that have a label: those without a predecessor begin one, without a successor end it
+    held = cut_lineage(signatures.select("sig", F.explode("key").alias("lr")))
+    ends = []
+    for step, name in ((1, "first"), (-1, "last")):
+        beside = held.select((F.col("sig") + step).alias("sig"), "lr")
+        w = Window.partitionBy("lr").orderBy("sig")  # the ranges of a label
+        ends.append(held.join(beside, ["sig", "lr"], "left_anti").withColumn("i", F.row_number().over(w))
+                    .select("lr", "i", F.col("sig").alias(name)))
+    spans = pools.select(F.col("label").alias("sig"), "start", (F.col("start") + F.col("cnt")).alias("stop"))
+    ranges = (ends[0].join(ends[1], ["lr", "i"]).join(spans.select(F.col("sig").alias("first"), "start"), "first")
+              .join(spans.select(F.col("sig").alias("last"), "stop"), "last").select("lr", "start", "stop"))
+    parts = (held.join(small_side(ranges), "lr").groupBy("sig")
+             .agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("parts")))
+
+    def merge(batches):
+        for b in batches:
+            parts, sizes = b.column("parts"), pc.list_value_length(b.column("parts")).to_numpy(zero_copy_only=False)
+            start, stop = (parts.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+            out, at = [], 0
+            for n in sizes:
+                reach = np.maximum.accumulate(stop[at:at + n])
+                heads = np.flatnonzero(np.concatenate(([True], start[at + 1:at + n] > reach[:-1])))
+                out.append((start[at:at + n][heads], reach[np.append(heads[1:], n) - 1]))
+                at += n
+            yield pa.RecordBatch.from_arrays(
+                [b.column("sig"), *(pa.array([o[i] for o in out], pa.list_(pa.int64())) for i in (0, 1))], ["sig", "starts", "ends"])
+
+    related = cut_lineage(parts.mapInArrow(merge, "sig long, starts array<long>, ends array<long>"))
+    return cut_lineage(positions.select("pid", F.col("label").alias("sig"), "gpos")), related
+
+
+def random_candidates_ml(passages: DataFrame, n_pos: int, n_neg: int, seed: int) -> DataFrame:
+    """``(anchor, role, i, pid)``: multi-label random candidates (N3), uniform and without replacement.
+
+    Per anchor ``n_pos`` other passages that share a label and ``n_neg`` that share none, or all where there are fewer, in
+    the order of the draw (``i`` from 0).  :func:`signature_pools` says which positions share a label, so a draw is a rank
+    among those that do or among those that don't (Floyd), turned into a position by the prefix sums of the ranges: the
+    work is one row an anchor and one a draw, however few passages qualify.
+    """
+    positions, related = signature_pools(passages, seed)
+    total = positions.count()
+    starts, ends = (F.coalesce(c, F.array().cast("array<long>")) for c in ("starts", "ends"))
+    shared = F.aggregate(F.zip_with(ends, starts, lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    anchors = (positions.join(small_side(related), "sig", "left")
+               .select(F.col("pid").alias("anchor"), "gpos", starts.alias("starts"), ends.alias("ends"),
+                       F.greatest(shared, F.lit(1)).alias("size")))  # an anchor without labels is related to itself
+    picks = []
+    for role, n, size in (("pos", n_pos, F.col("size") - 1), ("neg", n_neg, F.lit(total) - F.col("size"))):
+        picks.append(floyd(seed, role, "anchor", size, F.least(F.lit(n), size)).alias(role))
+    drawn = anchors.select("anchor", "gpos", "starts", "ends", *picks)
+    kind = positions.schema["pid"].dataType.simpleString()
+
+    def place(batches):
+        for b in batches:
+            found = {"pos": [], "neg": []}
+            for row in b.select(["gpos", "starts", "ends", "pos", "neg"]).to_pylist():
+                own = row["gpos"]
+                first, last = np.array(row["starts"] or [own], np.int64), np.array(row["ends"] or [own + 1], np.int64)
+                inside = np.concatenate(([0], np.cumsum(last - first)))   # related positions before each range
+                outside = first - inside[:-1]                             # others before it
+                j = int(np.searchsorted(first, own, side="right")) - 1
+                r = np.array(row["pos"], np.int64)
+                r += r >= inside[j] + own - first[j]                       # the anchor itself is none
+                at = np.searchsorted(inside, r, side="right") - 1
+                found["pos"].append(first[at] + r - inside[at])
+                r = np.array(row["neg"], np.int64)
+                found["neg"].append(r + inside[np.searchsorted(outside, r, side="right")])
+            for role, places in found.items():
+                n = np.array([len(p) for p in places], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("anchor").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array([role] * int(n.sum()), pa.string()),
+                     pa.array(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)),
+                     pa.array(np.concatenate(places) if places else np.zeros(0, np.int64), pa.int64())], ["anchor", "role", "i", "gpos"])
+
+    return _to_pid(drawn.mapInArrow(place, f"anchor {kind}, role string, i long, gpos long"), positions)
+
+
+def random_tuples_ml(passages: DataFrame, nway: int, seed: int) -> DataFrame:
+    """Multi-label random tuples (N3): ``(anchor, slot, pid)``; the positive shares a label (the anchor itself when no
+    other passage does, as the reference warns), the ``nway - 2`` negatives share none."""
+    drawn = cut_lineage(random_candidates_ml(passages, 1, nway - 2, seed))
+    own = passages.select(F.col("pid").alias("anchor"), F.lit(0).alias("slot"), "pid")
+    positive = drawn.filter("role = 'pos'").select("anchor", F.lit(1).alias("slot"), "pid")
+    lone = (own.join(positive.select("anchor"), "anchor", "left_anti").withColumn("slot", F.lit(1)))
+    negative = drawn.filter("role = 'neg'").select("anchor", (F.col("i") + 2).alias("slot"), "pid")
+    return (own.unionByName(positive).unionByName(lone).unionByName(negative)
+            .withColumn("slot", F.col("slot").cast("int")))

@@ -332,101 +332,61 @@ def sampling_weights_lower(spark, sf):
     return w.select("anchor", "role", "pid", F.round("weight", 9).alias("weight"))
 
 
-def _pool_ctes(src: str, sfx: str) -> str:
-    return f"""
-pp{sfx} AS (SELECT pid, label FROM {src}),
-pos{sfx} AS (SELECT pid, label, row_number() OVER (ORDER BY label, {U("'b'", 'pid')}, pid) - 1 AS gpos FROM pp{sfx}),
-pool{sfx} AS (SELECT label, count(*) AS cnt, min(gpos) AS start FROM pos{sfx} GROUP BY label)"""
-
-
-def random_ml_sql(nway: int, rounds: int = 4, overdraw: int = 4) -> str:
-    """SQL twin of :func:`vicinity.operators.sampling.random_tuples_ml`: the same rounds,
-    Floyd draws, acceptance rules and ordering, unrolled into one CTE chain."""
-    ctes = [fx.ML_CTES, """
+def random_ml_sql(n_pos: int, n_neg: int) -> str:
+    """SQL twin of :func:`vicinity.operators.sampling.random_candidates_ml`: ``dr(anchor, role, i, pid)``.
+
+    The same order of passages (label ranks by frequency, then hash) and the same Floyd draws; the ranks among related
+    and unrelated passages are counted pair by pair."""
+    def draw(role, n):
+        m = f"least({n}, n{role})"
+        return f"""SELECT anchor, '{role}' AS role, unnest(sel) AS r, unnest(range(len(sel))) AS i
+                   FROM (SELECT *, {floyd_sql(role, ['anchor'], f'n{role}', m)} AS sel FROM sizes)"""
+    return with_ctes(fx.ML_CTES, f"""
 lab AS (SELECT pid, list_distinct(labels) AS labels FROM ml),
-ntot AS (SELECT count(*) AS n FROM lab),
-ev0 AS (SELECT pid, 0 AS label FROM lab),
-ex AS (SELECT pid, unnest(labels) AS label FROM lab)""", _pool_ctes("ev0", "_e"), _pool_ctes("ex", "_x"), f"""
-seg AS (SELECT a.anchor, a.label, p.cnt, p.start,
-               coalesce(sum(p.cnt) OVER (PARTITION BY a.anchor ORDER BY a.label
-                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum,
-               sum(p.cnt) OVER (PARTITION BY a.anchor) AS S
-        FROM (SELECT pid AS anchor, unnest(labels) AS label FROM lab) a JOIN pool_x p USING (label)),
-anchors AS (SELECT pid AS anchor, labels AS alabels FROM lab),
-np_0 AS (SELECT a.anchor, a.alabels, s.S, 1 AS need FROM anchors a JOIN (SELECT DISTINCT anchor, S FROM seg) s USING (anchor)),
-nn_0 AS (SELECT a.anchor, a.alabels, (SELECT n FROM ntot) AS S,
-                CASE WHEN e.most >= (SELECT n FROM ntot) THEN 0 ELSE {nway - 2} END AS need
-         FROM anchors a LEFT JOIN (SELECT anchor, max(cnt) AS most FROM seg GROUP BY anchor) e USING (anchor)),
-ch_0 AS (SELECT CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS pid, CAST(NULL AS VARCHAR) AS role,
-                CAST(NULL AS BIGINT) AS rnd, CAST(NULL AS BIGINT) AS o WHERE false)"""]
-    step = 0
-    for r in range(rounds):
-        last = r == rounds - 1
-        for role in ("pos", "neg"):
-            need = f"np_{r}" if role == "pos" else f"nn_{r}"
-            m = f"least(need * {overdraw ** (r + 1)} + 1, S)"
-            ch_prev, ch_next = f"ch_{step}", f"ch_{step + 1}"
-            sel = floyd_sql(f"{role}{r}", ["anchor"], "S", m)
-            ctes.append(f"""
-d_{role}_{r} AS (SELECT anchor, alabels, need, o, {U('anchor', repr(f'{role}{r}'), 'o')} AS k
-                 FROM (SELECT *, unnest(range(CAST(S AS BIGINT))) AS o FROM {need} WHERE need > 0))""" if last else f"""
-d_{role}_{r} AS (SELECT anchor, alabels, need, unnest(sel) AS o, unnest(range(len(sel))) AS k
-                 FROM (SELECT *, {sel} AS sel FROM {need} WHERE need > 0))""")
-            if role == "pos":
-                ctes.append(f"""
-c_{role}_{r} AS (SELECT d.anchor, d.need, d.k, x.pid FROM d_{role}_{r} d
-                 JOIN seg g ON g.anchor = d.anchor AND d.o >= g.cum AND d.o < g.cum + g.cnt
-                 JOIN pos_x x ON x.gpos = g.start + d.o - g.cum JOIN lab l ON l.pid = x.pid
-                 WHERE x.pid <> d.anchor AND list_min(list_intersect(l.labels, d.alabels)) = g.label
-                   AND NOT EXISTS (SELECT 1 FROM {ch_prev} c WHERE c.anchor = d.anchor AND c.pid = x.pid))""")
-            else:
-                ctes.append(f"""
-c_{role}_{r} AS (SELECT d.anchor, d.need, d.k, e.pid FROM d_{role}_{r} d
-                 JOIN pos_e e ON e.gpos = d.o JOIN lab l ON l.pid = e.pid
-                 WHERE e.pid <> d.anchor AND NOT list_has_any(l.labels, d.alabels)
-                   AND NOT EXISTS (SELECT 1 FROM {ch_prev} c WHERE c.anchor = d.anchor AND c.pid = e.pid))""")
-            nxt = f"np_{r + 1}" if role == "pos" else f"nn_{r + 1}"
-            ctes.append(f"""
-p_{role}_{r} AS (SELECT anchor, pid, '{role}' AS role, {r} AS rnd, CAST(i AS BIGINT) AS o FROM (
-                   SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY k, pid) AS i FROM c_{role}_{r})
-                 WHERE i <= need),
-{ch_next} AS (SELECT * FROM {ch_prev} UNION ALL SELECT * FROM p_{role}_{r}),
-{nxt} AS (SELECT n.anchor, n.alabels, n.S, n.need - coalesce(g.g, 0) AS need FROM {need} n
-          LEFT JOIN (SELECT anchor, count(*) AS g FROM p_{role}_{r} GROUP BY anchor) g USING (anchor))""")
-            step += 1
-    ctes.append(f"""
-has_pos AS (SELECT DISTINCT anchor FROM ch_{step} WHERE role = 'pos'),
-allc AS (SELECT anchor, pid, role, rnd, o FROM ch_{step}
-         UNION ALL SELECT anchor, anchor, 'pos', 0, 0 FROM anchors WHERE anchor NOT IN (SELECT anchor FROM has_pos)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY rnd, o) AS r FROM allc),
-tup AS (SELECT anchor, CAST(0 AS INTEGER) AS slot, anchor AS pid FROM anchors
-        UNION ALL SELECT anchor, CAST(1 AS INTEGER), pid FROM ranked WHERE role = 'pos' AND r = 1
-        UNION ALL SELECT anchor, CAST(r + 1 AS INTEGER), pid FROM ranked WHERE role = 'neg')""")
-    return with_ctes(*ctes)
-
-
-@register("sample_random_ml", random_ml_sql(NWAY) + "SELECT anchor, slot, pid FROM tup")
+ex AS (SELECT pid, unnest(labels) AS label FROM lab),
+lrk AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS lr FROM ex GROUP BY label),
+sg AS (SELECT lab.pid, lab.labels, coalesce(k.sig, []) AS sig FROM lab
+       LEFT JOIN (SELECT pid, list_sort(list(lr)) AS sig FROM ex JOIN lrk USING (label) GROUP BY pid) k USING (pid)),
+gp AS (SELECT pid, labels, row_number() OVER (ORDER BY sig, {U("'b'", 'pid')}, pid) AS gpos FROM sg),
+ov AS (SELECT a.pid AS anchor, b.pid, b.gpos, CASE WHEN list_has_any(a.labels, b.labels) THEN 'pos' ELSE 'neg' END AS role
+       FROM gp a JOIN gp b ON a.pid <> b.pid),
+rel AS (SELECT anchor, role, pid, row_number() OVER (PARTITION BY anchor, role ORDER BY gpos) - 1 AS r FROM ov),
+sizes AS (SELECT lab.pid AS anchor, count(rel.pid) FILTER (role = 'pos') AS npos, count(rel.pid) FILTER (role = 'neg') AS nneg
+          FROM lab LEFT JOIN rel ON rel.anchor = lab.pid GROUP BY lab.pid),
+dd AS ({draw('pos', n_pos)} UNION ALL {draw('neg', n_neg)}),
+dr AS (SELECT dd.anchor, dd.role, dd.i, rel.pid FROM dd JOIN rel ON rel.anchor = dd.anchor AND rel.role = dd.role AND rel.r = dd.r)""")
+
+
+@register("sample_random_ml", random_ml_sql(1, NWAY - 2) + """
+SELECT pid AS anchor, CAST(0 AS INTEGER) AS slot, pid FROM lab
+UNION ALL SELECT lab.pid, CAST(1 AS INTEGER), coalesce(dr.pid, lab.pid) FROM lab LEFT JOIN dr ON dr.anchor = lab.pid AND dr.role = 'pos'
+UNION ALL SELECT anchor, CAST(i + 2 AS INTEGER), pid FROM dr WHERE role = 'neg'""")
 def sample_random_ml(spark, sf):
-    """Multi-label random tuples by rejection rounds (N3): positives share a label, negatives
-    share none, uniform and without replacement."""
+    """Multi-label random tuples drawn by rank (N3): positives share a label, negatives share none, uniform and without
+    replacement."""
     ml = fx.multilabel_vectors(spark, sf).select("pid", "labels")
     return sampling.random_tuples_ml(ml, NWAY, SEED)
 
 
-_ML_FILL = random_ml_sql(2 + N_NEG + K).rstrip()
-_ML_FILL = _ML_FILL.replace("\ntup AS (", "\nrtup AS (") + "," + _ALL.strip() + "," + fx.knn_sql(K, src_q="a", src_c="a") + f""",
+@register("sample_candidates_ml", random_ml_sql(5, 40) + "SELECT anchor, role, i, pid FROM dr")
+def sample_candidates_ml(spark, sf):
+    """Five random positives and forty negatives of every multi-label passage, or all there are."""
+    return sampling.random_candidates_ml(fx.multilabel_vectors(spark, sf).select("pid", "labels"), 5, 40, SEED)
+
+
+_ML_FILL = random_ml_sql(N_POS + K, N_NEG + K).rstrip() + "," + _ALL.strip() + "," + fx.knn_sql(K, src_q="a", src_c="a") + f""",
 sm AS (SELECT m.qid AS anchor, m.rank, m.pid, m.score,
               CASE WHEN list_has_any(pa.labels, pb.labels) THEN 'pos' ELSE 'neg' END AS role
        FROM m JOIN ml pa ON pa.pid = m.qid JOIN ml pb ON pb.pid = m.pid WHERE m.pid <> m.qid),
 st AS (SELECT anchor, max(rank) AS lastrank, count(*) FILTER (role = 'pos') AS npos, count(*) FILTER (role = 'neg') AS nneg,
               min(score) FILTER (role = 'pos') AS minpos, min(score) FILTER (role = 'neg') AS minneg FROM sm GROUP BY anchor),
-fresh AS (SELECT t.anchor, CASE WHEN t.slot = 1 THEN 'pos' ELSE 'neg' END AS role, t.pid, t.slot, coalesce(st.lastrank, 0) AS lastrank,
+fresh AS (SELECT t.anchor, t.role, t.pid, t.i, coalesce(st.lastrank, 0) AS lastrank,
                  coalesce(st.npos, 0) AS npos, coalesce(st.nneg, 0) AS nneg, st.minpos, st.minneg
-          FROM rtup t LEFT JOIN st USING (anchor) WHERE t.slot > 0 AND t.pid <> t.anchor
-            AND NOT EXISTS (SELECT 1 FROM sm WHERE sm.anchor = t.anchor AND sm.pid = t.pid)),
+          FROM dr t LEFT JOIN st USING (anchor)
+          WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.anchor = t.anchor AND sm.pid = t.pid)),
 fsel AS (SELECT anchor, role, pid, coalesce(CASE WHEN role = 'pos' THEN minpos ELSE minneg END, 1.0::DOUBLE) AS score,
                 CAST(lastrank + fi AS BIGINT) AS ord
-         FROM (SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY slot) AS fi FROM fresh)
+         FROM (SELECT *, row_number() OVER (PARTITION BY anchor, role ORDER BY i) AS fi FROM fresh)
          WHERE fi <= CASE WHEN role = 'pos' THEN {N_POS} - npos ELSE {N_NEG} - nneg END),
 cand AS (SELECT anchor, role, pid, score, CAST(rank AS BIGINT) AS ord FROM sm UNION ALL SELECT * FROM fsel)"""
 
