@@ -30,4 +30,4 @@ def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes if c and c.strip()) + "\n"
 
 
-from vicinity.plans import search, corpus, text, vectors, index, multilabel, sampling, analysis, streaming  # noqa: E402,F401
+from vicinity.plans import search, corpus, text, vectors, index, multilabel, sampling, analysis, streaming, evaluation  # noqa: E402,F401
