@@ -12,6 +12,16 @@ def _ks_col(ks) -> F.Column:
     return F.array(*[F.lit(int(k)) for k in sorted(set(ks))])
 
 
+def _class_id(label: str, rows: DataFrame) -> F.Column:
+    """The label as an int; an error for labels that are no class ids (from 0 on, or -1 for none)."""
+    kind = rows.schema[label].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"labels are integers, not {kind}; number them with corpus.label_dictionary")
+    c = F.col(label)
+    return F.when(c.isNull() | c.between(MISSING_LABEL, (1 << 31) - 1), c).otherwise(
+        F.raise_error(F.concat(F.lit("no class id: "), c.cast("string")))).cast("int").alias("label")
+
+
 def knn_vote(matches: DataFrame, pid_labels: DataFrame, queries: DataFrame, ks,
              ignore_missing: bool = False) -> DataFrame:
     """Majority label of the first k matches, for every k in ``ks`` from one search.
@@ -24,7 +34,7 @@ def knn_vote(matches: DataFrame, pid_labels: DataFrame, queries: DataFrame, ks,
     """
     ks = sorted({int(k) for k in ([ks] if isinstance(ks, int) else ks)})
     hits = (matches.select("qid", "rank", "pid")
-            .join(pid_labels.select("pid", "label"), "pid", "left")
+            .join(pid_labels.select("pid", _class_id("label", pid_labels)), "pid", "left")
             .withColumn("label", F.coalesce(F.col("label"), F.lit(MISSING_LABEL)))
             .withColumn("k", F.explode(F.filter(_ks_col(ks), lambda k: k >= F.col("rank")))))
     votes = hits.groupBy("k", "qid", "label").agg(F.count(F.lit(1)).alias("n"))

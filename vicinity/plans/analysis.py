@@ -18,6 +18,7 @@ from vicinity.functions.hashing import uniform, uniform_sql
 from vicinity.functions.text import simple_tokens
 from vicinity.functions.vectors import dot
 from vicinity.operators import classify, corpus as cp, encode, metrics, sampling
+from vicinity.operators.linear_head import LinearHead
 from vicinity.operators.similarity import knn_join, maxsim_join
 from vicinity.plans import corpus as pc
 from vicinity.plans import fixtures as fx
@@ -311,6 +312,20 @@ def linear_baseline(spark, sf):
     return pred.select("qid", F.col("prediction").cast("int").alias("pred"))
 
 
+@register("linear_predict", with_ctes(fx.VEC_CTES, """
+w AS (SELECT label, [{}] AS weight FROM c GROUP BY label)""".format(", ".join(f"avg(vec[{i + 1}])" for i in range(64)))) + """
+SELECT qid, pred, score FROM (
+  SELECT q.qid, w.label AS pred, round(list_inner_product(q.vec::DOUBLE[], w.weight), 6) AS score FROM q, w)
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pred) = 1""")
+def linear_predict(spark, sf):
+    """Linear head with fixed weights (mean vector of each class), stored, loaded and applied."""
+    q, c = fx.split_vectors(spark, sf)
+    mean = F.array(*(F.avg(F.col("vec")[i].cast("double")) for i in range(64)))
+    path = _scratch(spark, "linear-head")
+    LinearHead(c.groupBy("label").agg(mean.alias("weight"))).save(path)
+    return LinearHead.load(spark, path).predict(q.select("qid", "vec"))
+
+
 REMINE_ROUND = 1
 REMINE_ROUNDS = (1, 2, 3)
 
