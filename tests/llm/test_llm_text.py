@@ -108,7 +108,7 @@ def test_pieces_equal_the_library(spark, docs_of, small_texts):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     model = pieces.read_model(spark, PIECE_MODEL)
     assert pieces.read_model(spark, f"file://{PIECE_MODEL}") == model
-    assert pieces.ChunkTable(model).by_chunk
+    assert pieces.Segmenter(model).by_chunk
     got = pieces.encode_decode(docs_of(small_texts), model).collect()
     want = [(i, sp.encode(t or "") + [sp.eos_id()]) for i, t in small_texts]
     assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in got), key=repr) == sorted(
@@ -120,15 +120,39 @@ def test_pieces_equal_the_library(spark, docs_of, small_texts):
     assert pieces.encode_decode(docs_of([]), model).count() == 0
 
 
-def test_pieces_small_table_and_whole_text_path(monkeypatch, small_texts):
+def test_pieces_segments_each_chunk_once(spark, docs_of, small_texts, monkeypatch):
+    """The stored table has every distinct chunk once, in shards of bounded size, and is all that encoding asks."""
+    model = pieces.read_model(spark, PIECE_MODEL)
     texts = [t or "" for _, t in small_texts]
-    with open(PIECE_MODEL, "rb") as f:
-        table = pieces.ChunkTable(f.read())
-    whole = list(table.encode_texts(texts))
-    monkeypatch.setattr(pieces, "TABLE_ROWS", 50)
-    assert [x for i in range(0, len(texts), 7) for x in table.encode_texts(texts[i:i + 7])] == whole
-    table.by_chunk = False
-    assert list(table.encode_texts(texts)) == whole
+    segmenter = pieces.Segmenter(model)
+    monkeypatch.setattr(pieces, "HELD", 300)
+    monkeypatch.setattr(pieces, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(pieces, "LONG", 1000)
+    chunks = pieces.distinct_chunks(docs_of(small_texts).repartition(4))
+    rows = pieces.segmented(chunks, model).collect()
+    distinct = {c for t in texts for c in pieces.chunks_of(t)}
+    assert sorted(r["chunk"] for r in rows) == sorted(c for c in distinct if len(c) <= 1000) and any(len(c) > 1000 for c in distinct)
+    table = pieces.store_table(pieces.segmented(chunks, model))
+    assert table.bits >= 3
+    whole = list(pieces.encode_texts(texts, segmenter, None))
+    seen = []
+    segment = pieces.Segmenter.segment
+    monkeypatch.setattr(pieces.Segmenter, "segment", lambda self, c: (seen.extend(c), segment(self, c))[1])
+    assert list(pieces.encode_texts(texts, segmenter, table)) == whole
+    assert set(seen) == {c for c in distinct if len(c) > 1000}
+    assert [x for i in range(0, len(texts), 7) for x in pieces.encode_texts(texts[i:i + 7], segmenter, table)] == whole
+    assert list(table.find([" not there"])) == [" not there"]
+
+
+def test_pieces_with_one_hash(spark, docs_of, small_texts, monkeypatch):
+    model = pieces.read_model(spark, PIECE_MODEL)
+    texts = [t or "" for _, t in small_texts][-40:]
+    rows = pieces.segmented(pieces.distinct_chunks(docs_of(list(enumerate(texts)))), model).selectExpr("hash % 3 as hash", "chunk", "ids", "decoded")
+    monkeypatch.setattr(pieces.xxhash, "xxh64_intdigest", lambda raw, _h=pieces.xxhash.xxh64_intdigest: int(
+        np.fmod(np.array([_h(raw)], np.uint64).view(np.int64), 3).view(np.uint64)[0]))
+    segmenter = pieces.Segmenter(model)
+    table = pieces.store_table(rows)
+    assert list(pieces.encode_texts(texts, segmenter, table)) == list(pieces.encode_texts(texts, segmenter, None))
 
 
 def test_token_counts(spark, docs_of, small_texts):

@@ -3,34 +3,54 @@
 Where no piece of a model has a character before a white-space marker, no merge
 crosses from a word into the marker after it.  A text then falls into chunks
 (one or more markers and the characters up to the next marker) that are
-segmented independently, and natural text has few distinct ones.  Each task
-keeps a table of the distinct chunks of its texts, segments every new one once
-(one library call per batch), checks that the library decodes the new ids to
-the same characters, and joins ids and characters back by position.  The table
-is emptied at ``TABLE_ROWS`` entries, so memory is bounded and nothing is
-shuffled; a lost task is simply run again.
+segmented independently, and natural text has few distinct ones:
+
+1. tasks collect the distinct chunks of their texts and Spark those of all tasks;
+2. each is segmented once, and decoded again to see whether it comes back as it was;
+3. the table is stored in the shared folder as arrays sorted by chunk hash, in shards
+   of about ``SHARD_BYTES``, which workers map into memory;
+4. a task looks the distinct chunks of a slice of texts up (hash, then bytes) and
+   joins ids and characters back by position.
+
+Only distinct chunks are shuffled, never a text.  A chunk beyond ``LONG``
+characters (a text without spaces, say) is no word that others share: it is
+segmented where it stands, so no row of the table is large.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.llm.arraystore import map_array, write_array
 from vicinity.llm.bytetext import slices
+from vicinity.session import checkpoint_dir, cut_lineage
 
 MARK = "▁"
-TABLE_ROWS = 200_000
+LONG = 4096            # characters of a chunk from which on it isn't in the table
+SHARD_BYTES = 8 << 20
+HELD = 200_000         # distinct chunks that a task gathers before it sends them
+SLICE = 8 << 20        # bytes of text whose chunks are looked up together
 _CHUNK = re.compile(" +[^ ]*")
 
 
-class ChunkTable:
-    """Ids (as text) of distinct marked chunks, for one model."""
+def chunks_of(text: str) -> list[str]:
+    """The marked chunks of a text in order; a space stands for the marker."""
+    return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
+
+
+class Segmenter:
+    """Ids and decoded characters of marked chunks, for one model."""
 
     def __init__(self, model: bytes):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -38,39 +58,162 @@ class ChunkTable:
         self.numerals = [str(i) for i in range(len(pieces))]
         self.by_chunk = (not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
                          and self.sp.normalize("a  \n") == f"{MARK}a{MARK}{MARK}\n")
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}  # of chunks that don't come back as they were
 
-    def add(self, chunks: list[str]) -> None:
+    def text(self, ids: list[int]) -> str:
+        numerals = self.numerals
+        return " ".join([numerals[i] for i in ids])
+
+    def segment(self, chunks: list[str]) -> tuple[list[str], list[str | None]]:
+        """Ids as text, and the decoded characters of chunks that don't come back as they were, else None."""
         # the library puts one marker before every text, so a chunk is handed over without its first
         ids = self.sp.encode([c[1:] for c in chunks], num_threads=1)
         ids = [x if len(c) > 1 else [self.sp.piece_to_id(MARK)] for c, x in zip(chunks, ids)]
+        decoded: list[str | None] = [None] * len(chunks)
         if self.sp.decode([i for x in ids for i in x]) != "".join(chunks)[1:]:
-            self.decoded.update((c, d) for c, d in zip(chunks, self.sp.decode(ids, num_threads=1)) if d != c[1:])
-        numerals = self.numerals
-        self.ids.update((c, " ".join([numerals[i] for i in x])) for c, x in zip(chunks, ids))
-
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """Per text its ids as text (without an end id) and the decoded text."""
-        if not self.by_chunk:
-            for t in texts:
-                ids = self.sp.encode(t)
-                yield " ".join([self.numerals[i] for i in ids]), self.sp.decode(ids)
-            return
-        marked = [t.replace(MARK, " ") for t in texts]
-        chunked = [_CHUNK.findall(" " + t) if t else [] for t in marked]
-        seen = set().union(*chunked)
-        new = seen.difference(self.ids)
-        if len(self.ids) + len(new) > TABLE_ROWS:
-            self.ids.clear()
-            self.decoded.clear()
-            new = seen
-        if new:
-            self.add(sorted(new))
-        ids, odd = self.ids, self.decoded
-        for t, chunks in zip(marked, chunked):
-            yield (" ".join([ids[c] for c in chunks]),
-                   t if odd.keys().isdisjoint(chunks) else " ".join([odd.get(c, c[1:]) for c in chunks]))
+            decoded = [d if d != c[1:] else None for c, d in zip(chunks, self.sp.decode(ids, num_threads=1))]
+        return [self.text(x) for x in ids], decoded
+
+
+@dataclasses.dataclass(frozen=True)
+class ChunkTable:
+    """The stored table: ``2 ** bits`` shards under ``base``, a chunk in the shard of its hash's leading bits."""
+
+    base: str
+    bits: int
+
+    def find(self, chunks: list[str]) -> Iterator[tuple[str, str, str | None] | str]:
+        """``(chunk, ids as text, decoded characters or None)`` of each chunk, or the chunk alone if the table hasn't it."""
+        raw = [c.encode() for c in chunks]
+        hashes = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64)
+        shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+        order = np.argsort(shard, kind="stable")
+        for s, (lo, hi) in enumerate(zip(*(np.searchsorted(shard[order], np.arange(1 << self.bits), side) for side in ("left", "right")))):
+            if lo == hi:
+                continue
+            keys = np.asarray(map_array(self.base, f"hashes-{s}", "u8"))
+            ends = [np.asarray(map_array(self.base, f"{kind}_ends-{s}", "i8")) for kind in _BLOBS]
+            blobs = [memoryview(map_array(self.base, f"{kind}-{s}", "u1")) for kind in _BLOBS]
+            mine = order[lo:hi]
+            at = np.searchsorted(keys, hashes[mine])
+            there = np.zeros(len(mine), bool)
+            there[at < len(keys)] = keys[at[at < len(keys)]] == hashes[mine[at < len(keys)]]
+            cuts = [(np.where(at[there] > 0, e[at[there] - 1], 0).tolist(), e[at[there]].tolist()) for e in ends]
+            yield from (chunks[i] for i in mine[~there].tolist())
+            for k, (i, *cut) in enumerate(zip(mine[there].tolist(), *cuts[0], *cuts[1], *cuts[2])):
+                if blobs[0][cut[0]:cut[1]] == raw[i]:
+                    # a decoded text has a byte before it, so that an empty one is told from none
+                    yield (chunks[i], str(blobs[1][cut[2]:cut[3]], "ascii"),
+                           str(blobs[2][cut[4] + 1:cut[5]], "utf-8") if cut[5] > cut[4] else None)
+                else:
+                    yield self._beyond(chunks[i], raw[i], int(at[there][k]), keys, ends, blobs)
+
+    @staticmethod
+    def _beyond(chunk: str, raw: bytes, at: int, keys, ends, blobs) -> tuple[str, str, str | None] | str:
+        """The chunk among the others that have its hash."""
+        key = keys[at]
+        while at < len(keys) and keys[at] == key:
+            found, ids, decoded = (bytes(b[e[at - 1] if at else 0:e[at]]) for b, e in zip(blobs, ends))
+            if found == raw:
+                return chunk, ids.decode(), decoded[1:].decode() if decoded else None
+            at += 1
+        return chunk
+
+
+_BLOBS = ("chunk", "ids", "decoded")
+
+
+def distinct_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``chunk``: every different chunk of all texts once, but for those beyond ``LONG`` characters."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: set[str] = set()
+
+        def send():
+            rows = [c for c in held if len(c) <= LONG]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["chunk"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for t in part.column("text").to_pylist():
+                    held.update(chunks_of(t or ""))
+                if len(held) > HELD:
+                    yield send()
+        yield send()
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk string").distinct()
+
+
+def segmented(chunks: DataFrame, model: bytes) -> DataFrame:
+    """``hash, chunk, ids, decoded``: each row of ``chunks`` segmented, one library call a batch."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        segmenter = Segmenter(shared.value)
+        for b in batches:
+            rows = b.column("chunk").to_pylist()
+            hashes = np.array([xxhash.xxh64_intdigest(c.encode()) for c in rows], np.uint64).view(np.int64)
+            ids, decoded = segmenter.segment(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), b.column("chunk"), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                                             ["hash", "chunk", "ids", "decoded"])
+
+    return chunks.mapInArrow(run, "hash long, chunk string, ids string, decoded string")
+
+
+def store_table(rows: DataFrame) -> ChunkTable:
+    """The rows of :func:`segmented` as sorted arrays in the shared folder; as many shards as their bytes need."""
+    rows = cut_lineage(rows)
+    size = rows.agg(F.sum(F.octet_length("chunk") + F.octet_length("ids") + 32)).first()[0] or 0
+    bits = max(0, -(-size // SHARD_BYTES) - 1).bit_length()
+    base = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+
+    def store(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        keys = table.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        write_array(base, f"hashes-{shard}", keys[order])
+        columns = [table.column(c).to_pylist() for c in _BLOBS]
+        columns[2] = [None if d is None else "=" + d for d in columns[2]]
+        for kind, values in zip(_BLOBS, columns):
+            data = [(values[i] or "").encode() for i in order]
+            write_array(base, f"{kind}_ends-{shard}", np.cumsum([len(d) for d in data], dtype=np.int64))
+            write_array(base, f"{kind}-{shard}", np.frombuffer(b"".join(data), np.uint8))
+        return pa.table({"shard": pa.array([shard], pa.int32())})
+
+    number = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
+    written = {r[0] for r in rows.withColumn("shard", number).groupBy("shard").applyInArrow(store, "shard int").collect()}  # a row per shard
+    for shard in set(range(1 << bits)) - written:
+        for name, kind in (("hashes", "u8"), *((f"{b}_ends", "i8") for b in _BLOBS), *((b, "u1") for b in _BLOBS)):
+            write_array(base, f"{name}-{shard}", np.zeros(0, kind))
+    return ChunkTable(base, bits)
+
+
+def encode_texts(texts: list[str], segmenter: Segmenter, table: ChunkTable | None) -> Iterator[tuple[str, str]]:
+    """Per text its ids as text (without an end id) and the decoded text."""
+    if table is None:
+        for t in texts:
+            ids = segmenter.sp.encode(t)
+            yield segmenter.text(ids), segmenter.sp.decode(ids)
+        return
+    chunked = [chunks_of(t) for t in texts]
+    ids: dict[str, str] = {}
+    odd: dict[str, str] = {}
+    rest: list[str] = []
+    wanted = set().union(*chunked)
+    for found in table.find([c for c in wanted if len(c) <= LONG]):
+        if isinstance(found, str):
+            rest.append(found)  # a source that gave another text on its second reading
+            continue
+        ids[found[0]] = found[1]
+        if found[2] is not None:
+            odd[found[0]] = found[2]
+    rest += [c for c in wanted if len(c) > LONG]
+    for c in rest:
+        (ids[c],), (decoded,) = segmenter.segment([c])
+        if decoded is not None:
+            odd[c] = decoded
+    for t, chunks in zip(texts, chunked):
+        yield (" ".join([ids[c] for c in chunks]),
+               t.replace(MARK, " ") if odd.keys().isdisjoint(chunks) else " ".join([odd.get(c, c[1:]) for c in chunks]))
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -83,10 +226,12 @@ def read_model(spark: SparkSession, path: str) -> bytes:
 
 def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
                   add_end: bool = True) -> DataFrame:
-    """``doc_id, ids array<int>, decoded string`` of every whole text; map only.
+    """``doc_id, ids array<int>, decoded string`` of every whole text.
 
-    Ids equal the library's own ``encode(text)`` (plus its end id) and ``decoded`` its ``decode(ids)``.  A null text
-    counts as empty and has the end id alone; rows, ids and nulls repeat as they come; other columns are not read.
+    The table of all distinct chunks is built and stored first; a model whose pieces cross markers has none, and its texts
+    are encoded whole.  Ids equal the library's own ``encode(text)`` (plus its end id) and ``decoded`` its ``decode(ids)``.  A null text
+    counts as empty and has the end id alone; rows, ids and nulls repeat as they come; an empty table has no rows; other
+    columns are not read.
     """
     return _map(docs, model, id_col, text_col, add_end, digest=False)
 
@@ -99,15 +244,16 @@ def encode_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_c
 
 def _map(docs, model, id_col, text_col, add_end, digest):
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    table = store_table(segmented(distinct_chunks(docs, text_col), model)) if Segmenter(model).by_chunk else None
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table = ChunkTable(shared.value)
-        end = str(table.sp.eos_id()) if add_end else ""
+        segmenter = Segmenter(shared.value)
+        end = str(segmenter.sp.eos_id()) if add_end else ""
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 out = []
-                for ids, decoded in table.encode_texts(texts):
+                for ids, decoded in encode_texts(texts, segmenter, table):
                     ids = f"{ids} {end}" if ids and end else ids or end
                     if digest:
                         out.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(),
