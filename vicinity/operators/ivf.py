@@ -250,8 +250,7 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
     Map-only: the centroid table (cells x dim, bounded by the cell count and
     checked against ``vicinity.broadcast.maxBytes``) is broadcast and each task
     scores its own rows in chunks of at most ``SCORE_CELLS`` scores; ties by
-    smaller cell id.  Beyond the limit the vectors, keyed by a hash of their
-    ids, go through the blocked grid join.
+    smaller cell id.  Beyond the limit the centroids are searched in two levels.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     spark = vectors.sparkSession
@@ -261,7 +260,7 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
     src = vectors.select(*ids, F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
     ct = fetch_if_small(cents, broadcast_limit(spark) // max(8, dim * 8))
     if ct is None:
-        return _cell_grid(src, cents, ncells, ids, metric)
+        return _cell_tree(src, cents, ncells, ids, metric)
     cells, C = _np(ct.column("cell")), _matrix(ct.column("c"))
     bc = spark.sparkContext.broadcast((cells, C))
     types = ", ".join(f"{i} {src.schema[i].dataType.simpleString()}" for i in ids)
@@ -283,13 +282,72 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
     return _spread(src, *ids).mapInArrow(run, f"{types}, cell int, cell_score double, vec array<double>")
 
 
-def _cell_grid(src: DataFrame, cents: DataFrame, ncells: int, ids: list[str], metric: str) -> DataFrame:
-    """More centroid bytes than the broadcast limit: both sides meet in bounded blocks, vectors joined back by id."""
-    one = len(ids) == 1 and src.schema[ids[0]].dataType.simpleString() == "bigint"
-    keyed = src.withColumn("_key", F.col(ids[0])) if one else cut_lineage(
-        src.withColumn("_key", F.monotonically_increasing_id()))
-    best = knn_join(keyed.select(F.col("_key").alias("qid"), "vec"),
-                    cents.select(F.col("cell").alias("pid"), F.col("c").alias("vec")), ncells, metric, broadcast=False)
+def _cell_tree(src: DataFrame, cents: DataFrame, ncells: int, ids: list[str], metric: str) -> DataFrame:
+    """:func:`cell_map` for more centroids than a broadcast holds: two levels, and still the exact best cells.
+
+    Some centroids, as many as a broadcast holds and at most the square root of all, are the heads of groups; each
+    centroid joins its nearest head, and a group's radius is its farthest member.  A vector first meets the group with
+    the best bound on its scores (head's score and radius), then, by equi-joins on the group, only groups whose bound
+    reaches its ``ncells``-th best score so far.  No other group can hold a better cell.
+    """
+    spark, l2 = src.sparkSession, metric == "l2_distance"
+    keyed = cut_lineage(src.withColumn("_key", F.monotonically_increasing_id()))
+    total, dim = cents.count(), max(1, vector_length(cents, "c"))
+    heads = max(1, min(math.isqrt(total), broadcast_limit(spark) // (8 * dim)))
+    picked = cents.orderBy(F.xxhash64("cell"), "cell").limit(heads).toArrow()  # bounded by the limit
+    shared = spark.sparkContext.broadcast(_matrix(picked.column("c")))
+
+    def join_heads(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                c, h = _matrix(b.column("c")), shared.value
+                near = ((h * h).sum(1) - 2 * c @ h.T).argmin(1)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("cell"), pa.array(near.astype(np.int32)), b.column("c").cast(pa.list_(pa.float64())),
+                     pa.array(np.sqrt(((c - h[near]) ** 2).sum(1)))], ["pid", "cell", "vec", "away"])
+
+    grouped = cut_lineage(cents.select("cell", "c").mapInArrow(join_heads, "pid long, cell int, vec array<double>, away double"))
+    radius = np.full(heads, -1.0)  # -1: no member
+    for r in grouped.groupBy("cell").agg(F.max("away").alias("r")).collect():  # a row per head
+        radius[r["cell"]] = r["r"] * (1 + 1e-9) + 1e-9
+    bounds = spark.sparkContext.broadcast((_matrix(picked.column("c")), radius))
+
+    def meet(first: bool):
+        def run(batches):
+            h, r = bounds.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, max(1, SCORE_CELLS // (4 * heads))):
+                    b = whole.slice(at, max(1, SCORE_CELLS // (4 * heads)))
+                    v = _matrix(b.column("vec"))
+                    norm = (v * v).sum(1)[:, None]
+                    if l2:  # the larger, the nearer a member can be
+                        bound = -np.maximum(np.sqrt(np.maximum(norm + (h * h).sum(1) - 2 * v @ h.T, 0)) - r, 0) ** 2
+                    else:
+                        bound = v @ h.T + np.sqrt(norm) * r
+                    bound[:, r < 0] = -np.inf
+                    best = bound.argmax(1)
+                    if first:
+                        rows, groups = np.arange(len(v)), best
+                    else:
+                        least = b.column("least").to_numpy(zero_copy_only=False)
+                        reach = bound >= (-least if l2 else least)[:, None] - 2e-6  # scores are rounded to 6 digits
+                        reach[np.arange(len(v)), best] = False
+                        reach[:, r < 0] = False
+                        rows, groups = np.nonzero(reach)
+                    at_rows = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("qid").take(at_rows), pa.array(groups.astype(np.int32)), b.column("vec").take(at_rows)], ["qid", "cell", "vec"])
+        return run
+
+    probe = "qid long, cell int, vec array<double>"
+    queries = keyed.select(F.col("_key").alias("qid"), "vec")
+    found = cut_lineage(_scored_blocks(cut_lineage(queries.mapInArrow(meet(True), probe)), grouped, ncells, 2048, l2))
+    # the score to beat; where the first group has fewer than ncells members anything does
+    worst, none = (F.max, np.inf) if l2 else (F.min, -np.inf)
+    least = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= ncells, worst("score")).otherwise(F.lit(float(none))).alias("least"))
+    more = queries.join(least, "qid", "left").fillna({"least": float(none)}).mapInArrow(meet(False), probe)
+    best = _final_topk(found.unionByName(_scored_blocks(cut_lineage(more), grouped, ncells, 2048, l2)), ncells, ascending=l2)
     best = best.select(F.col("qid").alias("_key"), F.col("pid").cast("int").alias("cell"), F.col("score").alias("cell_score"))
     return best.join(keyed, "_key").select(*ids, "cell", "cell_score", "vec")
 
@@ -360,15 +418,20 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
     probes = cut_lineage(cell_map(queries.select("qid", "vec"), centroids, ncells, "qid", metric)
                          .select("qid", "cell", "vec"))  # counted and joined
     l2 = metric == "l2_distance"
+    return _final_topk(_scored_blocks(probes, index, k, block_rows, l2), k, ascending=l2)
+
+
+def _scored_blocks(probes: DataFrame, index: DataFrame, k: int, block_rows: int, l2: bool) -> DataFrame:
+    """Best ``k`` of each block of the rows of a probed cell, for each of ``probes(qid, cell, vec)``, which is stored.
+
+    The number of blocks of a cell follows from the counts of both sides, a table with a row per cell.
+    """
     csize = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"))
     qsize = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n_q"))
-    blocks = (csize.join(qsize, "cell", "full").fillna(0)
-              .select("cell", F.greatest(F.ceil(F.col("n_c") / block_rows), F.lit(1)).cast("long").alias("ncb"),
-                      F.greatest(F.ceil(F.col("n_q") / block_rows), F.lit(1)).cast("long").alias("nqb")))
-    # one row per cell (bounded by the cell count): materialise it once so both
-    # sides reuse it instead of re-running the probe and the index scan per side
-    spark = queries.sparkSession
-    blocks = F.broadcast(spark.createDataFrame(blocks.collect(), "cell int, ncb long, nqb long"))
+    # stored, so that both sides reuse it; broadcast only if it is small
+    blocks = small_side(csize.join(qsize, "cell")
+                        .select("cell", F.greatest(F.ceil(F.col("n_c") / block_rows), F.lit(1)).cast("long").alias("ncb"),
+                                F.greatest(F.ceil(F.col("n_q") / block_rows), F.lit(1)).cast("long").alias("nqb")))
     lq = (probes.join(blocks, "cell")
           .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")))
           .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ncb") - 1)))
@@ -385,9 +448,8 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
         key, score = _knn_scores(_matrix(qt.column("vec")), _matrix(ct.column("vec")), qids, pids, l2, False)
         return topk_rows(qids, pids, key, score, k)
 
-    cands = (lq.groupBy("cell", "qb", "cb").cogroup(rc.groupBy("cell", "qb", "cb"))
-             .applyInArrow(score_block, MATCH_SCHEMA))
-    return _final_topk(cands, k, ascending=l2)
+    return (lq.groupBy("cell", "qb", "cb").cogroup(rc.groupBy("cell", "qb", "cb"))
+            .applyInArrow(score_block, MATCH_SCHEMA))
 
 
 # --------------------------------------------------------------------------- J5 multi-stage (multi-vector)
