@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.text import encode_sequence, simple_tokens
 from vicinity.functions.vectors import l2_normalize, with_hashed_vectors
-from vicinity.operators.similarity import broadcast_limit, small_side
+from vicinity.operators.similarity import broadcast_limit
+from vicinity.session import cut_lineage
 
 HASHED_DIM = 8
 
@@ -116,13 +117,20 @@ def vocabulary_vectors(tokens: DataFrame, encoder: HashedTokenEncoder | None = N
 def lookup_token_vectors(tokens: DataFrame, vocab: DataFrame, normalize: bool = True) -> DataFrame:
     """Token vector lookup by equi-join, order kept by ``pos``, optional L2 norm.
 
-    Tokens missing from the vocabulary are dropped (no sub-word fallback, D16).
+    Tokens missing from the vocabulary are dropped (D16); :mod:`vicinity.operators.subword` composes theirs.  A
+    vocabulary within the broadcast limit is broadcast; beyond it only the vectors of heavy tokens are, of which there
+    are at most four times as many as shuffle partitions, and the rest is joined by token.
     """
-    v = vocab.select("token", F.col("vec").alias("_v"))
-    dim = vector_length(v, "_v")
-    # a vocabulary within the broadcast limit is broadcast; beyond it the engine splits the partitions of hot tokens
-    v = small_side(v, broadcast_limit(v.sparkSession) // max(64, 16 * dim))
-    out = tokens.join(v, "token")
+    v = cut_lineage(vocab.select("token", F.col("vec").alias("_v")))
+    cap = broadcast_limit(v.sparkSession) // max(64, 16 * vector_length(v, "_v"))
+    if len(v.select(F.lit(1)).take(cap + 1)) <= cap:
+        out = tokens.join(F.broadcast(v), "token")
+    else:
+        # a token that is more than its share of a partition is joined where it stands: by definition there are few
+        share = max(1, tokens.count() // (4 * int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        heavy = cut_lineage(tokens.groupBy("token").count().filter(F.col("count") > share).select("token").join(v, "token"))
+        light = tokens.join(F.broadcast(heavy.select("token")), "token", "left_anti")
+        out = tokens.join(F.broadcast(heavy), "token").unionByName(light.join(v, "token"))
     return out.withColumn("vec", l2_normalize("_v") if normalize else F.col("_v").cast("array<double>")).drop("_v")
 
 

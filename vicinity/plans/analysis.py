@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vicinity.functions.hashing import uniform, uniform_sql
 from vicinity.functions.text import simple_tokens
 from vicinity.functions.vectors import dot
-from vicinity.operators import classify, corpus as cp, encode, metrics, sampling
+from vicinity.operators import classify, corpus as cp, encode, metrics, sampling, subword
 from vicinity.operators.linear_head import LinearHead
 from vicinity.operators.similarity import knn_join, maxsim_join
 from vicinity.plans import corpus as pc
@@ -252,6 +252,34 @@ def word2vec_knn(spark, sf):
     return classify.knn_vote(m, toks.select("pid", "label"), q, [K]).select("qid", "pred")
 
 
+_GRAMS = f"""
+vt AS (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS_CAPPED_SQL}) AS token FROM documents) GROUP BY token),
+vr AS (SELECT token, n, {hashed_token_vector_sql('token')} AS raw FROM vt WHERE n >= {W2V_MIN_COUNT}),
+vv AS (SELECT token, n, list_transform(raw, lambda x: x / sqrt(list_inner_product(raw, raw))) AS vec FROM vr),
+gr AS (SELECT token, n, unnest(list_distinct(list_transform(list_distinct(flatten(list_transform([3, 4, 5, 6], lambda s:
+                list_transform(range(1, greatest(length(token) + 2 - s + 2, 1)), lambda i: substr('<' || token || '>', i, s))))),
+                lambda g: ('0x' || substr(md5(g), 1, 8))::BIGINT % 50000))) AS bucket FROM vt),
+bk AS (SELECT bucket, [{', '.join(f'sum(gr.n * vec[{i + 1}]) / sum(gr.n)' for i in range(8))}] AS vec
+       FROM gr JOIN vv USING (token) GROUP BY bucket),
+oo AS (SELECT token, [{', '.join(f'avg(bk.vec[{i + 1}])' for i in range(8))}] AS vec
+       FROM gr JOIN bk USING (bucket) WHERE gr.n < {W2V_MIN_COUNT} GROUP BY token)"""
+
+
+@register("subword_vectors", with_ctes(_GRAMS) + """
+SELECT token, true AS known, list_transform(vec, lambda x: round(x, 6) + 0.0) AS vec FROM vv
+UNION ALL SELECT vt.token, false, coalesce(list_transform(oo.vec, lambda x: round(x, 6) + 0.0), [0.0 FOR i IN range(8)])
+FROM vt LEFT JOIN oo USING (token) WHERE vt.n < 5""")
+def subword_vectors(spark, sf):
+    """Vectors of all tokens of ``documents``: those seen five times or more from the vocabulary, the others composed from
+    50,000 buckets of character n-grams (E1, E2)."""
+    long = load(spark, sf, "documents").select(F.explode(simple_tokens("text")).alias("token"))
+    counted = cut_lineage(long.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    vocab = cut_lineage(encode.HashedTokenEncoder().encode_tokens(counted.filter(F.col("n") >= W2V_MIN_COUNT)))
+    buckets = cut_lineage(subword.train_buckets(vocab, buckets=50_000))
+    every = subword.subword_vocabulary(counted, vocab, buckets, buckets=50_000)
+    return every.select("token", "known", F.transform("vec", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vec"))
+
+
 def passage_pca(pairs, query_vecs, doc_vecs):
     """Two principal components of each query passage, applied to its own and its match's vectors.
 
