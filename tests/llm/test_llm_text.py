@@ -126,14 +126,13 @@ def test_pieces_segments_each_chunk_once(spark, docs_of, small_texts, monkeypatc
     texts = [t or "" for _, t in small_texts]
     segmenter = pieces.Segmenter(model)
     monkeypatch.setattr(pieces, "HELD", 300)
-    monkeypatch.setattr(pieces, "SHARD_BYTES", 20_000)
     monkeypatch.setattr(pieces, "LONG", 1000)
-    chunks = pieces.distinct_chunks(docs_of(small_texts).repartition(4))
-    rows = pieces.segmented(chunks, model).collect()
     distinct = {c for t in texts for c in pieces.chunks_of(t)}
-    assert sorted(r["chunk"] for r in rows) == sorted(c for c in distinct if len(c) <= 1000) and any(len(c) > 1000 for c in distinct)
-    table = pieces.store_table(pieces.segmented(chunks, model))
-    assert table.bits >= 3
+    chunks = pieces.task_chunks(docs_of(small_texts).repartition(4))
+    sent = [r["chunk"] for r in chunks.collect()]
+    assert set(sent) == {c for c in distinct if len(c) <= 1000} and any(len(c) > 1000 for c in distinct) and len(sent) > len(set(sent))
+    table = pieces.store_table(chunks, model, 6)
+    assert (table.bits, table.chunks) == (3, len(set(sent)))
     whole = list(pieces.encode_texts(texts, segmenter, None))
     seen = []
     segment = pieces.Segmenter.segment
@@ -147,12 +146,27 @@ def test_pieces_segments_each_chunk_once(spark, docs_of, small_texts, monkeypatc
 def test_pieces_with_one_hash(spark, docs_of, small_texts, monkeypatch):
     model = pieces.read_model(spark, PIECE_MODEL)
     texts = [t or "" for _, t in small_texts][-40:]
-    rows = pieces.segmented(pieces.distinct_chunks(docs_of(list(enumerate(texts)))), model).selectExpr("hash % 3 as hash", "chunk", "ids", "decoded")
-    monkeypatch.setattr(pieces.xxhash, "xxh64_intdigest", lambda raw, _h=pieces.xxhash.xxh64_intdigest: int(
-        np.fmod(np.array([_h(raw)], np.uint64).view(np.int64), 3).view(np.uint64)[0]))
+
+    class Hash:  # three values of the hash
+        @staticmethod
+        def xxh64_intdigest(raw, _sum=sum):
+            return _sum(raw) % 3 << 62
+
+    monkeypatch.setattr(pieces, "xxhash", Hash)
+    store = pieces.ChunkTable("", 2, 0)
+    blobs = {}
+    monkeypatch.setattr(pieces, "map_array", lambda base, name, kind: blobs[name])
+    distinct = sorted({c for t in texts for c in pieces.chunks_of(t) if len(c) <= pieces.LONG})
     segmenter = pieces.Segmenter(model)
-    table = pieces.store_table(rows)
-    assert list(pieces.encode_texts(texts, segmenter, table)) == list(pieces.encode_texts(texts, segmenter, None))
+    for s in range(4):
+        mine = [c for c in distinct if sum(c.encode()) % 3 == s]
+        ids, decoded = segmenter.segment(mine) if mine else ([], [])
+        columns = [[c.encode() for c in mine], [x.encode() for x in ids], [b"" if d is None else b"=" + d.encode() for d in decoded]]
+        blobs[f"hashes-{s}"] = np.full(len(mine), s << 62, np.uint64)
+        for kind, data in zip(("chunk", "ids", "decoded"), columns):
+            blobs[f"{kind}_ends-{s}"] = np.cumsum([len(d) for d in data]).astype(np.uint32)
+            blobs[f"{kind}-{s}"] = np.frombuffer(b"".join(data), np.uint8)
+    assert list(pieces.encode_texts(texts, segmenter, store)) == list(pieces.encode_texts(texts, segmenter, None))
 
 
 def test_token_counts(spark, docs_of, small_texts):

@@ -5,10 +5,12 @@ crosses from a word into the marker after it.  A text then falls into chunks
 (one or more markers and the characters up to the next marker) that are
 segmented independently, and natural text has few distinct ones:
 
-1. tasks collect the distinct chunks of their texts and Spark those of all tasks;
-2. each is segmented once, and decoded again to see whether it comes back as it was;
-3. the table is stored in the shared folder as arrays sorted by chunk hash, in shards
-   of about ``SHARD_BYTES``, which workers map into memory;
+1. tasks collect the distinct chunks of their texts and send them, once a task, to the
+   shard that a chunk's hash names;
+2. a shard segments each of its distinct chunks once, and decodes it again to see
+   whether it comes back as it was;
+3. it stores them in the shared folder as arrays sorted by hash, which workers map into
+   memory;
 4. a task looks the distinct chunks of a slice of texts up (hash, then bytes) and
    joins ids and characters back by position.
 
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 
 from vicinity.llm.arraystore import map_array, write_array
 from vicinity.llm.bytetext import slices
-from vicinity.session import checkpoint_dir, cut_lineage
+from vicinity.session import checkpoint_dir
 
 MARK = "▁"
 LONG = 4096            # characters of a chunk from which on it isn't in the table
-SHARD_BYTES = 8 << 20
+SPLITS = 2             # input partitions whose chunks share a shard
 HELD = 200_000         # distinct chunks that a task gathers before it sends them
 SLICE = 8 << 20        # bytes of text whose chunks are looked up together
 _CHUNK = re.compile(" +[^ ]*")
@@ -80,6 +82,7 @@ class ChunkTable:
 
     base: str
     bits: int
+    chunks: int
 
     def find(self, chunks: list[str]) -> Iterator[tuple[str, str, str | None] | str]:
         """``(chunk, ids as text, decoded characters or None)`` of each chunk, or the chunk alone if the table hasn't it."""
@@ -91,13 +94,13 @@ class ChunkTable:
             if lo == hi:
                 continue
             keys = np.asarray(map_array(self.base, f"hashes-{s}", "u8"))
-            ends = [np.asarray(map_array(self.base, f"{kind}_ends-{s}", "i8")) for kind in _BLOBS]
+            ends = [np.asarray(map_array(self.base, f"{kind}_ends-{s}", "u4")) for kind in _BLOBS]
             blobs = [memoryview(map_array(self.base, f"{kind}-{s}", "u1")) for kind in _BLOBS]
             mine = order[lo:hi]
             at = np.searchsorted(keys, hashes[mine])
             there = np.zeros(len(mine), bool)
             there[at < len(keys)] = keys[at[at < len(keys)]] == hashes[mine[at < len(keys)]]
-            cuts = [(np.where(at[there] > 0, e[at[there] - 1], 0).tolist(), e[at[there]].tolist()) for e in ends]
+            cuts = [(np.where(at[there] > 0, e[at[there] - 1], 0).tolist(), e[at[there]].tolist()) for e in ends]  # begin, end
             yield from (chunks[i] for i in mine[~there].tolist())
             for k, (i, *cut) in enumerate(zip(mine[there].tolist(), *cuts[0], *cuts[1], *cuts[2])):
                 if blobs[0][cut[0]:cut[1]] == raw[i]:
@@ -122,8 +125,9 @@ class ChunkTable:
 _BLOBS = ("chunk", "ids", "decoded")
 
 
-def distinct_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``chunk``: every different chunk of all texts once, but for those beyond ``LONG`` characters."""
+def task_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``chunk``: the different chunks of all texts, each once for a task (or twice, in a task with very many), but for
+    those beyond ``LONG`` characters."""
     def run(batches: Iterator[pa.RecordBatch]):
         held: set[str] = set()
 
@@ -140,51 +144,50 @@ def distinct_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield send()
         yield send()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk string").distinct()
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk string")
 
 
-def segmented(chunks: DataFrame, model: bytes) -> DataFrame:
-    """``hash, chunk, ids, decoded``: each row of ``chunks`` segmented, one library call a batch."""
-    shared = chunks.sparkSession.sparkContext.broadcast(model)
+def store_table(chunks: DataFrame, model: bytes, shards: int) -> ChunkTable:
+    """The table of the distinct rows of ``chunks``, each segmented once, in the shared folder.
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        segmenter = Segmenter(shared.value)
-        for b in batches:
-            rows = b.column("chunk").to_pylist()
-            hashes = np.array([xxhash.xxh64_intdigest(c.encode()) for c in rows], np.uint64).view(np.int64)
-            ids, decoded = segmenter.segment(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), b.column("chunk"), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                                             ["hash", "chunk", "ids", "decoded"])
-
-    return chunks.mapInArrow(run, "hash long, chunk string, ids string, decoded string")
-
-
-def store_table(rows: DataFrame) -> ChunkTable:
-    """The rows of :func:`segmented` as sorted arrays in the shared folder; as many shards as their bytes need."""
-    rows = cut_lineage(rows)
-    size = rows.agg(F.sum(F.octet_length("chunk") + F.octet_length("ids") + 32)).first()[0] or 0
-    bits = max(0, -(-size // SHARD_BYTES) - 1).bit_length()
-    base = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    ``shards`` is rounded up to a power of two.  A shard lists its chunks by hash, with places in one string of all chunks,
+    one of all ids and one of what is decoded otherwise.
+    """
+    spark = chunks.sparkSession
+    bits = max(0, shards - 1).bit_length()
+    base = f"{checkpoint_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    shared = spark.sparkContext.broadcast(model)
 
     def store(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys = table.column("hash").to_numpy().view(np.uint64)
+        shard, distinct = table.column("shard")[0].as_py(), table.column("chunk").unique().to_pylist()
+        keys = np.array([xxhash.xxh64_intdigest(c.encode()) for c in distinct], np.uint64)
         order = np.argsort(keys, kind="stable")
+        distinct = [distinct[i] for i in order]
+        segmenter = Segmenter(shared.value)
+        columns: list[list[bytes]] = [[], [], []]
+        for at in range(0, len(distinct), 10_000):
+            some = distinct[at:at + 10_000]
+            ids, decoded = segmenter.segment(some)
+            columns[0] += [c.encode() for c in some]
+            columns[1] += [x.encode() for x in ids]
+            columns[2] += [b"" if d is None else b"=" + d.encode() for d in decoded]
         write_array(base, f"hashes-{shard}", keys[order])
-        columns = [table.column(c).to_pylist() for c in _BLOBS]
-        columns[2] = [None if d is None else "=" + d for d in columns[2]]
-        for kind, values in zip(_BLOBS, columns):
-            data = [(values[i] or "").encode() for i in order]
-            write_array(base, f"{kind}_ends-{shard}", np.cumsum([len(d) for d in data], dtype=np.int64))
+        for kind, data in zip(_BLOBS, columns):
+            write_array(base, f"{kind}_ends-{shard}", np.cumsum([len(d) for d in data], dtype=np.int64).astype(np.uint32))
             write_array(base, f"{kind}-{shard}", np.frombuffer(b"".join(data), np.uint8))
-        return pa.table({"shard": pa.array([shard], pa.int32())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(distinct)], pa.int64())})
+
+    def deal(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            keys = np.array([xxhash.xxh64_intdigest(c.encode()) for c in b.column("chunk").to_pylist()], np.uint64)
+            shard = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("chunk")], ["shard", "chunk"])
 
-    number = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
-    written = {r[0] for r in rows.withColumn("shard", number).groupBy("shard").applyInArrow(store, "shard int").collect()}  # a row per shard
-    for shard in set(range(1 << bits)) - written:
-        for name, kind in (("hashes", "u8"), *((f"{b}_ends", "i8") for b in _BLOBS), *((b, "u1") for b in _BLOBS)):
+    rows = chunks.mapInArrow(deal, "shard int, chunk string").groupBy("shard").applyInArrow(store, "shard int, n long").collect()  # a row per shard
+    for shard in set(range(1 << bits)) - {r["shard"] for r in rows}:
+        for name, kind in (("hashes", "u8"), *((f"{b}_ends", "u4") for b in _BLOBS), *((b, "u1") for b in _BLOBS)):
             write_array(base, f"{name}-{shard}", np.zeros(0, kind))
-    return ChunkTable(base, bits)
+    return ChunkTable(base, bits, sum(r["n"] for r in rows))
 
 
 def encode_texts(texts: list[str], segmenter: Segmenter, table: ChunkTable | None) -> Iterator[tuple[str, str]]:
@@ -244,7 +247,9 @@ def encode_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_c
 
 def _map(docs, model, id_col, text_col, add_end, digest):
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    table = store_table(segmented(distinct_chunks(docs, text_col), model)) if Segmenter(model).by_chunk else None
+    table = None
+    if Segmenter(model).by_chunk:
+        table = store_table(task_chunks(docs, text_col), model, max(1, docs.rdd.getNumPartitions() // SPLITS))
 
     def run(batches: Iterator[pa.RecordBatch]):
         segmenter = Segmenter(shared.value)
