@@ -47,6 +47,7 @@ def bench_queries():
         "knn_x100": _replicated_knn(100),
         "maxsim_hashed": QUERIES["maxsim_hashed"],
         "ivf_recall": QUERIES["kmeans_index_recall"],
+        "token_index": QUERIES["token_index_recall"],
         "mlknn_metrics": QUERIES["mlc_metrics_at_k"],
         "nway_tuples": QUERIES["nway_tuples"],
         "vote_metrics": QUERIES["multiclass_metrics"],

@@ -39,6 +39,7 @@ from vicinity.session import cut_lineage
 BITS = (1, 2, 4, 8)
 BANDS = 64                  # partitions of the inverted lists
 TRAIN_SIZE = 1 << 18        # token vectors that the centroids are trained on, at most about
+PER_CELL = 39               # training vectors that a cell has at least, on average
 CODEC_SIZE = 1 << 15        # token vectors that the codec is trained on, at most about
 SHARD_TOKENS = 1 << 22      # tokens of a shard of passages
 _ROWS = 1 << 12             # candidates or query vectors of a block, where neither side is broadcast
@@ -161,11 +162,11 @@ def train_model(vectors: DataFrame, n: int, cells: int | None = None, nbits: int
     """``(centroids, cut points, bucket means)`` of ``n`` token vectors; centroids are trained unless given.
 
     k-means sees about ``train_size`` vectors and the codec about ``CODEC_SIZE``, both chosen by hash; without a number
-    of cells it is the largest power of two up to 16 * sqrt(n), and at most a quarter of the training vectors.
+    of cells it is the largest power of two up to 16 * sqrt(n) that leaves each ``PER_CELL`` training vectors.
     """
     from vicinity.operators import ivf
     if centroids is None:
-        most = max(1, min(n, train_size) // 4)
+        most = max(1, min(n, train_size) // PER_CELL)
         cells = cells or min(ivf.auto_num_cells(n), 1 << (most.bit_length() - 1))
         centroids = ivf.train_centroids(_sampled(vectors, n, train_size, seed).select("vec"), cells, iterations, seed)
     centroids = cut_lineage(centroids.select(F.col("cell").cast("int").alias("cell"),
