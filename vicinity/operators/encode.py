@@ -11,6 +11,7 @@ Vectors live in long tables: ``(pid, pos, vec)`` for multi-vector passages and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -194,6 +195,18 @@ def sequence_tokens(df: DataFrame, marker: str, id_col: str = "pid", text: str =
     return df.select(id_col, F.posexplode(seq).alias("pos", "token"))
 
 
+_MODELS: dict[str, Callable] = {}  # of this worker process, by encoder
+
+
+def _model(key: str, factory: Callable[[], Callable]) -> Callable:
+    """The worker's instance of an encoder's model; at most two encoders' are kept."""
+    if key not in _MODELS:
+        while len(_MODELS) >= 2:
+            del _MODELS[next(iter(_MODELS))]
+        _MODELS[key] = factory()
+    return _MODELS[key]
+
+
 class ArrowBatchEncoder:
     """User model hook (E3 / E4 / E5): ``fn(list[str]) -> list[np.ndarray]`` per Arrow batch.
 
@@ -202,18 +215,31 @@ class ArrowBatchEncoder:
     ``fn`` gets at most ``texts_per_call`` texts, and an output batch holds
     about ``MAX_VECTORS`` vectors (or those of one text, if it has more).  The
     id column keeps its type.
+
+    Instead of ``fn``, ``factory`` may be given: it is called once in a worker
+    process and what it returns serves all tasks of that worker, so a model is
+    loaded once and not pickled into tasks.  ``window`` calls' worth of texts
+    are sorted by length before they are dealt to calls, so texts of a call are
+    of like length; rows come out in their order.
     """
 
     MAX_VECTORS = 16_384
 
-    def __init__(self, fn: Callable[[list[str]], list[np.ndarray]], multi_vector: bool = True,
-                 texts_per_call: int = 512):
-        self.fn = fn
+    def __init__(self, fn: Callable[[list[str]], list[np.ndarray]] | None = None, multi_vector: bool = True,
+                 texts_per_call: int = 512, factory: Callable[[], Callable] | None = None, window: int = 1):
+        if (fn is None) == (factory is None):
+            raise ValueError("give a function or a factory of one")
+        if texts_per_call < 1 or window < 1:
+            raise ValueError("texts_per_call and window must be positive")
+        self.factory = factory or (lambda: fn)
+        self.key = uuid.uuid4().hex
         self.multi_vector = multi_vector
         self.texts_per_call = texts_per_call
+        self.window = window
 
     def encode(self, df: DataFrame, id_col: str = "pid", text: str = "text") -> DataFrame:
-        fn, multi, step, most = self.fn, self.multi_vector, self.texts_per_call, self.MAX_VECTORS
+        key, factory, multi, step, most = self.key, self.factory, self.multi_vector, self.texts_per_call, self.MAX_VECTORS
+        window = step * self.window
         id_type = df.schema[id_col].dataType.simpleString()
         schema = f"{id_col} {id_type}, " + ("pos int, vec array<double>" if multi else "vec array<double>")
 
@@ -222,11 +248,21 @@ class ArrowBatchEncoder:
             return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(dim)),
                                             pa.array(vectors.reshape(-1)))
 
+        def encoded(texts: list) -> list[np.ndarray]:
+            fn = _model(key, factory)
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
+            outs: list = [None] * len(texts)
+            for at in range(0, len(order), step):
+                call = order[at:at + step]
+                for i, m in zip(call, fn([texts[i] for i in call]), strict=True):
+                    outs[i] = np.asarray(m, dtype=np.float64)
+            return outs
+
         def run(batches):
             for b in batches:
-                for at in range(0, b.num_rows, step):
-                    ids, part = b.column(id_col).slice(at, step), b.column(text).slice(at, step)
-                    outs = [np.asarray(m, dtype=np.float64) for m in fn(part.to_pylist())]
+                for at in range(0, b.num_rows, window):
+                    ids, part = b.column(id_col).slice(at, window), b.column(text).slice(at, window)
+                    outs = encoded(part.to_pylist())
                     if not multi:
                         yield pa.RecordBatch.from_arrays([ids, lists(np.stack(outs))], [id_col, "vec"])
                         continue

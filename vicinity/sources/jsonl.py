@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vicinity.session import cut_lineage
+
 CORPUS_SCHEMA = "uid string, title string, content string, target_ind array<int>"
 LATIN1 = "ISO-8859-1"
 
@@ -20,9 +22,10 @@ def read_jsonl_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(pid, uid, title, text, labels)``; ``pid`` is the line number over the files in name order.
 
     An explicit schema (no inference pass) and ``lineSep`` are required for non-UTF-8 JSON in Spark.  Lines are
-    numbered within each split by the scan and shifted by the sizes of the splits before (one row per split).
+    numbered within each split by the scan and shifted by the sizes of the splits before (one row per split).  The
+    numbered scan is stored, so counting and shifting see the same splits.
     """
-    df = (spark.read.schema(CORPUS_SCHEMA).option("encoding", LATIN1).option("lineSep", "\n").json(path)
+    df = cut_lineage(spark.read.schema(CORPUS_SCHEMA).option("encoding", LATIN1).option("lineSep", "\n").json(path)
           .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
                   F.monotonically_increasing_id().alias("_n")))
     splits = df.groupBy("_file", "_at").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_size"))
