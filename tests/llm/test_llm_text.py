@@ -128,10 +128,12 @@ def test_pieces_segments_each_chunk_once(spark, docs_of, small_texts, monkeypatc
     monkeypatch.setattr(pieces, "HELD", 300)
     monkeypatch.setattr(pieces, "LONG", 1000)
     distinct = {c for t in texts for c in pieces.chunks_of(t)}
-    chunks = pieces.task_chunks(docs_of(small_texts).repartition(4))
+    chunks = pieces.task_chunks(docs_of(small_texts).repartition(4), 3)
     sent = [r["chunk"] for r in chunks.collect()]
+    once = [r["chunk"] for r in pieces.task_chunks(docs_of(small_texts).coalesce(1), 3).collect()]
+    assert sorted(once) == sorted(set(sent))
     assert set(sent) == {c for c in distinct if len(c) <= 1000} and any(len(c) > 1000 for c in distinct) and len(sent) > len(set(sent))
-    table = pieces.store_table(chunks, model, 6)
+    table = pieces.store_table(chunks, model, 3)
     assert (table.bits, table.chunks) == (3, len(set(sent)))
     whole = list(pieces.encode_texts(texts, segmenter, None))
     seen = []

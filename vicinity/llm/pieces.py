@@ -40,7 +40,6 @@ from vicinity.session import checkpoint_dir
 
 MARK = "▁"
 LONG = 4096            # characters of a chunk from which on it isn't in the table
-SPLITS = 2             # input partitions whose chunks share a shard
 HELD = 200_000         # distinct chunks that a task gathers before it sends them
 SLICE = 8 << 20        # bytes of text whose chunks are looked up together
 _CHUNK = re.compile(" +[^ ]*")
@@ -125,16 +124,31 @@ class ChunkTable:
 _BLOBS = ("chunk", "ids", "decoded")
 
 
-def task_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``chunk``: the different chunks of all texts, each once for a task (or twice, in a task with very many), but for
-    those beyond ``LONG`` characters."""
+def hashes_of(chunks: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(c.encode()) for c in chunks], np.uint64)
+
+
+def task_chunks(docs: DataFrame, bits: int, text_col: str = "text") -> DataFrame:
+    """``shard, chunk``: the different chunks of all texts, each once for a task, but for those beyond ``LONG`` characters.
+
+    A task gathers ``HELD`` chunks before it sends them and then remembers their hashes alone.  A chunk whose hash another
+    one has is not sent; the table lacks it, and it is segmented where it stands.
+    """
     def run(batches: Iterator[pa.RecordBatch]):
         held: set[str] = set()
+        sent = np.zeros(0, np.uint64)
 
         def send():
-            rows = [c for c in held if len(c) <= LONG]
+            nonlocal sent
+            rows = np.array([c for c in held if len(c) <= LONG], object)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["chunk"])
+            keys = hashes_of(rows)
+            at = np.searchsorted(sent, keys)
+            new = np.ones(len(keys), bool)
+            new[at < len(sent)] = sent[at[at < len(sent)]] != keys[at < len(sent)]
+            sent = np.union1d(sent, keys)
+            shard = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(shard[new]), pa.array(rows[new], pa.string())], ["shard", "chunk"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -144,23 +158,22 @@ def task_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield send()
         yield send()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk string")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shard int, chunk string")
 
 
-def store_table(chunks: DataFrame, model: bytes, shards: int) -> ChunkTable:
-    """The table of the distinct rows of ``chunks``, each segmented once, in the shared folder.
+def store_table(chunks: DataFrame, model: bytes, bits: int) -> ChunkTable:
+    """The table of the distinct rows of ``chunks`` (:func:`task_chunks`), each segmented once, in the shared folder.
 
-    ``shards`` is rounded up to a power of two.  A shard lists its chunks by hash, with places in one string of all chunks,
+    A shard lists its chunks by hash, with places in one string of all chunks,
     one of all ids and one of what is decoded otherwise.
     """
     spark = chunks.sparkSession
-    bits = max(0, shards - 1).bit_length()
     base = f"{checkpoint_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
     shared = spark.sparkContext.broadcast(model)
 
     def store(table: pa.Table) -> pa.Table:
         shard, distinct = table.column("shard")[0].as_py(), table.column("chunk").unique().to_pylist()
-        keys = np.array([xxhash.xxh64_intdigest(c.encode()) for c in distinct], np.uint64)
+        keys = hashes_of(distinct)
         order = np.argsort(keys, kind="stable")
         distinct = [distinct[i] for i in order]
         segmenter = Segmenter(shared.value)
@@ -177,13 +190,7 @@ def store_table(chunks: DataFrame, model: bytes, shards: int) -> ChunkTable:
             write_array(base, f"{kind}-{shard}", np.frombuffer(b"".join(data), np.uint8))
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(distinct)], pa.int64())})
 
-    def deal(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            keys = np.array([xxhash.xxh64_intdigest(c.encode()) for c in b.column("chunk").to_pylist()], np.uint64)
-            shard = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("chunk")], ["shard", "chunk"])
-
-    rows = chunks.mapInArrow(deal, "shard int, chunk string").groupBy("shard").applyInArrow(store, "shard int, n long").collect()  # a row per shard
+    rows = chunks.groupBy("shard").applyInArrow(store, "shard int, n long").collect()  # a row per shard
     for shard in set(range(1 << bits)) - {r["shard"] for r in rows}:
         for name, kind in (("hashes", "u8"), *((f"{b}_ends", "u4") for b in _BLOBS), *((b, "u1") for b in _BLOBS)):
             write_array(base, f"{name}-{shard}", np.zeros(0, kind))
@@ -249,7 +256,8 @@ def _map(docs, model, id_col, text_col, add_end, digest):
     shared = docs.sparkSession.sparkContext.broadcast(model)
     table = None
     if Segmenter(model).by_chunk:
-        table = store_table(task_chunks(docs, text_col), model, max(1, docs.rdd.getNumPartitions() // SPLITS))
+        bits = max(0, docs.rdd.getNumPartitions() - 1).bit_length()  # a shard gets about what one task sends
+        table = store_table(task_chunks(docs, bits, text_col), model, bits)
 
     def run(batches: Iterator[pa.RecordBatch]):
         segmenter = Segmenter(shared.value)
