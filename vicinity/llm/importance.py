@@ -52,7 +52,7 @@ def log_weights(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in bt.slices(batch, "text"):
+            for part in bt.slices(batch, "text", ngrams.SLICE):
                 sums, words = ngrams.score_texts(part.column("text"), shared.value[None])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(words, pa.int64()), pa.array(sums[:, 0]),
@@ -213,7 +213,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, seed: int = 42, temperatur
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in bt.slices(batch, "text"):
+            for part in bt.slices(batch, "text", ngrams.SLICE):
                 sums, words = ngrams.score_texts(part.column("text"), shared.value[None])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_row"), part.column("doc_id"), pa.array(sums[:, 0] / np.maximum(words, 1))],

@@ -14,6 +14,7 @@ from vicinity.llm import bytetext as bt
 WORD_BUCKETS = 1 << 15
 SHAPE_BUCKETS = 1 << 12
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
+SLICE = 1 << 20  # bytes of text whose n-grams are held together: some 40 arrays of a number a word
 _PIECE = 64  # buckets that a task sends in one row
 
 _KIND = np.full(256, 4, np.int8)  # 0 capital, 1 small, 2 digit, 3 beyond ASCII, 4 other, 5 .,;: 6 !?
@@ -71,7 +72,7 @@ def bucket_counts(docs: DataFrame, classes: int, text_col: str = "text", class_c
     def run(batches: Iterator[pa.RecordBatch]):
         total = np.zeros((classes, BUCKETS), np.int64)
         for batch in batches:
-            for part in bt.slices(batch, "text"):
+            for part in bt.slices(batch, "text", SLICE):
                 first, found = streams(part.column("text"))
                 cls = part.column("cls").fill_null(-1).to_numpy(zero_copy_only=False)
                 per_word = np.repeat(cls, np.diff(first))
