@@ -64,5 +64,5 @@ def test_configs_are_checked():
     with pytest.raises(ValueError):
         IndexConfig(metric="cosine")
     with pytest.raises(ValueError):
-        ClassificationPipeline("bert")
+        ClassificationPipeline("elmo")
     assert ivf.parse_layout("IVF64,Flat") == 64 and ivf.parse_layout("IVF,Flat") == 0 and ivf.parse_layout("Flat") is None

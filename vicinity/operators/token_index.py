@@ -532,7 +532,8 @@ def search_token_index(index: TokenIndex, query_vecs: DataFrame, k: int, ncells:
                                        (index.first_cell, index.band_width)))
     candidates = index.passages.select("pid", "cells").join(pairs, "pid").select("qid", "pid", "cells")
     kept = small_side(pruned_pairs(query_vecs, candidates, fetched, threshold, ndocs, skip_stage3).withColumn("part", _part(index.parts)))
-    rows = index.passages.select("part", "pid", "cells", "codes").join(kept, ["part", "pid"]).select("qid", "pid", "cells", "codes")
+    shards = [r[0] for r in kept.select("part").distinct().collect()]  # a row per shard at most: codes of the others are not read
+    rows = index.passages.select("part", "pid", "cells", "codes").filter(F.col("part").isin(shards)).join(kept, ["part", "pid"]).select("qid", "pid", "cells", "codes")
     shared = query_vecs.sparkSession.sparkContext.broadcast((*fetched, decode_table(index.means, index.nbits)))
 
     def kernel(rows_: pa.RecordBatch, vectors: np.ndarray):
