@@ -10,9 +10,13 @@ group by the md5 order without sorting any whole group in one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vicinity.functions.hashing import uniform
 from vicinity.operators.similarity import small_side
@@ -46,6 +50,44 @@ def non_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(F.length(F.col(text)) > 0)
 
 
+# --------------------------------------------------------------------------- P16
+
+def map_rows(df: DataFrame, fn: Callable, added: str, columns: list[str] | None = None, remove: list[str] | tuple = (),
+             batched: bool = False, index_by: str | None = None, **options) -> DataFrame:
+    """Columns computed by a Python function, in Arrow batches (P16): ``df`` without ``remove`` and with ``added`` (DDL).
+
+    ``fn`` gets the values of ``columns`` (all, unless given) in order and ``options`` by name, and returns a dictionary with
+    the added columns; with ``batched`` it gets and returns a list a column.  ``index_by`` names a unique column: the row's
+    place in its order, from 0, is then the last positional argument (numbered by ranges, not in one task).  An added
+    column replaces one of its name.  Prefer column expressions where they can say it.
+    """
+    new = T.StructType.fromDDL(added)
+    absent = [c for c in [*(columns or []), *remove, *([index_by] if index_by else [])] if c not in df.columns]
+    if absent:
+        raise ValueError(f"no columns {absent}; available {df.columns}")
+    names = list(columns or df.columns)
+    kept = [c for c in df.columns if c not in remove and c not in new.names]
+    src = df.select(*dict.fromkeys([*kept, *names, *([index_by] if index_by else [])]))
+    if index_by:
+        from vicinity.operators.sampling import running_total
+        src = running_total(src, [index_by], F.lit(1), "_index")
+        names.append("_index")
+    kinds = {f.name: to_arrow_type(f.dataType) for f in new}
+
+    def run(batches):
+        for b in batches:
+            values = [b.column(c).to_pylist() for c in names]
+            if batched:
+                out = fn(*values, **options)
+            else:
+                rows = [fn(*row, **options) for row in zip(*values)]
+                out = {c: [r[c] for r in rows] for c in kinds}
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(out[c], k) for c, k in kinds.items())],
+                                             [*kept, *kinds])
+
+    return src.mapInArrow(run, T.StructType([*(src.schema[c] for c in kept), *new]))
+
+
 # --------------------------------------------------------------------------- P4 / P5 / P6
 
 def explode_labels(df: DataFrame, labels: str = "labels", id_col: str = "pid") -> DataFrame:

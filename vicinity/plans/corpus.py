@@ -230,3 +230,16 @@ def subsample_passages(spark, sf):
     """Multi-vector subsample: passage ids are sampled, all their vectors kept (semi join)."""
     mv = fx.multi_vectors(spark, sf).select("pid", "pos")
     return cp.subsample_passages(mv, SUBSAMPLE_FRACTION, SPLIT_SEED)
+
+
+def _lengths(texts, places, limit):
+    return {"position": places, "n_text": [len(t) for t in texts], "short": [len(t) < limit for t in texts]}
+
+
+@register("row_map", """
+SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS position, length(text) AS n_text, length(text) < 500 AS short
+FROM documents""")
+def row_map(spark, sf):
+    """A user's function over batches of rows with an option and the row's index, columns added and removed."""
+    return cp.map_rows(load(spark, sf, "documents").select("doc_id", "lang", "source", "text"), _lengths,
+                       "position long, n_text long, short boolean", ["text"], ["text"], batched=True, index_by="doc_id", limit=500)
