@@ -95,3 +95,43 @@ def test_maxsim_matches_brute_force(spark, broadcast):
                                 "pid long, pos int, vec array<double>")
     got = _rows(maxsim_join(qdf, ddf, 5, block_vectors=16, broadcast=broadcast))
     assert got == _maxsim_brute(qv, dv, 5)
+
+
+def test_kernel_memory_is_bounded():
+    """Scores are held a tile at a time: four times the candidates take no more memory."""
+    import tracemalloc
+    from vicinity.operators.similarity import knn_block
+    Q, peaks = _rand(512, 4, 8), []
+    for n in (50_000, 200_000):
+        C, pids = _rand(n, 4, 9), np.arange(n)
+        tracemalloc.start()
+        found = knn_block(np.arange(512), Q, pids, C, 10, True)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found.num_rows == 5120
+    assert peaks[1] < 1.2 * peaks[0] < 60e6  # one matrix of 512 x 50,000 scores has 205 MB
+
+
+def test_running_topk_keeps_ties_over_tiles(monkeypatch):
+    """Tiles of a few rows and candidates give what one matrix gives, with equal scores and null-free ids in any order."""
+    from vicinity.operators import similarity
+    monkeypatch.setattr(similarity, "TILE_ROWS", 7)
+    monkeypatch.setattr(similarity, "TILE_CELLS", 1)
+    rng = np.random.default_rng(3)
+    Q, C = np.round(_rand(40, 3, 1)), np.round(_rand(700, 3, 2))
+    pids = rng.permutation(700)
+    for l2, name in ((False, "inner_product"), (True, "l2_distance")):
+        t = similarity.knn_block(np.arange(40), Q, pids, C, 9, l2).to_pylist()
+        assert {tuple(r.values()) for r in t} == _brute(Q, C, range(40), pids, 9, name)
+
+
+@pytest.mark.parametrize("long", [3, 256])
+def test_long_passages_in_pieces(monkeypatch, long):
+    from vicinity.operators import similarity
+    monkeypatch.setattr(similarity, "LONG", long)
+    rng = np.random.default_rng(4)
+    ql, dl = rng.integers(1, 6, 20), rng.integers(1, 40, 30)
+    Q, D = _rand(ql.sum(), 5, 5), _rand(dl.sum(), 5, 6)
+    qs, ds = np.cumsum(ql) - ql, np.cumsum(dl) - dl
+    want = np.add.reduceat(np.maximum.reduceat(Q @ D.T, ds, axis=1), qs, axis=0)
+    assert np.allclose(similarity.maxsim_scores(Q, qs, D, ds), want)
