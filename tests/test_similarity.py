@@ -135,3 +135,19 @@ def test_long_passages_in_pieces(monkeypatch, long):
     qs, ds = np.cumsum(ql) - ql, np.cumsum(dl) - dl
     want = np.add.reduceat(np.maximum.reduceat(Q @ D.T, ds, axis=1), qs, axis=0)
     assert np.allclose(similarity.maxsim_scores(Q, qs, D, ds), want)
+
+
+def test_tokens_are_encoded_where_they_are_scored(spark):
+    """Packed passages given as tokens: the same matches as from their vectors, and no vectors between two Python steps."""
+    from pyspark.sql import functions as F
+    from vicinity.operators import encode
+    docs = spark.createDataFrame([(i, None if i == 3 else f"word{chr(97 + i % 7)} other{chr(97 + i % 5)} third") for i in range(30)], "pid long, text string")
+    enc = encode.HashedTokenEncoder()
+    q = enc.encode_queries(docs.filter("pid < 4").withColumnRenamed("pid", "qid")).select("qid", "qpos", "vec")
+    want = _rows(maxsim_join(q, None, 5, packed_docs=enc.encode_packed(docs, distinct=True)))
+    for broadcast in (None, False):
+        found = maxsim_join(q, None, 5, packed_docs=encode.token_lists(docs, distinct=True), encode=encode.hashed_vectors_batch, broadcast=broadcast)
+        assert _rows(found) == want and len(want) == 15
+        if broadcast is None:
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("MapInArrow") == 1

@@ -38,6 +38,12 @@ def token_table(df: DataFrame, id_col: str = "pid", text: str = "text", tokens:
     return df.select(id_col, F.posexplode(toks).alias("pos", "token"))
 
 
+def token_lists(df: DataFrame, id_col: str = "pid", text: str = "text", distinct: bool = False) -> DataFrame:
+    """``(pid, tokens)``, a row per passage; ``distinct`` as in :func:`token_table`."""
+    toks = simple_tokens(text)
+    return df.select(F.col(id_col).cast("long").alias("pid"), (F.array_distinct(toks) if distinct else toks).alias("tokens"))
+
+
 class HashedTokenEncoder:
     """Multi-vector encoder: one L2-normalised hashed vector per token."""
 
@@ -59,11 +65,7 @@ class HashedTokenEncoder:
         expression, checked equal in the tests), so nothing is exploded or
         regrouped.
         """
-        toks = simple_tokens(text)
-        if distinct:
-            toks = F.array_distinct(toks)
-        t = df.select(F.col(id_col).cast("long").alias("pid"), toks.alias("tokens"))
-        return self.encode_token_lists(t).withColumnRenamed("pid", id_col)
+        return self.encode_token_lists(token_lists(df, id_col, text, distinct)).withColumnRenamed("pid", id_col)
 
     def encode_token_lists(self, df: DataFrame) -> DataFrame:
         """``(pid, tokens)`` -> ``(pid, vecs)``, a vector per token; each distinct token of a slice is hashed once."""
@@ -94,9 +96,8 @@ def hashed_vector_np(tokens) -> np.ndarray:
 def hashed_vectors_batch(b: pa.RecordBatch) -> pa.RecordBatch:
     """``(pid, tokens)`` batch -> ``(pid, vecs)``: each distinct token of the batch hashed once."""
     tok = b.column("tokens")
-    flat = tok.flatten().to_pylist()
-    uniq, inv = np.unique(np.array(flat, dtype=object), return_inverse=True) if flat else (np.array([]), np.array([], int))
-    vecs = hashed_vector_np(list(uniq))[inv] if len(flat) else np.zeros((0, HASHED_DIM))
+    flat = tok.flatten().dictionary_encode()
+    vecs = hashed_vector_np(flat.dictionary.to_pylist())[flat.indices.to_numpy()] if len(flat) else np.zeros((0, HASHED_DIM))
     inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) * HASHED_DIM + 1, HASHED_DIM, dtype=np.int32)),
                                      pa.array(vecs.reshape(-1), pa.float64()))
     offsets = tok.offsets

@@ -489,7 +489,8 @@ def inline_query_search(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "text")
     enc = encode.HashedTokenEncoder()
     q = enc.encode_queries(tables.inline_texts(spark, INLINE).withColumnRenamed("pid", "qid"), "qid")
-    return maxsim_join(q.select("qid", "qpos", "vec"), None, K, packed_docs=enc.encode_packed(docs, distinct=True))
+    return maxsim_join(q.select("qid", "qpos", "vec"), None, K, packed_docs=encode.token_lists(docs, distinct=True),
+                       encode=encode.hashed_vectors_batch)
 
 
 @register("marker_vector", with_ctes(f"""

@@ -156,8 +156,8 @@ def maxsim_hashed(spark, sf):
     Document tokens are de-duplicated inside each row first (the max over a
     set does not change), query tokens keep their multiplicity.
     """
-    docs = encode.HashedTokenEncoder().encode_packed(_docs(spark, sf), distinct=True)
-    return maxsim_join(_bench_query_vectors(spark, sf), None, K, packed_docs=docs)
+    docs = encode.token_lists(_docs(spark, sf), distinct=True)
+    return maxsim_join(_bench_query_vectors(spark, sf), None, K, packed_docs=docs, encode=encode.hashed_vectors_batch)
 
 
 # --------------------------------------------------------------------------- U6 sbert: E5 + J1 + C1, M18, P14
@@ -217,7 +217,7 @@ def skiplist_maxsim(spark, sf):
     # tokens are dropped before any vector is made; what is left is encoded packed
     kept = (encode.token_table(_docs(spark, sf)).join(small_side(skip), "token", "left_anti")
             .groupBy("pid").agg(F.collect_set("token").alias("tokens")))
-    return maxsim_join(_bench_query_vectors(spark, sf), None, K, packed_docs=encode.HashedTokenEncoder().encode_token_lists(kept))
+    return maxsim_join(_bench_query_vectors(spark, sf), None, K, packed_docs=kept, encode=encode.hashed_vectors_batch)
 
 
 # --------------------------------------------------------------------------- U1 / E3 / E4 model hook
