@@ -151,3 +151,15 @@ def test_tokens_are_encoded_where_they_are_scored(spark):
         if broadcast is None:
             plan = found._jdf.queryExecution().optimizedPlan().toString()
             assert plan.count("MapInArrow") == 1
+
+
+def test_best_vectors_of_pairs(spark):
+    """A row per pair between the two sides; ties of the best vector are kept."""
+    from vicinity.operators.similarity import best_vectors
+    qv = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [1.0, 1.0])], "qid long, qpos int, vec array<double>")
+    dv = spark.createDataFrame([(7, 0, [1.0, 0.0]), (7, 1, [1.0, 0.0000000001]), (7, 2, [0.0, 0.5]), (8, 4, [2.0, 0.0]), (9, 0, None)], "pid long, pos int, vec array<double>")
+    pairs = spark.createDataFrame([(1, 7), (2, 8), (2, 7)], "qid long, pid long")
+    found = best_vectors(pairs, qv, dv)
+    assert {tuple(r) for r in found.collect()} == {(1, 7, 0, 0, 1.0), (1, 7, 0, 1, 1.0), (1, 7, 1, 2, 0.5), (2, 8, 0, 4, 2.0),
+                                                   (2, 7, 0, 0, 1.0), (2, 7, 0, 1, 1.0)}
+    assert "zip_with" not in str(found._jdf.queryExecution().optimizedPlan())  # no row per pair of vectors
