@@ -178,3 +178,24 @@ def test_pipeline_on_a_stored_index(spark):
     got = model.train_index(docs).predict(docs.select(F.col("pid"), "text")).collect()
     assert {r["qid"]: r["pred"] for r in got} == {i: i % 2 for i in range(12)}
     assert model.explain_prediction(docs.filter("pid < 2")).select("qid").distinct().count() == 2
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+@pytest.mark.parametrize("options", [dict(ncells=2, threshold=0.1, ndocs=6), dict(ncells=3, threshold=0.1, ndocs=40, exclude_self=True),
+                                     dict(ncells=8, threshold=0.0, ndocs=9, skip_stage3=True), dict(ncells=8, threshold=0.0, ndocs=200)])
+def test_blocks_equal_pairs(index, queries, monkeypatch, options, blocks):
+    """Where most pairs are candidates no row is made for a candidate; the matches are those of the pairs."""
+    monkeypatch.setattr(ti, "passage_blocks", lambda n: blocks)
+    monkeypatch.setattr(ti, "BLOCK_SHARE", 1e9)
+    want = _rows(ti.search_token_index(index, queries, 4, **options))
+    for share in (0.0, 0.3):
+        monkeypatch.setattr(ti, "BLOCK_SHARE", share)
+        monkeypatch.setattr(ti, "pruned_pairs", None)
+        if share == 0.3:
+            monkeypatch.setattr(ti, "mostly_candidates", lambda *a: True)
+        assert _rows(ti.search_token_index(index, queries, 4, **options)) == want and want
+
+
+def test_sets_of_cells():
+    of, cells, at = ti._cell_sets(np.array([3, 1, 3, 2, 1, 3, 2, 2]), np.array([3, 1, 2, 2]))
+    assert of.tolist() == [0, 1, 0, 1] and cells.tolist() == [1, 3, 2] and at.tolist() == [0, 2]

@@ -465,8 +465,8 @@ def plaid_search(query_vecs: DataFrame, doc_vecs: DataFrame, doc_cells: DataFram
     4. exact MaxSim on the candidates' vectors -> top k.
     ``query_vecs(qid, qpos, vec)``, ``doc_vecs(pid, pos, vec)``, ``doc_cells(pid, pos, cell)``.
 
-    Stages 2 and 3 run in the kernel of :mod:`vicinity.operators.token_index` on one row per (query, passage) with the
-    passage's cells as a list.  Centroids beyond the broadcast limit are joined, per (query, passage, cell), instead.
+    Stages 2 and 3 run in the kernels of :mod:`vicinity.operators.token_index`: on one row per (query, passage) with the
+    passage's cells as a list or, where most pairs are candidates, on blocks of queries and of passages.  Centroids beyond the broadcast limit are joined, per (query, passage, cell), instead.
     """
     from vicinity.operators import token_index
     d_nc, d_th, d_nd = probe_defaults(k)
@@ -474,14 +474,20 @@ def plaid_search(query_vecs: DataFrame, doc_vecs: DataFrame, doc_cells: DataFram
     threshold = d_th if threshold is None else threshold
     ndocs = d_nd if ndocs is None else ndocs
     lists = cut_lineage(doc_cells.select("cell", "pid").distinct())  # read by the candidates and by the passages' cells
-    pairs = token_index.candidate_pairs(query_vecs, lists, centroids, ncells, exclude_self)
+    probes = token_index.probed_cells(query_vecs, centroids, ncells)
     fetched = token_index._fetch_centroids(centroids)
     if fetched is None:
+        pairs = token_index.candidate_pairs(query_vecs, lists, centroids, ncells, exclude_self, probes=probes)
         kept = _joined_stages(query_vecs, cut_lineage(pairs), lists, centroids, threshold, ndocs, skip_stage3)
     else:
         packed = lists.groupBy("pid").agg(F.collect_list("cell").alias("cells"))  # bounded by a passage's length
-        kept = token_index.pruned_pairs(query_vecs, packed.join(small_side(pairs), "pid").select("qid", "pid", "cells"),
-                                        fetched, threshold, ndocs, skip_stage3)
+        sizes = lists.agg(F.countDistinct("pid"), F.count(F.lit(1))).first()
+        if token_index.mostly_candidates(probes, lists, sizes[0]):
+            kept = token_index.search_blocks(query_vecs, packed, sizes[0], sizes[1], fetched, ncells, threshold, ndocs, skip_stage3, exclude_self)
+        else:
+            pairs = token_index.candidate_pairs(query_vecs, lists, centroids, ncells, exclude_self, probes=probes)
+            kept = token_index.pruned_pairs(query_vecs, packed.join(small_side(pairs), "pid").select("qid", "pid", "cells"),
+                                            fetched, threshold, ndocs, skip_stage3)
     return exact_maxsim_pairs(query_vecs, doc_vecs, cut_lineage(kept), k)
 
 
