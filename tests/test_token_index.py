@@ -199,3 +199,13 @@ def test_blocks_equal_pairs(index, queries, monkeypatch, options, blocks):
 def test_sets_of_cells():
     of, cells, at = ti._cell_sets(np.array([3, 1, 3, 2, 1, 3, 2, 2]), np.array([3, 1, 2, 2]))
     assert of.tolist() == [0, 1, 0, 1] and cells.tolist() == [1, 3, 2] and at.tolist() == [0, 2]
+
+
+def test_blocks_with_a_null_cell(spark, vectors, queries, monkeypatch):
+    cents = vectors.filter("pos = 0 and pid < 6").select(F.when(F.col("pid") > 0, F.col("pid").cast("int")).alias("cell"), F.col("vec").alias("centroid"))
+    index = ti.build_token_index(vectors, _path(spark), nbits=2, centroids=cut_lineage(cents), codec=([-0.1, 0.0, 0.1], [-0.2, -0.05, 0.05, 0.2]))
+    found = []
+    for share in (1e9, 0.0):
+        monkeypatch.setattr(ti, "BLOCK_SHARE", share)
+        found.append(_rows(ti.search_token_index(index, queries, 4, ncells=1, threshold=0.1, ndocs=12)))
+    assert found[0] == found[1] and found[0]

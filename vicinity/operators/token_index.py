@@ -462,8 +462,10 @@ def search_blocks(query_vecs: DataFrame, passages: DataFrame, npassages: int, nt
         pids = _np(rows.column("pid"))
         of, set_cells, at = _cell_sets(*_cell_ids(rows.column("cells")))
         found, column = np.unique(set_cells, return_inverse=True)
-        places = np.searchsorted(cells, found)
-        near = matrix[places]
+        near = matrix[np.searchsorted(cells, found)]
+        stored = cells.astype(np.int64).astype(np.int32)  # as the lists have them, also where a cell is null
+        place = np.minimum(np.searchsorted(found, stored), len(found) - 1)
+        occurs = found[place] == stored
 
         def all_cells(v):
             return np.round(v @ near.T, 6)[:, column]
@@ -481,7 +483,9 @@ def search_blocks(query_vecs: DataFrame, passages: DataFrame, npassages: int, nt
                 probed[_first_best(row, ncells)] = True
             high = np.round(_best_sums(high_cells, v, at, len(column)), 6)
             full = np.round(_best_sums(all_cells, v, at, len(column)), 6)
-            high[~np.logical_or.reduceat(probed[places][column], at)] = -np.inf
+            hit = np.zeros(len(found), bool)
+            hit[place[probed & occurs]] = True
+            high[~np.logical_or.reduceat(hit[column], at)] = -np.inf
             key = high[of]
             if exclude_self:
                 key[pids == qid] = -np.inf
