@@ -163,3 +163,10 @@ def test_best_vectors_of_pairs(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 7, 0, 0, 1.0), (1, 7, 0, 1, 1.0), (1, 7, 1, 2, 0.5), (2, 8, 0, 4, 2.0),
                                                    (2, 7, 0, 0, 1.0), (2, 7, 0, 1, 1.0)}
     assert "zip_with" not in str(found._jdf.queryExecution().optimizedPlan())  # no row per pair of vectors
+
+
+def test_blocks_follow_bytes(spark):
+    """Blocks have 32 MB of vectors: 1.8 million query and 7.3 million document vectors of 8 dimensions are copied few times."""
+    from vicinity.operators.similarity import _block_counts, _block_rows
+    n_qb, n_cb = _block_counts(spark, 1_800_000, 7_300_000, _block_rows(8))
+    assert n_cb <= 14 and n_qb <= 14
