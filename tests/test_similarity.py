@@ -170,3 +170,16 @@ def test_blocks_follow_bytes(spark):
     from vicinity.operators.similarity import _block_counts, _block_rows
     n_qb, n_cb = _block_counts(spark, 1_800_000, 7_300_000, _block_rows(8))
     assert n_cb <= 14 and n_qb <= 14
+
+
+def test_blocks_are_stored_once(spark):
+    """Where both sides are large, blocks are crossed where they are stored: no row per copy of a vector, none in a shuffle."""
+    from vicinity.operators.similarity import _pack_passages
+    q, c = _frame(spark, range(40), _rand(40, 4, 1), "qid"), _frame(spark, range(60), _rand(60, 4, 2), "pid")
+    passages = spark.createDataFrame([(p // 3, p % 3, [float(p // 3), 1.0]) for p in range(90)], "pid long, pos int, vec array<double>")
+    queries = passages.withColumnsRenamed({"pid": "qid", "pos": "qpos"})
+    for found in (knn_join(q, c, 3, block_rows=10, broadcast=False), maxsim_join(queries, passages, 3, block_vectors=9, broadcast=False)):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "CoGroup" not in plan
+    packed = _pack_passages(passages.toArrow(), "pid", "d", distinct=True)  # a passage's equal vectors are kept once
+    assert packed["dlens"].tolist() == [1] * 30 and len(packed["dvecs"]) == 30
