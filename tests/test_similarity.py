@@ -183,3 +183,75 @@ def test_blocks_are_stored_once(spark):
         assert "CartesianProduct" in plan and "Generate" not in plan and "CoGroup" not in plan
     packed = _pack_passages(passages.toArrow(), "pid", "d", distinct=True)  # a passage's equal vectors are kept once
     assert packed["dlens"].tolist() == [1] * 30 and len(packed["dvecs"]) == 30
+
+
+def _ragged(seed, lens, dim, near=None):
+    r = np.random.default_rng(seed)
+    V = r.normal(size=(int(lens.sum()), dim)) if near is None else near + 1e-8 * r.normal(size=(int(lens.sum()), dim))
+    return V / np.sqrt((V * V).sum(1, keepdims=True))
+
+
+def _kernel_best(queries, q_lens, D, lens, qids, pids, k, exclude_self=False):
+    from vicinity.operators.similarity import RunningTopk, add_maxsim, query_blocks
+    top = RunningTopk(len(q_lens), k)
+    for some in np.array_split(np.arange(len(lens)), 3):  # passages arrive in batches
+        lo = int(lens[:some[0]].sum())
+        add_maxsim(top, query_blocks(queries, np.cumsum(q_lens) - q_lens, 64), qids, pids[some],
+                   D[lo:lo + int(lens[some].sum())], lens[some], exclude_self, 50)
+    return [(r["qid"], r["rank"], r["pid"], r["score"]) for r in top.table(qids).to_pylist()]
+
+
+def _slow_best(queries, q_lens, D, lens, qids, pids, k, exclude_self=False):
+    out, at = [], np.cumsum(q_lens) - q_lens
+    to = np.cumsum(lens)
+    for i, qid in enumerate(qids):
+        q, found = queries[at[i]:at[i] + q_lens[i]], []
+        for j, pid in enumerate(pids):
+            if lens[j] and not (exclude_self and pid == qid):
+                found.append((-np.round((q @ D[to[j] - lens[j]:to[j]].T).max(1).sum(), 6), pid))
+        out += [(qid, r + 1, pid, -s) for r, (s, pid) in enumerate(sorted(found)[:k])]
+    return out
+
+
+@pytest.mark.parametrize("case", ["spread", "near ties", "copies", "large", "not finite"])
+def test_maxsim_kernel_is_exact(case):
+    """Single precision picks candidates only: near ties, copies and vectors that it can't hold have exact scores and order."""
+    r = np.random.default_rng(5)
+    lens, q_lens = r.integers(0, 40, 200), r.integers(1, 20, 23)
+    lens[[3, 90]] = 700, 513  # beyond a part of a passage
+    Q = _ragged(6, q_lens, 8)
+    D = _ragged(7, lens, 8, near=Q[0] if case == "near ties" else None)
+    if case == "copies":
+        lens = np.full(200, 3)
+        D = np.tile(_ragged(7, lens[:1], 8), (200, 1))
+    if case == "large":
+        Q, D = Q * 1e9, D * 1e9
+    if case == "not finite":
+        D[:5] = 1e200
+        D[40] = np.nan
+    qids, pids = np.arange(len(q_lens)) * 7, r.permutation(200)
+    got = _kernel_best(Q, q_lens, D, lens, qids, pids, 4, exclude_self=True)
+    if case == "not finite":  # a passage has no place with such a score
+        assert len(got) == 4 * len(q_lens) and all(np.isfinite(g[3]) for g in got)
+        return
+    want = _slow_best(Q, q_lens, D, lens, qids, pids, 4, exclude_self=True)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12, atol=2e-6)
+
+
+def test_maxsim_kernel_scores_few_pairs_in_double_precision(monkeypatch):
+    """All pairs are scored in strips of single precision that stay in the cache; before, all were in double precision."""
+    from vicinity.operators import similarity
+    kinds, best = set(), similarity._best_of_passages
+
+    def spy(columns, D, lens):
+        kinds.update((columns.dtype, D.dtype))
+        return best(columns, D, lens)
+
+    monkeypatch.setattr(similarity, "_best_of_passages", spy)
+    r = np.random.default_rng(8)
+    lens, q_lens = r.integers(1, 200, 600), r.integers(1, 60, 40)
+    Q, D = _ragged(9, q_lens, 8), _ragged(10, lens, 8)
+    got = _kernel_best(Q, q_lens, D, lens, np.arange(40), np.arange(600), 5)
+    assert kinds == {np.dtype(np.float32)}
+    assert [g[:3] for g in got] == [w[:3] for w in _slow_best(Q, q_lens, D, lens, np.arange(40), np.arange(600), 5)]
