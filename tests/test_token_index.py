@@ -209,3 +209,29 @@ def test_blocks_with_a_null_cell(spark, vectors, queries, monkeypatch):
         monkeypatch.setattr(ti, "BLOCK_SHARE", share)
         found.append(_rows(ti.search_token_index(index, queries, 4, ncells=1, threshold=0.1, ndocs=12)))
     assert found[0] == found[1] and found[0]
+
+
+def test_many_probed_cells_make_no_rows(spark, index, queries, monkeypatch):
+    """Probes carry no vectors, and where the shortest lists already hold most pairs none are made."""
+    kept = ivf.cell_map(queries, index.centroids, 3, ["qid", "qpos"])
+    bare = ivf.cell_map(queries, index.centroids, 3, ["qid", "qpos"], keep=False)
+    assert bare.columns == ["qid", "qpos", "cell", "cell_score"]
+    assert sorted(map(tuple, bare.collect())) == sorted(tuple(r)[:4] for r in kept.collect())
+    want = _rows(ti.search_token_index(index, queries, 3, 8, 0.0, 24))
+    made, probed = [], ti.probed_cells
+    monkeypatch.setattr(ti, "probed_cells", lambda *a: made.append(a) or probed(*a))
+    assert _rows(ti.search_token_index(index, queries, 3, 8, 0.0, 24)) == want and not made
+    monkeypatch.setattr(ti, "BLOCK_SHARE", 8.0)  # as pairs
+    assert _rows(ti.search_token_index(index, queries, 3, 8, 0.0, 24)) == want and made
+
+
+def test_batches_of_probes_are_bounded(index, queries, monkeypatch):
+    """A batch has so many components of vectors at most, however many cells are probed."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    monkeypatch.setattr(ivf, "SCORE_CELLS", 100)
+    seen, real = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, *a, **k: seen.append(run) or real(self, run, *a, **k))
+    ivf.cell_map(queries, index.centroids, 8, ["qid", "qpos"])
+    batches = list(seen[-1](iter(queries.select("qid", "qpos", "vec").toArrow().combine_chunks().to_batches())))
+    assert sum(b.num_rows for b in batches) == 8 * queries.count()
+    assert max(b.num_rows for b in batches) * 12 <= 100

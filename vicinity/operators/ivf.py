@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import uuid
@@ -157,7 +158,7 @@ def centroids_from_labels(vectors: DataFrame, dim: int, label: str = "label") ->
 def assign_cells(vectors: DataFrame, centroids: DataFrame, id_col: str | list[str] = "pid") -> DataFrame:
     """Arg-max inner product centroid per vector (I4); ``id_col`` may name several key columns."""
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    return cell_map(vectors, centroids, 1, ids).select(*ids, "cell", "cell_score")
+    return cell_map(vectors, centroids, 1, ids, keep=False).select(*ids, "cell", "cell_score")
 
 
 def inverted_lists(assignments: DataFrame, id_col: str = "pid") -> DataFrame:
@@ -238,19 +239,20 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, ncells: int, id_col: s
                 pos_col: str | None = None) -> DataFrame:
     """Per query (vector) the ``ncells`` best centroids by inner product."""
     ids = [id_col] if pos_col is None else [id_col, pos_col]
-    return cell_map(queries, centroids, ncells, ids).select(*ids, "cell", "cell_score")
+    return cell_map(queries, centroids, ncells, ids, keep=False).select(*ids, "cell", "cell_score")
 
 
 def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str | list[str] = "pid",
-             metric: str = "inner_product") -> DataFrame:
-    """The ``ncells`` best centroids of every vector, the vector passed through:
+             metric: str = "inner_product", keep: bool = True) -> DataFrame:
+    """The ``ncells`` best centroids of every vector, the vector passed through if it is to be kept:
     ``(ids ..., cell, cell_score, vec)``, one row per (vector, cell).  Best is the largest inner product or, for
     ``l2_distance``, the smallest squared distance.
 
     Map-only: the centroid table (cells x dim, bounded by the cell count and
     checked against ``vicinity.broadcast.maxBytes``) is broadcast and each task
     scores its own rows in chunks of at most ``SCORE_CELLS`` scores; ties by
-    smaller cell id.  Beyond the limit the centroids are searched in two levels.
+    smaller cell id.  Batches that go out have at most ``SCORE_CELLS`` components
+    of vectors.  Beyond the limit the centroids are searched in two levels.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     spark = vectors.sparkSession
@@ -260,7 +262,8 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
     src = vectors.select(*ids, F.col("vec").cast("array<double>")).filter(F.col("vec").isNotNull())
     ct = fetch_if_small(cents, broadcast_limit(spark) // max(8, dim * 8))
     if ct is None:
-        return _cell_tree(src, cents, ncells, ids, metric)
+        found = _cell_tree(src, cents, ncells, ids, metric)
+        return found if keep else found.drop("vec")
     cells, C = _np(ct.column("cell")), _matrix(ct.column("c"))
     bc = spark.sparkContext.broadcast((cells, C))
     types = ", ".join(f"{i} {src.schema[i].dataType.simpleString()}" for i in ids)
@@ -273,13 +276,18 @@ def cell_map(vectors: DataFrame, centroids: DataFrame, ncells: int, id_col: str
                 b = whole.slice(at, step)
                 key, score = _knn_scores(_matrix(b.column("vec")), C_, None, None, metric == "l2_distance", False)
                 t = topk_rows(np.arange(b.num_rows), cells_, key, score, ncells)
-                rows = pa.array(_np(t.column("qid")))
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(i).take(rows) for i in ids), pa.array(_np(t.column("pid")).astype(np.int32)),
-                     pa.array(_np(t.column("score"))), b.column("vec").take(rows).cast(pa.list_(pa.float64()))],
-                    [*ids, "cell", "cell_score", "vec"])
+                t, most = t.combine_chunks(), max(1, SCORE_CELLS // max(1, dim)) if keep else SCORE_CELLS
+                for lo in range(0, t.num_rows, most):
+                    some = t.slice(lo, most)
+                    rows = pa.array(_np(some.column("qid")))
+                    out = [*(b.column(i).take(rows) for i in ids), pa.array(_np(some.column("pid")).astype(np.int32)),
+                           pa.array(_np(some.column("score")))]
+                    if keep:
+                        out.append(b.column("vec").take(rows).cast(pa.list_(pa.float64())))
+                    yield pa.RecordBatch.from_arrays(out, names)
 
-    return _spread(src, *ids).mapInArrow(run, f"{types}, cell int, cell_score double, vec array<double>")
+    names = [*ids, "cell", "cell_score", *(["vec"] if keep else [])]
+    return _spread(src, *ids).mapInArrow(run, f"{types}, cell int, cell_score double" + (", vec array<double>" if keep else ""))
 
 
 def _cell_tree(src: DataFrame, cents: DataFrame, ncells: int, ids: list[str], metric: str) -> DataFrame:
@@ -399,7 +407,7 @@ def cells_for_recall(index: DataFrame, centroids: DataFrame, k: int, recall: flo
     exact = knn_join(q, index.select("pid", "vec"), k, metric, exclude_self=True).join(index.select("pid", "cell"), "pid")
     order = F.col("cell_score").asc() if metric == "l2_distance" else F.col("cell_score").desc()
     place = F.row_number().over(Window.partitionBy("qid").orderBy(order, "cell"))
-    places = cell_map(q, centroids, total, "qid", metric).select("qid", "cell", place.alias("place"))
+    places = cell_map(q, centroids, total, "qid", metric, keep=False).select("qid", "cell", place.alias("place"))
     found = (exact.join(places, ["qid", "cell"])
              .agg(F.percentile_approx("place", min(1.0, recall + 0.3 * (1 - recall)), 10_000)).first()[0])
     return int(found or 1)
@@ -474,18 +482,18 @@ def plaid_search(query_vecs: DataFrame, doc_vecs: DataFrame, doc_cells: DataFram
     threshold = d_th if threshold is None else threshold
     ndocs = d_nd if ndocs is None else ndocs
     lists = cut_lineage(doc_cells.select("cell", "pid").distinct())  # read by the candidates and by the passages' cells
-    probes = token_index.probed_cells(query_vecs, centroids, ncells)
+    probes = functools.cache(lambda: token_index.probed_cells(query_vecs, centroids, ncells))
     fetched = token_index._fetch_centroids(centroids)
     if fetched is None:
-        pairs = token_index.candidate_pairs(query_vecs, lists, centroids, ncells, exclude_self, probes=probes)
+        pairs = token_index.candidate_pairs(query_vecs, lists, centroids, ncells, exclude_self, probes=probes())
         kept = _joined_stages(query_vecs, cut_lineage(pairs), lists, centroids, threshold, ndocs, skip_stage3)
     else:
         packed = lists.groupBy("pid").agg(F.collect_list("cell").alias("cells"))  # bounded by a passage's length
         sizes = lists.agg(F.countDistinct("pid"), F.count(F.lit(1))).first()
-        if token_index.mostly_candidates(probes, lists, sizes[0]):
+        if token_index.mostly_candidates(probes, lists, sizes[0], len(fetched[0]), ncells):
             kept = token_index.search_blocks(query_vecs, packed, sizes[0], sizes[1], fetched, ncells, threshold, ndocs, skip_stage3, exclude_self)
         else:
-            pairs = token_index.candidate_pairs(query_vecs, lists, centroids, ncells, exclude_self, probes=probes)
+            pairs = token_index.candidate_pairs(query_vecs, lists, centroids, ncells, exclude_self, probes=probes())
             kept = token_index.pruned_pairs(query_vecs, packed.join(small_side(pairs), "pid").select("qid", "pid", "cells"),
                                             fetched, threshold, ndocs, skip_stage3)
     return exact_maxsim_pairs(query_vecs, doc_vecs, cut_lineage(kept), k)

@@ -720,7 +720,7 @@ def _maxsim_broadcast(tbl: pa.Table, packed_docs: DataFrame, k: int, exclude_sel
             at = 0
             while at < b.num_rows:  # slices of bounded vectors
                 done = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, done + (1 << 18), side="right")))
+                to = max(at + 1, int(np.searchsorted(ends, done + SCORE_CELLS // max(1, Q_.shape[1]), side="right")))
                 part = b.slice(at, to - at)
                 if ends[to - 1] > done:
                     D, row = _matrix(part.column("vecs").flatten()), np.repeat(np.arange(to - at), lens[at:to])

@@ -18,6 +18,7 @@ all its candidates; the other decodes candidates by table lookup and scores them
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
 import re
 import uuid
@@ -390,15 +391,22 @@ def candidate_pairs(query_vecs: DataFrame, lists: DataFrame, centroids: DataFram
 def probed_cells(query_vecs: DataFrame, centroids: DataFrame, ncells: int) -> DataFrame:
     """Distinct ``(qid, cell)``: the ``ncells`` best cells of each of a query's vectors."""
     from vicinity.operators.ivf import cell_map
-    return small_side(cell_map(query_vecs, centroids, ncells, ["qid", "qpos"]).select("qid", "cell").distinct())
+    return small_side(cell_map(query_vecs, centroids, ncells, ["qid", "qpos"], keep=False).select("qid", "cell").distinct())
 
 
-def mostly_candidates(probes: DataFrame, lists: DataFrame, npassages: int) -> bool:
-    """Whether the probed lists hold so many of all (query, passage) pairs that queries should meet passages in blocks."""
-    sizes = lists.groupBy("cell").agg(F.count(F.lit(1)).alias("np"))
-    asked = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
+def mostly_candidates(probes: Callable[[], DataFrame], lists: DataFrame, npassages: int, cells: int, ncells: int) -> bool:
+    """Whether the probed lists hold so many of all (query, passage) pairs that queries should meet passages in blocks.
+
+    Where already the ``ncells`` shortest lists do, no probes are made: many probed cells of many queries are many rows.  At
+    most ``cells`` numbers reach the driver.
+    """
+    sizes = cut_lineage(lists.filter("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias("np")))
+    shortest = sorted(r[0] for r in sizes.select("np").collect())
+    if sum(shortest[:max(0, ncells - max(0, cells - len(shortest)))]) > BLOCK_SHARE * npassages:
+        return True
+    asked = probes().groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
     pairs = asked.join(sizes, "cell").agg(F.sum(F.col("nq") * F.col("np"))).first()[0] or 0
-    return pairs > BLOCK_SHARE * probes.select("qid").distinct().count() * npassages
+    return pairs > BLOCK_SHARE * probes().select("qid").distinct().count() * npassages
 
 
 def _first_best(key: np.ndarray, n: int) -> np.ndarray:
@@ -668,8 +676,8 @@ def search_token_index(index: TokenIndex, query_vecs: DataFrame, k: int, ncells:
     if ncells >= len(fetched[0]) and last >= index.npassages:  # nothing is pruned
         return maxsim_join(query_vecs, decoded_tokens(index).select("pid", "pos", "vec"), k, exclude_self)
     table = decode_table(index.means, index.nbits)
-    probes = probed_cells(query_vecs, index.centroids, ncells)
-    if mostly_candidates(probes, index.lists, index.npassages):
+    probes = functools.cache(lambda: probed_cells(query_vecs, index.centroids, ncells))
+    if mostly_candidates(probes, index.lists, index.npassages, len(fetched[0]), ncells):
         sizes = (index.npassages, index.ntokens)
         if last > BLOCK_SHARE * index.npassages and passage_blocks(index.ntokens) == 1:
             found = search_blocks(query_vecs, index.passages.select("pid", "cells", "codes"), *sizes, fetched, ncells, threshold, ndocs,
@@ -678,7 +686,7 @@ def search_token_index(index: TokenIndex, query_vecs: DataFrame, k: int, ncells:
         kept = search_blocks(query_vecs, index.passages.select("pid", "cells"), *sizes, fetched, ncells, threshold, ndocs, skip_stage3, exclude_self)
     else:
         pairs = small_side(candidate_pairs(query_vecs, index.lists, index.centroids, ncells, exclude_self,
-                                           (index.first_cell, index.band_width), probes))
+                                           (index.first_cell, index.band_width), probes()))
         candidates = index.passages.select("pid", "cells").join(pairs, "pid").select("qid", "pid", "cells")
         kept = pruned_pairs(query_vecs, candidates, fetched, threshold, ndocs, skip_stage3)
     kept = small_side(kept.withColumn("part", _part(index.parts)))
